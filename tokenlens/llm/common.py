@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like checkpointed(), as compressed Parquet files in the same shared folder: for what is large or read by columns."""
+    checkpointed(df.sparkSession.range(1))
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words_column(text: Column) -> Column:
     """Words of a text by ASCII white space; null and blank texts have none."""
     trimmed = F.trim(text, F.lit(SPACES))
