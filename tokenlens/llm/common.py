@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -117,3 +118,23 @@ def _cut(whole: pa.RecordBatch, ends: list[int], rows: int) -> Iterator[pa.Recor
         if end - start >= rows or k == len(ends) - 1:
             yield whole.slice(start, end - start)
             start = end
+
+
+class Numbers(dict):
+    """Numbers keys from 0 on as they are looked up; names from `known` on are new since then."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+    def since(self, known: int) -> list[str]:
+        return list(islice(self, known, None))
+
+
+#: Closing characters that stand behind a word; none is a letter, a digit or white space.
+CLOSING = ".,;:!?#*$%&\")]}"
+
+
+def is_plain(word: str) -> bool:
+    """Letters only, and those of Latin-1: lower-casing them is one to one and no normal form changes them."""
+    return word.isalpha() and (word.isascii() or max(word) < "Ā")

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import CLOSING, Numbers, is_plain, slices, table
 
 #: Training sample: at most so many texts, those with the smallest hash of doc_id; at most so many trigrams of each language.
 SAMPLE_DOCS, MOST_GRAMS = 4_000, 60_000
 SWITCH_PENALTY, SMOOTHING, LEAST_SCRIPT_SHARE = 14.0, 0.5, 0.001
-CACHED = 400_000
+CACHED = 1_000_000
 LEAST_SCORE = 0.5
 #: First code points of script ranges (fixed values of the Unicode standard, coarse): letters from there on are of that script.
 SCRIPTS = [(0x0, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, "Other"), (0x900, "Devanagari"), (0x980, "Indic"), (0xE00, "Thai"), (0xE80, "Asian"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x1380, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x3040, "Kana"), (0x3100, "Han"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFE00, "Other"), (0x20000, "Han")]
@@ -84,7 +84,11 @@ def train(docs: DataFrame) -> dict:
             scripts.setdefault(r.item, np.zeros(len(langs)))[of[r.lang]] = r.n
     probs = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * max(1, len(counts)))).astype(np.float32)
     words = sum(scripts.values()) if scripts else 0
-    return {"langs": langs, "grams": at, "log": probs, "scripts": {s: n >= LEAST_SCRIPT_SHARE * words for s, n in scripts.items()}}
+    used = {s: n >= LEAST_SCRIPT_SHARE * words for s, n in scripts.items()}
+    allowed = np.array([used.get(s, np.zeros(len(langs), bool)) for _, s in SCRIPTS]).reshape(len(SCRIPTS), len(langs))
+    codes = np.array([(ord(a) << 42) | (ord(b) << 21) | ord(c) for a, b, c in grams], np.int64)
+    order = np.argsort(codes)
+    return {"langs": langs, "codes": codes[order], "log": probs[np.append(order, len(order))], "allowed": allowed}
 
 
 class Labeller:
@@ -95,43 +99,49 @@ class Labeller:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.scores = np.zeros((0, self.k), np.float32)
-        self.lettered = np.zeros(0, bool)
-
-    def learn(self, chunks: list[str]) -> None:
-        grams, unknown = self.model["grams"], len(self.model["grams"])
-        words = [letters_of(c) for c in chunks]
-        own = [[grams.get(g, unknown) for g in grams_of(w)] for w in words]
-        n = np.fromiter(map(len, own), np.int64, len(own))
-        rows = self.model["log"][np.fromiter(chain.from_iterable(own), np.int64, int(n.sum()))]
-        rows = np.concatenate([rows, np.zeros((1, self.k), np.float32)])  # a word without letters may come last
-        scores = np.add.reduceat(rows, np.cumsum(n) - n, axis=0)
-        for k, w in enumerate(words):
-            allowed = self.model["scripts"].get(script_of(w[0])) if w else None
-            if allowed is None or not allowed.any():
-                scores[k] = 0  # no letter, or a script that no language uses: no evidence
-            elif not allowed.all():
-                scores[k, ~allowed] = scores[k].min() - 50.0
-        self.index.update(zip(chunks, range(len(self.scores), len(self.scores) + len(chunks))))
-        self.scores = np.concatenate([self.scores, scores])
-        self.lettered = np.concatenate([self.lettered, np.fromiter(map(bool, words), bool, len(words))])
+        self.index = Numbers()
+        self.core = np.zeros(0, np.int32)
+        self.cores = Numbers({"": 0})
+        self.scores = np.zeros((1, self.k), np.float32)
+
+    def learn(self) -> None:
+        """Letters of the chunks that are new in `index`, and scores of the words that are new."""
+        words, known, core = self.cores, len(self.cores), []
+        for c in self.index.since(len(self.core)):
+            bare = c.strip(CLOSING)
+            core.append(words[bare.lower() if is_plain(bare) else letters_of(c)])
+        self.core = np.concatenate([self.core, np.array(core, np.int32)])
+        new = words.since(known)
+        if not new:
+            return
+        # All words in one string, a blank around each; a trigram belongs to the word that its middle is in.
+        text = np.frombuffer(f" {' '.join(new)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+        inner = np.flatnonzero(text[1:-1] != 32)
+        gram = (text[inner] << 42) | (text[inner + 1] << 21) | text[inner + 2]
+        codes = self.model["codes"]
+        at = np.minimum(np.searchsorted(codes, gram), max(0, len(codes) - 1))
+        rows = self.model["log"][np.where(codes[at] == gram, at, len(codes)) if len(codes) else np.zeros(len(gram), np.int64)]
+        first = np.flatnonzero(text[inner] == 32)
+        scores = np.add.reduceat(rows, first, axis=0)
+        script = np.searchsorted(_FIRST, text[inner[first] + 1], side="right") - 1
+        allowed = self.model["allowed"][script]
+        scores = np.where(allowed, scores, scores.min(1, keepdims=True) - 50.0)
+        scores[~allowed.any(1)] = 0  # a script that no language uses is no evidence
+        self.scores = np.concatenate([self.scores, scores.astype(np.float32)])
 
     def label(self, texts: list[str | None]) -> Iterator[tuple[str, float, int, str]]:
         """For each text: language, share of lettered words in it, number of spans, spans as lang:first-end (words)."""
         if len(self.index) > CACHED:
             self.clear()
         split = [(t or "").split() for t in texts]
-        seen: set[str] = set()
-        for s in split:
-            seen.update(s)
-        if new := [c for c in seen if c not in self.index]:
-            self.learn(new)
         n = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(chain.from_iterable(map(self.index.__getitem__, s) for s in split), np.int64, int(n.sum()))
+        if len(self.index) > len(self.core):
+            self.learn()
+        at = self.core[at]
         starts = np.cumsum(n) - n
         path = self.viterbi(at, starts, n) if self.k and len(at) else np.zeros(len(at), np.int8)
-        lettered, langs = self.lettered[at], self.model["langs"]
+        lettered, langs = at > 0, self.model["langs"]
         for a, m in zip(starts.tolist(), n.tolist()):
             own, real = path[a : a + m], lettered[a : a + m]
             if not langs or not real.any():

@@ -24,73 +24,87 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import CLOSING, Numbers, is_plain, slices, table
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 64 * 2048
 END = 1
 #: Distinct chunks of text whose ids a worker keeps; then it starts afresh.
-CACHED = 400_000
+CACHED = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 ARROW = pa.schema([(n, {"long": pa.int64(), "int": pa.int32()}[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
-PUNCTUATION = ".,;:!?#*$%&\")]}"
 
 
 class ChunkEncoder:
-    """Ids of texts, chunk by chunk: this vocabulary drops white space, so no id spans two chunks between blanks."""
+    """Ids of texts, chunk by chunk: this vocabulary drops white space, so no id spans two chunks between blanks.
+
+    A chunk is one or two cores; plain letters and the closing characters behind them are a core each,
+    since the tokenizer cuts there too. New plain cores are encoded many in one text and told
+    apart by the ids that end a word.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.cores: dict[str, list[int]] = {}
-        self.parts: list[np.ndarray] = []
+        self.index = Numbers({"": 0})
+        self.pairs = np.zeros((1, 2), np.int32)
+        self.cores = Numbers({"": 0, "\n": 1})  # no chunk holds a line feed: it stands for the end id
         self.flat, self.starts, self.lengths = np.array([END], np.uint32), np.array([0, 0]), np.array([0, 1])
 
-    def learn(self, chunks: list[str]) -> None:
-        """A run of closing punctuation behind plain letters is never joined with them, so the letters' ids can be shared."""
-        split, wanted = [], {}
-        for c in chunks:
-            core = c.rstrip(PUNCTUATION)
-            if core and core.isalpha() and max(core) < "Ā":
-                split.append((core.lower(), c[len(core) :]))
+    def learn(self) -> None:
+        """Cores of the chunks that are new in `index`, and ids of the cores that are new."""
+        core_of, pairs, plain = self.cores, [], []
+        known = len(core_of)
+        for c in self.index.since(len(self.pairs)):
+            core = c.rstrip(CLOSING)
+            if core and is_plain(core):
+                pairs.append((core_of[core.lower()], core_of[c[len(core) :]]))
             else:
-                split.append((c, ""))
-            for part in split[-1]:
-                if part and part not in self.cores:
-                    wanted[part] = None
-        wanted = list(wanted)
-        for part, got in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)):
-            self.cores[part] = got.ids
-        got = [(self.cores[a] if a else []) + (self.cores[b] if b else []) for a, b in split]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        first = len(self.lengths)
-        self.index.update(zip(chunks, range(first, first + len(chunks))))
+                pairs.append((core_of[c], 0))
+        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int32).reshape(-1, 2)])
+        new = core_of.since(known)
+        plain = [is_plain(c) or not c.strip(CLOSING) for c in new]
+        ids: list = [None] * len(new)
+        some = [k for k, p in enumerate(plain) if p]
+        for a in range(0, len(some), 512):
+            own = some[a : a + 512]
+            got = np.array(self.tokenizer.encode(" ".join([new[k] for k in own]), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(self.ends_word[got]) + 1
+            if len(cuts) == len(own):
+                for k, part in zip(own, np.split(got, cuts[:-1])):
+                    ids[k] = part
+        rest = [k for k, got in enumerate(ids) if got is None]
+        for k, got in zip(rest, self.tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False)):
+            ids[k] = np.array(got.ids, np.uint32)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))])
+        self.flat = np.concatenate([self.flat, *ids])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END behind it, in one array; where each text begins in it."""
         if len(self.index) > CACHED:
             self.clear()
         chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        seen: set[str] = set()
-        for c in chunks:
-            seen.update(c)
-        if new := [c for c in seen if c not in self.index]:
-            self.learn(new)
-        at = np.fromiter(chain.from_iterable(chain(map(self.index.__getitem__, c), (1,)) for c in chunks), np.int64)
-        n = self.lengths[at]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        per_text = np.cumsum([0] + [len(c) + 1 for c in chunks])
-        return ids, np.concatenate([[0], ends])[per_text]
+        counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        at = np.fromiter(chain.from_iterable(map(self.index.__getitem__, c) for c in chunks), np.int64, int(counts.sum()))
+        if len(self.index) > len(self.pairs):
+            self.learn()
+        ends = np.cumsum(counts)
+        cores = np.insert(self.pairs[at].ravel(), 2 * ends, 1)
+        cores_ends = np.flatnonzero(cores == 1)
+        n = self.lengths[cores]
+        after = np.cumsum(n)
+        ids = self.flat[np.repeat(self.starts[cores] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
+        return ids, np.concatenate([[0], after[cores_ends]])
 
 
 _encoders: dict[str, ChunkEncoder] = {}

@@ -17,15 +17,17 @@ import re
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import CLOSING, Numbers, slices, table
 
 MARK = "▁"
 RUN = re.compile(f"{MARK}+[^{MARK}]*")
 #: Distinct runs whose ids a worker keeps; then it starts afresh.
-CACHED = 400_000
+CACHED = 1_000_000
+NEVER = 1 << 30
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_differing long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_differing", pa.int64())])
 
@@ -45,14 +47,66 @@ class PieceCodec:
         if any(x[1] == MARK != x[0] for x in self.together):
             raise ValueError("this vocabulary has pieces that cross a blank")
         self.end = lib.eos_id()
+        # Joint pieces of two neighbours as a sorted table, and the order in which pieces are merged.
+        joint = {(self.id_of[p[:k]] * size + self.id_of[p[k:]]): self.id_of[p] for p in self.rank for k in range(1, len(p)) if p[:k] in self.id_of and p[k:] in self.id_of}
+        self.size, self.pair_keys = size, np.array(sorted(joint), np.int64)
+        self.pair_ids = np.array([joint[k] for k in self.pair_keys.tolist()], np.int64)
+        levels = {r: k for k, r in enumerate(sorted(set(self.rank.values())))}
+        self.level = np.full(size + 1, NEVER, np.int32)
+        for p, r in self.rank.items():
+            self.level[self.id_of[p]] = levels[r]
+        chars = {p: i for p, i in self.id_of.items() if len(p) == 1}
+        self.char_codes = np.array(sorted(map(ord, chars)), np.int64)
+        self.char_ids = np.array([chars[chr(c)] for c in self.char_codes.tolist()], np.int64)
         self.clear()
 
     def clear(self) -> None:
-        self.runs: dict[str, str] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.counts: dict[str, int] = {}
-        self.decoded: dict[str, bytes] = {}
-        self.differing: set[str] = set()
+        self.index = Numbers()
+        self.ids: list[str] = []
+        self.decoded: list[bytes] = []
+        self.differing: set[int] = set()
+        self.part_of = Numbers({"": 0})
+        self.part_ids: list[list[int]] = [[]]
+
+    def joint(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two neighbours make, or `size` where there is none (or no neighbour)."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (left < self.size) & (right < self.size), self.pair_ids[at], self.size)
+
+    def merge_many(self, parts: list[str]) -> list[list[int]]:
+        """Like merge() for many parts of known characters: each part's agenda is a row of merge orders, its least is next."""
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+        width = int(n.max())
+        inside = np.arange(width) < n[:, None]
+        symbols = np.full((len(parts), width + 1), self.size, np.int64)
+        symbols[:, :width][inside] = self.char_ids[np.searchsorted(self.char_codes, codes)]
+        made = self.joint(symbols[:, :-1], symbols[:, 1:])
+        agenda = self.level[made]
+        rows, out = np.arange(len(parts)), np.empty((len(parts), width + 1), np.int64)
+        place = np.arange(width + 1)
+        while len(rows):
+            at = agenda.argmin(1)
+            more = agenda[np.arange(len(rows)), at] < NEVER
+            if not more.all():
+                out[rows[~more]] = symbols[~more]
+                rows, at, symbols, made, agenda = rows[more], at[more], symbols[more], made[more], agenda[more]
+                if not len(rows):
+                    break
+            each = np.arange(len(rows))
+            symbols[each, at] = made[each, at]
+            source = place + (place > at[:, None])
+            symbols = np.take_along_axis(np.pad(symbols, ((0, 0), (0, 1)), constant_values=self.size), source, 1)
+            source = np.minimum(source[:, :-1], width)
+            made = np.take_along_axis(np.pad(made, ((0, 0), (0, 1)), constant_values=self.size), source, 1)
+            for k in (np.maximum(at - 1, 0), at):
+                made[each, k] = self.joint(symbols[each, k], symbols[each, k + 1])
+            agenda = self.level[made]
+        keep = out < self.size
+        ends = np.cumsum(keep.sum(1))
+        flat = out[keep].tolist()
+        return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
     def merge(self, part: str) -> list[int]:
         """Ids of a part: always merge the neighbours whose joint piece scores best, the leftmost of equals."""
@@ -84,52 +138,57 @@ class PieceCodec:
                     ids += [self.byte_id[b] for b in s.encode()]
         return ids
 
-    def run_ids(self, run: str) -> list[int]:
-        ids, start, together = [], 0, self.together
-        for k in range(1, len(run) + 1):
-            if k == len(run) or run[k - 1 : k + 1] not in together:
-                part = run[start:k]
-                if (got := self.parts.get(part)) is None:
-                    got = self.parts[part] = self.merge(part)
-                ids += got
-                start = k
-        return ids
-
-    def learn(self, runs: list[str]) -> None:
-        own = [self.run_ids(r) for r in runs]
-        theirs = self.library.encode([r[1:].replace(MARK, " ") for r in runs], num_threads=1)
-        for run, ids, other in zip(runs, own, theirs):
+    def learn(self) -> None:
+        """Ids of the runs that are new in `index`, from those of their parts, held against the library's."""
+        new, part_of, known = self.index.since(len(self.ids)), self.part_of, len(self.part_ids)
+        pairs = []
+        for run in new:
+            core = run.rstrip(CLOSING)
+            if 0 < len(core) < len(run) and run[len(core) - 1 : len(core) + 1] not in self.together:
+                pairs.append((part_of[core], part_of[run[len(core) :]]))
+            else:
+                pairs.append((part_of[run], 0))
+        fresh = part_of.since(known)
+        self.part_ids += [None] * len(fresh)
+        simple = {chr(c) for c in self.char_codes.tolist()}
+        by_width: dict[int, list[int]] = {}
+        for k, part in enumerate(fresh, known):
+            if 1 < len(part) <= 32 and simple.issuperset(part):
+                by_width.setdefault((len(part) + 3) // 4, []).append(k)
+            else:
+                self.part_ids[k] = self.merge(part)
+        for own in by_width.values():
+            for k, ids in zip(own, self.merge_many([fresh[k - known] for k in own])):
+                self.part_ids[k] = ids
+        theirs = self.library.encode([r[1:].replace(MARK, " ") for r in new], num_threads=1)
+        for k, ((a, b), run, other) in enumerate(zip(pairs, new, theirs), len(self.ids)):
+            ids = self.part_ids[a] + self.part_ids[b]
             if ids != other and run != MARK:  # the library adds no mark to an empty text
-                self.differing.add(run)
+                self.differing.add(k)
                 ids = other
-            self.runs[run] = " ".join(map(str, ids))
-            self.counts[run] = len(ids)
-            self.decoded[run] = b"".join([self.bytes_of[i] for i in ids])
+            self.ids.append(" ".join(map(str, ids)))
+            self.decoded.append(b"".join([self.bytes_of[i] for i in ids]))
 
-    def split(self, text: str | None) -> list[str]:
-        marked = (MARK + text).replace(" ", MARK) if text else ""
-        return RUN.findall(marked)
+    def runs(self, texts: list[str | None]) -> list[list[int]]:
+        """Numbers of each text's runs, whose ids are then known."""
+        if len(self.index) > CACHED:
+            self.clear()
+        number = self.index.__getitem__
+        out = [list(map(number, RUN.findall((MARK + t).replace(" ", MARK)))) if t else [] for t in texts]
+        if len(self.index) > len(self.ids):
+            self.learn()
+        return out
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str, int]]:
-        if len(self.runs) > CACHED:
-            self.clear()
-        split = [self.split(t) for t in texts]
-        seen: set[str] = set()
-        for s in split:
-            seen.update(s)
-        if new := [r for r in seen if r not in self.runs]:
-            self.learn(new)
-        end = str(self.end)
-        for runs in split:
-            ids = " ".join([*map(self.runs.__getitem__, runs), end])
-            text = b"".join(map(self.decoded.__getitem__, runs))[1:].decode("utf-8", "replace")
+        end, id_of, bytes_of = str(self.end), self.ids, self.decoded
+        for runs in self.runs(texts):
+            ids = " ".join([*map(id_of.__getitem__, runs), end])
+            text = b"".join(map(bytes_of.__getitem__, runs))[1:].decode("utf-8", "replace")
             differing = sum(r in self.differing for r in runs) if self.differing else 0
             yield ids.count(" ") + 1, sha256(ids.encode()).hexdigest(), sha256(text.encode()).hexdigest(), differing
 
     def encode(self, text: str | None) -> list[int]:
-        runs = self.split(text)
-        self.learn([r for r in dict.fromkeys(runs) if r not in self.runs])
-        return [int(i) for r in runs for i in self.runs[r].split()] + [self.end]
+        return [int(i) for r in self.runs([text])[0] for i in self.ids[r].split()] + [self.end]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.bytes_of.get(i, b"") for i in ids])[1:].decode("utf-8", "replace")
