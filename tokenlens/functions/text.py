@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 #: The pre-token pattern (letters with an optional mark before, numbers of up to three digits, other runs, blanks).
@@ -34,7 +35,7 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + PRETOKEN), F.lit(0))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _indic_graphemes(text: pd.Series) -> pd.Series:
     import regex
 
@@ -47,7 +48,7 @@ def graphemes(text: Column) -> Column:
     return F.when(text.rlike("[ऀ-෿]"), _indic_graphemes(F.when(text.rlike("[ऀ-෿]"), text))).otherwise(plain)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
