@@ -6,7 +6,8 @@ SPAN bytes are therefore dealt by anchor: a run of windows with one anchor is a
 anchor hash can share a window. (1) Segments whose anchor is alone drop out. (2) Segments with equal bytes are one class;
 a class of two or more is repeated whole. (3) Where classes share an anchor, a group's window starts are suffix-sorted,
 deep-shallow: multikey sorting on eight-byte characters to SHALLOW bytes, then a blind trie orders what still
-ties. (4) Groups of more than GROUP classes are settled by counting 128-bit window digests, which gathers no group.
+ties. (4) Groups of more than GROUP classes are settled by counting 128-bit digests of blocks of windows, cut ever
+finer, which gathers no group.
 
 Texts are bytes in UTF-8. Rows are told apart by a hash of doc_id and text. Defined cases: a null text is empty; texts under
 SPAN bytes lose nothing; repeated rows are repeats of each other; an empty table gives an empty result;
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import slices, stored, table, whole_groups
 
 SPAN, ANCHOR, SHALLOW, GROUP = 200, 64, 32, 1024
+#: Windows in a block, from coarse to fine, where a group has more than GROUP classes.
+BLOCKS = (64, 16, 4, 1)
 _WIDTH = SPAN - ANCHOR + 1
 _TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -223,20 +226,75 @@ def repeats(docs: DataFrame) -> DataFrame:
     run_schema = "rid long, start int, windows int"
     few = pieces.where(F.col("size") <= GROUP).select("k", "copies", "rid", "start", "windows", "bytes").repartition("k").sortWithinPartitions("k").mapInArrow(sort, run_schema)
 
-    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                view = memoryview(row["bytes"])
-                digests = [xxhash.xxh3_128_digest(view[k : k + SPAN]) for k in range(row["windows"])]
-                n = len(digests)
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([row["copies"]] * n, pa.int64()), pa.array([row["rid"]] * n, pa.int64()), pa.array(range(row["start"], row["start"] + n), pa.int32())], ["digest", "copies", "rid", "start"])
-
-    each = pieces.where(F.col("size") > GROUP).select("copies", "rid", "start", "windows", "bytes").mapInArrow(windows_of, "digest binary, copies long, rid long, start int")
-    twice = stored(each.groupBy("digest").agg(F.sum("copies").alias("n")).where("n > 1").select(F.col("digest").alias("d")))
-    many = each.where("copies = 1").join(twice, F.col("digest") == F.col("d")).select("rid", "start", F.lit(1).alias("windows"))
+    many = repeated_blocks(pieces.where(F.col("size") > GROUP).select("k", "copies", "rid", "start", "windows", "bytes"))
     return whole.union(few).union(many).groupBy("rid").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
 
 
+PART = "copies long, rid long, start int, windows int, place int, bytes binary"
+BLOCK = PART + ", union_digest binary, core_digest binary"
+
+
+def _record(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names)
+
+
+def blocks_of(place: int, windows: int, data: bytes, size: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(first window, windows, union, core) of the aligned blocks of `size` places that a run of windows is cut into.
+
+    A window's place is how far its anchor is behind its start; `place` is that of the first window. The union is all
+    bytes of the block's windows; the core is what every window of the block, cut off or not, has in common.
+    """
+    a = 0
+    while a < windows:
+        low = (place - a) // size * size
+        b = min(windows, place - low + 1)
+        high = min(low + size - 1, _WIDTH - 1)
+        yield a, b - a, data[a : b - 1 + SPAN], data[place - low : place - high + SPAN]
+        a = b
+
+
+def repeated_blocks(pieces: DataFrame) -> DataFrame:
+    """(rid, start, windows) of the repeated windows of groups of any size, by blocks of windows.
+
+    Two blocks with equal unions are repeated whole; a block whose core is alone has no repeated window; what
+    is neither is cut finer, down to single windows. Only digests are counted, so no group is gathered, and a
+    passage shared by many texts is told by a few blocks a text.
+    """
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                found = np.flatnonzero(anchor_hashes(np.frombuffer(r["bytes"], np.uint8)[:SPAN]).view(np.int64) == r["k"])
+                rows.append((r["copies"], r["rid"], r["start"], r["windows"], int(found[-1]), r["bytes"]))
+            yield _record(rows, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()], ["copies", "rid", "start", "windows", "place", "bytes"])
+
+    def cut_into(size: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for r in batch.to_pylist():
+                    for a, n, union, core in blocks_of(r["place"], r["windows"], r["bytes"], size):
+                        rows.append((r["copies"], r["rid"], r["start"] + a, n, r["place"] - a, union, xxhash.xxh3_128_digest(union), xxhash.xxh3_128_digest(core)))
+                yield _record(rows, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["copies", "rid", "start", "windows", "place", "bytes", "union_digest", "core_digest"])
+
+        return run
+
+    left, out = pieces.mapInArrow(placed, PART), []
+    for size in BLOCKS:
+        blocks = stored(left.mapInArrow(cut_into(size), BLOCK))
+        twice = lambda digest: blocks.groupBy(digest).agg(F.sum("copies").alias("n")).where("n > 1").select(F.col(digest).alias("d"))  # noqa: B023, E731
+        equal = F.col("union_digest") == F.col("d")
+        # Classes of several copies are known to be repeated; from here on they only count.
+        out.append(blocks.where("copies = 1").select("rid", "start", "windows", "union_digest").join(twice("union_digest"), equal, "left_semi").select("rid", "start", "windows"))
+        open_ = blocks.join(twice("union_digest"), equal & (F.col("copies") == 1), "left_anti")
+        left = open_.join(twice("core_digest"), F.col("core_digest") == F.col("d"), "left_semi").select("copies", "rid", "start", "windows", "place", "bytes")
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.union(more)
+    return whole
+
+
 def _removed(n: int, runs: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal removed runs [a, b) of a text of n bytes."""
     spans: list[tuple[int, int]] = []
