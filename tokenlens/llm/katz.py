@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, table, whole_groups
 
-MOST_DISCOUNTED, LARGE, HOT_PARTS, BUCKET_TOKENS = 5, 0.999, 2000, 3_000_000
+MOST_DISCOUNTED, LARGE, HOT_PARTS, BUCKET_TOKENS = 5, 0.999, 2000, 1_000_000
 BEGIN, END = (xxhash.xxh64_intdigest(x) for x in (b" begin ", b" end "))  # no word holds a blank
 _SHIFT = np.uint64(29)
 
@@ -145,7 +145,7 @@ def score(docs: DataFrame, train) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(sorted(hot), np.uint64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             word, n = tokens(batch.column("text").cast(pa.binary()).to_pylist())
             history = np.concatenate([[np.uint64(BEGIN)], word[:-1]])
             history[np.cumsum(n) - n] = BEGIN
