@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import CLOSING, Numbers, is_plain, slices, table
 
-#: Training sample: at most so many texts, those with the smallest hash of doc_id; at most so many trigrams of each language.
+#: Training sample: so many texts in expectation, those whose hash of doc_id is below the share that this is of all labelled ones; at most so many trigrams of each language.
 SAMPLE_DOCS, MOST_GRAMS = 4_000, 60_000
 SWITCH_PENALTY, SMOOTHING, LEAST_SCRIPT_SHARE = 14.0, 0.5, 0.001
 CACHED = 1_000_000
@@ -54,8 +54,10 @@ def held_out(doc_id: str = "doc_id"):
 
 def train(docs: DataFrame) -> dict:
     """Trigram and script counts by language over the sample; small enough to go to every task."""
-    sample = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(True)))
-    sample = sample.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    labelled = docs.where(F.col("lang").isNotNull() & ~F.coalesce(held_out(), F.lit(True)))
+    # Each task draws its own share by the hash; the count reads no text.
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE_DOCS / max(1, labelled.count())))
+    sample = labelled.where(drawn & F.col("text").isNotNull()).select("doc_id", "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
