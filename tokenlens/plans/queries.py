@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bpe, corpus, metrics, vocab, zipf
+from ..operators import bpe, corpus, metrics, parity_bpe, pools, study, vocab, zipf
 
 FAMILIES = [("en", "Germanic"), ("de", "Germanic"), ("fr", "Romance"), ("es", "Romance")]
 HOLDOUT, BUDGET, ROBIN, CAP = 5, 100_000, 400_000, 4.0
@@ -276,6 +276,121 @@ def bpe_encode_ctc(spark, sf_dir):
     return bpe.encoded_counts(d, bpe.first_merges(bpe.word_counts(d), 3))
 
 
+def lines_of(d: DataFrame) -> DataFrame:
+    return d.groupBy("lang").agg(F.count("*").alias("n_lines"))
+
+
+@register()
+def parity_bpe_merges(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    words = parity_bpe.language_words(d)
+    merges = parity_bpe.fair_merges(words, words, lines_of(d), 3)
+    return spark.createDataFrame([(k, *m) for k, m in enumerate(merges)], "rank int, left string, right string, lang string, cnt double")
+
+
+@register()
+def bpe_arms_compared(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    words = parity_bpe.language_words(d)
+    arms = {"plain": bpe.first_merges(bpe.word_counts(d), 2), "fair": parity_bpe.fair_merges(words, words, lines_of(d), 2)}
+    return parity_bpe.compared(words, lines_of(d), arms)
+
+
+SHARES = [("en", 0.4), ("de", 0.3), ("fr", 0.2), ("es", 0.1)]
+
+
+@register(f"""WITH p AS (SELECT lang, unnest(regexp_extract_all(text, '{PATTERN}')) AS p FROM documents), m AS (SELECT lang, count(*) AS n, sum(strlen(p)) AS mass FROM p GROUP BY lang),
+  s(lang, share) AS (VALUES ('en', 0.4::DOUBLE), ('de', 0.3::DOUBLE), ('fr', 0.2::DOUBLE), ('es', 0.1::DOUBLE))
+  SELECT lang, round(n * (share / sum(share) OVER ()) / (mass / sum(mass) OVER ()), 3) AS weighted FROM m JOIN s USING (lang)""")
+def byte_mass_reweighted(spark, sf_dir):
+    words = parity_bpe.reweighted(parity_bpe.language_words(docs(spark, sf_dir)), spark.createDataFrame(SHARES, "lang string, share double"))
+    return words.groupBy("lang").agg(F.round(F.sum("cnt"), 3).alias("weighted"))
+
+
+@register()
+def matched_draw_summary(spark, sf_dir):
+    counts = words_counted(spark, sf_dir)
+    least = counts.groupBy("lang").agg(F.sum("cnt").alias("n")).agg(F.min("n")).first()[0] or 0
+    return study.summarised(study.matched_draws(counts, max(1, int(0.95 * least)), 5))
+
+
+@register()
+def length_density_verdict(spark, sf_dir):
+    size = F.octet_length("text").cast("double")
+    rows = docs(spark, sf_dir).where(size > 0).select("lang", size.alias("x"), (F.size(T.words(F.col("text"))) / size).alias("y"))
+    return study.verdicts(rows, "x", "y", "lang")
+
+
+@register()
+def rank_frequency_curve(spark, sf_dir):
+    counts = words_counted(spark, sf_dir)
+    return study.rank_frequency_curve(counts, zipf.fits(counts))
+
+
+@register()
+def ladder_pull(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    rungs = d.where("source IS NOT NULL").select("source").distinct().withColumn("rung", F.pmod(F.crc32("source"), F.lit(3)).cast("int"))
+    return pools.ladder(d, rungs, 2 * BUDGET)
+
+
+TARGET, SHARD_BYTES = 400_000, 100_000
+RUNNING = f"{SIZED}, r AS (SELECT lang, doc_id, bytes, sum(bytes) OVER (PARTITION BY lang ORDER BY doc_id) AS running, sum(bytes) OVER (PARTITION BY lang) AS pool FROM s)"
+
+
+@register(f"""WITH {RUNNING}, p AS (SELECT *, unnest(range(0, ceil({TARGET} / pool)::BIGINT)) AS pass FROM r)
+  SELECT lang, pass, doc_id, bytes FROM p WHERE pass * pool + running - bytes < {TARGET}""")
+def unimax_passes(spark, sf_dir):
+    sized = corpus.sized(docs(spark, sf_dir))
+    return pools.tokenise_passes(sized, sized.select("lang").distinct().withColumn("target", F.lit(TARGET).cast("long")))
+
+
+@register(f"""WITH u AS ({_sql["unimax_allocation"]})
+  SELECT lang, round(least(allocated, bytes), 4) AS unique_bytes, round(CASE WHEN allocated >= bytes THEN bytes ELSE least(allocated * 1.1, bytes) END, 4) AS acquire_bytes,
+    round(allocated / least(allocated, bytes), 9) AS passes_over_pool, round(allocated / sum(allocated) OVER (), 9) AS share FROM u""")
+def pool_needs(spark, sf_dir):
+    return pools.pool_needs(unimax_allocation(spark, sf_dir))
+
+
+@register()
+def mixture_summary(spark, sf_dir):
+    return pools.summary(unimax_allocation(spark, sf_dir), "mixture")
+
+
+@register(f"""WITH {RUNNING}, e AS (SELECT lang, min(running) AS stop FROM r WHERE running > 1.25 * {BUDGET} AND running > bytes GROUP BY lang)
+  SELECT lang, doc_id, bytes FROM r LEFT JOIN e USING (lang) WHERE running - bytes < {BUDGET} AND (stop IS NULL OR running < stop)""")
+def byte_sample(spark, sf_dir):
+    return pools.byte_sample(corpus.sized(docs(spark, sf_dir)), BUDGET)
+
+
+@register(f"""WITH b AS (SELECT lang, sum(strlen(text))::BIGINT AS n_bytes, sum(len(regexp_extract_all(text, '{PATTERN}')))::BIGINT AS n_tokens FROM documents GROUP BY lang)
+  SELECT lang, n_bytes, n_tokens, round(n_bytes / n_tokens, 9) AS bytes_per_token FROM b""")
+def bytes_per_token(spark, sf_dir):
+    return pools.bytes_per_token(docs(spark, sf_dir))
+
+
+@register("""WITH n AS (SELECT min(n) AS most FROM (SELECT count(*) AS n FROM documents GROUP BY lang)), r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents)
+  SELECT lang, doc_id FROM r, n WHERE i <= most""")
+def equal_lines(spark, sf_dir):
+    return pools.equal_lines(docs(spark, sf_dir))
+
+
+@register(f"WITH {RUNNING} SELECT lang, doc_id, bytes, floor((running - bytes) / {SHARD_BYTES})::BIGINT AS shard FROM r")
+def pool_shards(spark, sf_dir):
+    return pools.shard_of(corpus.sized(docs(spark, sf_dir)), SHARD_BYTES)
+
+
+@register(f"SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS r FROM documents) WHERE r > {HOLDOUT}")
+def train_without_holdout(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return pools.train_rows(d.select("lang", "doc_id"), corpus.holdout(d, HOLDOUT))
+
+
+@register()
+def packed_sentences(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.size(pools.sentences(F.coalesce("text", F.lit("")))).alias("n_units"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
