@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, checkpointed, table, words_column
+from .common import SPACES, checkpointed, stored, table, words_column
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -149,8 +149,9 @@ def judge(featured: DataFrame, model: dict) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` (all its columns) whose verdict is to keep. Features are computed twice, so that no text is shuffled."""
-    featured = features(docs)
+    """The rows of `docs` (all its columns) whose verdict is to keep. Rows are stored with their features, so that
+    these are computed once and the optimizer doesn't copy their expressions into every rule; no text is shuffled."""
+    featured = stored(features(docs))
     return judge(featured, fit(featured)).where("kept").select(*docs.columns)
 
 
