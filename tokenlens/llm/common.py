@@ -44,7 +44,7 @@ def words_column(text: Column) -> Column:
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_PATTERN))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a piece holds about `most_bytes` of `column` (one value at least)."""
     for batch in batches:
         if not batch.num_rows:
