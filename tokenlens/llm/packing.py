@@ -30,7 +30,7 @@ TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 64 * 2048
 END = 1
 #: Distinct chunks of text whose ids a worker keeps; then it starts afresh.
-CACHED = 1_000_000
+CACHED = 250_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 ARROW = pa.schema([(n, {"long": pa.int64(), "int": pa.int32()}[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
 

@@ -26,7 +26,7 @@ from .common import CLOSING, Numbers, slices, table
 MARK = "▁"
 RUN = re.compile(f"{MARK}+[^{MARK}]*")
 #: Distinct runs whose ids a worker keeps; then it starts afresh.
-CACHED = 1_000_000
+CACHED = 250_000
 NEVER = 1 << 30
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_differing long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_differing", pa.int64())])
