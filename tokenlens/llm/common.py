@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -120,6 +120,17 @@ def _cut(whole: pa.RecordBatch, ends: list[int], rows: int) -> Iterator[pa.Recor
             start = end
 
 
+_kept: dict = {}
+
+
+def kept(key: object, make: Callable[[], object]):
+    """What a Python worker keeps for its next tasks: one object at a time, as later stages run in the same worker."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 class Numbers(dict):
     """Numbers keys from 0 on as they are looked up; names from `known` on are new since then."""
 

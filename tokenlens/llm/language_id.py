@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CLOSING, Numbers, is_plain, slices, table
+from .common import CLOSING, Numbers, is_plain, kept, slices, table
 
 #: Training sample: so many texts in expectation, those whose hash of doc_id is below the share that this is of all labelled ones; at most so many trigrams of each language.
 SAMPLE_DOCS, MOST_GRAMS = 4_000, 60_000
@@ -182,14 +182,8 @@ class Labeller:
         return path
 
 
-_labellers: dict[int, Labeller] = {}
-
-
 def _labeller(shared) -> Labeller:
-    if shared.value["key"] not in _labellers:
-        _labellers.clear()
-        _labellers[shared.value["key"]] = Labeller(shared.value)
-    return _labellers[shared.value["key"]]
+    return kept(("languages", shared.value["key"]), lambda: Labeller(shared.value))
 
 
 def _share(spark: SparkSession, model: dict):
@@ -218,8 +212,8 @@ def filter_documents(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            kept = [lang != "und" and score >= LEAST_SCORE for lang, score, _, _ in _labeller(shared).label(batch.column("text").to_pylist())]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            stays = [lang != "und" and score >= LEAST_SCORE for lang, score, _, _ in _labeller(shared).label(batch.column("text").to_pylist())]
+            yield batch.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import CLOSING, Numbers, is_plain, slices, table
+from .common import CLOSING, Numbers, is_plain, kept, slices, table
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 64 * 2048
@@ -107,13 +107,8 @@ class ChunkEncoder:
         return ids, np.concatenate([[0], after[cores_ends]])
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return kept(("chunks", path), lambda: ChunkEncoder(path))
 
 
 class _Waiting:

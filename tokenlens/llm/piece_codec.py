@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import CLOSING, Numbers, slices, table
+from .common import CLOSING, Numbers, kept, slices, table
 
 MARK = "▁"
 RUN = re.compile(f"{MARK}+[^{MARK}]*")
@@ -194,13 +194,8 @@ class PieceCodec:
         return b"".join([self.bytes_of.get(i, b"") for i in ids])[1:].decode("utf-8", "replace")
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def codec(path: str) -> PieceCodec:
-    if path not in _codecs:
-        _codecs[path] = PieceCodec(path)
-    return _codecs[path]
+    return kept(("pieces", path), lambda: PieceCodec(path))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
