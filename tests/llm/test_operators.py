@@ -97,6 +97,25 @@ def test_pieces(spark, data, documents):
         assert codec.encode(text) == codec.library.encode(text) + [2] and codec.decode(codec.encode(text)) == codec.library.decode(codec.library.encode(text))
 
 
+def test_pieces_when_the_kept_runs_start_afresh(monkeypatch):
+    monkeypatch.setattr(piece_codec, "CACHED", 3)
+    codec = piece_codec.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
+    for texts in (["one two three four five", "two"], ["six seven", "", "one"], ["eight nine ten eleven"], ["two one", None]):
+        for text, (n, ids, decoded, differing) in zip(texts, codec.digests(texts), strict=True):
+            own = codec.library.encode(text or "") + [2]
+            assert (n, ids, differing) == (len(own), sha256(" ".join(map(str, own)).encode()).hexdigest(), 0)
+            assert decoded == sha256(codec.library.decode(own).encode()).hexdigest()
+
+
+def test_chunk_ids_when_the_kept_chunks_start_afresh(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 3)
+    encoder = packing.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for texts in (["one two three four five", "two"], ["six seven", "", "one"], ["eight nine\nten eleven"], ["two one", None]):
+        ids, begin = encoder.encode(texts)
+        for text, a, b in zip(texts, begin, begin[1:]):
+            assert ids[a:b].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+
+
 def test_vectors(spark, data, monkeypatch):
     monkeypatch.setattr(spherical_caps, "CHUNK", 6)
     got = {r.vec_id: r for r in run(spark, "op4_vectors", data)}

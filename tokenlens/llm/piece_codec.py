@@ -180,8 +180,9 @@ class PieceCodec:
         return out
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str, int]]:
+        found = self.runs(texts)  # first: it may start the lists below afresh
         end, id_of, bytes_of = str(self.end), self.ids, self.decoded
-        for runs in self.runs(texts):
+        for runs in found:
             ids = " ".join([*map(id_of.__getitem__, runs), end])
             text = b"".join(map(bytes_of.__getitem__, runs))[1:].decode("utf-8", "replace")
             differing = sum(r in self.differing for r in runs) if self.differing else 0
