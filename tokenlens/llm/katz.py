@@ -5,10 +5,13 @@
     P1(w)    = d1(c(w)) * c(w) / N, and the mass the discounts leave for all unknown words together
 
 alpha(h) makes each history sum to one exactly. Counts above MOST_DISCOUNTED keep the fixed share LARGE, so that every
-history leaves some mass. Tokens are 64-bit hashes. Occurrences are dealt by word into a table of packed buckets; a
-word with more than 1 / HOT_PARTS of all tokens is dealt by word and history, and its count (at most HOT_PARTS
-words) goes along. A bucket holds all occurrences of its pairs, so it counts and looks up at once, and returns sums
-by text and by history; terms that hang on a history alone meet by a join on it.
+history leaves some mass. Tokens are 64-bit hashes.
+
+Texts are cut into blocks, stored as numbered tokens with the block's own list of words. A block asks for the counts of
+its distinct words, then of its distinct pairs, each once; questions are dealt by word, then by history, and answers
+come back in the order of the questions. So what is shuffled grows with the blocks' distinct words and pairs, and a
+text's score is summed where its block is. The pairs of a history with more than 1 / HOT_PARTS of all tokens are dealt
+by history and word; the sums of these histories (at most HOT_PARTS of them) go to the driver and to all blocks.
 
 Defined cases: a null or blank text is the end token alone; a null doc_id is a training text; repeated rows count each in
 training and score alike; with no training text every token is unknown; an empty table gives an empty result; other
@@ -25,12 +28,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, stored, table, whole_groups
 
-MOST_DISCOUNTED, LARGE, HOT_PARTS, BUCKET_TOKENS = 5, 0.999, 2000, 1_000_000
+MOST_DISCOUNTED, LARGE, HOT_PARTS = 5, 0.999, 2000
+#: Bytes of text in a block, and tokens per bucket of questions.
+BLOCK_BYTES, BUCKET_TOKENS = 8 << 20, 1_000_000
 BEGIN, END = (xxhash.xxh64_intdigest(x) for x in (b" begin ", b" end "))  # no word holds a blank
 _SHIFT = np.uint64(29)
 
@@ -49,155 +55,256 @@ def discounts(n: dict[int, int]) -> list[float]:
 
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, an END behind each text, and the number of tokens of each text."""
+    """Hashes of all tokens, a BEGIN before and an END behind each text, and the number of tokens of each text, END included."""
     words = [(t or b"").lower().split() for t in texts]
     n = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    out = np.full(int(n.sum()), END, np.uint64)
+    last = np.cumsum(n + 1) - 1
+    out = np.full(int(n.sum()) + len(n), END, np.uint64)
     inner = np.ones(len(out), bool)
-    inner[np.cumsum(n) - 1] = False
-    out[inner] = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, len(out) - len(words))
+    inner[last] = inner[last - n] = False
+    out[last - n] = BEGIN
+    out[inner] = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, int(inner.sum()))
     return out, n
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return len(arrays[0]).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
-
-
-def _unpack(payload: bytes) -> tuple[np.ndarray, ...]:
-    n, raw = int.from_bytes(payload[:8], "little"), zstandard.ZstdDecompressor().decompress(payload[8:])
-    word, history, text = (np.frombuffer(raw, np.uint64, n, k * 8 * n) for k in range(3))
-    return word, history, text.view(np.int64), np.frombuffer(raw, np.uint8, n, 24 * n).astype(bool)
-
-
-def _log10(x: np.ndarray) -> np.ndarray:
-    return np.log10(np.maximum(x, 1e-300))
-
-
-VALUES = ("tokens", "ends", "known", "base", "sum", "r1", "r2", "r3", "r4", "r5", "big")
-ROWS = "kind int, key long, other long, " + ", ".join(f"{v} double" for v in VALUES)
-
-
-def _bucket_rows(word, history, text, train, hot: dict[int, int], p1: list[float], unknown: float, total: int) -> Iterator[tuple]:
-    """(kind, key, other, values) of one bucket: 0 by text, 1 by history, 2 an unseen pair, 3 counts of counts."""
-    order = np.lexsort((history, word))
-    word, history, text, train = word[order], history[order], text[order], train[order]
-    new_word = np.concatenate([[True], word[1:] != word[:-1]])
-    new_pair = new_word | np.concatenate([[True], history[1:] != history[:-1]])
-    at_word, at_pair = np.cumsum(new_word) - 1, np.cumsum(new_pair) - 1
-    count = np.bincount(at_word, train)
-    first = word[new_word]
-    if hot:
-        names = np.array(sorted(hot), np.uint64)
-        places = np.minimum(np.searchsorted(names, first), len(names) - 1)
-        is_hot = names[places] == first
-        count[is_hot] = np.array([hot[int(w)] for w in first[is_hot]], float)
-    pair = np.bincount(at_pair, train)
-    # P1 of each word of the bucket
-    factor = np.array([*p1, LARGE])[np.minimum(count, MOST_DISCOUNTED + 1).astype(np.int64)]
-    prob = np.where(count > 0, factor * count / max(1, total), unknown)
-    c, c2 = count[at_word], pair[at_pair]
-    seen = c2 > 0
-    own, place = np.unique(text, return_inverse=True)
-    by = lambda v, where=None: np.bincount(place if where is None else place[where], v if where is None else v[where], len(own))
-    ended = word == END
-    score = np.where(seen, _log10(c2), _log10(prob[at_word])) - np.where((c > 0) & ~ended, _log10(c), 0.0)
-    level = np.minimum(c2, MOST_DISCOUNTED + 1).astype(np.int64)
-    columns = [by(np.ones(len(word))), by(ended.astype(float)), by((c > 0).astype(float)), by(np.log10(c + 0.1)), by(score)]
-    columns += [by((level == r).astype(float)) for r in range(1, MOST_DISCOUNTED + 2)]
-    yield 0, own, np.zeros_like(own), columns
-    # The pairs seen in training, by history
-    starts = np.flatnonzero(new_pair)
-    starts = starts[pair > 0]
-    h, n = history[starts], pair[pair > 0]
-    own_h, place_h = np.unique(h, return_inverse=True)
-    n_level = np.minimum(n, MOST_DISCOUNTED + 1).astype(np.int64)
-    sums = [np.bincount(place_h, n_level == r, len(own_h)) for r in range(1, MOST_DISCOUNTED + 1)] + [np.bincount(place_h, np.where(n > MOST_DISCOUNTED, n, 0), len(own_h))]
-    zero = np.zeros(len(own_h))
-    yield 1, own_h.view(np.int64), np.zeros(len(own_h), np.int64), [zero, zero, zero, np.bincount(place_h, prob[at_word[starts]], len(own_h)), zero, *sums]
-    # Pairs that training lacks
-    miss = ~seen
-    zero = np.zeros(int(miss.sum()))
-    yield 2, history[miss].view(np.int64), text[miss], [zero] * len(VALUES)
-    exact = np.bincount(np.minimum(n, MOST_DISCOUNTED + 2).astype(np.int64), minlength=MOST_DISCOUNTED + 3).astype(float)
-    zero = np.zeros(len(exact))
-    yield 3, np.arange(len(exact)), np.zeros(len(exact), np.int64), [exact] + [zero] * (len(VALUES) - 1)
+def squeezed(a: np.ndarray) -> bytes:
+    """Compressed, the lowest bytes of all numbers first: high bytes are mostly zero."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+
+
+def expanded(raw: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+BLOCK = "block long, tokens long, words binary, ids binary, rids binary, known binary, lengths binary, train binary"
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+    for k, batch in enumerate(slices(batches, "text", BLOCK_BYTES)):
+        stream, n = tokens(batch.column("text").cast(pa.binary()).to_pylist())
+        own, ids, count = np.unique(stream, return_inverse=True, return_counts=True)
+        order = np.argsort(-count, kind="stable")  # frequent words get small numbers
+        number = np.empty(len(own), np.int32)
+        number[order] = np.arange(len(own), dtype=np.int32)
+        rid, train = batch.column("rid"), batch.column("train").to_numpy(zero_copy_only=False)
+        arrays = (own[order], number[ids], rid.fill_null(0).to_numpy(), rid.is_valid().to_numpy(zero_copy_only=False), n, train.astype(bool))
+        yield pa.RecordBatch.from_pylist([dict(zip([c.split()[0] for c in BLOCK.split(", ")], (base + k, int(n.sum()), *map(squeezed, arrays))))])
+
+
+class Block:
+    def __init__(self, row: dict):
+        self.block = row["block"]
+        self.words, self.ids = expanded(row["words"], np.uint64), expanded(row["ids"], np.int32)
+        self.rids, self.known = expanded(row["rids"], np.int64), expanded(row["known"], bool)
+        self.n, self.train = expanded(row["lengths"], np.int64), expanded(row["train"], bool)
+
+    def word_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of each word in training texts and in all texts."""
+        taught = np.repeat(self.train, self.n + 1)
+        return np.bincount(self.ids[taught], minlength=len(self.words)), np.bincount(self.ids, minlength=len(self.words))
+
+    def word_buckets(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words in the order of their buckets, and where each bucket begins in it."""
+        return _in_buckets(self.words * np.uint64(0x9E3779B97F4A7C15), buckets)
+
+    def pairs(self) -> None:
+        """Distinct pairs by history and word; the pair of each token; the pairs' occurrences in training texts."""
+        inner = np.ones(len(self.ids) - 1, bool)
+        inner[np.cumsum(self.n[:-1] + 1) - 1] = False  # from an END to the next BEGIN
+        codes = (self.ids[:-1][inner].astype(np.int64) * len(self.words)) + self.ids[1:][inner]
+        own, self.pair = np.unique(codes, return_inverse=True)
+        self.history, self.word = np.divmod(own, len(self.words))
+        self.taught = np.bincount(self.pair[np.repeat(self.train, self.n)], minlength=len(own))
+
+    def pair_buckets(self, buckets: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mixed = (self.words * np.uint64(0x9E3779B97F4A7C15))[self.history]
+        spread = np.isin(self.words, hot)[self.history]
+        mixed[spread] ^= self.words[self.word[spread]] * np.uint64(0xC2B2AE3D27D4EB4F)
+        return _in_buckets(mixed, buckets)
+
+
+def _in_buckets(mixed: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    bucket = ((mixed >> _SHIFT) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _runs(sorted_values: np.ndarray) -> np.ndarray:
+    """True where a run of equal values begins."""
+    return np.concatenate([np.ones(min(1, len(sorted_values)), bool), sorted_values[1:] != sorted_values[:-1]])
+
+
+def _answered(batch: pa.RecordBatch) -> tuple[Block, list[dict], list[dict]]:
+    """A block and the answers to its questions on words and on pairs, in the order of buckets."""
+    first, *rest = batch.to_pylist()
+    return Block(first), [r for r in rest if r["kind"] == 1], [r for r in rest if r["kind"] == 2]
+
+
+def _joined(answers: list[dict], column: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(expanded(r[column], kind) for r in answers)])
+
+
+WORD_QUESTION = "bucket int, block long, words binary, taught binary, count binary"
+PAIR_QUESTION = "bucket int, block long, histories binary, runs binary, words binary, taught binary, counts binary"
+SUMS = tuple(f"r{r}" for r in range(1, MOST_DISCOUNTED + 1)) + ("big", "mass")
+#: kind 1 and 2: answers to a block; 3: counts of counts by level; 4: words that are hot, or sums of a hot history.
+ANSWER = "kind int, block long, bucket int, counts binary, sums binary, key long, n long, " + ", ".join(f"{s} double" for s in SUMS)
+ANSWER_ARROW = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[k]) for n, k in (x.split() for x in ANSWER.split(", "))])
+
+
+def _levels(counts: np.ndarray) -> list[dict]:
+    """Counts of counts up to MOST_DISCOUNTED + 1; larger ones are taken together."""
+    level = np.minimum(counts[counts > 0], MOST_DISCOUNTED + 2)
+    sums = np.bincount(level, counts[counts > 0])
+    return [{"kind": 3, "key": int(r), "n": int(n), "mass": float(sums[r])} for r, n in enumerate(np.bincount(level)) if n]
 
 
 def score(docs: DataFrame, train) -> DataFrame:
-    """(rid, n_tokens, n_known, train_tokens, base_score, score) of `docs`(rid, text); `train` is a boolean column."""
-    rows = docs.select("rid", "text", train.alias("train"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            got, n = np.unique(tokens(batch.column("text").cast(pa.binary()).to_pylist())[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "c"])
-
-    unigrams = stored(rows.where("train").select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
-    levels = unigrams.groupBy(F.least("c", F.lit(MOST_DISCOUNTED + 2)).alias("r")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
-    total, types = sum(r.c for r in levels), sum(r.n for r in levels)
-    n1 = {r.r: r.n for r in levels}
+    """(rid, n_tokens, n_known, train_tokens, base_score, score), a row per row of `docs`(rid, text); `train` is a boolean column."""
+    spark = docs.sparkSession
+    blocks = stored(docs.select("rid", "text", train.alias("train")).mapInArrow(blocks_of, BLOCK))
+    size = blocks.agg(F.sum("tokens"), F.count("*")).first()
+    everything, least = size[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, tasks = max(least, everything // BUCKET_TOKENS + 1), max(least, size[1] // 4 + 1)
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in chain.from_iterable(b.slice(k, 1).to_pylist() for b in batches for k in range(b.num_rows)):
+            block = Block(row)
+            (taught, count), (order, cuts) = block.word_counts(), block.word_buckets(buckets)
+            out = []
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if b > a:
+                    out.append((k, block.block, *(squeezed(x[order[a:b]]) for x in (block.words, taught, count))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.int64(), *[pa.binary()] * 3])], ["bucket", "block", "words", "taught", "count"])
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, ("bucket",), 1):
+            rows = batch.to_pylist()
+            parts = [expanded(r["words"], np.uint64) for r in rows]
+            own, place = np.unique(np.concatenate(parts), return_inverse=True)
+            taught = np.bincount(place, _joined(rows, "taught", np.int64), len(own)).astype(np.int64)
+            count = np.bincount(place, _joined(rows, "count", np.int64), len(own))
+            ends = np.cumsum([len(p) for p in parts])
+            out = [{"kind": 1, "block": r["block"], "bucket": r["bucket"], "counts": squeezed(c)} for r, c in zip(rows, np.split(taught[place], ends[:-1]))]
+            out += _levels(taught[own != BEGIN])
+            out += [{"kind": 4, "key": int(w)} for w in own[count > everything / HOT_PARTS].view(np.int64)]
+            yield pa.RecordBatch.from_pylist(out, schema=ANSWER_ARROW)
+
+    asked = blocks.mapInArrow(ask_words, WORD_QUESTION).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    on_words = stored(asked.mapInArrow(count_words, ANSWER))
+    levels = on_words.where("kind = 3").groupBy("key").agg(F.sum("n").alias("n"), F.sum("mass").alias("c")).collect()
+    total, types = int(sum(r.c for r in levels)), sum(r.n for r in levels)
+    n1 = {r.key: r.n for r in levels}
     p1 = discounts(n1)
-    mass = sum(p1[r] * r * n1.get(r, 0) for r in range(1, MOST_DISCOUNTED + 1))
-    mass += LARGE * (total - sum(r * n1.get(r, 0) for r in range(1, MOST_DISCOUNTED + 1)))
+    small = sum(r * n1.get(r, 0) for r in range(1, MOST_DISCOUNTED + 1))
+    mass = sum(p1[r] * r * n1.get(r, 0) for r in range(1, MOST_DISCOUNTED + 1)) + LARGE * (total - small)
     unknown = 1 - mass / total if total else 1.0
-    hot = {r.w & 0xFFFFFFFFFFFFFFFF: r.c for r in unigrams.where(F.col("c") > total / HOT_PARTS).collect()}
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_TOKENS + 1)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(sorted(hot), np.uint64)
-        for batch in slices(batches, "text", 8 << 20):
-            word, n = tokens(batch.column("text").cast(pa.binary()).to_pylist())
-            history = np.concatenate([[np.uint64(BEGIN)], word[:-1]])
-            history[np.cumsum(n) - n] = BEGIN
-            text = np.repeat(batch.column("rid").to_numpy(), n)
-            flag = np.repeat(batch.column("train").to_numpy(zero_copy_only=False), n)
-            mixed = word * np.uint64(0x9E3779B97F4A7C15)
-            spread = np.isin(word, names)
-            mixed[spread] ^= history[spread] * np.uint64(0xC2B2AE3D27D4EB4F)
-            bucket = ((mixed >> _SHIFT) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((word, bucket))
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = [(k, _pack(*(x[order[a:b]] for x in (word, history, text)), flag[order[a:b]].astype(np.uint8))) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], ["bucket", "payload"])
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hot = np.array([r.key for r in on_words.where("kind = 4").select("key").collect()], np.int64).view(np.uint64)
+    factor1 = np.array([*p1, LARGE])
+
+    def p_word(c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, factor1[np.minimum(c, MOST_DISCOUNTED + 1)] * c / max(1, total), unknown)
+
+    def with_answers(*answers: DataFrame) -> DataFrame:
+        """Each block before its answers, in one task."""
+        names = [f.name for f in blocks.schema]
+        rows = blocks.select(F.lit(0).alias("kind"), F.lit(-1).alias("bucket"), *names)
+        for df in answers:
+            rows = rows.unionByName(df.where("kind in (1, 2)").select("kind", "block", "bucket", "counts", "sums"), allowMissingColumns=True)
+        return rows.repartition(tasks, "block").sortWithinPartitions("block", "kind", "bucket")
+
+    def word_answers(block: Block, answers: list[dict]) -> np.ndarray:
+        c = np.zeros(len(block.words), np.int64)
+        c[block.word_buckets(buckets)[0]] = _joined(answers, "counts", np.int64)
+        return c
+
+    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, ("block",), 1):
+            block, words, _ = _answered(batch)
+            c = word_answers(block, words)
+            block.pairs()
+            order, cuts = block.pair_buckets(buckets, hot)
+            out = []
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if b > a:
+                    own = order[a:b]
+                    starts = np.flatnonzero(_runs(block.history[own]))
+                    arrays = (block.words[block.history[own[starts]]], np.diff(starts, append=len(own)), block.words[block.word[own]], block.taught[own], c[block.word[own]])
+                    out.append((k, block.block, *map(squeezed, arrays)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int32(), pa.int64(), *[pa.binary()] * 5])], ["bucket", "block", "histories", "runs", "words", "taught", "counts"])
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, ("bucket",), 1):
-            parts = [_unpack(p) for p in batch.column("payload").to_pylist()]
-            for kind, key, other, values in _bucket_rows(*(np.concatenate(x) for x in zip(*parts)), hot, p1, unknown, total):
-                if len(key):
-                    columns = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(other), *(pa.array(np.asarray(v, np.float64)) for v in values)]
-                    yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "other", *VALUES])
-
-    dealt = rows.mapInArrow(deal, "bucket int, payload binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = stored(dealt.mapInArrow(look_up, ROWS))
-    n2 = {r.key: int(r.n) for r in found.where("kind = 3").groupBy("key").agg(F.sum("tokens").alias("n")).collect()}
-    d2 = discounts(n2)
-    # What a history leaves for unseen words, as log10(alpha * c(h)).
-    first = rows.where("train").count()
-    names = docs.sparkSession.createDataFrame([(BEGIN - (1 << 64) if BEGIN >> 63 else BEGIN, first)], "w long, c long")
-    by_history = found.where("kind = 1").groupBy("key").agg(*(F.sum(v).alias(v) for v in VALUES[3:]))
-    kept = sum((F.col(f"r{r}") * (r * d2[r]) for r in range(1, MOST_DISCOUNTED + 1)), F.col("big") * LARGE)
-    counts = unigrams.union(names).where("c > 0")
-    left = by_history.join(counts, by_history.key == counts.w).select(F.col("key").alias("h"), F.log10((F.col("c") - kept) / (1 - F.col("base"))).alias("left"))
-    unseen = found.where("kind = 2").select("key", F.col("other").alias("rid")).join(stored(left), F.col("key") == F.col("h"))
-    backed = unseen.groupBy("rid").agg(F.sum("left").alias("backed")).withColumnRenamed("rid", "b")
-    texts = found.where("kind = 0").groupBy("key").agg(*(F.sum(v).alias(v) for v in VALUES))
-    texts = texts.join(backed, texts.key == backed.b, "left")
-    weighed = sum((F.col(f"r{r}") * math.log10(d2[r]) for r in range(1, MOST_DISCOUNTED + 1)), F.col("big") * math.log10(LARGE))
-    begun = math.log10(first) if first else 0.0
-    each = lambda c: c / F.col("ends")
-    return texts.select(
-        F.col("key").alias("r"),
-        F.round(each(F.col("tokens"))).cast("long").alias("n_tokens"),
-        F.round(each(F.col("known"))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        each(F.col("base") - F.col("tokens") * math.log10(total + 0.1 * (types + 1))).alias("base_score"),
-        (each(F.col("sum") + weighed + F.coalesce("backed", F.lit(0.0))) - begun).alias("score"),
-    )
+            rows = batch.to_pylist()
+            runs = [expanded(r["runs"], np.int64) for r in rows]
+            histories = _joined(rows, "histories", np.uint64)
+            own_h, at_h = np.unique(histories, return_inverse=True)
+            history, word = np.repeat(at_h, np.concatenate(runs)), _joined(rows, "words", np.uint64)
+            order = np.lexsort((word, history))
+            new = _runs(history[order]) | _runs(word[order])
+            place = np.empty(len(order), np.int64)
+            place[order] = np.cumsum(new) - 1
+            count = np.bincount(place, _joined(rows, "taught", np.int64)).astype(np.int64)
+            first = order[new]
+            seen = count > 0
+            n, of, p = count[seen], history[first][seen], p_word(_joined(rows, "counts", np.int64)[first][seen])
+            sums = [np.bincount(of, n == r, len(own_h)) for r in range(1, MOST_DISCOUNTED + 1)]
+            sums = np.stack([*sums, np.bincount(of, np.where(n > MOST_DISCOUNTED, n, 0), len(own_h)), np.bincount(of, p, len(own_h))], axis=1)
+            spread, out = np.isin(own_h, hot), _levels(count)
+            out += [{"kind": 4, "key": int(own_h[k].view(np.int64)), **dict(zip(SUMS, sums[k].tolist()))} for k in np.flatnonzero(spread)]
+            a = b = 0
+            for r, run in zip(rows, runs):
+                got, at = count[place[a : a + int(run.sum())]], at_h[b : b + len(run)]
+                # Sums of the histories with a pair that training lacks; those of hot histories come otherwise.
+                lacks = (np.add.reduceat(got == 0, np.cumsum(run) - run) > 0) & ~spread[at]
+                out.append({"kind": 2, "block": r["block"], "bucket": r["bucket"], "counts": squeezed(got), "sums": squeezed(sums[at[lacks]].ravel())})
+                a, b = a + len(got), b + len(run)
+            yield pa.RecordBatch.from_pylist(out, schema=ANSWER_ARROW)
+
+    asked = with_answers(on_words).mapInArrow(ask_pairs, PAIR_QUESTION).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    on_pairs = stored(asked.mapInArrow(count_pairs, ANSWER))
+    d2 = discounts({r.key: r.n for r in on_pairs.where("kind = 3").groupBy("key").agg(F.sum("n").alias("n")).collect()})
+    hot_rows = on_pairs.where("kind = 4").groupBy("key").agg(*(F.sum(s).alias(s) for s in SUMS)).orderBy("key").collect()
+    hot_sums = {r.key & 0xFFFFFFFFFFFFFFFF: [r[s] for s in SUMS] for r in hot_rows}
+    factor2 = np.array([*d2, LARGE])
+    weights = np.array([r * d2[r] for r in range(1, MOST_DISCOUNTED + 1)] + [LARGE])
+    norm = math.log10(total + 0.1 * (types + 1))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, ("block",), 1):
+            block, words, answers = _answered(batch)
+            c = word_answers(block, words)
+            block.pairs()
+            order, _ = block.pair_buckets(buckets, hot)
+            got = _joined(answers, "counts", np.int64)
+            count = np.zeros(len(order), np.int64)
+            count[order] = got
+            # Where a history lacks a pair: the sums that its bucket sent, in the order of the pairs
+            sums = np.zeros((len(block.words), len(SUMS)))
+            own = order[(got == 0) & ~np.isin(block.words, hot)[block.history[order]]]
+            if len(own):
+                lacking = block.history[own]
+                sums[lacking[_runs(lacking)]] = _joined(answers, "sums", np.float64).reshape(-1, len(SUMS))
+            for k in np.flatnonzero(np.isin(block.words, hot)):
+                sums[k] = hot_sums.get(int(block.words[k]), sums[k])
+            begun = c[block.history]
+            left = np.maximum((c - sums[:, :-1] @ weights) / (1 - sums[:, -1]), 1e-300)
+            seen = np.log10(np.maximum(factor2[np.minimum(count, MOST_DISCOUNTED + 1)] * count, 1e-300))
+            backed = np.log10(p_word(c))[block.word] + np.where(begun > 0, np.log10(left)[block.history], 0.0)
+            each = np.where(count > 0, seen, backed) - np.log10(np.maximum(begun, 1))
+            starts = np.cumsum(block.n) - block.n
+            known, base = (c > 0).astype(np.int64), np.log10(c + 0.1) - norm
+            by_text = lambda x: np.add.reduceat(x[block.pair], starts)
+            arrays = [block.n, by_text(known[block.word]), np.full(len(block.n), total), by_text(base[block.word]), by_text(each)]
+            rid = pa.array(block.rids, mask=~block.known)
+            yield pa.RecordBatch.from_arrays([rid, *map(pa.array, arrays)], ["rid", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return with_answers(on_words, on_pairs).mapInArrow(finish, "rid long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("rid", F.xxhash64("doc_id", "text"))
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
-    scored = stored(score(docs, ~held_out))
-    return docs.join(scored, docs.rid == scored.r).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("rid"), "text")
+    held_out = F.coalesce(F.crc32(F.col("rid").cast("string")) % 10 == 0, F.lit(False))
+    return score(docs, ~held_out).select(F.col("rid").alias("doc_id"), held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
