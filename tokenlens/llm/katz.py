@@ -147,7 +147,7 @@ def _joined(answers: list[dict], column: str, kind: type) -> np.ndarray:
 
 
 WORD_QUESTION = "bucket int, block long, words binary, taught binary, count binary"
-PAIR_QUESTION = "bucket int, block long, histories binary, runs binary, words binary, taught binary, counts binary"
+PAIR_QUESTION = "bucket int, block long, histories binary, runs binary, words binary, counts binary, at binary, taught binary"
 SUMS = tuple(f"r{r}" for r in range(1, MOST_DISCOUNTED + 1)) + ("big", "mass")
 #: kind 1 and 2: answers to a block; 3: counts of counts by level; 4: words that are hot, or sums of a hot history.
 ANSWER = "kind int, block long, bucket int, counts binary, sums binary, key long, n long, " + ", ".join(f"{s} double" for s in SUMS)
@@ -222,8 +222,8 @@ def score(docs: DataFrame, train) -> DataFrame:
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, ("block",), 1):
-            block, words, _ = _answered(batch)
-            c = word_answers(block, words)
+            block, answers, _ = _answered(batch)
+            c = word_answers(block, answers)
             block.pairs()
             order, cuts = block.pair_buckets(buckets, hot)
             out = []
@@ -231,9 +231,10 @@ def score(docs: DataFrame, train) -> DataFrame:
                 if b > a:
                     own = order[a:b]
                     starts = np.flatnonzero(_runs(block.history[own]))
-                    arrays = (block.words[block.history[own[starts]]], np.diff(starts, append=len(own)), block.words[block.word[own]], block.taught[own], c[block.word[own]])
+                    words, at = np.unique(block.word[own], return_inverse=True)
+                    arrays = (block.words[block.history[own[starts]]], np.diff(starts, append=len(own)), block.words[words], c[words], at.astype(np.int32), block.taught[own])
                     out.append((k, block.block, *map(squeezed, arrays)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int32(), pa.int64(), *[pa.binary()] * 5])], ["bucket", "block", "histories", "runs", "words", "taught", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int32(), pa.int64(), *[pa.binary()] * 6])], [x.split()[0] for x in PAIR_QUESTION.split(", ")])
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, ("bucket",), 1):
@@ -241,7 +242,13 @@ def score(docs: DataFrame, train) -> DataFrame:
             runs = [expanded(r["runs"], np.int64) for r in rows]
             histories = _joined(rows, "histories", np.uint64)
             own_h, at_h = np.unique(histories, return_inverse=True)
-            history, word = np.repeat(at_h, np.concatenate(runs)), _joined(rows, "words", np.uint64)
+            # Each row lists its own words and their counts once
+            words, ats = [expanded(r["words"], np.uint64) for r in rows], [expanded(r["at"], np.int32) for r in rows]
+            own_w, at_w = np.unique(np.concatenate(words), return_inverse=True)
+            p_own = np.zeros(len(own_w))
+            p_own[at_w] = p_word(_joined(rows, "counts", np.int64))
+            word = np.concatenate([at_w[a + k] for a, k in zip(np.cumsum([0, *map(len, words[:-1])]), ats)])
+            history = np.repeat(at_h, np.concatenate(runs))
             order = np.lexsort((word, history))
             new = _runs(history[order]) | _runs(word[order])
             place = np.empty(len(order), np.int64)
@@ -249,7 +256,7 @@ def score(docs: DataFrame, train) -> DataFrame:
             count = np.bincount(place, _joined(rows, "taught", np.int64)).astype(np.int64)
             first = order[new]
             seen = count > 0
-            n, of, p = count[seen], history[first][seen], p_word(_joined(rows, "counts", np.int64)[first][seen])
+            n, of, p = count[seen], history[first][seen], p_own[word[first][seen]]
             sums = [np.bincount(of, n == r, len(own_h)) for r in range(1, MOST_DISCOUNTED + 1)]
             sums = np.stack([*sums, np.bincount(of, np.where(n > MOST_DISCOUNTED, n, 0), len(own_h)), np.bincount(of, p, len(own_h))], axis=1)
             spread, out = np.isin(own_h, hot), _levels(count)
