@@ -36,7 +36,7 @@ from .common import slices, stored, table, whole_groups
 
 MOST_DISCOUNTED, LARGE, HOT_PARTS = 5, 0.999, 2000
 #: Bytes of text in a block, and tokens per bucket of questions.
-BLOCK_BYTES, BUCKET_TOKENS = 8 << 20, 1_000_000
+BLOCK_BYTES, BUCKET_TOKENS = 8 << 20, 2_000_000
 BEGIN, END = (xxhash.xxh64_intdigest(x) for x in (b" begin ", b" end "))  # no word holds a blank
 _SHIFT = np.uint64(29)
 
