@@ -245,6 +245,21 @@ def test_suffixes(spark, data, documents, monkeypatch, group):
         assert tuple(got[i][1:]) == (len(t), sum(gone), spans, sha256(kept).hexdigest())
 
 
+def test_truncated_and_nested_sharers_of_a_passage(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", 1)
+    rng = np.random.default_rng(11)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = noise(260)
+    cuts = [(0, 260)] * 6 + [(25, 235), (10, 220), (40, 260), (0, 203), (31, 231), (5, 255)]
+    texts = [noise(150) + passage[a:b] + noise(150) for a, b in cuts] + [noise(400)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in run(spark, "op10_suffix", str(tmp_path))}
+    seen = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    for i, t in enumerate(texts):
+        gone = {j for k in range(len(t) - 199) if seen[t[k : k + 200]] > 1 for j in range(k, k + 200)}
+        assert got[i] == (len(gone), int(bool(gone)))
+
+
 def test_blind_trie_orders():
     import random
 

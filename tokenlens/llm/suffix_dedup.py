@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, whole_groups
+from .common import checkpointed, slices, stored, table, whole_groups
 
 SPAN, ANCHOR, SHALLOW, GROUP = 200, 64, 32, 1024
 #: Windows in a block, from coarse to fine, where a group has more than GROUP classes.
@@ -257,8 +257,9 @@ def repeated_blocks(pieces: DataFrame) -> DataFrame:
     """(rid, start, windows) of the repeated windows of groups of any size, by blocks of windows.
 
     Two blocks with equal unions are repeated whole; a block whose core is alone has no repeated window; what
-    is neither is cut finer, down to single windows. Only digests are counted, so no group is gathered, and a
-    passage shared by many texts is told by a few blocks a text.
+    is neither is cut finer, down to single windows, and is counted together with one copy of each union found twice
+    that has the same core. Only digests are counted, so no group is gathered, and a passage shared by many texts
+    is told by a few blocks a text.
     """
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,12 +284,16 @@ def repeated_blocks(pieces: DataFrame) -> DataFrame:
     left, out = pieces.mapInArrow(placed, PART), []
     for size in BLOCKS:
         blocks = stored(left.mapInArrow(cut_into(size), BLOCK))
-        twice = lambda digest: blocks.groupBy(digest).agg(F.sum("copies").alias("n")).where("n > 1").select(F.col(digest).alias("d"))  # noqa: B023, E731
-        equal = F.col("union_digest") == F.col("d")
-        # Classes of several copies are known to be repeated; from here on they only count.
-        out.append(blocks.where("copies = 1").select("rid", "start", "windows", "union_digest").join(twice("union_digest"), equal, "left_semi").select("rid", "start", "windows"))
-        open_ = blocks.join(twice("union_digest"), equal & (F.col("copies") == 1), "left_anti")
-        left = open_.join(twice("core_digest"), F.col("core_digest") == F.col("d"), "left_semi").select("copies", "rid", "start", "windows", "place", "bytes")
+        unions = checkpointed(blocks.groupBy("union_digest").agg(F.sum("copies").alias("n"), F.min(F.struct("rid", "start")).alias("first")).where("n > 1").select(F.col("union_digest").alias("d"), "first"))
+        equal, single = F.col("union_digest") == F.col("d"), blocks.where("copies = 1")
+        out.append(single.select("rid", "start", "windows", "union_digest").join(unions, equal, "left_semi").select("rid", "start", "windows"))
+        cores = blocks.groupBy("core_digest").agg(F.sum("copies").alias("n")).where("n > 1").select(F.col("core_digest").alias("d"))
+        open_ = checkpointed(single.join(unions, equal, "left_anti").join(cores, F.col("core_digest") == F.col("d"), "left_semi"))
+        # What is known to be repeated only counts from here on: one row a union, while an open block has its core.
+        known = blocks.join(unions, equal & (F.col("rid") == F.col("first.rid")) & (F.col("start") == F.col("first.start"))).withColumn("copies", F.lit(2).cast("long"))
+        known = known.join(open_.select(F.col("core_digest").alias("c")).distinct(), F.col("core_digest") == F.col("c"), "left_semi")
+        part = "copies", "rid", "start", "windows", "place", "bytes"
+        left = open_.select(*part).union(known.select(*part))
     whole = out[0]
     for more in out[1:]:
         whole = whole.union(more)
