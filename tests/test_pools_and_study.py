@@ -105,6 +105,23 @@ def test_draws_of_everything_have_no_spread(spark):
     assert len({r.entropy_nats for r in less}) == 2
 
 
+@pytest.mark.parametrize("top", [2_000_000, 2_000_000_000])
+def test_draws_are_without_replacement_at_any_size(spark, top):
+    counts = spark.createDataFrame([("x", "top", top)] + [("x", str(k), 1) for k in range(3000)], "lang string, unit string, cnt long")
+    seen, rng = [], np.random.default_rng(1)
+    cnt = np.array([top] + [1] * 3000)
+    for _ in range(20):
+        got = study.without_replacement(rng, cnt, int(0.95 * cnt.sum()))
+        assert got.sum() == int(0.95 * cnt.sum()) and (got <= cnt).all() and (got >= 0).all()
+        seen.append((got[1:] == 1).mean())
+    assert abs(np.mean(seen) - 0.95) < 0.005
+    small = np.array([study.without_replacement(rng, np.array([3, 2, 1]), 3) for _ in range(6000)])
+    assert np.allclose(small.mean(0), [1.5, 1, 0.5], atol=0.05) and abs(small[:, 0].var() - 0.45) < 0.05
+    mean = {r.metric: r.mean for r in study.summarised(study.matched_draws(counts, int(0.95 * (top + 3000)), 2)).collect()}
+    p = np.array([0.95 * top] + [1] * 2850) / (0.95 * top + 2850)
+    assert abs(mean["entropy_nats"] / -(p * np.log(p)).sum() - 1) < 0.05
+
+
 @pytest.mark.parametrize("rho, n, p", [(0.0, 10, 1.0), (0.6, 10, 0.0667), (-0.686, 18, 0.0017), (-0.711, 18, 0.00094)])
 def test_p_of_a_rank_correlation(rho, n, p):
     assert abs(study.student_p(rho, n) - p) < 0.02 * p + 1e-9

@@ -25,11 +25,37 @@ def cell_statistics(cnt: np.ndarray) -> dict:
     return {"entropy_nats": float(-(p * np.log(p)).sum()), "ks_zipf": float(np.abs(np.cumsum(p) - np.cumsum(ideal)).max()), "ols_slope": float(slope), "alpha": fit_mandelbrot(cnt)["alpha"]}
 
 
+def _distinct(rng: np.random.Generator, n: int, k: int) -> np.ndarray:
+    """k distinct numbers below n, every set of them as likely."""
+    if 2 * k > n:
+        return rng.permutation(n)[:k]
+    got = np.zeros(0, np.int64)
+    while len(got) < k:
+        new = np.concatenate([got, rng.integers(0, n, k - len(got))])
+        got = new[np.sort(np.unique(new, return_index=True)[1])]
+    return got
+
+
+def without_replacement(rng: np.random.Generator, cnt: np.ndarray, taken: int) -> np.ndarray:
+    """How many of each type's tokens are among `taken` drawn without replacement, for any number of tokens.
+
+    Each token is taken with the chance taken / total; what that is off by is then taken back or added, each token
+    being as likely, so that all sets of `taken` tokens are.
+    """
+    total = int(cnt.sum())
+    if taken >= total:
+        return cnt
+    got = rng.binomial(cnt, taken / total)
+    off = int(got.sum()) - taken
+    pool = got if off > 0 else cnt - got
+    moved = np.bincount(np.searchsorted(np.cumsum(pool), _distinct(rng, int(pool.sum()), abs(off)), side="right"), minlength=len(cnt))
+    return got - moved if off > 0 else got + moved
+
+
 def matched_draws(counts: DataFrame, budget: int, draws: int, seed: int = 77) -> DataFrame:
     """(lang, draw, *METRICS): each draw takes `budget` tokens without replacement (all tokens where there are fewer).
 
-    What a task holds are a language's distinct counts, expanded to its types in memory. From a thousand million tokens
-    of a language on, the draw is with replacement (the library's limit), which then differs little.
+    What a task holds are a language's distinct counts, expanded to its types in memory.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -38,12 +64,7 @@ def matched_draws(counts: DataFrame, budget: int, draws: int, seed: int = 77) ->
         cnt = np.repeat(pdf.cnt.to_numpy(np.int64), pdf.types.to_numpy(np.int64))
         taken = min(budget, int(cnt.sum()))
         rng = np.random.default_rng(seed + draw)
-        if taken == cnt.sum():
-            got = cnt
-        elif cnt.sum() < 1_000_000_000:
-            got = rng.multivariate_hypergeometric(cnt, taken, method="marginals")
-        else:
-            got = rng.multinomial(taken, cnt / cnt.sum())
+        got = without_replacement(rng, cnt, taken)
         return pd.DataFrame([{"lang": pdf.lang.iloc[0], "draw": draw, **cell_statistics(got)}])
 
     each = count_blocks(counts).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
