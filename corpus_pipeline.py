@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenlens.llm import language_id, packing, quality_rules, simhash, suffix_dedup
+from tokenlens.llm import language_id, packing, quality_rules, shingles, suffix_dedup
 from tokenlens.llm.common import stored
 
 
@@ -19,8 +19,8 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group."""
-    return simhash.filter_documents(docs)
+    """Keeps the smallest doc_id of each group of texts linked by five-word shingles, similarity 0.8 or more."""
+    return shingles.filter_documents(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

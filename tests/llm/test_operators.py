@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from tokenlens.llm import katz, language_id, packing, piece_codec, queries, quality_rules, simhash, spherical_caps, suffix_dedup
+from tokenlens.llm import katz, language_id, packing, piece_codec, queries, quality_rules, shingles, simhash, spherical_caps, suffix_dedup
 
 
 def run(spark, name, path):
@@ -85,6 +85,36 @@ def test_hot_blocks_are_cut_into_chunks(spark, monkeypatch):
     assert set(got.values()) == {0} and len(got) == len(nodes)
 
 
+@pytest.mark.parametrize("chunk", [1024, 4])
+def test_near_duplicates_of_the_pipeline(spark, monkeypatch, chunk):
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingles, "CHUNK", chunk)
+    rng, texts = np.random.default_rng(8), []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        changed = list(words)
+        for at in range(20, 20 + 40 * (k % 3), 40):
+            changed[at] = f"new{k}"
+        # k % 3 of two: Jaccard (116 - 10) / (116 + 10) = 0.84; the third text is at 0.6 or less.
+        far = [f"far{x}" if x % 20 == 9 else w for x, w in enumerate(words)]
+        texts += [" ".join(words), " ".join(changed), " ".join(far)]
+    texts += ["", "  ", "one two", "One TWO"]
+    own = [set(zip(*(t.lower().split()[k:] for k in range(5)))) or {tuple(t.lower().split())} for t in texts]
+    component = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]):
+                old, new = max(component[a], component[b]), min(component[a], component[b])
+                component = [new if c == old else c for c in component]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(component))
+    if chunk == 1024:
+        left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+        assert left == set(component)
+
+
 def test_pieces(spark, data, documents):
     codec = piece_codec.codec(public_tokenizers.path("piece_bpe_32k.model"))
     got = {r.doc_id: r for r in run(spark, "op3_pieces", data)}
