@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from tokenlens.llm import katz, language_id, packing, piece_codec, queries, quality_rules, shingles, simhash, spherical_caps, suffix_dedup
+from tokenlens.llm import katz, language_id, licenses, packing, piece_codec, queries, quality_rules, shingles, simhash, spherical_caps, suffix_dedup
 
 
 def run(spark, name, path):
@@ -306,6 +306,14 @@ def test_licenses(spark, data, documents):
     assert sum(r.license is not None for r in got.values()) == 1
 
 
+def test_lines_are_matched_in_canonical_form(spark):
+    lines = ["All rights-reserved.", "ALL RIGHTS  RESERVED", "This work is dedicated to the public-domain.", "Use it,  as you like!"]
+    docs = spark.createDataFrame([(k, f"Some words.\n{x}\nMore.") for k, x in enumerate(lines)], "doc_id long, text string")
+    known = licenses.known_digests(spark, [*licenses.KNOWN, ("own", "Use it as you like.")])
+    got = {r.doc_id: (r.n_notices, r.notices) for r in licenses.scan(docs, known).collect()}
+    assert got == {0: (1, "all-rights-reserved"), 1: (1, "all-rights-reserved"), 2: (1, "CC0-1.0"), 3: (1, "own")}
+
+
 def test_pipeline(spark, data, documents):
     import corpus_pipeline
 

@@ -18,7 +18,7 @@ from .common import table
 #: Words with several spellings, and the one that stands for them.
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("fulfil ", "fulfill "), ("copyright owner", "copyright holder")]
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
-#: Every known text holds one of these, so other lines need no digest.
+#: Only op7_sql() leaves lines without one of these aside; the query digests every line.
 TELLTALE = r"licen[cs]e|rights reserved|public domain|warrant|permission"
 
 _DISCLAIMER = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -65,9 +65,9 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, text_digest, license, n_notices, notices) for `docs`(doc_id, text)."""
-    told = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.lower(x).rlike(TELLTALE))
+    every = F.split(F.coalesce("text", F.lit("")), "\n")
     whole = F.array(F.struct(F.lit(True).alias("whole"), digest(F.col("text")).alias("digest")))
-    lines = F.transform(told, lambda x: F.struct(F.lit(False).alias("whole"), digest(x).alias("digest")))
+    lines = F.transform(every, lambda x: F.struct(F.lit(False).alias("whole"), digest(x).alias("digest")))
     units = docs.select("doc_id", F.explode(F.concat(whole, lines)).alias("u")).select("doc_id", "u.*")
     # The known digests are a list of fixed length in this module, or the caller's own.
     found = units.join(F.broadcast(known), units["digest"] == known.known_digest, "left")
