@@ -162,6 +162,20 @@ def test_vectors(spark, data, monkeypatch):
     assert got[90].component_id == got[91].component_id == got[0].component_id == 0
 
 
+@pytest.mark.parametrize("shape", ["flat", "falling", "first", "sparse"])
+def test_uneven_vectors_share_filters(shape):
+    rng = np.random.default_rng(6)
+    scale = {"flat": np.ones(64), "falling": 1 / np.arange(1, 65), "first": np.r_[np.ones(16), np.zeros(48)], "sparse": np.r_[np.ones(6), np.zeros(58)]}[shape]
+    a = rng.standard_normal((150, 64)) * scale
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    off = rng.standard_normal((150, 64)) * (1 if shape == "falling" else scale)
+    off -= (off * a).sum(1, keepdims=True) * a
+    b = 0.983 * a + np.sqrt(1 - 0.983**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    code = spherical_caps.codes(64)
+    shared = [bool({*x} & {*y}) for x, y in zip(spherical_caps.decode(a, code), spherical_caps.decode(b, code))]
+    assert np.mean(shared) >= 0.9, np.mean(shared)
+
+
 def test_packing(spark, data, documents):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, pieces, sequences = packing.encoder(path).tokenizer, defaultdict(list), defaultdict(list)

@@ -1,6 +1,7 @@
 """Embedding near-duplicates by spherical-cap filters from structured random product codes.
 
-A vector is cut into blocks; each block has 2 * width codewords, the signed rows of a Hadamard matrix after random
+A vector is turned by one fixed orthogonal matrix, so that no block holds more than its part of uneven coordinates, and cut
+into blocks; each block has 2 * width codewords, the signed rows of a Hadamard matrix after random
 sign flips and a random rotation. A filter is one codeword of each block, its direction their concatenation. List
 decoding visits codeword combinations best first and returns all filters whose score reaches the threshold. Vectors of
 a label that share a filter meet in a task and are verified by cosine in double precision; a pair counts only
@@ -14,6 +15,7 @@ lengths don't link; repeated vec_ids are one row each; an empty table gives an e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,17 @@ from .common import checkpointed, components, table, whole_groups
 from .simhash import spanning
 
 COSINE = 0.98
-BLOCK_WIDTH, THRESHOLD, LEAST_FILTERS, MOST_LISTED, SEED = 16, 0.50, 4, 48, 20240
+BLOCK_WIDTH, THRESHOLD, LEAST_FILTERS, SEED = 16, 0.50, 4, 20240
 #: Vectors of a filter beyond which it is cut into chunks of about this many.
 CHUNK = 512
 
 
+@lru_cache(maxsize=8)
+def turn(dims: int) -> np.ndarray:
+    """The orthogonal matrix for vectors of `dims` dimensions, padding included."""
+    return np.linalg.qr(np.random.default_rng(SEED + 1).standard_normal((dims, dims)))[0]
+
+
 def codes(dims: int) -> list[np.ndarray]:
     """Per block, codewords of norm 1 / sqrt(blocks); dims is padded to whole blocks by the caller."""
     rng = np.random.default_rng(SEED)
@@ -47,12 +55,12 @@ def codes(dims: int) -> list[np.ndarray]:
 def decode(unit: np.ndarray, code: list[np.ndarray]) -> list[list[int]]:
     """For each unit vector all filters that score THRESHOLD or more, found best first, block by block.
 
-    A vector with fewer than LEAST_FILTERS of them gets its best LEAST_FILTERS; beyond MOST_LISTED
-    the best are kept, which only concerns vectors aligned with many directions at once.
+    For a vector with fewer than LEAST_FILTERS of them the limit is lowered step by step; all that reach it are returned.
     """
     size = len(code[0])
     padded = np.zeros((len(unit), len(code) * BLOCK_WIDTH))
     padded[:, : unit.shape[1]] = unit
+    padded = padded @ turn(padded.shape[1])
     scores = [padded[:, k * BLOCK_WIDTH : (k + 1) * BLOCK_WIDTH] @ c.T for k, c in enumerate(code)]
     best = np.array([s.max(1) for s in scores])
     after = np.concatenate([np.cumsum(best[::-1], axis=0)[::-1][1:], np.zeros((1, len(unit)))])
@@ -72,9 +80,7 @@ def decode(unit: np.ndarray, code: list[np.ndarray]) -> list[list[int]]:
             if len(partial) >= LEAST_FILTERS or limit < -1:
                 break
             limit -= 0.03
-        partial.sort(reverse=True)
-        keep = len(partial) if limit == THRESHOLD else LEAST_FILTERS
-        out.append(sorted(name for _, name in partial[: min(keep, MOST_LISTED)]))
+        out.append(sorted(name for _, name in partial))
     return out
 
 
@@ -152,7 +158,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     sizes = member.groupBy("place", "filter").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select(F.col("place").alias("p"), F.col("filter").alias("f"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     shared = member.join(sizes, (member.place == sizes.p) & (member["filter"] == sizes.f)).select("node", "filter", "chunks")
-    # A vector lists at most MOST_LISTED filters.
+    # A list holds the filters of one vector that others share; a filter's vectors are never gathered.
     lists = shared.groupBy("node").agg(F.collect_list(F.struct("filter", "chunks")).alias("shared"))
     met = nodes.join(lists, "node").withColumn("filters", F.sort_array("shared.filter")).withColumn("s", F.explode("shared"))
     met = met.withColumn("filter", F.col("s.filter")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("s.chunks")).cast("int"))
