@@ -12,6 +12,9 @@ import xxhash
 from tokenlens.llm import katz, language_id, licenses, packing, piece_codec, queries, quality_rules, shingles, simhash, spherical_caps, suffix_dedup
 
 
+ODD_TEXTS = ["it's 12.5 don't!'s 1's O'Reilly", "<|endoftext|> a<|b|>", "  lead\ttab\x0bx\x85y\xa0z ", "É é Ñ ² ½x µ ª", "日本語 ok Ω", "", None, "   ", " ", "a\x1cb", "x\n\ny...!!!@#  '", "\x00nul x", "ß ẞ İ ÀÉ", "'S 'LL 'D we'LL", "▁a ▁▁b", " x", "x ", "a  b", "<s> </s> <0x0A>", "q" * 70_000, "word " * 40_000]
+
+
 def run(spark, name, path):
     return queries.queries()[name](spark, path).collect()
 
@@ -130,17 +133,17 @@ def test_pieces(spark, data, documents):
 def test_pieces_when_the_kept_runs_start_afresh(monkeypatch):
     monkeypatch.setattr(piece_codec, "CACHED", 3)
     codec = piece_codec.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
-    for texts in (["one two three four five", "two"], ["six seven", "", "one"], ["eight nine ten eleven"], ["two one", None]):
+    for texts in (["one two three four five", "two"], ["six seven", "", "one"], ["eight nine ten eleven"], ["two one", None], ODD_TEXTS):
         for text, (n, ids, decoded, differing) in zip(texts, codec.digests(texts), strict=True):
             own = codec.library.encode(text or "") + [2]
             assert (n, ids, differing) == (len(own), sha256(" ".join(map(str, own)).encode()).hexdigest(), 0)
             assert decoded == sha256(codec.library.decode(own).encode()).hexdigest()
 
 
-def test_chunk_ids_when_the_kept_chunks_start_afresh(monkeypatch):
+def test_unit_ids_when_the_kept_units_are_cut(monkeypatch):
     monkeypatch.setattr(packing, "CACHED", 3)
-    encoder = packing.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    for texts in (["one two three four five", "two"], ["six seven", "", "one"], ["eight nine\nten eleven"], ["two one", None]):
+    encoder = packing.UnitEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for texts in (["one two three four five", "two"], ["six seven", "", "one"], ["eight nine\nten eleven"], ["two one", None], ODD_TEXTS):
         ids, begin = encoder.encode(texts)
         for text, a, b in zip(texts, begin, begin[1:]):
             assert ids[a:b].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids + [1]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,18 +26,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder of spark.checkpoint.dir; a private one only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all machines share. Where it is unset: an error, but for local mode (one machine)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and not sc.master.startswith(("local[", "local*")) and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not path:
+            path = tempfile.mkdtemp(prefix="checkpoint-")
+            atexit.register(shutil.rmtree, path, True)
+        sc.setCheckpointDir(path)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like checkpointed(), as compressed Parquet files in the same shared folder: for what is large or read by columns."""
-    checkpointed(df.sparkSession.range(1))
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    """Like checkpointed(), as compressed Parquet files in the same folder: for what is large or read by columns."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -123,16 +138,30 @@ def _cut(whole: pa.RecordBatch, ends: list[int], rows: int) -> Iterator[pa.Recor
 _kept: dict = {}
 
 
+def release() -> None:
+    """Give back what a Python worker no longer needs: later stages run in the same worker, beside the JVM."""
+    _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def kept(key: object, make: Callable[[], object]):
-    """What a Python worker keeps for its next tasks: one object at a time, as later stages run in the same worker."""
+    """What a Python worker keeps for its next tasks: one object at a time."""
     if key not in _kept:
-        _kept.clear()
+        release()
         _kept[key] = make()
     return _kept[key]
 
 
 class Numbers(dict):
-    """Numbers keys from 0 on as they are looked up; names from `known` on are new since then."""
+    """Numbers keys from 0 on as they are looked up; names from `known` on are new since then.
+
+    Where they are `full` (by number or by characters), cut() keeps those met first, which are the frequent ones.
+    """
 
     def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
@@ -141,6 +170,26 @@ class Numbers(dict):
     def since(self, known: int) -> list[str]:
         return list(islice(self, known, None))
 
+    def of(self, keys: pa.Array, before: str = "") -> np.ndarray:
+        """Numbers of all `keys`, each with `before` in front; none holds a NUL. Each distinct one is looked up once."""
+        listed = keys.dictionary_encode()
+        if not len(listed.dictionary):
+            return np.zeros(0, np.int64)
+        # One string for all of them is much faster to hand over than each on its own.
+        every = pa.ListArray.from_arrays(pa.array([0, len(listed.dictionary)], pa.int32()), listed.dictionary.cast(pa.string()))
+        names = (before + pa.compute.binary_join(every, "\0" + before)[0].as_py()).split("\0")
+        return np.fromiter(map(self.__getitem__, names), np.int64, len(names))[listed.indices.to_numpy()]
+
+    def full(self, most: int) -> bool:
+        return len(self) > most or (len(self) > most // 16 and sum(map(len, self)) > 16 * most)
+
+    def cut(self, first: int) -> None:
+        names = list(islice(self, first))
+        if sum(map(len, names)) > 16 * first:  # a few very long ones hold the room
+            names = names[:2]
+        self.clear()
+        self.update((k, n) for n, k in enumerate(names))
+
 
 #: Closing characters that stand behind a word; none is a letter, a digit or white space.
 CLOSING = ".,;:!?#*$%&\")]}"

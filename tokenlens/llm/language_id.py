@@ -15,17 +15,18 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CLOSING, Numbers, is_plain, kept, slices, table
 
-#: Training sample: so many texts in expectation, those whose hash of doc_id is below the share that this is of all labelled ones; at most so many trigrams of each language.
-SAMPLE_DOCS, MOST_GRAMS = 4_000, 60_000
+#: Training sample: so many texts in expectation, those whose hash of doc_id is below the share that this is of all labelled ones. It
+#: bounds the model: it has no more trigrams and scripts than these texts.
+SAMPLE_DOCS = 4_000
 SWITCH_PENALTY, SMOOTHING, LEAST_SCRIPT_SHARE = 14.0, 0.5, 0.001
 CACHED = 250_000
 LEAST_SCORE = 0.5
@@ -73,8 +74,7 @@ def train(docs: DataFrame) -> dict:
         yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), pa.array(list(total.values()), pa.int64())], ["lang", "kind", "item", "n"])
 
     counted = sample.mapInArrow(count, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
-    rows = counted.withColumn("rank", rank).where(F.col("rank") <= MOST_GRAMS).collect()
+    rows = counted.collect()
     langs = sorted({r.lang for r in rows})
     grams = sorted({r.item for r in rows if r.kind == "g"})
     at, of = {g: k for k, g in enumerate(grams)}, {x: k for k, x in enumerate(langs)}
@@ -106,6 +106,15 @@ class Labeller:
         self.cores = Numbers({"": 0})
         self.scores = np.zeros((1, self.k), np.float32)
 
+    def shrink(self, first: int) -> None:
+        self.index.cut(first)
+        self.core = self.core[: len(self.index)].copy()
+        self.cores.cut(int(self.core.max(initial=0)) + 1)
+        if len(self.cores) <= int(self.core.max(initial=0)):
+            self.clear()
+            return
+        self.scores = self.scores[: len(self.cores)].copy()
+
     def learn(self) -> None:
         """Letters of the chunks that are new in `index`, and scores of the words that are new."""
         words, known, core = self.cores, len(self.cores), []
@@ -131,13 +140,13 @@ class Labeller:
         scores[~allowed.any(1)] = 0  # a script that no language uses is no evidence
         self.scores = np.concatenate([self.scores, scores.astype(np.float32)])
 
-    def label(self, texts: list[str | None]) -> Iterator[tuple[str, float, int, str]]:
+    def label(self, texts: pa.Array | list[str | None]) -> Iterator[tuple[str, float, int, str]]:
         """For each text: language, share of lettered words in it, number of spans, spans as lang:first-end (words)."""
-        if len(self.index) > CACHED:
-            self.clear()
-        split = [(t or "").split() for t in texts]
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(chain.from_iterable(map(self.index.__getitem__, s) for s in split), np.int64, int(n.sum()))
+        if self.index.full(CACHED):
+            self.shrink(CACHED // 2)
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring(texts, "\0", " ")))
+        at, n = self.index.of(words.flatten()), np.diff(words.offsets.to_numpy()).astype(np.int64)
         if len(self.index) > len(self.core):
             self.learn()
         at = self.core[at]
@@ -187,7 +196,7 @@ def _labeller(shared) -> Labeller:
 
 
 def _share(spark: SparkSession, model: dict):
-    """The model as a broadcast: at most MOST_GRAMS trigrams of each language."""
+    """The model as a broadcast: the trigrams of SAMPLE_DOCS texts at most."""
     import uuid
 
     return spark.sparkContext.broadcast(model | {"key": uuid.uuid4().hex})
@@ -200,7 +209,7 @@ def predictions(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            columns = zip(*_labeller(shared).label(batch.column("text").to_pylist()))
+            columns = zip(*_labeller(shared).label(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "lang_pred", "score", "n_spans", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans long, spans string")
@@ -212,7 +221,7 @@ def filter_documents(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            stays = [lang != "und" and score >= LEAST_SCORE for lang, score, _, _ in _labeller(shared).label(batch.column("text").to_pylist())]
+            stays = [lang != "und" and score >= LEAST_SCORE for lang, score, _, _ in _labeller(shared).label(batch.column("text"))]
             yield batch.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -21,26 +21,34 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import CLOSING, Numbers, is_plain, kept, slices, table
+from .common import Numbers, is_plain, kept, slices, table
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 64 * 2048
 END = 1
-#: Distinct chunks of text whose ids a worker keeps; then it starts afresh.
-CACHED = 250_000
+#: Distinct units of text whose ids a worker keeps (and sixteen times as many characters); beyond, it goes on with the half that it met first.
+CACHED = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 ARROW = pa.schema([(n, {"long": pa.int64(), "int": pa.int32()}[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
 
 
-class ChunkEncoder:
-    """Ids of texts, chunk by chunk: this vocabulary drops white space, so no id spans two chunks between blanks.
+#: Letters, numerals and white space of Latin-1, in lower case, as in the classes \p{L}, \p{N} and \s of the tokenizer's pattern.
+_LETTERS, _NUMERALS, _BLANKS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t\n\x0b\x0c\r \x85\xa0"
+#: What the tokenizer's own pattern finds besides runs of letters (fixed values), over lower-case texts of Latin-1.
+BETWEEN = f"'s|'t|'re|'ve|'m|'ll|'d|[{_NUMERALS}]|[^{_BLANKS}{_LETTERS}{_NUMERALS}]+"
+#: Texts with other characters, with control characters, or with what may be a special token are cut at blanks only.
+ODD = "[^\x01-\xff]|[\x1c-\x1f]|<\\|"
 
-    A chunk is one or two cores; plain letters and the closing characters behind them are a core each,
-    since the tokenizer cuts there too. New plain cores are encoded many in one text and told
-    apart by the ids that end a word.
+
+class UnitEncoder:
+    """Ids of texts, unit by unit: the tokenizer encodes what its pattern finds one by one, and drops white space.
+
+    A batch is lower-cased, cut and listed once per distinct unit by Arrow; ids of the units seen before are kept. New
+    units of letters only are encoded many in one text and told apart by the ids that end a word.
     """
 
     def __init__(self, path: str):
@@ -54,61 +62,68 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index = Numbers({"": 0})
-        self.pairs = np.zeros((1, 2), np.int32)
-        self.cores = Numbers({"": 0, "\n": 1})  # no chunk holds a line feed: it stands for the end id
+        self.index = Numbers({"": 0, "\n": 1})  # no unit is a line feed: it stands for the end id
         self.flat, self.starts, self.lengths = np.array([END], np.uint32), np.array([0, 0]), np.array([0, 1])
 
+    def shrink(self, first: int) -> None:
+        self.index.cut(max(2, first))
+        n = len(self.index)
+        self.starts, self.lengths = self.starts[:n].copy(), self.lengths[:n].copy()
+        self.flat = self.flat[: int((self.starts + self.lengths).max())].copy()
+
     def learn(self) -> None:
-        """Cores of the chunks that are new in `index`, and ids of the cores that are new."""
-        core_of, pairs, plain = self.cores, [], []
-        known = len(core_of)
-        for c in self.index.since(len(self.pairs)):
-            core = c.rstrip(CLOSING)
-            if core and is_plain(core):
-                pairs.append((core_of[core.lower()], core_of[c[len(core) :]]))
-            else:
-                pairs.append((core_of[c], 0))
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int32).reshape(-1, 2)])
-        new = core_of.since(known)
-        plain = [is_plain(c) or not c.strip(CLOSING) for c in new]
+        """Ids of the units that are new in `index`."""
+        new = self.index.since(len(self.starts))
         ids: list = [None] * len(new)
-        some = [k for k, p in enumerate(plain) if p]
-        for a in range(0, len(some), 512):
-            own = some[a : a + 512]
-            got = np.array(self.tokenizer.encode(" ".join([new[k] for k in own]), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(self.ends_word[got]) + 1
-            if len(cuts) == len(own):
-                for k, part in zip(own, np.split(got, cuts[:-1])):
-                    ids[k] = part
-        rest = [k for k, got in enumerate(ids) if got is None]
-        for k, got in zip(rest, self.tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False)):
-            ids[k] = np.array(got.ids, np.uint32)
+        plain = [k for k, u in enumerate(new) if is_plain(u)]
+        rest = [k for k, u in enumerate(new) if not is_plain(u)]
+        groups = [plain[a : a + 512] for a in range(0, len(plain), 512)]
+        for own, encoding in zip(groups, self.tokenizer.encode_batch_fast([" ".join([new[k] for k in g]) for g in groups], add_special_tokens=False)):
+            got = encoding.ids
+            ends = (np.flatnonzero(self.ends_word[got]) + 1).tolist()
+            if len(ends) != len(own):
+                rest += own
+                continue
+            for k, a, b in zip(own, [0, *ends], ends):
+                ids[k] = got[a:b]
+        for k, encoding in zip(rest, self.tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False)):
+            ids[k] = encoding.ids
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, *ids])
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
+
+    def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts' units, and how many each text has."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, ODD)
+        plain = pc.if_else(odd, "", texts)
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(plain), BETWEEN, r" \0 "))
+        at, counts = self.index.of(lists.flatten()), np.diff(lists.offsets.to_numpy())
+        if pc.any(odd).as_py():
+            parts = np.split(at, np.cumsum(counts)[:-1])
+            for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+                parts[k] = np.fromiter(map(self.index.__getitem__, texts[k].as_py().replace("\n", " ").split(" ")), np.int64)
+            at, counts = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return at, counts
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END behind it, in one array; where each text begins in it."""
-        if len(self.index) > CACHED:
-            self.clear()
-        chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        at = np.fromiter(chain.from_iterable(map(self.index.__getitem__, c) for c in chunks), np.int64, int(counts.sum()))
-        if len(self.index) > len(self.pairs):
+        if self.index.full(CACHED):
+            self.shrink(CACHED // 2)
+        at, counts = self.units(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        if len(self.index) > len(self.starts):
             self.learn()
-        ends = np.cumsum(counts)
-        cores = np.insert(self.pairs[at].ravel(), 2 * ends, 1)
-        cores_ends = np.flatnonzero(cores == 1)
-        n = self.lengths[cores]
+        at = np.insert(at, np.cumsum(counts), 1)
+        ends = np.flatnonzero(at == 1)
+        n = self.lengths[at]
         after = np.cumsum(n)
-        ids = self.flat[np.repeat(self.starts[cores] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
-        return ids, np.concatenate([[0], after[cores_ends]])
+        ids = self.flat[np.repeat(self.starts[at] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
+        return ids, np.concatenate([[0], after[ends]])
 
 
-def encoder(path: str) -> ChunkEncoder:
-    return kept(("chunks", path), lambda: ChunkEncoder(path))
+def encoder(path: str) -> UnitEncoder:
+    return kept(("units", path), lambda: UnitEncoder(path))
 
 
 class _Waiting:
@@ -186,7 +201,7 @@ def packed(docs: DataFrame, path: str) -> DataFrame:
         sequence = tokens = 0
         for batch in slices(batches, "text"):
             doc_id = batch.column("doc_id").to_pylist()
-            ids, begin = encoder(path).encode(batch.column("text").to_pylist())
+            ids, begin = encoder(path).encode(batch.column("text"))
             n = np.diff(begin).tolist()
             begin = begin.tolist()
             rows = []
