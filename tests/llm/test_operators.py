@@ -311,8 +311,46 @@ def test_blind_trie_orders():
     import random
 
     rng = random.Random(2)
-    strings = list({bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(300)})
-    assert suffix_dedup._blind_trie(strings) == sorted(strings)
+    strings = [bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(3000)]
+    order, shared = suffix_dedup.blind_trie(strings)
+    assert [strings[k] for k in order] == sorted(strings) and len(set(order)) == len(order)
+    common = lambda a, b: next((k for k in range(12) if a[k] != b[k]), 12)
+    assert shared == [0, *(common(strings[a], strings[b]) for a, b in zip(order, order[1:]))]
+
+
+def test_multikey_buckets_tie():
+    rng = np.random.default_rng(5)
+    strings = [bytes(rng.integers(97, 99, 3).astype(np.uint8)) * 20 for _ in range(200)] + [b"x" * 31 + bytes([97 + k % 3]) * 29 for k in range(50)]
+    data = b"".join(strings) + bytes(8)
+    codes = np.frombuffer(data, np.uint8)
+    words = sum(codes[k : k + len(data) - 8].astype(np.uint64) << np.uint64(8 * (7 - k)) for k in range(8))
+    group = np.arange(len(strings)) % 4
+    got = {frozenset(b.tolist()) for b in suffix_dedup.multikey(words, np.arange(len(strings)) * 60, group)}
+    want = defaultdict(set)
+    for k, s in enumerate(strings):
+        want[group[k], s[: suffix_dedup.SHALLOW]].add(k)
+    assert got == {frozenset(x) for x in want.values() if len(x) > 1}
+
+
+@pytest.mark.parametrize("group", [1024, 1])
+def test_long_texts_and_periodic_strings(spark, tmp_path, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "PART", 700)
+    rng = np.random.default_rng(3)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, period = noise(900), "ab" * 300
+    texts = [noise(3000) + passage + noise(2500), noise(500) + passage[100:850] + noise(900), period + noise(50), noise(40) + "ba" * 160, noise(4000), "", passage[:205], None]
+    rows = [(k, t, "a", "b", "c") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, rid string, runs string, row string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in run(spark, "op10_suffix", str(tmp_path))}
+    left = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    seen = Counter(t[k : k + 200] for t in texts if t for k in range(len(t) - 199))
+    for i, t in enumerate(texts):
+        t = t or ""
+        gone = {j for k in range(len(t) - 199) if seen[t[k : k + 200]] > 1 for j in range(k, k + 200)}
+        assert got[i] == (len(gone), sum(j - 1 not in gone for j in gone))
+        assert (left[i].text or "") == "".join(c for j, c in enumerate(t) if j not in gone) and (left[i].rid, left[i].runs, left[i].row) == ("a", "b", "c")
 
 
 def test_licenses(spark, data, documents):

@@ -6,12 +6,13 @@ SPAN bytes are therefore dealt by anchor: a run of windows with one anchor is a
 anchor hash can share a window. (1) Segments whose anchor is alone drop out. (2) Segments with equal bytes are one class;
 a class of two or more is repeated whole. (3) Where classes share an anchor, a group's window starts are suffix-sorted,
 deep-shallow: multikey sorting on eight-byte characters to SHALLOW bytes, then a blind trie orders what still
-ties. (4) Groups of more than GROUP classes are settled by counting 128-bit digests of blocks of windows, cut ever
-finer, which gathers no group.
+ties; neighbours in that order that share SPAN bytes are repeats. (4) Groups of more than GROUP classes are settled by counting
+128-bit digests of blocks of windows, cut ever finer, which gathers no group.
 
 Texts are bytes in UTF-8. Rows are told apart by a hash of doc_id and text. Defined cases: a null text is empty; texts under
-SPAN bytes lose nothing; repeated rows are repeats of each other; an empty table gives an empty result;
-op10 ignores other columns and remove_repeats() keeps them.
+SPAN bytes lose nothing; repeated rows are repeats of each other; equal strings are all removed, none is kept as the first; a
+very long text is cut into overlapping parts of PART bytes, which meet like any others; an empty table gives an empty result;
+op10 ignores other columns and remove_repeats() keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, stored, table, whole_groups
+from .common import checkpointed, release, slices, stored, table, whole_groups
 
 SPAN, ANCHOR, SHALLOW, GROUP = 200, 64, 32, 1024
+#: Bytes of text whose windows are dealt at a time; ranks hold places in 24 bits, so that they are the same for any such part.
+PART = 1 << 18
 #: Windows in a block, from coarse to fine, where a group has more than GROUP classes.
 BLOCKS = (64, 16, 4, 1)
 _WIDTH = SPAN - ANCHOR + 1
@@ -39,7 +42,7 @@ _powers: list[np.ndarray] = []
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of _BASE and of its inverse modulo 2 ** 64, kept and grown when needed."""
     if not _powers or len(_powers[0]) < n:
-        m = max(n, 1 << 20)
+        m = max(n, PART + SPAN)
         _powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _powers[0][:n], _powers[1][:n]
 
@@ -64,7 +67,9 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     if len(whole) < SPAN:
         return empty
     h = anchor_hashes(np.frombuffer(whole, np.uint8))
-    mask = np.uint64((1 << max(24, len(whole).bit_length())) - 1)
+    if len(whole) >> 24:
+        raise ValueError("more than 16 MB of text at a time")
+    mask = np.uint64((1 << 24) - 1)
     n = len(whole) - SPAN + 1
     # Ties between equal hashes go to the rightmost, in any text alike.
     ranked = (h & ~mask) | (mask - np.arange(len(h), dtype=np.uint64))
@@ -91,47 +96,89 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return text, first - begin[text], windows, h[anchor[first]].view(np.int64), classes.view(np.int64)
 
 
-def _blind_trie(strings: list[bytes]) -> list[bytes]:
-    """Distinct strings of one length in order, by a trie that branches on the byte where they first differ."""
+def parts_of(texts: list[bytes], most: int = PART) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text, start, bytes) in lists of about `most` bytes; parts of one text overlap, so that each window is in exactly one part."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        for a in range(0, max(1, len(text) - SPAN + 1), most):
+            part = text[a : a + most + SPAN - 1]
+            if size + len(part) > most + SPAN and held:
+                yield held
+                held, size = [], 0
+            held.append((k, a, part))
+            size += len(part)
+    if held:
+        yield held
 
-    def differ(a: bytes, b: bytes, start: int) -> int:
-        low, high = start, len(a)
-        while high - low > 1:
-            middle = (low + high) // 2
-            if a[start:middle] == b[start:middle]:
-                low = middle
-            else:
-                high = middle
-        return low if a[low] != b[low] else high
 
-    root: bytes | tuple = strings[0]
-    for s in strings[1:]:
-        node = root
-        while not isinstance(node, bytes):  # any leaf below: the trie holds no skipped bytes
+def multikey(words: np.ndarray, at: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
+    """Multikey quicksort of the strings that begin at `at`, group by group, down to SHALLOW bytes, eight at a time.
+
+    All buckets of a level are split at once: below, equal to and above a pivot; what equals it goes on eight bytes deeper.
+    Returns the buckets that still tie at SHALLOW bytes. `words` are the eight bytes from each position on, as numbers.
+    """
+    order = np.argsort(group, kind="stable")
+    bucket = np.cumsum(np.concatenate([np.zeros(min(1, len(order)), np.int64), np.diff(group[order]) != 0]))
+    depth, tied = np.zeros(len(order), np.int64), []
+    while len(order):
+        first = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
+        size = np.diff(np.concatenate([first, [len(order)]]))
+        word = words[at[order] + depth]
+        three = np.sort(np.stack([word[first], word[first + size // 2], word[first + size - 1]]), axis=0)
+        pivot = np.repeat(three[1], size)
+        side = np.where(word < pivot, 0, np.where(word == pivot, 1, 2))
+        key = np.repeat(np.arange(len(first)), size) * 3 + side
+        by = np.argsort(key, kind="stable")
+        order, key, depth = order[by], key[by], depth[by] + 8 * (side[by] == 1)
+        bucket = np.cumsum(np.concatenate([[0], np.diff(key) != 0]))
+        more = np.bincount(bucket)[bucket] > 1  # what is alone is in its place
+        deep = more & (depth >= SHALLOW)
+        if deep.any():
+            tied += np.split(order[deep], np.flatnonzero(np.diff(bucket[deep])) + 1)
+        go = more & ~deep
+        order, bucket, depth = order[go], bucket[go], depth[go]
+    return tied
+
+
+def blind_trie(strings: list[bytes]) -> tuple[list[int], list[int]]:
+    """Numbers of strings of one length in order, and how many bytes each shares with the one before it (0 for the first).
+
+    The trie branches on the byte where strings first differ and holds no skipped bytes: a string goes down blindly to any leaf,
+    is compared with it once, and branches off where they differ. Equal strings share a leaf.
+    """
+    length = len(strings[0])
+    root: list | tuple = [0]
+    for k in range(1, len(strings)):
+        s, node = strings[k], root
+        while type(node) is tuple:
             node = node[1].get(s[node[0]]) or next(iter(node[1].values()))
-        at = differ(node, s, 0)
+        leaf = strings[node[0]]
+        if s == leaf:
+            node.append(k)
+            continue
+        at = length - ((int.from_bytes(s) ^ int.from_bytes(leaf)).bit_length() + 7) // 8
         parent, node = None, root
-        while not isinstance(node, bytes) and node[0] < at:
+        while type(node) is tuple and node[0] < at:
             parent, node = node, node[1][s[node[0]]]
-        if not isinstance(node, bytes) and node[0] == at:
-            node[1][s[at]] = s
+        if type(node) is tuple and node[0] == at:
+            node[1][s[at]] = [k]
             continue
-        leaf = node
-        while not isinstance(leaf, bytes):
-            leaf = next(iter(leaf[1].values()))
-        made = (at, {leaf[at]: node, s[at]: s})
+        made = (at, {leaf[at]: node, s[at]: [k]})
         if parent is None:
             root = made
         else:
             parent[1][s[parent[0]]] = made
-    out, stack = [], [root]
+    order, shared, stack = [], [], [(root, 0)]
     while stack:
-        node = stack.pop()
-        if isinstance(node, bytes):
-            out.append(node)
+        node, depth = stack.pop()
+        if type(node) is tuple:
+            children = sorted(node[1].items())
+            # The first child follows what was before the node; the others follow a sibling.
+            stack += [(child, node[0] if i else depth) for i, (_, child) in reversed(list(enumerate(children)))]
         else:
-            stack += [child for _, child in sorted(node[1].items(), reverse=True)]
-    return out
+            order += node
+            shared += [depth, *[length] * (len(node) - 1)]
+    return order, shared
 
 
 def repeated_windows(group: np.ndarray, copies: np.ndarray, windows: np.ndarray, texts: list[bytes]) -> np.ndarray:
@@ -141,34 +188,16 @@ def repeated_windows(group: np.ndarray, copies: np.ndarray, windows: np.ndarray,
     lengths = windows + SPAN - 1
     data = b"".join(texts) + bytes(8)
     at = np.arange(total) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(windows) - windows), windows)
-    codes = np.frombuffer(data, np.uint8)
-    # Shallow: order by group, then by eight-byte characters, going on with what ties.
-    tie, order = group[segment], np.arange(total)
-    for depth in range(0, SHALLOW, 8):
-        word = np.zeros(len(order), np.uint64)
-        for k in range(8):
-            word = word << np.uint64(8) | codes[at[order] + depth + k]
-        by = np.lexsort((word, tie))
-        order, tie, word = order[by], tie[by], word[by]
-        new = np.concatenate([[True], (np.diff(tie) != 0) | (word[1:] != word[:-1])])
-        tie = np.cumsum(new) - 1
-        alone = np.bincount(tie)[tie] == 1
-        order, tie = order[~alone], tie[~alone]
-        if not len(order):
-            break
-    repeated = np.zeros(total, bool)
-    repeated[copies[segment] > 1] = True
-    # Deep: leaves are the distinct strings; a trie orders them, and equal strings share a leaf.
-    cuts = [0, *(np.flatnonzero(np.diff(tie)) + 1).tolist(), len(order)] if len(order) else []
-    starts, many = at.tolist(), copies[segment].tolist()
-    for a, b in zip(cuts, cuts[1:]):
-        leaves: dict[bytes, list[int]] = {}
-        for k in order[a:b].tolist():
-            leaves.setdefault(data[starts[k] : starts[k] + SPAN], []).append(k)
-        for leaf in _blind_trie(list(leaves)) if len(leaves) > 1 else leaves:
-            own = leaves[leaf]
-            if len(own) > 1 or many[own[0]] > 1:
-                repeated[own] = True
+    codes, words = np.frombuffer(data, np.uint8), np.zeros(len(data) - 8, np.uint64)
+    for k in range(8):
+        words <<= np.uint64(8)
+        words |= codes[k : k + len(words)]
+    repeated = (copies > 1)[segment]
+    for bucket in multikey(words, at, group[segment]):
+        order, shared = blind_trie([data[a : a + SPAN] for a in at[bucket].tolist()])
+        # Neighbours that share SPAN bytes are the same string.
+        same = np.array([*shared, 0]) >= SPAN
+        repeated[bucket[order]] |= same[:-1] | same[1:]
     return repeated
 
 
@@ -181,10 +210,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(rid, runs array<struct<start, windows>>) for texts with repeated windows; docs has (rid, text)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
-            text, start, windows, key, kind = segments([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
-            rid = batch.column("rid").to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(key), pa.array(kind)], ["rid", "start", "windows", "key", "kind"])
+        for batch in slices(batches, "text", 1 << 20):
+            rids = batch.column("rid").to_numpy()
+            for parts in parts_of([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]):
+                text, start, windows, key, kind = segments([p for _, _, p in parts])
+                rid = rids[np.array([k for k, _, _ in parts])[text]]
+                start = start + np.array([a for _, a, _ in parts])[text]
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(key), pa.array(kind)], ["rid", "start", "windows", "key", "kind"])
+        release()
 
     found = stored(docs.select("rid", "text").mapInArrow(find, "rid long, start int, windows int, key long, kind long"))
     shared = found.groupBy("key").agg(F.count("*").alias("n"), F.min("kind").alias("one"), F.max("kind").alias("other")).where("n > 1")
@@ -202,7 +235,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = sized.groupBy("rid").agg(F.collect_list(F.struct("start", "windows", "k", "copies", "size")).alias("cuts")).withColumnRenamed("rid", "r")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             rows = []
             for rid, text, cuts in zip(batch.column("rid").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("cuts").to_pylist()):
                 rows += [(c["k"], c["copies"], c["size"], rid, c["start"], c["windows"], text[c["start"] : c["start"] + c["windows"] + SPAN - 1]) for c in cuts]
@@ -214,7 +247,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     pieces = stored(texts.mapInArrow(cut, "k long, copies long, size long, rid long, start int, windows int, bytes binary"))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_groups(batches, ("k",), 4096):
+        for batch in whole_groups(batches, ("k",), 1024):
             copies, windows = batch.column("copies").to_numpy(), batch.column("windows").to_numpy().astype(np.int64)
             flags = repeated_windows(batch.column("k").to_numpy(), copies, windows, batch.column("bytes").to_pylist())
             ends = np.cumsum(windows)
@@ -230,8 +263,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     return whole.union(few).union(many).groupBy("rid").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
 
 
-PART = "copies long, rid long, start int, windows int, place int, bytes binary"
-BLOCK = PART + ", union_digest binary, core_digest binary"
+PIECE = "copies long, rid long, start int, windows int, place int, bytes binary"
+BLOCK = PIECE + ", union_digest binary, core_digest binary"
 
 
 def _record(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -281,7 +314,7 @@ def repeated_blocks(pieces: DataFrame) -> DataFrame:
 
         return run
 
-    left, out = pieces.mapInArrow(placed, PART), []
+    left, out = pieces.mapInArrow(placed, PIECE), []
     for size in BLOCKS:
         blocks = stored(left.mapInArrow(cut_into(size), BLOCK))
         unions = checkpointed(blocks.groupBy("union_digest").agg(F.sum("copies").alias("n"), F.min(F.struct("rid", "start")).alias("first")).where("n > 1").select(F.col("union_digest").alias("d"), "first"))
@@ -317,33 +350,41 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_runs(docs: DataFrame) -> DataFrame:
-    rows = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
-    runs = stored(repeats(rows)).withColumnRenamed("rid", "_r")
-    return rows.join(runs, rows.rid == runs._r, "left").select(*docs.columns, "runs")
+    """(row, runs): each row of `docs` as a struct, so that no column name of theirs can clash, and its repeated windows."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text", F.struct("*").alias("row"))
+    runs = stored(repeats(rows)).select(F.col("rid").alias("r"), "runs")
+    return rows.drop("text").join(runs, F.col("rid") == F.col("r"), "left").select("row", "runs")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with repeated strings cut out of `text` (a character cut in two goes whole) and `n_chars`, if there, renewed."""
+    """`docs` with repeated strings cut out of `text` (a character cut in two goes whole) and `n_chars`, if there, renewed.
+
+    A null text stays null; a text that is repeated as a whole becomes empty; no row is dropped.
+    """
     columns = docs.columns
+    at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, f"c{at}", 2 << 20):
             out = []
-            for text, runs in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist()):
+            for text, runs in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(columns)).to_pylist()):
                 out.append(text.decode() if not runs and text is not None else text and _kept(text, _removed(len(text), runs)).decode("utf-8", "ignore"))
             new = {"text": pa.array(out, pa.string())}
             if "n_chars" in columns:
-                new["n_chars"] = pa.array([t if t is None else len(t) for t in out]).cast(batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], columns)
+                kind = batch.schema.field(columns.index("n_chars")).type
+                new["n_chars"] = pa.array([t if t is None else len(t) for t in out]).cast(kind)
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(k)) for k, c in enumerate(columns)], columns)
+        release()
 
-    return _with_runs(docs).mapInArrow(run, docs.schema)
+    fields = [F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(columns)]
+    return _with_runs(docs).select(*fields, F.col("runs").alias("runs")).mapInArrow(run, docs.schema)
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             rows = []
             for text, runs in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist()):
                 text = text or b""
@@ -352,4 +393,4 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_runs(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_runs(docs).select("row.*", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
