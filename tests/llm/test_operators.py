@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tokenlens.llm import katz, language_id, licenses, packing, piece_codec, queries, quality_rules, shingles, simhash, spherical_caps, suffix_dedup
 
@@ -77,17 +78,47 @@ def test_bit_slices_find_all_pairs():
     assert {(int(a), int(b)) for x, y in simhash.near_rows(groups, values.view(np.int64)) for a, b in zip(x, y)} == want and want
 
 
-def test_hot_blocks_are_cut_into_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("keys", [10, 10**8, 10**10, 10**11])
+def test_hot_blocks_are_cut_into_chunks(spark, monkeypatch, keys):
     monkeypatch.setattr(simhash, "CHUNK", 8)
     values = [(k, (7 << 40) | (1 << (k % 30)) | (1 << (k % 17 + 20))) for k in range(100)]
     nodes = {v: k for k, v in reversed(values)}
     df = spark.createDataFrame([(k, v) for v, k in nodes.items()], "node long, fp long")
+    df = df.select("node", "fp", F.explode(simhash.block_keys(keys)).alias("key"))
     from tokenlens.llm.common import components
 
     got = {r.node: r.component for r in components(simhash.links(df)).collect()}
     assert set(got.values()) == {0} and len(got) == len(nodes)
 
 
+@pytest.mark.parametrize("radius", [3, 7, 37, 56])
+def test_bit_slices_of_long_prints(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 1 << 63, (20, 2), dtype=np.uint64)
+    rows = np.concatenate([base] * 6)
+    for row in rows:
+        for k in rng.integers(0, 128, rng.integers(0, radius + 9)):
+            row[k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+    groups = np.sort(rng.integers(0, 2, len(rows)))
+    d = lambda a, b: sum(int(x).bit_count() for x in rows[a] ^ rows[b])
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if groups[a] == groups[b] and d(a, b) <= radius}
+    assert {(int(a), int(b)) for x, y in simhash.near_rows(groups, rows.view(np.int64), radius) for a, b in zip(x, y)} == want and want
+
+
+def test_share_of_similar_sets_that_meet():
+    rng = np.random.default_rng(4)
+    width, count = simhash.bands(200_000)
+    met = near = 0
+    for k in range(300):
+        size = int(rng.integers(20, 600))
+        same = round(size * 2 * 0.8 / 1.8)  # of two sets of `size`: similarity 0.8
+        x = rng.integers(0, 1 << 63, 2 * size - same, dtype=np.uint64)
+        a, b = (simhash.set_bits(s, width * count) for s in (x[:size], x[size - same :]))
+        met += bool((a.reshape(count, width) == b.reshape(count, width)).all(1).any())
+        near += (a[:128] != b[:128]).sum() <= 36
+    assert met >= 0.95 * 300 and near >= 0.99 * 300, (met, near)
+
+
 @pytest.mark.parametrize("chunk", [1024, 4])
 def test_near_duplicates_of_the_pipeline(spark, monkeypatch, chunk):
     import corpus_pipeline
@@ -111,7 +142,7 @@ def test_near_duplicates_of_the_pipeline(spark, monkeypatch, chunk):
                 old, new = max(component[a], component[b]), min(component[a], component[b])
                 component = [new if c == old else c for c in component]
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(docs).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_texts(docs).collect()}
     assert got == dict(enumerate(component))
     if chunk == 1024:
         left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}

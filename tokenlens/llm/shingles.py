@@ -1,13 +1,7 @@
-"""Near-duplicates by the exact similarity of shingle sets, for pipeline stages.
+"""The exact similarity of shingle sets: what near-duplicate candidates of texts are held against.
 
-Texts whose sets of SHINGLE-word shingles have a Jaccard similarity of SIMILAR or more are linked. Equal sets are one
-node. Min-hash bands find candidates: two sets of similarity s share one of BANDS bands of ROWS hashes with chance
-1 - (1 - s ** ROWS) ** BANDS, at 0.8 that is 0.996. Candidates are linked to the smallest node of their band, never pair by
-pair; the sets of a candidate group meet in a task, where each link is checked on the sets themselves. A group with many
-or large sets is cut into chunks, and every two chunks meet in a task.
-
-Defined cases: words as in simhash; fewer than SHINGLE words are one shingle; texts without words are one group;
-a null doc_id is never a component's name; an empty table gives an empty result; other columns are ignored.
+The sets of a candidate group meet in a task, where links are found on the sets themselves. A group with many or large sets is
+cut into chunks, and every two chunks meet in a task.
 """
 
 from __future__ import annotations
@@ -21,51 +15,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, slices, stored, whole_groups
+from .common import whole_groups
 
-SHINGLE, SIMILAR, SEED = 5, 0.8, 42
-BANDS, ROWS = 24, 7
+SEED = 42
 #: Sets and shingles of a candidate group beyond which it is cut into chunks of about these many.
 CHUNK, CHUNK_SHINGLES = 1024, 1 << 19
-_RNG = np.random.default_rng(99)
-_TIMES = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Distinct 64-bit hashes of a text's shingles, in order."""
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles, in order; A-Z are lower-cased, words end at ASCII white space."""
     words = (text or b"").lower().split()
-    if len(words) < SHINGLE:
+    if len(words) < shingle:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE))))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(words) - SHINGLE + 1))
-
-
-def band_keys(own: np.ndarray) -> list[int]:
-    """One key a band of the min-hashes of a set."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for a in range(0, len(own), 512):
-        h = own[a : a + 512, None] * _TIMES + _PLUS
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        np.minimum(least, h.min(0), out=least)
-    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, ROWS))]
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(words) - shingle + 1))
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, class binary, n int, shingles binary): a text's set, in bytes, and a digest that names it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
-            own = [shingle_set(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            data = [s.tobytes() for s in own]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(d) for d in data], pa.binary()), pa.array([len(s) for s in own], pa.int32()), pa.array(data, pa.binary())], ["doc_id", "class", "n", "shingles"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, class binary, n int, shingles binary")
-
-
-def similar_rows(data: list[bytes]) -> np.ndarray:
-    """Each set's root: the first set reached by links of similarity SIMILAR or more."""
+def similar_rows(data: list[bytes], similar: float) -> np.ndarray:
+    """Each set's root: the first set reached by links of similarity `similar` or more."""
     parts = [np.frombuffer(d, np.uint64) for d in data]
     size = np.array([len(p) for p in parts])
     names, number = np.unique(np.concatenate(parts), return_inverse=True)
@@ -74,7 +41,7 @@ def similar_rows(data: list[bytes]) -> np.ndarray:
     for i in range(len(parts) - 1):
         # Sets already linked to this one, and sets of other sizes, need no comparison.
         others = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-        others = others[np.minimum(size[others], size[i]) >= SIMILAR * np.maximum(size[others], size[i])]
+        others = others[np.minimum(size[others], size[i]) >= similar * np.maximum(size[others], size[i])]
         if not len(others):
             continue
         own = number[begin[i] : begin[i] + size[i]]
@@ -84,54 +51,27 @@ def similar_rows(data: list[bytes]) -> np.ndarray:
         at = np.arange(int(n.sum())) + np.repeat(begin[others] - start, n)
         common = np.add.reduceat(mine[number[at]], start, dtype=np.int64)
         mine[own] = False
-        for j in others[common >= SIMILAR * (n + size[i] - common) - 1e-9].tolist():
+        for j in others[common >= similar * (n + size[i] - common) - 1e-9].tolist():
             a, b = int(root[i]), int(root[j])
             if a != b:
                 root[root == max(a, b)] = min(a, b)
     return root
 
 
-def _checked(met: DataFrame) -> DataFrame:
-    """Spanning edges (a, b) of the links within each candidate group and pair of chunks."""
+def checked(grouped: DataFrame, similar: float) -> DataFrame:
+    """Spanning edges (a, b) of the links of similarity `similar` or more within each group of grouped(group, node, n, shingles)."""
+    sized = grouped.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select(F.col("group").alias("g"), F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    dealt = grouped.join(sized, F.col("group") == F.col("g")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least("own", j).cast("long") * (1 << 31) + F.greatest("own", j))
+    met = dealt.withColumn("meet", F.explode(meets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, ("group", "meet"), 256):
             group, meet, node = (batch.column(c).to_numpy() for c in ("group", "meet", "node"))
             cuts = [0, *(np.flatnonzero((np.diff(group) != 0) | (np.diff(meet) != 0)) + 1).tolist(), len(group)]
             for a, b in zip(cuts, cuts[1:]):
-                root = similar_rows(batch.column("shingles")[a:b].to_pylist())
+                root = similar_rows(batch.column("shingles")[a:b].to_pylist(), similar)
                 joined = np.flatnonzero(root != np.arange(b - a))
                 yield pa.RecordBatch.from_arrays([pa.array(node[a:b][joined]), pa.array(node[a:b][root[joined]])], ["a", "b"])
 
     return met.select("group", "meet", "node", "shingles").repartition("group", "meet").sortWithinPartitions("group", "meet").mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id): the smallest doc_id that links of similarity SIMILAR or more reach."""
-    rows = stored(sets(docs))
-    classes = stored(rows.groupBy("class").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL").select(F.col("class").alias("own"), "node"))
-    first = rows.join(classes, (rows["class"] == classes.own) & (rows.doc_id == classes.node)).select("node", "class", "n", "shingles")
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "shingles", 2 << 20):
-            own = [band_keys(np.frombuffer(d, np.uint64)) for d in batch.column("shingles").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], ["node", "keys"])
-
-    banded = stored(first.select("node", "shingles").mapInArrow(keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key")))
-    least = banded.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("k"), "b")
-    edges = banded.join(least, banded.key == least.k).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    groups = stored(components(stored(edges)).select(F.col("node").alias("member"), F.col("component").alias("group")))
-    grouped = stored(first.dropDuplicates(["class"]).join(groups, F.col("node") == F.col("member")).select("group", "node", "n", "shingles"))
-    sized = grouped.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select(F.col("group").alias("g"), F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    dealt = grouped.join(sized, grouped.group == sized.g).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least("own", j).cast("long") * (1 << 31) + F.greatest("own", j))
-    linked = components(stored(_checked(dealt.withColumn("meet", F.explode(meets)))))
-    named = classes.join(linked.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
-    named = stored(named.select("own", F.coalesce("component", "node").alias("component_id")))
-    return rows.select("doc_id", "class").join(named, F.col("class") == F.col("own"), "left").select("doc_id", "component_id")
-
-
-def filter_documents(docs: DataFrame) -> DataFrame:
-    """Of every component the row with the smallest doc_id, with all columns; rows without a doc_id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id == kept._kept, "left").where(F.col("_kept").isNotNull() | F.col("doc_id").isNull()).drop("_kept")

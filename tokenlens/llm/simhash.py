@@ -1,32 +1,45 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-Texts become 64-bit fingerprints of their 3-word shingles. Equal fingerprints are one node. Two fingerprints
-within RADIUS bits agree on one of four 16-bit blocks, so rows are dealt by (block, value); a value that very many
-share is cut into chunks, and every two chunks meet in a task. Within a task, bit planes are stored vertically
-(64 fingerprints a machine word), one shift of the rows against themselves updates the distances of all rows with
-carry-save counters, and words whose lanes all exceed the radius are abandoned. Tasks return spanning edges only.
-
-Defined cases: a text without words has fingerprint zero, linked like any other; one or two words are one shingle;
-repeated rows share a component; a null doc_id is never a component's name; an empty table gives an empty result;
-other columns are ignored.
+Texts become fingerprints: a bit is set if it is in over half the hashes of the text's shingles. Equal fingerprints (or sets) are
+one node. Rows are dealt by keys that near ones share; a key that very many share is cut into chunks, and every two
+chunks meet in a task. Within a task, bit planes are stored vertically (64 fingerprints a machine word), one shift of the rows
+against themselves updates the distances of all rows with carry-save counters, and words whose lanes all exceed the radius are
+abandoned. Tasks return spanning edges only.
+
+near_duplicates() links 64-bit fingerprints at RADIUS bits. Two such agree on k of k + RADIUS blocks, whatever k; the keys are these
+k blocks, with k chosen by the number of nodes, so that keys stay about as many as nodes. near_texts() links texts whose sets of
+SHINGLE-word shingles have a Jaccard similarity of SIMILAR or more. Such sets agree on a bit with a chance of 1 - acos(2s / (1 + s)) / pi
+at least (s = SIMILAR: 0.849); they have bands() slices of bits, of which they share one with a chance of RECALL; what shares one
+is compared on the first SKETCH bits with a radius of four standard deviations, and what is left on the sets themselves.
+
+Defined cases: a text without words has fingerprint zero and the empty set, linked like any other; fewer words than a shingle has are one
+shingle; repeated rows share a component, and filter_documents() keeps one of them; rows that share a doc_id are one node's names; a null
+doc_id is never a component's name (null where there is no other), and rows without a doc_id are all kept; very long texts are whole;
+an empty table gives an empty result; other columns are kept by filter_documents(), whatever their names, and ignored otherwise.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, slices, table, whole_groups
+from .common import checkpointed, components, slices, stored, table, whole_groups
+from .shingles import checked, shingle_set
 
-SHINGLE, SEED, RADIUS, BLOCKS = 3, 42, 3, 4
-#: Rows of a (block, value) beyond which it is cut into chunks of about this many.
+SHINGLE, SEED, RADIUS = 3, 42, 3
+#: For texts: words of a shingle, similarity, the share of pairs at just that similarity that share a band, bits compared in a task.
+TEXT_SHINGLE, SIMILAR, RECALL, SKETCH = 5, 0.8, 0.98, 128
+#: Rows of a key beyond which it is cut into chunks of about this many.
 CHUNK = 1024
+#: Names of nodes without a doc_id begin here.
+NAMELESS = 1 << 62
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -63,20 +76,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
-    """Bit planes: row k holds bit k of all values, 64 values a word, with spare words behind."""
-    bits = np.unpackbits(values.view(np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    """Bit planes of values (n, words): row k holds bit k of all values, 64 values a word, with spare words behind."""
+    bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(len(values), -1), axis=1)
     packed = np.packbits(bits, axis=0, bitorder="little")
-    out = np.zeros((64, (len(packed) + 7) // 8 * 8), np.uint8)
+    out = np.zeros((bits.shape[1], (len(packed) + 7) // 8 * 8 + 16), np.uint8)
     out[:, : len(packed)] = packed.T
     return out.view(np.uint64)
 
 
-def near_rows(groups: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one group (groups are contiguous) within RADIUS = 3 bits; by distance between the rows."""
-    n = len(values)
-    planes = planes_of(values)
-    width = planes.shape[1]
-    planes = np.concatenate([planes, np.zeros((64, width + 2), np.uint64)], axis=1)
+def near_rows(groups: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group (groups are contiguous) within `radius` bits; by distance between the rows.
+
+    Counters begin so high that they overflow just where a distance exceeds the radius.
+    """
+    n, values = len(values), values.reshape(len(values), -1).view(np.uint64)
+    planes, places = planes_of(values), radius.bit_length()
+    width = planes.shape[1] - 2
     for shift in range(1, n):
         together = np.packbits(groups[shift:] == groups[:-shift], bitorder="little")
         valid = np.zeros(width * 8, np.uint8)
@@ -86,22 +101,20 @@ def near_rows(groups: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarr
         if not len(words):
             return
         over = ~valid[words]
-        ones, twos = np.zeros_like(over), np.zeros_like(over)
+        counter = [np.full(len(words), ALL if ((1 << places) - 1 - radius) >> k & 1 else 0, np.uint64) for k in range(places)]
         skip, rest = divmod(shift, 64)
-        for k in range(64):
-            plane = planes[k]
+        for k, plane in enumerate(planes):
             other = plane[words + skip]
             if rest:
                 other = (other >> np.uint64(rest)) | (plane[words + skip + 1] << np.uint64(64 - rest))
-            differ = plane[words] ^ other
-            carry = ones & differ
-            ones ^= differ
-            over |= twos & carry
-            twos ^= carry
+            carry = plane[words] ^ other
+            for c in counter:
+                carry, c[:] = c & carry, c ^ carry
+            over |= carry
             if k % 8 == 7:
                 live = over != ALL
                 if not live.all():
-                    words, over, ones, twos = words[live], over[live], ones[live], twos[live]
+                    words, over, counter = words[live], over[live], [c[live] for c in counter]
                     if not len(words):
                         break
         if len(words):
@@ -127,22 +140,31 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return root
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Spanning edges (a, b) between the nodes(node long, fp long; fp distinct) within RADIUS bits."""
-    width = 64 // BLOCKS
-    blocks = F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for k in range(BLOCKS)))
-    keyed = nodes.select("node", "fp", F.explode(blocks).alias("k")).select("node", "fp", (F.col("k.block") * (1 << width) + F.col("k.value")).alias("key"))
-    full = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select(F.col("key").alias("full"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    dealt = keyed.join(full, keyed.key == full.full, "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    meets = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(own, j).cast("long") * (1 << 31) + F.greatest(own, j)))
-    dealt = dealt.select("node", "fp", "key", F.explode(meets).alias("meet"))
+def block_keys(nodes: int) -> Column:
+    """The keys of a 64-bit `fp`: all choices of k of k + RADIUS blocks, k such that keys are about as many as nodes, or more."""
+    k = next((k for k in (1, 2, 3) if 64 * k // (k + RADIUS) + 2 >= math.log2(max(2, nodes))), 4)
+    cuts = [round(64 * i / (k + RADIUS)) for i in range(k + RADIUS + 1)]
+    masks = []
+    for own in combinations(range(k + RADIUS), k):
+        mask = sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in own)
+        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    return F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)))
+
+
+def links(keyed: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Spanning edges (a, b) between the rows keyed(node long, key long, *prints long) that share a key, within `radius` bits."""
+    prints = [c for c in keyed.columns if c not in ("node", "key")]
+    full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    dealt = keyed.join(full, F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least("own", j).cast("long") * (1 << 31) + F.greatest("own", j))
+    dealt = dealt.select("node", *prints, "key", F.explode(meets).alias("meet"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_groups(batches, ("key", "meet"), 1 << 15):
-            key, meet, fp = (batch.column(c).to_numpy() for c in ("key", "meet", "fp"))
+        for batch in whole_groups(batches, ("key", "meet"), 1 << 14):
+            key, meet = (batch.column(c).to_numpy() for c in ("key", "meet"))
             groups = np.cumsum(np.concatenate([[0], (np.diff(key) != 0) | (np.diff(meet) != 0)]))
-            root = spanning(len(fp), near_rows(groups, fp))
+            values = np.stack([batch.column(c).to_numpy() for c in prints], axis=1)
+            root = spanning(len(values), near_rows(groups, values, radius))
             joined = np.flatnonzero(root != np.arange(len(root)))
             node = batch.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[root[joined]])], ["a", "b"])
@@ -150,20 +172,93 @@ def links(nodes: DataFrame) -> DataFrame:
     return dealt.repartition("key", "meet").sortWithinPartitions("key", "meet").mapInArrow(run, "a long, b long")
 
 
+def _node(kind: str) -> Column:
+    """The smallest doc_id of a kind; a number beyond all doc_ids where it has none."""
+    return F.coalesce(F.min("doc_id"), F.pmod(F.xxhash64(kind), F.lit(1 << 61)) + F.lit(NAMELESS))
+
+
+def _named(component: Column) -> Column:
+    return F.when(component < NAMELESS, component)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long, component_id)."""
     prints = checkpointed(fingerprints(docs))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    joined = components(checkpointed(links(nodes.where("node IS NOT NULL"))))
+    nodes = checkpointed(prints.groupBy("fp").agg(_node("fp").alias("node")))
+    keyed = nodes.select("node", "fp", F.explode(block_keys(nodes.count())).alias("key"))
+    joined = components(checkpointed(links(keyed)))
     named = nodes.join(joined.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
-    named = checkpointed(named.select(F.col("fp").alias("own"), F.coalesce("component", "node").alias("component_id")))
+    named = checkpointed(named.select(F.col("fp").alias("own"), _named(F.coalesce("component", "node")).alias("component_id")))
     return prints.join(named, prints.fp == named.own, "left").select("doc_id", "fp", "component_id")
 
 
-def filter_documents(docs: DataFrame) -> DataFrame:
-    """Of every component the row with the smallest doc_id, with all columns; rows without a doc_id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id == kept._kept, "left").where(F.col("_kept").isNotNull() | F.col("doc_id").isNull()).drop("_kept")
+def bands(nodes: int, similar: float = SIMILAR) -> tuple[int, int]:
+    """(bits of a band, bands): bands as wide as keeps their values about as many as nodes, and as many as RECALL asks for."""
+    width = min(24, max(16, math.ceil(math.log2(max(2, nodes))) - 2))
+    agree = 1 - math.acos(2 * similar / (1 + similar)) / math.pi
+    return width, math.ceil(math.log(1 - RECALL) / math.log(1 - agree**width))
+
+
+def set_bits(own: np.ndarray, bits: int) -> np.ndarray:
+    """The first `bits` bits of the fingerprint of a set of hashes."""
+    words = -(-bits // 64)
+    times = np.random.default_rng(SEED).integers(1, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    total = np.zeros(64 * words, np.int64)
+    for a in range(0, len(own), 255):  # as many as a byte can count
+        h = own[a : a + 255, None] * times
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        total += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1).sum(0, dtype=np.uint8)
+    return (2 * total > len(own))[:bits]
+
+
+def near_texts(docs: DataFrame, shingle: int = TEXT_SHINGLE, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, same, component_id): `same` is a hash of the text; links are texts of similarity `similar` or more."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            data = [shingle_set(t, shingle).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            columns = [pa.array([xxhash.xxh3_128_digest(d) for d in data], pa.binary()), pa.array([len(d) // 8 for d in data], pa.int32()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), *columns], ["doc_id", "same", "kind", "n", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), "text")
+    rows = stored(texts.mapInArrow(sets, "doc_id long, same long, kind binary, n int, shingles binary"))
+    # Equal sets are one node; its first row brings the set.
+    nodes = stored(rows.groupBy("kind").agg(_node("kind").alias("node"), F.min(F.struct("doc_id", "same")).alias("first")).select(F.col("kind").alias("own"), "node", "first"))
+    first = rows.join(nodes, (F.col("kind") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("same") == F.col("first.same")))
+    first = stored(first.select("node", "own", "n", "shingles").dropDuplicates(["own"]))
+    width, count = bands(first.count(), similar)
+    bits = max(SKETCH, width * count)
+    sketch = [f"s{k}" for k in range(SKETCH // 64)]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = 1 << np.arange(width, dtype=np.int64)
+        for batch in slices(batches, "shingles", 1 << 20):
+            own = np.array([set_bits(np.frombuffer(d, np.uint64), bits) for d in batch.column("shingles").to_pylist()])
+            values = own[:, : width * count].reshape(len(own), count, width) @ weigh + (np.arange(count, dtype=np.int64) << width)
+            parts = np.packbits(own[:, :SKETCH], axis=1).view(">u8").astype(np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, count), pa.int32()), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, *(pa.array(parts[:, k]) for k in range(len(sketch)))], ["node", "keys", *sketch])
+
+    keyed = first.select("node", "shingles").mapInArrow(keys, "node long, keys array<long>, " + ", ".join(f"{c} long" for c in sketch))
+    differ = math.acos(2 * similar / (1 + similar)) / math.pi
+    radius = math.ceil(SKETCH * differ + 4 * math.sqrt(SKETCH * differ * (1 - differ)))
+    edges = stored(links(keyed.select("node", *sketch, F.explode("keys").alias("key")), radius).distinct())
+    groups = stored(components(edges).select(F.col("node").alias("member"), F.col("component").alias("group")))
+    linked = components(stored(checked(first.join(groups, F.col("node") == F.col("member")).select("group", "node", "n", "shingles"), similar)))
+    named = nodes.join(linked.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    named = stored(named.select("own", _named(F.coalesce("component", "node")).alias("component_id")))
+    return rows.select("doc_id", "same", "kind").join(named, F.col("kind") == F.col("own"), "left").select("doc_id", "same", "component_id")
+
+
+def filter_documents(docs: DataFrame, shingle: int = TEXT_SHINGLE, similar: float = SIMILAR) -> DataFrame:
+    """One row of every component of near_texts(), that with the smallest (doc_id, hash of the text); rows without a doc_id stay."""
+    best = near_texts(docs, shingle, similar).where("doc_id IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("doc_id", "same")).alias("best"))
+    best = best.select(F.col("best.doc_id").alias("best_id"), F.col("best.same").alias("best_same"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("same"))
+    stay = rows.where("id IS NOT NULL").join(best, (F.col("id") == F.col("best_id")) & (F.col("same") == F.col("best_same")))
+    return stay.dropDuplicates(["id", "same"]).select("row.*").union(rows.where("id IS NULL").select("row.*"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
