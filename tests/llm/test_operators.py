@@ -196,18 +196,32 @@ def test_vectors(spark, data, monkeypatch):
     assert got[90].component_id == got[91].component_id == got[0].component_id == 0
 
 
-@pytest.mark.parametrize("shape", ["flat", "falling", "first", "sparse"])
-def test_uneven_vectors_share_filters(shape):
+@pytest.mark.parametrize("shape, dims", [("flat", 64), ("flat", 128), ("flat", 384), ("flat", 768), ("falling", 64), ("first", 64), ("sparse", 64)])
+@pytest.mark.parametrize("cosine", [0.98, 0.985])
+def test_near_vectors_share_filters(shape, dims, cosine):
     rng = np.random.default_rng(6)
-    scale = {"flat": np.ones(64), "falling": 1 / np.arange(1, 65), "first": np.r_[np.ones(16), np.zeros(48)], "sparse": np.r_[np.ones(6), np.zeros(58)]}[shape]
-    a = rng.standard_normal((150, 64)) * scale
+    scale = {"flat": np.ones(dims), "falling": 1 / np.arange(1, dims + 1), "first": np.arange(dims) < 16, "sparse": np.arange(dims) < 6}[shape]
+    a = rng.standard_normal((150, dims)) * scale
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    off = rng.standard_normal((150, 64)) * (1 if shape == "falling" else scale)
+    off = rng.standard_normal((150, dims)) * (1 if shape == "falling" else scale)
     off -= (off * a).sum(1, keepdims=True) * a
-    b = 0.983 * a + np.sqrt(1 - 0.983**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
-    code = spherical_caps.codes(64)
-    shared = [bool({*x} & {*y}) for x, y in zip(spherical_caps.decode(a, code), spherical_caps.decode(b, code))]
-    assert np.mean(shared) >= 0.9, np.mean(shared)
+    b = cosine * a + np.sqrt(1 - cosine**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    words = spherical_caps.codewords(50_000)
+    x, y = spherical_caps.decode(a, words), spherical_caps.decode(b, words)
+    shared = [len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y)]
+    assert np.mean(shared) >= 0.95, np.mean(shared)
+
+
+def test_lists_are_complete():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((20, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn, code, limit = spherical_caps.codes(12, 32)
+    parts = [p @ c.T for p, c in zip(np.split(x @ turn, 3, axis=1), code)]
+    for v, names in enumerate(spherical_caps.decode(x, 32)):
+        every = (parts[0][v][:, None, None] + parts[1][v][None, :, None] + parts[2][v][None, None, :]).ravel()
+        least = min(limit, np.sort(every)[-spherical_caps.LEAST])
+        assert names.tolist() == np.flatnonzero(every >= least - 1e-9).tolist()
 
 
 def test_packing(spark, data, documents):

@@ -1,21 +1,25 @@
 """Embedding near-duplicates by spherical-cap filters from structured random product codes.
 
 A vector is turned by one fixed orthogonal matrix, so that no block holds more than its part of uneven coordinates, and cut
-into blocks; each block has 2 * width codewords, the signed rows of a Hadamard matrix after random
-sign flips and a random rotation. A filter is one codeword of each block, its direction their concatenation. List
-decoding visits codeword combinations best first and returns all filters whose score reaches the threshold. Vectors of
-a label that share a filter meet in a task and are verified by cosine in double precision; a pair counts only
-under its smallest shared filter. A filter with very many vectors is cut into chunks that meet two by two.
+into BLOCKS blocks, whatever its dimension; each block has a code of signed rows of random orthogonal matrices. A filter is one
+codeword of each block, its direction their concatenation. List decoding goes through each block's codewords from the best down
+and visits only combinations that can still reach the limit; it returns all filters that do. The limit is where a random vector exceeds
+EXPECTED filters; a vector that reaches fewer than LEAST lists all that score as well as its LEAST-th best. There are so many codewords
+that filters outnumber vectors by SPARE. Vectors of a label that share a filter meet in a task and are verified by cosine in double
+precision; a pair counts only under its smallest shared filter. A filter with very many vectors is cut into chunks that meet two by two.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and null labels, link with nothing;
 equal vectors of a label are one node with a count, so copies are never expanded into pairs; vectors of different
-lengths don't link; repeated vec_ids are one row each; an empty table gives an empty result; other columns are ignored.
+lengths don't link; repeated vec_ids are one row each; vectors with a null vec_id only are left out of linking; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -26,82 +30,86 @@ from .common import checkpointed, components, table, whole_groups
 from .simhash import spanning
 
 COSINE = 0.98
-BLOCK_WIDTH, THRESHOLD, LEAST_FILTERS, SEED = 16, 0.50, 4, 20240
+BLOCKS, EXPECTED, LEAST, SPARE, SEED = 3, 8, 16, 64, 20240
 #: Vectors of a filter beyond which it is cut into chunks of about this many.
-CHUNK = 512
+CHUNK = 256
 
 
-@lru_cache(maxsize=8)
-def turn(dims: int) -> np.ndarray:
-    """The orthogonal matrix for vectors of `dims` dimensions, padding included."""
-    return np.linalg.qr(np.random.default_rng(SEED + 1).standard_normal((dims, dims)))[0]
+def codewords(vectors: int) -> int:
+    """Codewords of a block: a power of two, 32 at least."""
+    return 1 << max(5, math.ceil(math.log2(max(1, SPARE * vectors)) / BLOCKS))
 
 
-def codes(dims: int) -> list[np.ndarray]:
-    """Per block, codewords of norm 1 / sqrt(blocks); dims is padded to whole blocks by the caller."""
+@lru_cache(maxsize=4)
+def codes(dims: int, words: int) -> tuple[np.ndarray, list[np.ndarray], float]:
+    """The turning matrix (padding included), a code per block with words of norm 1 / sqrt(BLOCKS), and the limit."""
     rng = np.random.default_rng(SEED)
-    hadamard = np.ones((1, 1))
-    while len(hadamard) < BLOCK_WIDTH:
-        hadamard = np.block([[hadamard, hadamard], [hadamard, -hadamard]])
-    blocks = -(-dims // BLOCK_WIDTH)
-    out = []
-    for _ in range(blocks):
-        turn, _ = np.linalg.qr(rng.standard_normal((BLOCK_WIDTH, BLOCK_WIDTH)))
-        rows = (hadamard * rng.choice([-1.0, 1.0], BLOCK_WIDTH)) @ turn / np.sqrt(BLOCK_WIDTH)
-        out.append(np.concatenate([rows, -rows]) / np.sqrt(blocks))
-    return out
-
-
-def decode(unit: np.ndarray, code: list[np.ndarray]) -> list[list[int]]:
-    """For each unit vector all filters that score THRESHOLD or more, found best first, block by block.
-
-    For a vector with fewer than LEAST_FILTERS of them the limit is lowered step by step; all that reach it are returned.
-    """
-    size = len(code[0])
-    padded = np.zeros((len(unit), len(code) * BLOCK_WIDTH))
-    padded[:, : unit.shape[1]] = unit
-    padded = padded @ turn(padded.shape[1])
-    scores = [padded[:, k * BLOCK_WIDTH : (k + 1) * BLOCK_WIDTH] @ c.T for k, c in enumerate(code)]
-    best = np.array([s.max(1) for s in scores])
-    after = np.concatenate([np.cumsum(best[::-1], axis=0)[::-1][1:], np.zeros((1, len(unit)))])
+    width = -(-dims // BLOCKS)
+    words = min(words, 2) if width == 1 else words  # on a line there are two directions
+    turn = np.linalg.qr(rng.standard_normal((width * BLOCKS,) * 2))[0]
     out = []
+    for _ in range(BLOCKS):
+        rows = [np.linalg.qr(rng.standard_normal((width, width)))[0] for _ in range(-(-words // (2 * width)))]
+        out.append(np.concatenate([m for r in rows for m in (r, -r)])[:words] / math.sqrt(BLOCKS))
+    return turn, out, -NormalDist().inv_cdf(min(0.5, EXPECTED / words**BLOCKS)) / math.sqrt(width * BLOCKS)
+
+
+def exceeding(scores: list[np.ndarray], order: list[np.ndarray], limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Names and scores of all filters that reach the limit; `scores` fall, `order` has their codewords."""
+    first, second, third = scores
+    n = int(np.searchsorted(-first, second[0] + third[0] - limit, side="right"))
+    m = np.searchsorted(-second, first[:n] + third[0] - limit, side="right")
+    i = np.repeat(np.arange(n), m)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+    part = first[i] + second[j]
+    m = np.searchsorted(-third, part - limit, side="right")
+    i, j, part = np.repeat(i, m), np.repeat(j, m), np.repeat(part, m)
+    k = np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+    words = len(first)
+    return (order[0][i] * words + order[1][j]) * words + order[2][k], part + third[k]
+
+
+def decode(unit: np.ndarray, words: int) -> list[np.ndarray]:
+    """For each unit vector the sorted names of its filters."""
+    turn, code, limit = codes(unit.shape[1], words)
+    turned = np.pad(unit, ((0, 0), (0, len(turn) - unit.shape[1]))) @ turn
+    scores = [part @ c.T for part, c in zip(np.split(turned, BLOCKS, axis=1), code)]
+    order = [np.argsort(-s, axis=1) for s in scores]
+    scores = [np.take_along_axis(s, o, 1) for s, o in zip(scores, order)]
+    step, least, out = 0.3 / math.sqrt(len(turn)), min(LEAST, len(code[0]) ** BLOCKS), []
     for v in range(len(unit)):
-        limit = THRESHOLD
-        while True:
-            partial = [(0.0, 0)]
-            for k, s in enumerate(scores):
-                row = s[v]
-                order = np.argsort(-row)
-                values, rest, grown = row[order], limit - after[k, v], []
-                for got, name in partial:
-                    for w in range(int(np.searchsorted(-values, got - rest, side="right"))):
-                        grown.append((got + values[w], name * size + int(order[w])))
-                partial = grown
-            if len(partial) >= LEAST_FILTERS or limit < -1:
-                break
-            limit -= 0.03
-        out.append(sorted(name for _, name in partial))
+        own, by = [s[v] for s in scores], [o[v] for o in order]
+        low = min(limit, sum(float(s[0]) for s in own))
+        while len((got := exceeding(own, by, low))[0]) < least:
+            low -= step
+        names, values = got
+        if low < limit:
+            names = names[values >= np.partition(values, -least)[-least] - 1e-12]
+        out.append(np.sort(names))
     return out
 
 
-def _filters(vectors: DataFrame) -> DataFrame:
-    """(node, filters array<long>) of valid vectors(node, embedding array<double>)."""
+def _filters(vectors: DataFrame, words: int) -> DataFrame:
+    """(node, place, filters array<long>) of valid vectors(node, place, embedding)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            rows: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            by_length: dict[int, list[int]] = {}
-            vectors = [np.array(v, np.float64) for v in batch.column("embedding").to_pylist()]
-            for k, v in enumerate(vectors):
-                by_length.setdefault(len(v), []).append(k)
-            for dims, own in by_length.items():
-                x = np.array([vectors[k] for k in own])
-                for k, f in zip(own, decode(x / np.linalg.norm(x, axis=1, keepdims=True), made.setdefault(dims, codes(dims)))):
-                    rows[k] = f
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(rows, pa.list_(pa.int64()))], ["node", "filters"])
+            column = batch.column("embedding")
+            dims, rows = np.diff(column.offsets.to_numpy()), [None] * batch.num_rows
+            for d in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == d)
+                x = column.take(pa.array(own)).flatten().to_numpy().astype(np.float64).reshape(len(own), d)
+                for k, names in zip(own.tolist(), decode(_unit(x), words)):
+                    rows[k] = names
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("place"), pa.array(rows, pa.list_(pa.int64()))], ["node", "place", "filters"])
+
+    return vectors.select("node", "place", "embedding").mapInArrow(run, "node long, place long, filters array<long>")
+
 
-    return vectors.select("node", "embedding").mapInArrow(run, "node long, filters array<long>")
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at norm 1; divided by their largest component first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _verified(met: DataFrame) -> DataFrame:
@@ -117,8 +125,7 @@ def _verified(met: DataFrame) -> DataFrame:
             for a, b in zip(cuts, cuts[1:]):
                 if b - a < 2:
                     continue
-                x = np.array(vectors[a:b].to_pylist(), np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(vectors[a:b].flatten().to_numpy().astype(np.float64).reshape(b - a, -1))
                 near = x @ x.T >= COSINE
                 np.fill_diagonal(near, False)
                 lower = [[f for f in own if f < filters[a]] for own in listed[a:b].to_pylist()]
@@ -145,7 +152,9 @@ def _verified(met: DataFrame) -> DataFrame:
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for the rows of `vectors`(vec_id, embedding, label)."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    rows = vectors.select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
+    if "array<float>" not in dict(rows.dtypes)["embedding"]:  # floats stay as small as they are; all sums are in double precision
+        rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
     finite = F.forall("embedding", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
     valid = F.coalesce(F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     # A digest of the vector names its class, so that hot copies are counted before they are dealt.
@@ -154,7 +163,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     classes = checkpointed(classed.where("class IS NOT NULL").groupBy("class").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).where("node IS NOT NULL"))
     first = classed.where("class IS NOT NULL").join(classes, ["class"]).where("vec_id = node").dropDuplicates(["node"])
     nodes = checkpointed(first.select("node", "copies", "embedding", F.xxhash64("label", F.size("embedding")).alias("place")))
-    member = checkpointed(_filters(nodes).join(nodes.select("node", "place"), "node").select("node", "place", F.explode("filters").alias("filter")))
+    member = checkpointed(_filters(nodes, codewords(nodes.count())).select("node", "place", F.explode("filters").alias("filter")))
     sizes = member.groupBy("place", "filter").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select(F.col("place").alias("p"), F.col("filter").alias("f"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     shared = member.join(sizes, (member.place == sizes.p) & (member["filter"] == sizes.f)).select("node", "filter", "chunks")
