@@ -272,8 +272,62 @@ def test_quality_features(spark, data, documents):
         assert not (r.kept and r.base_failed)
     clean = [r for r in got.values() if r.doc_id < 40]
     assert all(r.kept for r in clean)
-    junk = [d.doc_id for d in documents if d.text and ("$$$" in d.text or d.text.startswith("Reen"))]
-    assert junk and not any(got[k].kept for k in junk)
+
+
+def brute_em(patterns: Counter, steps: int) -> tuple[float, dict]:
+    """EM over vote patterns in plain Python: (prior, {(rule, outcome): (good, bad)})."""
+    q = quality_rules
+    names, total = list(q.votes()), sum(patterns.values())
+    prior, rates = q.PRIOR, {(k, o): q.START[o] for k in range(len(names)) for o in q.START}
+    for _ in range(steps):
+        post = {}
+        for x in patterns:
+            good = prior * math.prod(rates[k, o][0] for k, o in enumerate(x))
+            post[x] = good / (good + (1 - prior) * math.prod(rates[k, o][1] for k, o in enumerate(x)))
+        g = sum(n * post[x] for x, n in patterns.items())
+        for k, o in rates:
+            hit = {x: n for x, n in patterns.items() if x[k] == o}
+            hg = sum(n * post[x] for x, n in hit.items())
+            w = q.PRIOR_WEIGHT
+            rates[k, o] = ((hg + w * q.START[o][0]) / (g + w), (sum(hit.values()) - hg + w * q.START[o][1]) / (total - g + w))
+        prior = (g + q.PRIOR * w) / (total + w)
+    return prior, {(names[k], o): r for (k, o), r in rates.items()}
+
+
+@pytest.fixture(scope="session")
+def mixed_quality(spark):
+    import random
+
+    rng = random.Random(12)
+    words = ["stone", "river", "hill", "cloud", "meadow", "lamp", "winter", "bread", "thread", "garden"] + [f"leaf{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n)) + "."
+    rows = [(k, "\n".join(text(30) for _ in range(5))) for k in range(240)]
+    rows += [(1000 + k, " ".join(w + "$$$" for w in text(90).split())) for k in range(25)]
+    rows += [(2000 + k, " ".join(w for w in text(12).split() for _ in range(8))) for k in range(25)]
+    rows += [(3000 + k, "\n".join([text(14)[:-1]] * 12)) for k in range(10)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_em_decides_like_brute_force(spark, mixed_quality):
+    q = quality_rules
+    featured = q.checkpointed(q.features(mixed_quality).select("row.doc_id", "f"))
+    model = q.fit(featured, steps=2)
+    patterns = Counter(tuple(r) for r in featured.select(*(v.alias(k) for k, v in q.votes().items())).collect())
+    prior, rates = brute_em(patterns, 2)
+    assert math.isclose(model["prior"], prior, rel_tol=1e-9)
+    assert all(math.isclose(a, b, rel_tol=1e-9) for (k, o), r in rates.items() for a, b in zip(model["rates"][k][o], r))
+    model = q.fit(featured)
+    got = {r.doc_id: r for r in q.judge(featured, model).collect()}
+    assert all(r.kept == (i < 1000) for i, r in got.items()), [(i, r.kept, r.quality) for i, r in got.items() if r.kept != (i < 1000)]
+    table = {(r.rule, r.outcome): r for r in q.fitted_rates(spark, model).collect()}
+    assert table["symbols", -1].weight < -2 and table["variety", -1].weight < -2 and len(table) == 3 * len(q.votes())
+
+
+def test_quality_keeps_clashing_columns(spark, mixed_quality):
+    names = ("f", "row", "_f", "_words", "_hash", "_sorted", "_at", "_lines", "_windows", "kept", "quality")
+    docs = mixed_quality.selectExpr("*", *(f"'x{c}' AS {c}" for c in names))
+    got = quality_rules.filter_documents(docs).collect()
+    assert len(got) == 240 and all(r[c] == f"x{c}" for r in got for c in names)
 
 
 def test_rules_vote_without_python(spark, data):

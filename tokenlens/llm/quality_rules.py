@@ -2,10 +2,13 @@
 
 Everything is DataFrame expressions: per-text features are array functions inside one row, the
 corpus enters only as counts of vote patterns (at most 3 ** rules rows), and each EM step is one
-aggregate over that table.
+aggregate over that table. Rules see a fault from several sides, so that the data tell which of them agree. EM alone sets how often
+good and bad texts get each outcome of a rule, and the share of good texts; START and PRIOR_WEIGHT only smooth. Which
+of the two classes is called good is settled last: that where rules vote bad less often.
 
 Defined cases: a null text is an empty one; no words means base_failed; repeated rows and ties are
-scored alike, row by row; an empty table gives an empty result; other columns are ignored.
+scored alike, row by row; very long texts are whole; an empty table gives an empty result; other columns are kept by
+filter_documents(), whatever their names, and ignored otherwise.
 8-word windows are compared by a 64-bit hash of eight 64-bit word hashes, within one text only.
 """
 
@@ -21,14 +24,15 @@ from .common import SPACES, checkpointed, stored, table, words_column
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT = 20, 30
-EM_STEPS, PRIOR_WEIGHT, LEAST_AGAINST, MOST_FOR, MOST_PRIOR = 20, 50.0, 25.0, 1.25, 0.9
+EM_STEPS, PRIOR_WEIGHT, PRIOR = 60, 20.0, 0.8
 KEEP_AT = 0.5
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_ended", "n_stutter")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_stutter", "n_symbol_words", "n_plain_words", "n_letters", "n_types")
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of `docs` and one struct column `_f` with FEATURES."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    """`row`, a struct of all columns of `docs`, and `f`, a struct of FEATURES."""
+    docs = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    t = F.col("text")
     has_word = lambda line: F.trim(line, F.lit(SPACES)) != ""
     rows = docs.withColumn("_words", words_column(t)).withColumn("_lines", F.filter(F.split(t, "\n"), has_word))
     rows = rows.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
@@ -42,7 +46,6 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     twice = F.filter("_sorted", lambda x, k: same(x, k - 1) | same(x, k + 1))
     rows = rows.withColumn("_at", F.array_sort(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(F.transform("_at", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_at", k + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
-    upper = F.length(t) - F.length(F.regexp_replace(t, "[A-Z]+", ""))
     symbols = sum((F.octet_length(t) - F.octet_length(F.replace(t, F.lit(s), F.lit(""))) for s in SYMBOLS), F.lit(0))
     values = {
         "n_words": F.size("_words"),
@@ -52,34 +55,38 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": covered,
         "n_lines": F.size("_lines"),
         "n_stutter": F.size(F.filter("_hash", lambda h, i: h == F.get("_hash", i - 1))),
-        "n_upper": upper,
         "n_ended": F.size(F.filter("_lines", lambda x: F.rtrim(x).rlike("[.!?:;\"')]$"))),
+        "n_symbol_words": F.size(F.filter("_words", lambda w: w.rlike(f"[{SYMBOLS}]"))),
+        "n_plain_words": F.size(F.filter("_words", lambda w: w.rlike(r"^\p{L}+[.,;:!?]?$"))),
+        "n_letters": F.length(F.regexp_replace(t, r"\P{L}+", "")),
+        "n_types": F.size(F.array_distinct("_hash")),
     }
-    return rows.withColumn("_f", F.struct(*(v.cast("long").alias(k) for k, v in values.items()))).select(*docs.columns, "_f")
+    return rows.withColumn("_f", F.struct(*(v.cast("long").alias(k) for k, v in values.items()))).select("row", F.col("_f").alias("f"))
 
 
-def base_failed(f: str = "_f") -> Column:
+def base_failed(f: str = "f") -> Column:
     x = F.col(f)
     return (x["n_words"] < MIN_WORDS) | (100 * x["n_repeat_words"] > MAX_REPEATED_PERCENT * x["n_words"])
 
 
-def votes(f: str = "_f") -> dict[str, Column]:
-    """1 good, -1 bad, 0 abstains. Most rules know one kind of fault only and abstain where they don't see it."""
+def votes(f: str = "f") -> dict[str, Column]:
+    """1 good, -1 bad, 0 abstains: between the two limits, or where a text is too short for the rule."""
     x = F.col(f)
     share = lambda a, b: x[a] / F.greatest(x[b], F.lit(1))
-    vote = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
-    mean, symbol, line = share("word_chars", "n_words"), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines")
-    repeat, upper, stutter, ended = share("n_repeat_words", "n_words"), share("n_upper", "word_chars"), share("n_stutter", "n_words"), share("n_ended", "n_lines")
-    no = F.lit(False)
+    low = lambda value, good, bad: F.when(value > bad, -1).when(value <= good, 1).otherwise(0)
+    high = lambda value, good, bad: F.when(value < bad, -1).when(value >= good, 1).otherwise(0)
     return {
-        "length": vote(x["n_words"] >= 100, x["n_words"] < 5),
-        "word_length": vote(no, (mean < 2) | (mean > 14)),
-        "symbols": vote(no, symbol > 0.03),
-        "dup_lines": vote(no, line > 0.6),
-        "repeats": vote(no, repeat > 0.25),
-        "stutter": vote(no, stutter > 0.2),
-        "capitals": vote(no, upper > 0.9),
-        "endings": vote(ended > 0.7, (ended < 0.1) & (x["n_lines"] > 4)),
+        "length": high(x["n_words"], 50, 5),
+        "symbols": low(share("n_symbols", "word_chars"), 0.005, 0.03),
+        "symbol_words": low(share("n_symbol_words", "n_words"), 0.02, 0.1),
+        "plain_words": high(share("n_plain_words", "n_words"), 0.9, 0.7),
+        "letters": high(share("n_letters", "word_chars"), 0.93, 0.8),
+        "repeats": low(share("n_repeat_words", "n_words"), 0.05, 0.25),
+        # Long texts use their words again: the share of distinct ones is held against that of MIN_WORDS to 1,000 words.
+        "variety": F.when(x["n_words"] < MIN_WORDS, 0).otherwise(high(share("n_types", "n_words") * F.greatest(F.lit(1.0), F.sqrt(x["n_words"] / 1000)), 0.5, 0.35)),
+        "stutter": low(share("n_stutter", "n_words"), 0.05, 0.2),
+        "dup_lines": F.when(x["n_lines"] < 3, 0).otherwise(low(share("n_dup_lines", "n_lines"), 0.1, 0.4)),
+        "endings": high(share("n_ended", "n_lines"), 0.7, 0.1),
     }
 
 
@@ -96,28 +103,15 @@ def posterior(model: dict, vote: dict[str, Column]) -> Column:
     return 1 / (1 + F.exp(-_log_odds(model, vote)))
 
 
-#: Rates of a rule's outcomes among good and among bad texts before EM; they count as PRIOR_WEIGHT texts.
-START = {-1: (0.01, 0.25), 0: (0.59, 0.55), 1: (0.40, 0.20)}
-
-
-def _rates(good: dict[int, float], bad: dict[int, float]) -> dict[int, tuple[float, float]]:
-    """Normalised rates; a bad vote speaks against a text by LEAST_AGAINST at least, a good vote never against it."""
-    g = {o: v / sum(good.values()) for o, v in good.items()}
-    b = {o: v / sum(bad.values()) for o, v in bad.items()}
-    b[-1] = max(b[-1], min(0.9, LEAST_AGAINST * g[-1]))
-    g[-1] = min(g[-1], b[-1] / LEAST_AGAINST)
-    return {-1: (g[-1], b[-1]), 0: (g[0], min(b[0], MOST_FOR * g[0])) if g[0] < b[0] else (g[0], max(b[0], g[0] / MOST_FOR)), 1: (g[1], min(g[1], max(b[1], g[1] / MOST_FOR)))}
+#: Rates of a rule's outcomes among good and among bad texts before EM; they count as PRIOR_WEIGHT texts of each class.
+START = {-1: (0.01, 0.25), 0: (0.29, 0.35), 1: (0.70, 0.40)}
 
 
 def fit(featured: DataFrame, steps: int = EM_STEPS) -> dict:
-    """Prior and, per rule, how often good and bad texts get each outcome, by EM over all rows' vote patterns.
-
-    The rates START are mixed in with the weight of PRIOR_WEIGHT texts a class, and _rates() bounds how
-    far a single vote can speak, so that "good" stays the class that rules vote for, in any corpus.
-    """
+    """Prior and, per rule, how often good and bad texts get each outcome, by EM over all rows' vote patterns."""
     names = list(votes())
     patterns = checkpointed(featured.select(*(v.alias(k) for k, v in votes().items())).groupBy(*names).agg(F.count("*").alias("n"))).coalesce(1)
-    model = {"prior": 0.8, "rates": {k: dict(START) for k in names}}
+    model = {"prior": PRIOR, "rates": {k: dict(START) for k in names}}
     for _ in range(steps):
         p = F.col("p")
         sums = [F.sum("n").alias("all"), F.sum(F.col("n") * p).alias("good")]
@@ -128,20 +122,29 @@ def fit(featured: DataFrame, steps: int = EM_STEPS) -> dict:
         got = patterns.withColumn("p", posterior(model, {k: F.col(k) for k in names})).agg(*sums).first()
         if not got["all"]:
             break
+        good, every = got["good"], got["all"]
         rates = {}
         for k in names:
-            good = {o: got[f"{k}{o}g"] + PRIOR_WEIGHT * START[o][0] for o in START}
-            bad = {o: got[f"{k}{o}"] - got[f"{k}{o}g"] + PRIOR_WEIGHT * START[o][1] for o in START}
-            rates[k] = _rates(good, bad)
-        prior = (got["good"] + 0.8 * PRIOR_WEIGHT) / (got["all"] + PRIOR_WEIGHT)
-        prior = min(MOST_PRIOR, max(0.5, prior))
+            rates[k] = {}
+            for o, (g, b) in START.items():
+                hit, hit_good = got[f"{k}{o}"], got[f"{k}{o}g"]
+                rates[k][o] = ((hit_good + PRIOR_WEIGHT * g) / (good + PRIOR_WEIGHT), (hit - hit_good + PRIOR_WEIGHT * b) / (every - good + PRIOR_WEIGHT))
+        prior = (good + PRIOR * PRIOR_WEIGHT) / (every + PRIOR_WEIGHT)
         moved = max([abs(prior - model["prior"])] + [abs(x - y) for k in names for o in START for x, y in zip(rates[k][o], model["rates"][k][o])])
         model = {"prior": prior, "rates": rates}
         if moved < 1e-4:
             break
+    if sum(r[-1][0] - r[-1][1] for r in model["rates"].values()) > 0:
+        model = {"prior": 1 - model["prior"], "rates": {k: {o: x[::-1] for o, x in r.items()} for k, r in model["rates"].items()}}
     return model
 
 
+def fitted_rates(spark: SparkSession, model: dict) -> DataFrame:
+    """(rule, outcome, good, bad, weight): what EM has found; weight is the log of good to bad."""
+    rows = [(k, o, g, b, math.log(g / b)) for k, r in model["rates"].items() for o, (g, b) in r.items()]
+    return spark.createDataFrame(rows, "rule string, outcome int, good double, bad double, weight double")
+
+
 def judge(featured: DataFrame, model: dict) -> DataFrame:
     """Adds `base_failed`, `quality` (posterior) and `kept`."""
     p = posterior(model, votes())
@@ -152,10 +155,10 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (all its columns) whose verdict is to keep. Rows are stored with their features, so that
     these are computed once and the optimizer doesn't copy their expressions into every rule; no text is shuffled."""
     featured = stored(features(docs))
-    return judge(featured, fit(featured)).where("kept").select(*docs.columns)
+    return judge(featured, fit(featured)).where("kept").select("row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    featured = checkpointed(features(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_f"))
+    featured = checkpointed(features(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "f"))
     judged = judge(featured, fit(featured))
-    return judged.select("doc_id", *(F.col("_f")[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept", "quality")
+    return judged.select("doc_id", *(F.col("f")[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept", "quality")
