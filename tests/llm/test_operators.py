@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tokenlens.llm import katz, language_id, licenses, packing, piece_codec, queries, quality_rules, shingles, simhash, spherical_caps, suffix_dedup
+from tokenlens.llm import katz, language_id, licenses, packing, piece_codec, queries, quality_rules, sharding, shingles, simhash, spherical_caps, suffix_dedup
 
 
 ODD_TEXTS = ["it's 12.5 don't!'s 1's O'Reilly", "<|endoftext|> a<|b|>", "  lead\ttab\x0bx\x85y\xa0z ", "É é Ñ ² ½x µ ª", "日本語 ok Ω", "", None, "   ", " ", "a\x1cb", "x\n\ny...!!!@#  '", "\x00nul x", "ß ẞ İ ÀÉ", "'S 'LL 'D we'LL", "▁a ▁▁b", " x", "x ", "a  b", "<s> </s> <0x0A>", "q" * 70_000, "word " * 40_000]
@@ -27,11 +27,20 @@ def test_empty_tables(spark, empty, name):
 
 def test_extra_columns_do_not_matter(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    for c in ("key", "fp", "node", "rid", "r", "k", "bucket", "range", "h", "id", "runs", "start"):
-        docs = docs.selectExpr("*", f"'x' AS {c}")
+    clash = ("key", "fp", "node", "rid", "r", "k", "bucket", "range", "h", "id", "runs", "start", "row", "f", "same", "kind", "form", "lines", "words", "label", "size", "shard", "place", "train", "block")
+    docs = docs.selectExpr("*", *(f"'x' AS {c}" for c in clash))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    for name in ("op1_language", "op2_simhash", "op6_sharding", "op8_quality", "op9_katz", "op10_suffix"):
-        assert len(run(spark, name, str(tmp_path))) == docs.count()
+    vectors = spark.read.parquet(f"{data}/embeddings.parquet")
+    vectors.selectExpr("*", *(f"'x' AS {c}" for c in ("node", "place", "filter", "filters", "class", "copies", "chunk", "meet"))).write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in queries.queries():
+        if name not in ("op4_vectors", "op5_packing", "pipeline"):
+            assert len(run(spark, name, str(tmp_path))) == docs.count(), name
+    assert len(run(spark, "op4_vectors", str(tmp_path))) == vectors.count() and run(spark, "op5_packing", str(tmp_path))
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, "")
+        assert left.columns == docs.columns and all(r[c] == "x" for r in left.collect() for c in clash), name
 
 
 def test_language(spark, data, documents):
@@ -44,6 +53,32 @@ def test_language(spark, data, documents):
             assert r.lang_pred == d.lang
 
 
+def brute_viterbi(scores: np.ndarray) -> float:
+    """The best score of any path, by trying all of them."""
+    from itertools import product
+
+    best = -math.inf
+    for path in product(range(scores.shape[1]), repeat=len(scores)):
+        changes = sum(a != b for a, b in zip(path, path[1:]))
+        best = max(best, sum(float(scores[t, k]) for t, k in enumerate(path)) - language_id.SWITCH_PENALTY * changes)
+    return best
+
+
+def test_viterbi_finds_the_best_path():
+    model = {"langs": ["a", "b", "c"], "codes": np.zeros(0, np.int64), "log": np.zeros((1, 3), np.float32), "allowed": np.ones((len(language_id.SCRIPTS), 3), bool)}
+    rng = np.random.default_rng(2)
+    labeller = language_id.Labeller(model)
+    labeller.scores = np.concatenate([np.zeros((1, 3)), rng.normal(0, 20, (40, 3))]).astype(np.float32)
+    n = np.array([7, 1, 5, 0, 8, 3])
+    at, starts = rng.integers(0, 41, int(n.sum())), np.cumsum(n) - n
+    path = labeller.viterbi(at, starts, n)
+    for a, m in zip(starts, n):
+        if m:
+            own, scores = path[a : a + m], labeller.scores[at[a : a + m]]
+            got = sum(float(scores[t, k]) for t, k in enumerate(own)) - language_id.SWITCH_PENALTY * (np.diff(own) != 0).sum()
+            assert math.isclose(got, brute_viterbi(scores), rel_tol=1e-5, abs_tol=1e-3)
+
+
 def test_spans_of_mixed_text(spark, data):
     model = language_id.train(spark.read.parquet(f"{data}/documents.parquet"))
     (lang, score, n, spans), = language_id.Labeller(model).label(["the thing and other wheat shore ring hath thing " * 3 + "été le queue oiseau être aux mer ça"])
@@ -259,6 +294,20 @@ def test_sharding(spark, data, documents):
     assert all(sorted(s) == list(range(len(s))) for s in shards.values()) and set(shards) <= set(range(24))
 
 
+def test_shards_hold_equal_bytes(spark):
+    rng = np.random.default_rng(14)
+    texts = ["same text of a hot group"] * 400 + ["y" * int(n) for n in rng.integers(0, 300, 800)] + ["z" * 20_000]
+    docs = spark.createDataFrame([(7 * k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    sums = defaultdict(int)
+    for r in sharding.shard_by_bytes(docs, 8).collect():
+        sums[r.shard] += r.size
+    size = [len(t) + 8 for t in texts]
+    # A row is never cut, so a shard is off its share by half of the largest row next to each of its two ends at most.
+    assert sum(sums.values()) == sum(size) and all(abs(s - sum(size) / 8) <= max(size) for s in sums.values())
+    small = [s for k, s in sums.items() if abs(s - sum(size) / 8) <= 310]
+    assert len(small) >= 6
+
+
 def test_quality_features(spark, data, documents):
     got = {r.doc_id: r for r in run(spark, "op8_quality", data)}
     for d in documents:
@@ -463,11 +512,22 @@ def test_licenses(spark, data, documents):
 def test_lines_are_matched_in_canonical_form(spark):
     lines = ["All rights-reserved.", "ALL RIGHTS  RESERVED", "This work is dedicated to the public-domain.", "Use it,  as you like!"]
     docs = spark.createDataFrame([(k, f"Some words.\n{x}\nMore.") for k, x in enumerate(lines)], "doc_id long, text string")
-    known = licenses.known_digests(spark, [*licenses.KNOWN, ("own", "Use it as you like.")])
-    got = {r.doc_id: (r.n_notices, r.notices) for r in licenses.scan(docs, known).collect()}
+    got = {r.doc_id: (r.n_notices, r.notices) for r in licenses.scan(docs, [*licenses.KNOWN, ("own", "Use it as you like.")]).collect()}
     assert got == {0: (1, "all-rights-reserved"), 1: (1, "all-rights-reserved"), 2: (1, "CC0-1.0"), 3: (1, "own")}
 
 
+def test_embedded_licences(spark):
+    import textwrap
+
+    known = dict(reversed(licenses.KNOWN))
+    wrapped = lambda name: "\n".join(textwrap.wrap(known[name], 60))
+    texts = [f"A tool.\n\nCopyright 2020 Somebody\n{wrapped('BSD-3-Clause')}\n\nThanks to all.", known["ISC"], f"{wrapped('MPL-2.0')}\ncode\n{wrapped('Apache-2.0').replace('License', 'LICENCE')}", known["ISC"][:-30], "", None, "plain words " * 30_000 + known["Zlib"]]
+    docs = spark.createDataFrame([(None if k == 4 else k, t, "x", "y") for k, t in enumerate(texts)], "doc_id long, text string, form string, license string")
+    got = {r.doc_id: r for r in licenses.scan(docs.union(docs.where("doc_id = 1"))).collect()}
+    assert [(got[k].license, got[k].embedded, got[k].n_embedded) for k in (0, 1, 2, 3, 5, 6)] == [(None, "BSD-3-Clause", 1), ("ISC", "", 0), (None, "Apache-2.0 MPL-2.0", 2), (None, "", 0), (None, "", 0), (None, "Zlib", 1)]
+    assert got[5].text_digest is None and licenses.scan(docs.union(docs)).count() == 2 * len(texts)
+
+
 def test_pipeline(spark, data, documents):
     import corpus_pipeline
 
