@@ -151,7 +151,7 @@ def test_share_of_similar_sets_that_meet():
         a, b = (simhash.set_bits(s, width * count) for s in (x[:size], x[size - same :]))
         met += bool((a.reshape(count, width) == b.reshape(count, width)).all(1).any())
         near += (a[:128] != b[:128]).sum() <= 36
-    assert met >= 0.95 * 300 and near >= 0.99 * 300, (met, near)
+    assert met >= 0.93 * 300 and near >= 0.99 * 300, (met, near)
 
 
 @pytest.mark.parametrize("chunk", [1024, 4])

@@ -35,7 +35,7 @@ from .shingles import checked, shingle_set
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: For texts: words of a shingle, similarity, the share of pairs at just that similarity that share a band, bits compared in a task.
-TEXT_SHINGLE, SIMILAR, RECALL, SKETCH = 5, 0.8, 0.98, 128
+TEXT_SHINGLE, SIMILAR, RECALL, SKETCH = 5, 0.8, 0.96, 128
 #: Rows of a key beyond which it is cut into chunks of about this many.
 CHUNK = 1024
 #: Names of nodes without a doc_id begin here.
@@ -215,40 +215,41 @@ def set_bits(own: np.ndarray, bits: int) -> np.ndarray:
 
 def near_texts(docs: DataFrame, shingle: int = TEXT_SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, same, component_id): `same` is a hash of the text; links are texts of similarity `similar` or more."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            data = [shingle_set(t, shingle).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            columns = [pa.array([xxhash.xxh3_128_digest(d) for d in data], pa.binary()), pa.array([len(d) // 8 for d in data], pa.int32()), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), *columns], ["doc_id", "same", "kind", "n", "shingles"])
-
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), "text")
-    rows = stored(texts.mapInArrow(sets, "doc_id long, same long, kind binary, n int, shingles binary"))
-    # Equal sets are one node; its first row brings the set.
-    nodes = stored(rows.groupBy("kind").agg(_node("kind").alias("node"), F.min(F.struct("doc_id", "same")).alias("first")).select(F.col("kind").alias("own"), "node", "first"))
-    first = rows.join(nodes, (F.col("kind") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("same") == F.col("first.same")))
-    first = stored(first.select("node", "own", "n", "shingles").dropDuplicates(["own"]))
-    width, count = bands(first.count(), similar)
-    bits = max(SKETCH, width * count)
+    width, count = bands(docs.count(), similar)
     sketch = [f"s{k}" for k in range(SKETCH // 64)]
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = 1 << np.arange(width, dtype=np.int64)
-        for batch in slices(batches, "shingles", 1 << 20):
-            own = np.array([set_bits(np.frombuffer(d, np.uint64), bits) for d in batch.column("shingles").to_pylist()])
+        for batch in slices(batches, "text", 1 << 20):
+            sets = [shingle_set(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            own = np.array([set_bits(s, max(SKETCH, width * count)) for s in sets])
             values = own[:, : width * count].reshape(len(own), count, width) @ weigh + (np.arange(count, dtype=np.int64) << width)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, count), pa.int32()), pa.array(values.ravel()))
             parts = np.packbits(own[:, :SKETCH], axis=1).view(">u8").astype(np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, count), pa.int32()), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, *(pa.array(parts[:, k]) for k in range(len(sketch)))], ["node", "keys", *sketch])
-
-    keyed = first.select("node", "shingles").mapInArrow(keys, "node long, keys array<long>, " + ", ".join(f"{c} long" for c in sketch))
+            kinds = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), kinds, keys, *(pa.array(parts[:, k]) for k in range(len(sketch)))], ["doc_id", "same", "kind", "keys", *sketch])
+
+    rows = stored(texts.mapInArrow(prints, "doc_id long, same long, kind binary, keys array<long>, " + ", ".join(f"{c} long" for c in sketch)))
+    # Equal sets are one node, which has the text of one row.
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "same")).alias("first")
+    nodes = stored(rows.groupBy("kind").agg(_node("kind").alias("node"), first, F.first(F.struct("keys", *sketch)).alias("p")))
+    keyed = nodes.select("node", *(f"p.{c}" for c in sketch), F.explode("p.keys").alias("key"))
     differ = math.acos(2 * similar / (1 + similar)) / math.pi
     radius = math.ceil(SKETCH * differ + 4 * math.sqrt(SKETCH * differ * (1 - differ)))
-    edges = stored(links(keyed.select("node", *sketch, F.explode("keys").alias("key")), radius).distinct())
-    groups = stored(components(edges).select(F.col("node").alias("member"), F.col("component").alias("group")))
-    linked = components(stored(checked(first.join(groups, F.col("node") == F.col("member")).select("group", "node", "n", "shingles"), similar)))
-    named = nodes.join(linked.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
-    named = stored(named.select("own", _named(F.coalesce("component", "node")).alias("component_id")))
+    edges = stored(links(keyed, radius).distinct())
+    groups = components(edges).select(F.col("node").alias("member"), F.col("component").alias("group"))
+    members = stored(groups.join(nodes.select("node", "first"), F.col("node") == F.col("member")).select("group", "node", F.col("first.doc_id").alias("first_id"), F.col("first.same").alias("first_same")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            data = [shingle_set(t, shingle).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("node"), pa.array([len(d) // 8 for d in data], pa.int32()), pa.array(data, pa.binary())], ["group", "node", "n", "shingles"])
+
+    met = texts.join(members, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("same") == F.col("first_same"))).select("group", "node", "text")
+    linked = components(stored(checked(stored(met.mapInArrow(sets, "group long, node long, n int, shingles binary")), similar)))
+    named = nodes.select("kind", "node").join(linked.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    named = stored(named.select(F.col("kind").alias("own"), _named(F.coalesce("component", "node")).alias("component_id")))
     return rows.select("doc_id", "same", "kind").join(named, F.col("kind") == F.col("own"), "left").select("doc_id", "same", "component_id")
 
 
