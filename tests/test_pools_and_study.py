@@ -34,9 +34,7 @@ def test_ladder_against_a_loop(spark, rows):
                 seen.add(digest)
                 used += len(text)
                 want.add((lang, rung, k, len(text)))
-    # A text first met behind a rung's end is not taken from a later rung here, since it counts where it is first.
-    assert {tuple(r) for r in got if r.rung == 0} == {x for x in want if x[1] == 0}
-    assert all(sum(r.bytes for r in got if r.lang == lang) <= 700 for lang in ("en", "fr"))
+    assert {tuple(r) for r in got} == want and {r.rung for r in got} == {0, 1}
 
 
 def test_passes_reach_the_target(spark):

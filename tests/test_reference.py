@@ -100,10 +100,48 @@ def test_files(spark, tmp_path):
     (tmp_path / "pool").mkdir()
     (tmp_path / "pool/part-0.jsonl").write_text('{"id": "x", "text": "hello"}\n{"id": "y", "text": " "}\n{broken\n')
     assert sorted(r.text for r in files.pool(spark, str(tmp_path / "pool"), "eng").collect()) == ["hello", "{broken"]
+    (tmp_path / "pool/docs.jsonl").write_text('{"text": "last"}\n[1, 2]\n')
+    got = {r.text: r.id for r in files.pool(spark, str(tmp_path / "pool"), "eng").collect()}
+    assert got == {"hello": "x", "{broken": "eng-00000002", "last": "eng-00000003"}
+    (tmp_path / "devtest").mkdir()
+    (tmp_path / "devtest/eng.devtest").write_text("e\n")
+    assert [r.lang for r in files.languages_of(spark, str(tmp_path), ("dev", "devtest")).collect()] == ["eng"]
+    assert [(r.sent_id, r.text) for r in files.concatenated(spark, str(tmp_path)).orderBy("sent_id").collect()] == [(0, "a"), (1, "b"), (2, "e")]
+    with pytest.raises(FileNotFoundError):
+        files.parallel_corpus(spark, str(tmp_path), "dev", ["eng", "spa"])
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts/eng.txt").write_text("one\n\n  \ntwo\n")
+    (tmp_path / "texts/fra.jsonl").write_text('{"text": "trois"}\n{"text": ""}\n')
+    (tmp_path / "texts/readme.md").write_text("no\n")
+    assert sorted((r.lang, r.text) for r in files.language_dir(spark, str(tmp_path / "texts")).collect()) == [("eng", "one"), ("eng", "two"), ("fra", "trois")]
+    assert [n.rsplit("/", 2)[1:] for n in files.input_files(spark, str(tmp_path), "*.{txt,dev}", str(tmp_path / "dev"))] == [["texts", "eng.txt"]]
+    with pytest.raises(ValueError, match="no files"):
+        files.input_files(spark, str(tmp_path / "texts"), "*.zip")
+    (tmp_path / "inventory.json").write_text('{"sources": [{"source_id": "a", "role": "x"}, {"source_id": "b", "role": "y"}]}')
+    assert files.inventory(spark, str(tmp_path / "inventory.json")).count() == 2
+    files.write_json(str(tmp_path / "deep/x.json"), {"b": 1, "a": [2]})
+    assert (tmp_path / "deep/x.json").read_text().startswith('{\n  "a"') and len(list((tmp_path / "deep").iterdir())) == 1
+    tokens = spark.createDataFrame([(k, "en", [1, k], 9) for k in range(5)], "doc_id long, lang string, ids array<int>, n_bytes long")
+    files.write_token_shards(tokens, str(tmp_path / "tokens"), "plain", "abc", 2)
+    assert sorted((r.shard, r.doc_id, r.n_tokens) for r in spark.read.json(str(tmp_path / "tokens")).collect()) == [(k // 2, k, 2) for k in range(5)]
+    written = files.write_pool(spark.createDataFrame([(0, "a", "x"), (0, "b", "yy"), (1, "c", "z")], "shard int, id string, text string"), str(tmp_path / "out"))
+    assert sorted((r.shard, r.n_docs, r.n_bytes) for r in written.collect()) == [(0, 2, 3), (1, 1, 1)] and spark.read.json(str(tmp_path / "out")).count() == 3
     files.write_u32_shards(spark.createDataFrame([(0, 1, [1, 70000])], "shard int, doc_id long, ids array<int>"), str(tmp_path / "u32"))
     assert bytes(spark.read.parquet(str(tmp_path / "u32")).first().u32le) == (1).to_bytes(4, "little") + (70000).to_bytes(4, "little")
 
 
+def test_decision_rule(spark):
+    rows = [("t1", "en", 100, 100, 500, 1.0, 1.0), ("t2", "en", 100, 100, 500, 1.0, 1.0), ("t1", "amh", 220, 100, 400, 2.2, 2.2), ("t2", "amh", 210, 100, 400, 2.1, 2.1), ("t1", "hun", 190, 100, 500, 1.9, 1.9), ("t1", "zho_Hans", 150, 2, 300, 75.0, 1.5), ("t2", "fra", 230, 150, 500, 1.5, 2.3)]
+    m = spark.createDataFrame(rows, "tokenizer string, lang string, ctc long, n_words long, n_chars long, fertility double, token_premium double")
+    got = {r.lang: (r.n_premium, r.clause_a, r.clause_b) for r in metrics.decision(m, ("t1", "t2")).collect()}
+    assert got == {"amh": (2, True, True), "hun": (0, False, False), "zho_Hans": (0, False, True), "fra": (1, False, False)}
+    assert metrics.decision(m, ("t1", "t2"), ("hun",)).where("lang = 'amh'").first().clause_b is False
+    with pytest.raises(ValueError, match="xx"):
+        metrics.languages(m, "en", "xx")
+    with pytest.raises(KeyError):
+        metrics.tokenizers(("byte", "none"))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame([(k, f"text {k % 7}", "en", "s", 6) for k in range(20)], dedup.DOCUMENT)
     docs.repartition(3).write.parquet(str(tmp_path / "in"))

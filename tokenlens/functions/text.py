@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -19,7 +18,6 @@ PRETOKEN = (
 )
 #: The same without the lookahead, for engines that have none; equal where no run of blanks stands before a word.
 PRETOKEN_PLAIN = PRETOKEN.replace(r"\s+(?!\S)|", "")
-INDIC = re.compile("[ऀ-෿]")
 
 
 def words(text: Column) -> Column:
@@ -53,9 +51,39 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+#: Characters that NFKC may change or join with others: all from U+0300 on, and these below (fixed values of the Unicode standard).
+UNSTABLE = r"[\u0300-\x{10FFFF}\u00A0\u00A8\u00AA\u00AF\u00B2-\u00B5\u00B8-\u00BA\u00BC-\u00BE\u0132\u0133\u013F\u0140\u0149\u017F\u01C4-\u01CC\u01F1-\u01F3\u02B0-\u02B8\u02D8-\u02DD\u02E0-\u02E4]"
+
+
+def normal(text: Column) -> Column:
+    """NFKC; only texts with a character that it may change leave the JVM."""
+    odd = text.rlike(UNSTABLE)
+    return F.coalesce(nfkc(F.when(odd, text)), text)
+
+
 def surface_length(token: Column) -> Column:
-    """Length of a token's surface, 0 for blanks."""
-    return F.when(F.trim(F.regexp_replace(token, SPACE, "")) == "", 0).otherwise(F.length(token))
+    """Length of a token's surface, 0 for blanks and for what is not whole characters (U+FFFD)."""
+    return F.when(F.trim(F.regexp_replace(token, SPACE, "")) == "", 0).when(token.contains("\ufffd"), 0).otherwise(F.length(token))
+
+
+def fit_utf8(raw: Column, size: int) -> Column:
+    """The longest prefix of whole characters of UTF-8 bytes that has at most `size` bytes, as text."""
+    cut = F.substring(raw, F.lit(1), F.lit(size))
+    # A character has four bytes at most: its lead is one of the last three if it is cut.
+    tails = [F.try_validate_utf8(F.substring(cut, F.lit(1), F.octet_length(cut) - k).cast("string")) for k in range(4)]
+    return F.coalesce(*tails, F.lit(""))
+
+
+def byte_characters() -> dict[int, str]:
+    """A printable character for each byte: itself where it is one, else from U+0100 on in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def first_text(*fields: str) -> Column:
+    """The first of these columns that isn't blank, null if all are."""
+    return F.coalesce(*(F.when(F.trim(F.regexp_replace(f, SPACE, " ")) != "", F.col(f)) for f in fields))
 
 
 def utf8_window(raw: Column) -> Column:

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def running_sum(rows: DataFrame, value: str, order: str, keys: tuple[str, ...] = (), tie: tuple[str, ...] = (), width: int = 1 << 16) -> DataFrame:
+def running_sum(rows: DataFrame, value: str, order: str, keys: tuple[str, ...] = (), tie: tuple[str, ...] = (), width: int | None = None, most: int = 1 << 16) -> DataFrame:
     """Adds `running`, the sum of `value` up to each row by `order` (a number), `tie` breaking ties.
 
     In two levels: sums of slices of `width` order values are accumulated, then each slice on its own, so that
-    no task holds a whole key.
+    no task holds a whole key. By default slices hold about `most` rows, whether order values are dense or sparse.
     """
+    if width is None:
+        low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+        width = max(1, int((high - low + 1) / max(16, n / most))) if n and low is not None else 1
     sliced = rows.withColumn("_slice", F.floor(F.col(order) / width))
     sums = sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -45,7 +48,7 @@ def round_robin(docs: DataFrame, target: int) -> DataFrame:
     """One document of each source in turn until `target` bytes; the last is cut."""
     one = sized(docs).withColumn("one", F.lit(1))
     turns = running_sum(one, "one", "doc_id", ("source",)).withColumnRenamed("running", "turn")
-    run = running_sum(turns, "bytes", "turn", (), ("source",), width=64)
+    run = running_sum(turns, "bytes", "turn", (), ("source",))
     return run.where(F.col("running") - F.col("bytes") < target).select("doc_id", "source", "turn", F.least("bytes", F.lit(target) - (F.col("running") - F.col("bytes"))).alias("used"))
 
 

@@ -11,23 +11,42 @@ TOKENIZERS = ("byte", "char", "grapheme", "word", "pretok")
 REFERENCE = "en"
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """Per row of docs(lang, text): units under each tokenizer, words and characters; one pass, no shuffle."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        "lang",
-        F.octet_length(text).alias("byte"),
-        F.length(text).alias("char"),
-        F.size(T.graphemes(text)).alias("grapheme"),
-        F.size(T.words(text)).alias("word"),
-        F.size(T.pretokens(text)).alias("pretok"),
-        F.size(T.words(text)).alias("n_words"),
-        T.n_chars(text).alias("n_chars"),
-    )
+#: Tokenizers without a vocabulary, by name: how many tokens a text in normal form has. Trained ones come as spec columns, see efficiency().
+BUILDERS = {
+    "byte": F.octet_length,
+    "char": F.length,
+    "grapheme": lambda t: F.size(T.graphemes(t)),
+    "word": lambda t: F.size(T.words(t)),
+    "pretok": lambda t: F.size(T.pretokens(t)),
+}
+
+
+def tokenizers(include: tuple[str, ...] | None = None) -> dict:
+    """The named tokenizers, all by default; an unknown name is a KeyError."""
+    if unknown := sorted(set(include or ()) - BUILDERS.keys()):
+        raise KeyError(f"no such tokenizer: {', '.join(unknown)}")
+    return {k: BUILDERS[k] for k in (include or BUILDERS)}
+
+
+def counted(docs: DataFrame, include: tuple[str, ...] = TOKENIZERS) -> DataFrame:
+    """Per row of docs(lang, text), with texts in normal form: tokens under each tokenizer, words, characters; one pass, no shuffle."""
+    rows = docs.select("lang", T.normal(F.coalesce("text", F.lit(""))).alias("text"))
+    columns = {k: f(F.col("text")) for k, f in tokenizers(include).items()}
+    # Split at blanks once, for both columns that count words.
+    rows = rows.select("lang", *(v.alias(k) for k, v in columns.items() if k != "word"), F.size(T.words(F.col("text"))).alias("n_words"), T.n_chars(F.col("text")).alias("n_chars"))
+    return rows.withColumn("word", F.col("n_words")) if "word" in columns else rows
+
+
+def languages(docs: DataFrame, *wanted: str) -> DataFrame:
+    """`docs`, or an error where one of the wanted languages has no row: a premium without its reference would silently be null."""
+    missing = set(wanted) - {r.lang for r in docs.select("lang").distinct().where(F.col("lang").isin(*wanted)).collect()}
+    if missing:
+        raise ValueError(f"no rows for: {', '.join(sorted(missing))}")
+    return docs
 
 
 def efficiency(docs: DataFrame) -> DataFrame:
-    """One row per (tokenizer, language), with the premium over the reference language."""
+    """One row per (tokenizer, language), with the premium over the reference language; null without it, see languages()."""
     sums = counted(docs).groupBy("lang").agg(F.count("*").alias("n_sentences"), *(F.sum(c).alias(c) for c in (*TOKENIZERS, "n_words", "n_chars")))
     long = sums.unpivot(["lang", "n_sentences", "n_words", "n_chars"], list(TOKENIZERS), "tokenizer", "ctc")
     base = F.max(F.when(F.col("lang") == REFERENCE, F.col("ctc"))).over(Window.partitionBy("tokenizer"))
@@ -44,7 +63,8 @@ def ratio(a: str, b: str) -> Column:
 
 def retention(docs: DataFrame) -> DataFrame:
     """STRR and STFR under pre-tokens: words kept whole behind a blank, and pre-tokens of one visible character."""
-    words = docs.select("lang", F.explode(T.words(F.coalesce("text", F.lit("")))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    docs = docs.select("lang", T.normal(F.coalesce("text", F.lit(""))).alias("text"))
+    words = docs.select("lang", F.explode(T.words(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
     kept = words.groupBy("lang").agg(
         F.sum("n").alias("n_words"),
         F.sum(F.when(F.size(T.pretokens(F.concat(F.lit(" "), "w"))) == 1, F.col("n")).otherwise(0)).alias("n_kept"),
@@ -65,12 +85,29 @@ def gini(metrics: DataFrame) -> DataFrame:
     return sums.select("tokenizer", F.when(F.col("s") > 0, F.round((F.col("n") + 1 - 2 * F.col("m") / F.col("s")) / F.col("n"), 9)).alias("gini"))
 
 
-def decision(metrics: DataFrame, premium: float = 1.1, fertility: float = 1.05, least: int = 2) -> DataFrame:
-    """Languages that pay `premium` under `least` tokenizers (A), or `fertility` times the reference's under one (B)."""
-    base = metrics.where(F.col("lang") == REFERENCE).select("tokenizer", F.col("fertility").alias("ref"))
-    others = metrics.where(F.col("lang") != REFERENCE).join(base, "tokenizer")
-    got = others.groupBy("lang").agg(F.count(F.when(F.col("token_premium") >= premium, 1)).alias("n_premium"), F.max(F.col("fertility") >= fertility * F.col("ref")).alias("clause_b"))
-    return got.select("lang", "n_premium", (F.col("n_premium") >= least).alias("clause_a"), "clause_b", ((F.col("n_premium") >= least) | F.col("clause_b")).alias("worth"))
+#: Languages whose words have no blanks between them (fixed values): characters stand for words there.
+WITHOUT_BLANKS = ("zho_Hans", "zho_Hant", "yue_Hant", "jpn_Jpan", "tha_Thai", "khm_Khmr", "lao_Laoo", "mya_Mymr", "bod_Tibt", "dzo_Tibt")
+
+
+def decision(metrics: DataFrame, frontier: tuple[str, ...] = TOKENIZERS, complex_langs: tuple[str, ...] | None = None, premium: float = 2.0, ratio_: float = 2.0, least: int = 2) -> DataFrame:
+    """Per language but the reference: is a fairer tokenizer worth it?
+
+    Clause A: it pays `premium` or more under `least` of the `frontier` tokenizers. Clause B, for complex_langs (all by default):
+    under some tokenizer its fertility, or its tokens per character where words have no blanks between them, is `ratio_` times
+    the reference's or more. A tokenizer without a row of the reference decides nothing.
+    """
+    rate = F.when(F.col("lang").isin(*WITHOUT_BLANKS), F.col("ctc") / F.nullif(F.col("n_chars"), F.lit(0))).otherwise(F.col("fertility"))
+    base = metrics.where(F.col("lang") == REFERENCE).select("tokenizer", F.col("fertility").alias("ref_word"), (F.col("ctc") / F.nullif(F.col("n_chars"), F.lit(0))).alias("ref_char"))
+    others = metrics.where(F.col("lang") != REFERENCE).join(F.broadcast(base), "tokenizer", "left")  # a row per tokenizer
+    ref = F.when(F.col("lang").isin(*WITHOUT_BLANKS), F.col("ref_char")).otherwise(F.col("ref_word"))
+    hard = F.lit(True) if complex_langs is None else F.col("lang").isin(*complex_langs)
+    got = others.groupBy("lang").agg(
+        F.count(F.when((F.col("token_premium") >= premium) & F.col("tokenizer").isin(*frontier), 1)).alias("n_premium"),
+        F.round(F.max(rate / F.nullif(ref, F.lit(0.0))), 9).alias("most_ratio"),
+        F.coalesce(F.max(hard & (rate >= ratio_ * ref)), F.lit(False)).alias("clause_b"),
+    )
+    a = F.col("n_premium") >= least
+    return got.select("lang", "n_premium", "most_ratio", a.alias("clause_a"), "clause_b", (a | F.col("clause_b")).alias("worth"))
 
 
 def group_premiums(metrics: DataFrame, groups: DataFrame) -> DataFrame:

@@ -6,26 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import checkpointed
 from .corpus import running_sum
 
 
 def ladder(docs: DataFrame, rungs: DataFrame, target: int) -> DataFrame:
     """Documents taken per language, rung by rung, up to `target` bytes.
 
-    docs(doc_id, text, lang, source), rungs(source, rung) with a row per source. The first of equal texts of a language
-    counts; a rung stops at its first document that would overshoot what the rungs before it have left, later
-    rungs may go on with smaller ones. Returns (lang, rung, doc_id, bytes).
+    docs(doc_id, text, lang, source), rungs(source, rung) with a row per source. Of equal texts of a language one is taken; a text that
+    a rung did not reach may be taken from a later one. A rung stops at its first new document that would overshoot what the rungs
+    before it have left; later rungs may go on with smaller ones. Returns (lang, rung, doc_id, bytes).
     """
     rows = docs.join(rungs, "source").select("lang", "rung", "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"), F.sha2("text", 256).alias("digest"))
-    keep = rows.groupBy("lang", "digest").agg(F.min(F.struct("rung", "doc_id")).alias("first")).select("lang", F.col("first.rung").alias("rung"), F.col("first.doc_id").alias("doc_id"))
-    rows = running_sum(rows.drop("digest").join(keep, ["lang", "rung", "doc_id"]), "bytes", "doc_id", ("lang", "rung"))
+    first = rows.groupBy("lang", "rung", "digest").agg(F.min("doc_id").alias("doc_id"), F.min("bytes").alias("bytes")).persist()
     names = [r.rung for r in rungs.select("rung").distinct().orderBy("rung").collect()]
     taken, left = None, rows.select("lang").distinct().withColumn("left", F.lit(target).cast("long"))
     for rung in names:  # a ladder has a handful of rungs
-        mine = rows.where(F.col("rung") == rung).join(left, "lang").where(F.col("running") <= F.col("left")).select("lang", "rung", "doc_id", "bytes")
+        mine = first.where(F.col("rung") == rung)
+        if taken is not None:
+            mine = mine.join(taken.select("lang", "digest"), ["lang", "digest"], "left_anti")
+        mine = running_sum(mine, "bytes", "doc_id", ("lang",)).join(left, "lang").where(F.col("running") <= F.col("left"))
+        mine = checkpointed(mine.select("lang", "rung", "doc_id", "bytes", "digest"))
         taken = mine if taken is None else taken.union(mine)
         left = left.join(mine.groupBy("lang").agg(F.sum("bytes").alias("used")), "lang", "left").select("lang", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
-    return taken
+    first.unpersist()
+    return taken.drop("digest") if taken is not None else rows.drop("digest").limit(0)
 
 
 def tokenise_passes(sized: DataFrame, targets: DataFrame) -> DataFrame:

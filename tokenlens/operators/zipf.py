@@ -13,11 +13,13 @@ from ..functions import text as T
 
 UNITS = {"word": T.words, "pretok": T.pretokens}
 RENYI = 2.5
+#: Ranks of a block of types of one count that one row stands for.
+PIECE = 1 << 16
 
 
 def unit_counts(docs: DataFrame, unit: str) -> DataFrame:
     """(lang, unit, cnt): partial counts are combined before the shuffle."""
-    return docs.select("lang", F.explode(UNITS[unit](F.coalesce("text", F.lit("")))).alias("unit")).groupBy("lang", "unit").agg(F.count("*").alias("cnt"))
+    return docs.select("lang", F.explode(UNITS[unit](T.normal(F.coalesce("text", F.lit(""))))).alias("unit")).groupBy("lang", "unit").agg(F.count("*").alias("cnt"))
 
 
 def count_blocks(counts: DataFrame) -> DataFrame:
@@ -50,19 +52,44 @@ def entropy(counts: DataFrame) -> DataFrame:
     )
 
 
+def harmonic(n):
+    """1 + 1/2 + ... + 1/n as a column: exact below 30, by its expansion (off by less than 1e-12) from there on; 0 for 0."""
+    n = n.cast("double")
+    far = F.log(n) + 0.5772156649015329 + 1 / (2 * n) - 1 / (12 * n * n) + 1 / (120 * n**4) - 1 / (252 * n**6)
+    sums = F.array(*(F.lit(sum(1 / k for k in range(1, m + 1))) for m in range(31)))
+    return F.when(n <= 30, F.get(sums, F.least(n, F.lit(30.0)).cast("int"))).otherwise(far)
+
+
 def against_zipf(counts: DataFrame) -> DataFrame:
-    """KS distance from pure Zipf (exponent 1), log-log RMSE from it, and the OLS slope, over all ranks."""
-    rows = ranked(counts)
+    """KS distance from pure Zipf (exponent 1), log-log RMSE from it, and the OLS slope, over all ranks, from blocks of types of one count.
+
+    Within a block the empirical distribution rises by equal steps and pure Zipf's by ever smaller ones, so their difference is largest
+    at an end of the block, or where a step of the one equals a step of the other; these ranks are looked at. Sums over the ranks of a block
+    are differences of sums up to its ends. Windows run over a language's blocks, at most sqrt(2 * tokens) of them.
+    """
+    blocks = count_blocks(counts).withColumn("last", F.col("first_rank") + F.col("types") - 1)
     w = Window.partitionBy("lang")
-    upto = w.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("emp", F.sum("cnt").over(upto) / F.sum("cnt").over(w)).withColumn("zipf", F.sum(1 / F.col("rank")).over(upto) / F.sum(1 / F.col("rank")).over(w))
-    rows = rows.withColumn("p", F.col("cnt") / F.sum("cnt").over(w)).withColumn("z", (1 / F.col("rank")) / F.sum(1 / F.col("rank")).over(w))
-    return rows.groupBy("lang").agg(
-        F.count("*").alias("n_types"),
-        F.round(F.max(F.abs(F.col("emp") - F.col("zipf"))), 7).alias("ks_zipf"),
-        F.round(F.sqrt(F.avg(F.pow(F.log("p") - F.log("z"), 2))), 7).alias("loglog_rmse"),
-        F.round(-F.regr_slope(F.log("cnt"), F.log("rank")), 7).alias("loglog_ols_slope"),
-    )
+    upto = w.orderBy("first_rank").rowsBetween(Window.unboundedPreceding, -1)
+    mass = F.col("cnt") * F.col("types")
+    rows = blocks.withColumn("n", F.sum(mass).over(w)).withColumn("v", F.sum("types").over(w)).withColumn("before", F.coalesce(F.sum(mass).over(upto), F.lit(0)))
+    # Long blocks go in pieces, each a row.
+    rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("types") - 1) / PIECE)))).withColumn("before", F.col("before") + F.col("piece") * PIECE * F.col("cnt"))
+    rows = rows.withColumn("first_rank", F.col("first_rank") + F.col("piece") * PIECE).withColumn("last", F.least("last", F.col("first_rank") + PIECE - 1)).withColumn("types", F.col("last") - F.col("first_rank") + 1)
+    rows = rows.withColumn("hv", harmonic(F.col("v")))
+    turn = F.col("n") / (F.col("cnt") * F.col("hv"))  # where 1 / (rank * hv) falls below cnt / n
+    ranks = F.transform(F.array(F.col("first_rank").cast("double"), F.col("last").cast("double"), F.floor(turn).cast("double"), F.floor(turn).cast("double") + 1, F.col("first_rank") - 1.0), lambda r: F.least(F.greatest(r, F.col("first_rank") - 1.0), F.col("last").cast("double")))
+    rows = rows.withColumn("gaps", F.transform(ranks, lambda r: F.abs((F.col("before") + (r - F.col("first_rank") + 1) * F.col("cnt")) / F.col("n") - harmonic(r) / F.col("hv"))))
+    rows = rows.withColumn("logs", F.aggregate(F.sequence("first_rank", "last"), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, r: F.struct((a["s"] + F.log(r)).alias("s"), (a["q"] + F.log(r) * F.log(r)).alias("q"))))
+    k, s, q, c = F.col("types"), F.col("logs.s"), F.col("logs.q"), F.log("cnt")
+    # ln p - ln z of a rank is ln(rank) + d, where d is the block's.
+    d = c - F.log("n") + F.log("hv")
+    got = rows.groupBy("lang").agg(
+        F.max("v").alias("n_types"), F.max(F.array_max("gaps")).alias("ks"), F.sum(q + 2 * d * s + k * d * d).alias("sq"),
+        F.sum(s).alias("sx"), F.sum(q).alias("sxx"), F.sum(k * c).alias("sy"), F.sum(c * s).alias("sxy"),
+    )
+    v = F.col("n_types")
+    slope = (v * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(v * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0))
+    return got.select("lang", "n_types", F.round("ks", 7).alias("ks_zipf"), F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("sq") / v)), 7).alias("loglog_rmse"), F.round(-slope, 7).alias("loglog_ols_slope"))
 
 
 def matched_counts(docs: DataFrame, budget_share: float = 0.95, seed: str = "7") -> DataFrame:
@@ -72,16 +99,37 @@ def matched_counts(docs: DataFrame, budget_share: float = 0.95, seed: str = "7")
     from .corpus import running_sum
 
     sized = sized.withColumn("order", F.conv(F.substring("h", 1, 8), 16, 10).cast("long"))
-    run = running_sum(sized, "n", "order", ("lang",), ("h",), width=1 << 22)
+    run = running_sum(sized, "n", "order", ("lang",), ("h",))
     return run.crossJoin(F.broadcast(budget)).where(F.col("running") - F.col("n") < F.col("budget")).groupBy("lang").agg(  # one row
         F.count("*").alias("n_docs"), F.sum(F.least("n", F.col("budget") - (F.col("running") - F.col("n")))).cast("long").alias("n_units"))
 
 
+def _midranks(rows: DataFrame, c: str, by: str, slices: int = 256) -> DataFrame:
+    """(by, <c>, rank): the mid-rank of each distinct value, from counts per value and sums over slices of the values' range.
+
+    Slices are cut at sampled quantiles of all rows, so no task holds a whole group however hot it is.
+    """
+    counted = rows.groupBy(by, c).agg(F.count("*").alias("k"))
+    cuts = [x for x in dict.fromkeys(counted.approxQuantile(c, [i / slices for i in range(1, slices)], 1 / (4 * slices))) if x is not None]
+    slice_ = F.size(F.filter(F.array(*(F.lit(float(x)) for x in cuts)), lambda x: x < F.col(c))) if cuts else F.lit(0)
+    counted = counted.withColumn("_slice", slice_)
+    sums = counted.groupBy(by, "_slice").agg(F.sum("k").alias("_sum"))
+    before = Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # `slices` rows a group
+    sums = sums.select(by, "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("k").over(Window.partitionBy(by, "_slice").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counted.withColumn("_inside", inside).join(sums, [by, "_slice"]).select(by, c, (F.col("_before") + F.col("_inside") + (F.col("k") + 1) / 2).alias("rank"))
+
+
 def spearman(rows: DataFrame, x: str, y: str, by: str) -> DataFrame:
-    """Spearman's rho of x and y in each `by`, with mid-ranks; null under four pairs."""
-    rank = lambda c: (F.rank().over(Window.partitionBy(by).orderBy(c)) + F.count("*").over(Window.partitionBy(by)) + 1 - F.rank().over(Window.partitionBy(by).orderBy(F.desc(c)))) / 2
-    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, rank(x).alias("rx"), rank(y).alias("ry"))
-    return both.groupBy(by).agg(F.count("*").alias("n"), F.round(F.when(F.count("*") >= 4, F.corr("rx", "ry")), 8).alias("rho"))
+    """Spearman's rho of x and y in each `by` (not null), with mid-ranks; null under four pairs."""
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(by).isNotNull()).groupBy(by, x, y).agg(F.count("*").alias("k"))
+    both = pairs.join(_midranks(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, by).withColumnRenamed("rank", "rx"), [by, x]).join(_midranks(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()), y, by).withColumnRenamed("rank", "ry"), [by, y])
+    k, rx, ry = F.col("k"), F.col("rx"), F.col("ry")
+    got = both.groupBy(by).agg(F.sum("k").alias("n"), F.sum(k * rx).alias("sx"), F.sum(k * rx * rx).alias("sxx"), F.sum(k * ry).alias("sy"), F.sum(k * ry * ry).alias("syy"), F.sum(k * rx * ry).alias("sxy"))
+    n, mean = F.col("n"), (F.col("n") + 1) / 2
+    top = F.col("sxy") - n * mean * mean
+    under = F.sqrt((F.col("sxx") - n * mean * mean) * (F.col("syy") - n * mean * mean))
+    return got.select(by, "n", F.round(F.when(n >= 4, top / F.nullif(under, F.lit(0.0))), 8).alias("rho"))
 
 
 def spread(rows: DataFrame, value: str, by: str) -> DataFrame:
@@ -99,7 +147,7 @@ def fit_mandelbrot(cnt: np.ndarray) -> dict:
     """Maximum likelihood (alpha, b): concave in alpha at fixed b (Newton), b by golden section on a log scale."""
     cnt = np.sort(np.asarray(cnt, float))[::-1]
     if len(cnt) < 2:
-        return {"alpha": math.nan, "b": math.nan, "nll": math.nan, "ks": math.nan, "converged": False}
+        return {"alpha": math.nan, "b": math.nan, "nll": math.nan, "ks": math.nan, "converged": False, "at_bound": False}
     rank = np.arange(1, len(cnt) + 1)
 
     def best(b: float) -> tuple[float, float]:
@@ -128,7 +176,9 @@ def fit_mandelbrot(cnt: np.ndarray) -> dict:
     value, alpha = best(b)
     p = (rank + b) ** -alpha
     ks = float(np.abs(np.cumsum(cnt) / cnt.sum() - np.cumsum(p) / p.sum()).max())
-    return {"alpha": alpha, "b": b, "nll": -value, "ks": ks, "converged": True}
+    # On an end of the range of b, or of alpha, the maximum may lie beyond it.
+    at_bound = k in (0, 23) and (b - (math.exp(grid[0]) - 1) < 1e-3 or b > 0.999 * (math.exp(grid[-1]) - 1)) or not 0 < alpha < 50
+    return {"alpha": alpha, "b": b, "nll": -value, "ks": ks, "converged": not at_bound, "at_bound": at_bound}
 
 
 def fits(counts: DataFrame) -> DataFrame:
@@ -138,7 +188,7 @@ def fits(counts: DataFrame) -> DataFrame:
         got = fit_mandelbrot(np.repeat(pdf.cnt.to_numpy(), pdf.types.to_numpy()))
         return pd.DataFrame([{"lang": pdf.lang.iloc[0], **got}])
 
-    return count_blocks(counts).groupBy("lang").applyInPandas(one, "lang string, alpha double, b double, nll double, ks double, converged boolean")
+    return count_blocks(counts).groupBy("lang").applyInPandas(one, "lang string, alpha double, b double, nll double, ks double, converged boolean, at_bound boolean")
 
 
 def bootstrap_entropy(counts: DataFrame, draws: int = 50, seed: int = 77) -> DataFrame:
