@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import stored
 
 
 def running_sum(rows: DataFrame, value: str, order: str, keys: tuple[str, ...] = (), tie: tuple[str, ...] = (), width: int | None = None, most: int = 1 << 16) -> DataFrame:
@@ -44,6 +45,45 @@ def equal_bytes(docs: DataFrame) -> DataFrame:
     return run.withColumn("used", F.least("bytes", F.col("budget") - (F.col("running") - F.col("bytes")))).where("used > 0").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("used").alias("n_bytes"), F.max("doc_id").alias("last_doc"))
 
 
+def language_files(docs: DataFrame, budget: int) -> DataFrame:
+    """(lang, doc_id, line, padding): lines of exactly `budget` bytes for each language of docs(lang, doc_id, text), in order of doc_id.
+
+    A line has its line feed; the last one is cut at a whole character, and the one to three bytes that a cut character leaves are padded with
+    line feeds (the padding is told). A language with fewer bytes is an error, as it would shift the mixture silently.
+    """
+    lines = docs.where("lang IS NOT NULL").select("lang", "doc_id", F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+\z", ""), F.lit("\n")).alias("line")).withColumn("bytes", F.octet_length("line").cast("long"))
+    short = [f"{r.lang} ({r.n})" for r in lines.groupBy("lang").agg(F.sum("bytes").alias("n")).where(F.col("n") < budget).orderBy("lang").collect()]
+    if short:
+        raise ValueError(f"fewer than {budget} bytes: {', '.join(short)}")
+    run = running_sum(lines, "bytes", "doc_id", ("lang",), ("line",)).withColumn("room", F.lit(budget) - (F.col("running") - F.col("bytes"))).where("room > 0")
+    fitting = [F.try_validate_utf8(F.expr(f"substring(encode(line, 'utf-8'), 1, cast(room as int) - {k})").cast("string")) for k in range(4)]
+    cut = F.when(F.col("bytes") <= F.col("room"), F.col("line")).otherwise(F.coalesce(*fitting, F.lit("")))
+    rows = run.select("lang", "doc_id", "bytes", "room", cut.alias("cut"))
+    padding = F.when(F.col("bytes") > F.col("room"), F.col("room") - F.octet_length("cut")).otherwise(0)
+    return rows.select("lang", "doc_id", F.concat("cut", F.repeat(F.lit("\n"), padding.cast("int"))).alias("line"), padding.alias("padding"))
+
+
+def equal_files(files: DataFrame, budget: int) -> DataFrame:
+    """language_files() as they are, or an error where a language's lines don't have exactly `budget` bytes."""
+    wrong = files.groupBy("lang").agg(F.sum(F.octet_length("line")).alias("n")).where(F.col("n") != budget).collect()
+    if wrong:
+        raise ValueError("languages differ from the budget: " + ", ".join(f"{r.lang} ({r.n})" for r in wrong))
+    return files
+
+
+def tier_budget(tiers: DataFrame, tier: str, languages: int, ceiling: int) -> int:
+    """Bytes per language of a tier in tiers(tier, bytes_per_language, corpus_bytes); totals that disagree or exceed the ceiling are an error."""
+    rows = tiers.where(F.col("tier") == tier).collect()
+    if len(rows) != 1:
+        raise KeyError(tier)
+    budget, total = rows[0].bytes_per_language, rows[0].corpus_bytes
+    if total != budget * languages:
+        raise ValueError(f"tier {tier}: {total} bytes in all, but {languages} languages of {budget} make {budget * languages}")
+    if total > ceiling:
+        raise ValueError(f"tier {tier} needs {total} bytes, the most is {ceiling}")
+    return budget
+
+
 def round_robin(docs: DataFrame, target: int) -> DataFrame:
     """One document of each source in turn until `target` bytes; the last is cut."""
     one = sized(docs).withColumn("one", F.lit(1))
@@ -99,11 +139,46 @@ def license_class(raw: Column) -> Column:
     )
 
 
+def is_permissive(raw: Column) -> Column:
+    """Licences that allow commercial use and changes without share-alike."""
+    name = license_class(raw)
+    return name.isin("mit", "apache-2.0", "cc0-1.0") | name.startswith("odc-by") | (name.startswith("cc-by-") & ~name.contains("sa"))
+
+
+def is_mit(raw: Column) -> Column:
+    return license_class(raw) == "mit"
+
+
+def dataset_id(url: Column) -> Column:
+    """owner/name of a dataset's address on the hub, else null."""
+    got = F.regexp_extract(url, r"^https://huggingface\.co/datasets/([^/\s#]+/[^/\s#]+)", 1)
+    return F.when(got != "", got)
+
+
+def selected_sources(sources: DataFrame, permissive_only: bool) -> DataFrame:
+    """sources(source_id, role, license, license_status, is_permissive_open) that may be trained on, with `selected` and the `reason` against."""
+    open_ = F.coalesce(F.col("license_status").isin("mit", "permissive_open"), F.lit(False)) | F.coalesce("is_permissive_open", F.lit(False))
+    alike = F.coalesce(F.col("license"), F.lit("unknown")).startswith("cc-by-sa")
+    reason = F.when(alike | F.coalesce(~open_ & (F.col("license_status") == "copyleft_sharealike"), F.lit(False)), "cc_by_sa_excluded").when(~open_, F.coalesce("license_status", F.lit("not_permissive_open")))
+    rows = sources.where("role = 'train_candidate'").withColumn("reason", reason if permissive_only else F.lit(None).cast("string"))
+    return rows.withColumn("selected", F.col("reason").isNull())
+
+
 def contaminated(docs: DataFrame, evaluation: DataFrame, n: int = 8) -> DataFrame:
-    """Documents that share a word n-gram with the evaluation texts(text), and how many distinct ones."""
-    grams = lambda t: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.concat_ws(" ", F.slice("w", i, n)))).otherwise(F.array().cast("array<string>"))
-    of = lambda df, *keep: df.withColumn("w", T.words(F.lower(F.coalesce("text", F.lit(""))))).select(*keep, F.explode(F.array_distinct(grams("w"))).alias("gram"))
-    return of(docs, "doc_id").join(of(evaluation).distinct(), "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_shared"))
+    """Documents that share a word n-gram with the evaluation texts(text), and how many distinct ones.
+
+    The evaluation's n-grams are stored, so that Spark knows their size: where they are small they are broadcast and no n-gram of a
+    document is shuffled that they lack; else the join is on 64-bit hashes and words alike.
+    """
+
+    def grams(df: DataFrame, *keep: str) -> DataFrame:
+        rows = df.select(*keep, T.words(F.lower(F.coalesce("text", F.lit("")))).alias("w"))
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        rows = rows.select(*keep, F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("gram"))
+        return rows.select(*keep, "gram", F.xxhash64("gram").alias("hash"))
+
+    known = stored(grams(evaluation).distinct())
+    return grams(docs, "doc_id").join(known, ["hash", "gram"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_shared"))
 
 
 def cross_check(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:

@@ -128,3 +128,12 @@ def rank_frequency_curve(counts: DataFrame, fitted: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(fit), "lang", "left")  # a row per language
     top = F.pow(F.min("first_rank").over(every) + F.col("b"), -F.col("alpha"))
     return rows.select("lang", "first_rank", "types", "cnt", "pure", F.round(F.pow(F.col("first_rank") + F.col("b"), -F.col("alpha")) / top, 9).alias("shape"))
+
+
+def pure_curve(counts: DataFrame) -> DataFrame:
+    """(lang, first_rank, types, cnt, pure): observed counts and those of pure Zipf at the first rank of each block of types of one count."""
+    from .zipf import harmonic
+
+    every = Window.partitionBy("lang")
+    rows = count_blocks(counts).withColumn("_v", F.sum("types").over(every)).withColumn("_n", F.sum(F.col("types") * F.col("cnt")).over(every))
+    return rows.select("lang", "first_rank", "types", "cnt", F.round(F.col("_n") / F.col("first_rank") / harmonic(F.col("_v")), 5).alias("pure"))

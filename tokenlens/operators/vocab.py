@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -41,3 +41,34 @@ def fragments(tokens: DataFrame) -> DataFrame:
     overlap = F.least("w.high", "block_high") - F.greatest("w.low", "block_low") + 1
     certain = (F.col("w.low") >= F.col("block_low")) & (F.col("w.high") <= F.col("block_high"))
     return met.groupBy("raw").agg(F.max_by("block", F.struct(overlap, "block")).alias("block"), F.max(certain).alias("certain"))
+
+
+def mixed_scripts(tokens: DataFrame) -> DataFrame:
+    """(combination, n_types) of tokens(unit) whose letters are of several scripts, the scripts in order joined by +."""
+    found = F.filter(F.array(*(F.when(F.col("unit").rlike(f"\\p{{Is{s}}}"), F.lit(s)) for s in sorted(SCRIPTS))), lambda s: s.isNotNull())
+    rows = tokens.select("unit").distinct().withColumn("found", found).where(F.size("found") > 1)
+    return rows.groupBy(F.array_join("found", "+").alias("combination")).agg(F.count("*").alias("n_types")).orderBy(F.desc("n_types"), "combination")
+
+
+def allocation_shares(counts: DataFrame) -> DataFrame:
+    """script_allocation() with each bucket's share of types, the largest first."""
+    rows = script_allocation(counts)
+    every = Window.partitionBy()  # a row per script
+    return rows.withColumn("share", F.round(F.col("n_types") / F.sum("n_types").over(every), 9)).orderBy(F.desc("n_types"), "bucket")
+
+
+def token_buckets(tokens: DataFrame) -> DataFrame:
+    """tokens(token_id, raw binary) with `bucket`: the script of whole texts, <byte_fragment> for what is no whole UTF-8."""
+    text = F.try_validate_utf8(F.col("raw").cast("string"))
+    return tokens.withColumn("bucket", F.when(text.isNull(), "<byte_fragment>").otherwise(script_bucket(text)))
+
+
+def fragment_usage(counts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Per language of counts(lang, token_id, cnt): types and mass that are byte fragments of tokens(token_id, raw binary)."""
+    broken = tokens.where(F.try_validate_utf8(F.col("raw").cast("string")).isNull()).select("token_id", F.lit(1).alias("broken"))
+    rows = counts.join(broken, "token_id", "left")
+    hit = F.col("broken").isNotNull()
+    return rows.groupBy("lang").agg(
+        F.count(F.when(hit, 1)).alias("n_fragment_types"), F.sum(F.when(hit, F.col("cnt")).otherwise(0)).alias("n_fragment_tokens"),
+        F.round(F.count(F.when(hit, 1)) / F.count("*"), 9).alias("share_types"), F.round(F.sum(F.when(hit, F.col("cnt")).otherwise(0)) / F.sum("cnt"), 9).alias("share_mass"),
+    )

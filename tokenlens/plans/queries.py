@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bpe, corpus, metrics, parity_bpe, pools, study, vocab, zipf
+from ..operators import bpe, corpus, metrics, parity_bpe, pools, study, vocab, vocabulary, zipf
 
 FAMILIES = [("en", "Germanic"), ("de", "Germanic"), ("fr", "Romance"), ("es", "Romance")]
 HOLDOUT, BUDGET, ROBIN, CAP = 5, 100_000, 400_000, 4.0
@@ -68,8 +68,8 @@ def gini_tokens_per_line(spark, sf_dir):
 
 
 @register(EFFICIENCY + """, b AS (SELECT tokenizer, fertility AS ref FROM m WHERE lang = 'en'),
-  g AS (SELECT lang, count(CASE WHEN token_premium >= 1.1 THEN 1 END) AS n_premium, bool_or(fertility >= 1.05 * ref) AS clause_b FROM m JOIN b USING (tokenizer) WHERE lang <> 'en' GROUP BY lang)
-  SELECT lang, n_premium, n_premium >= 2 AS clause_a, clause_b, n_premium >= 2 OR clause_b AS worth FROM g""")
+  g AS (SELECT lang, count(CASE WHEN token_premium >= 2.0 THEN 1 END) AS n_premium, round(max(fertility / ref), 9) AS most_ratio, bool_or(fertility >= 2.0 * ref) AS clause_b FROM m JOIN b USING (tokenizer) WHERE lang <> 'en' GROUP BY lang)
+  SELECT lang, n_premium, most_ratio, n_premium >= 2 AS clause_a, clause_b, n_premium >= 2 OR clause_b AS worth FROM g""")
 def decision_rule(spark, sf_dir):
     return metrics.decision(efficiency_metrics(spark, sf_dir))
 
@@ -264,16 +264,35 @@ def bpe_pair_counts(spark, sf_dir):
     return bpe.pair_counts(bpe.word_counts(docs(spark, sf_dir)))
 
 
-@register()
+MERGES = 12
+_MARKED = f"""t0 AS MATERIALIZED (SELECT w, regexp_replace(hex(encode(w)), '(..)', '|\\1|', 'g') AS s, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '{PATTERN}')) AS w FROM documents) GROUP BY w)"""
+
+
+def _round_sql(k: int) -> str:
+    return f"""p{k} AS MATERIALIZED (SELECT l, r, sum(cnt) AS c FROM (SELECT cnt, y[i] AS l, y[i + 1] AS r FROM (SELECT cnt, y, unnest(range(1, len(y))) AS i FROM (SELECT cnt, string_split(substr(s, 2, length(s) - 2), '||') AS y FROM t{k}))) GROUP BY l, r ORDER BY c DESC, l, r LIMIT 1),
+  t{k + 1} AS MATERIALIZED (SELECT w, replace(s, '|' || l || '||' || r || '|', '|' || l || r || '|') AS s, cnt FROM t{k}, p{k})"""
+
+
+_ROUNDS = _MARKED + ", " + ", ".join(map(_round_sql, range(MERGES)))
+
+
+@register(f"WITH {_ROUNDS} " + " UNION ALL ".join(f'SELECT {k} AS rank, l AS "left", r AS "right", c::DOUBLE AS cnt FROM p{k}' for k in range(MERGES)))
 def bpe_first_merges(spark, sf_dir):
-    merges = bpe.first_merges(bpe.word_counts(docs(spark, sf_dir)), 6)
-    return spark.createDataFrame([(k, *m) for k, m in enumerate(merges)], "rank int, left string, right string, cnt long")
+    return vocabulary.merges_table(spark, vocabulary.train(vocabulary.word_counts(docs(spark, sf_dir)), MERGES))
 
 
 @register()
+def bpe_vocabulary(spark, sf_dir):
+    """Enough merges for a vocabulary of 512 tokens."""
+    return vocabulary.merges_table(spark, vocabulary.train(vocabulary.word_counts(docs(spark, sf_dir)), 256))
+
+
+@register(f"""WITH {_ROUNDS}, n AS (SELECT w, len(string_split(s, '||')) AS n FROM t{MERGES}), d AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '{PATTERN}')) AS w FROM documents)
+  SELECT lang, sum(n)::BIGINT AS n_tokens, count(DISTINCT doc_id) AS n_docs FROM d JOIN n USING (w) GROUP BY lang""")
 def bpe_encode_ctc(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return bpe.encoded_counts(d, bpe.first_merges(bpe.word_counts(d), 3))
+    rows = vocabulary.encoded(d, vocabulary.train(vocabulary.word_counts(d), MERGES)).where(F.size("ids") > 0)
+    return rows.groupBy("lang").agg(F.sum(F.size("ids")).alias("n_tokens"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def lines_of(d: DataFrame) -> DataFrame:
@@ -327,10 +346,30 @@ def rank_frequency_curve(spark, sf_dir):
     return study.rank_frequency_curve(counts, zipf.fits(counts))
 
 
-@register()
+@register(COUNTS + """, b AS (SELECT lang, cnt, count(*) AS types FROM u GROUP BY lang, cnt), v AS (SELECT lang, sum(types) AS v, sum(types * cnt) AS n FROM b GROUP BY lang),
+  h AS (SELECT lang, sum(1.0::DOUBLE / r) AS h FROM (SELECT lang, unnest(range(1, v::BIGINT + 1)) AS r FROM v) GROUP BY lang)
+  SELECT lang, (coalesce(sum(types) OVER (PARTITION BY lang ORDER BY cnt DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1)::BIGINT AS first_rank, types, cnt,
+    round(n / (coalesce(sum(types) OVER (PARTITION BY lang ORDER BY cnt DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1) / h, 5) AS pure FROM b JOIN v USING (lang) JOIN h USING (lang)""")
+def zipf_curve(spark, sf_dir):
+    return study.pure_curve(words_counted(spark, sf_dir))
+
+
+_FIRST = "SELECT rung, lang, digest, min(doc_id) AS doc_id, min(bytes) AS bytes FROM d GROUP BY rung, lang, digest"
+
+
+def _rung_sql(k: int) -> str:
+    before = " UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(k)) or "SELECT lang, rung, doc_id, bytes, digest FROM f WHERE false"
+    return f"""g{k} AS MATERIALIZED (WITH taken AS ({before}), mine AS (SELECT f.* FROM f ANTI JOIN taken ON f.lang = taken.lang AND f.digest = taken.digest WHERE f.rung = {k}),
+    run AS (SELECT *, sum(bytes) OVER (PARTITION BY lang ORDER BY doc_id) AS running FROM mine)
+    SELECT lang, rung, doc_id, bytes, digest FROM run WHERE running <= {2 * BUDGET} - coalesce((SELECT sum(bytes) FROM taken WHERE taken.lang = run.lang), 0))"""
+
+
+@register(f"""WITH d AS (SELECT lang, doc_id, CASE WHEN md5(source) < '55555555' THEN 0 WHEN md5(source) < 'aaaaaaaa' THEN 1 ELSE 2 END AS rung, strlen(text) AS bytes, sha256(text) AS digest FROM documents WHERE source IS NOT NULL),
+  f AS MATERIALIZED ({_FIRST}), {_rung_sql(0)}, {_rung_sql(1)}, {_rung_sql(2)}
+  SELECT lang, rung, doc_id, bytes FROM (SELECT * FROM g0 UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2)""")
 def ladder_pull(spark, sf_dir):
     d = docs(spark, sf_dir)
-    rungs = d.where("source IS NOT NULL").select("source").distinct().withColumn("rung", F.pmod(F.crc32("source"), F.lit(3)).cast("int"))
+    rungs = d.where("source IS NOT NULL").select("source").distinct().withColumn("rung", F.when(F.md5("source") < "55555555", 0).when(F.md5("source") < "aaaaaaaa", 1).otherwise(2))
     return pools.ladder(d, rungs, 2 * BUDGET)
 
 
@@ -386,6 +425,29 @@ def train_without_holdout(spark, sf_dir):
     return pools.train_rows(d.select("lang", "doc_id"), corpus.holdout(d, HOLDOUT))
 
 
+EXACT = 50_000
+
+
+@register(f"""WITH l AS (SELECT lang, doc_id, rtrim(text, chr(13) || chr(10)) || chr(10) AS line FROM documents), r AS (SELECT *, {EXACT} - (sum(strlen(line)) OVER (PARTITION BY lang ORDER BY doc_id) - strlen(line)) AS room FROM l)
+  SELECT lang, count(*) AS n_lines, sum(least(strlen(line), room))::BIGINT AS n_bytes, max(doc_id) AS last_doc FROM r WHERE room > 0 GROUP BY lang""")
+def exact_language_files(spark, sf_dir):
+    files = corpus.language_files(docs(spark, sf_dir), EXACT) if not docs(spark, sf_dir).isEmpty() else docs(spark, sf_dir).select("lang", "doc_id", F.col("text").alias("line"))
+    return files.groupBy("lang").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("line")).alias("n_bytes"), F.max("doc_id").alias("last_doc"))
+
+
+@register(f"""WITH r AS (SELECT {_RAW} AS raw FROM documents), c AS (SELECT {_S} AS s, raw FROM r)
+  SELECT count(CASE WHEN raw <> '' AND (s IN ('mit', 'apache-2.0', 'apache2', 'apache-2', 'cc0', 'cc-0', 'cc0-1.0', 'odc-by', 'odc-by-1.0') OR (s LIKE 'cc-by%' AND s LIKE '%4%' AND s NOT LIKE '%sa%') OR (s LIKE 'cc-by-%' AND s NOT LIKE '%sa%')) THEN 1 END) AS n_permissive, count(CASE WHEN s = 'mit' THEN 1 END) AS n_mit FROM c""")
+def permissive_documents(spark, sf_dir):
+    raw = F.regexp_extract("text", r"(?i)licensed under (?:the )?([^.\n]+)", 1)
+    return docs(spark, sf_dir).agg(F.count(F.when(corpus.is_permissive(raw), 1)).alias("n_permissive"), F.count(F.when(corpus.is_mit(raw), 1)).alias("n_mit"))
+
+
+@register(COUNTS + """, t AS (SELECT unit, sum(cnt)::BIGINT AS cnt FROM u GROUP BY unit), a AS (SELECT CASE WHEN regexp_matches(unit, '\\p{Latin}') THEN 'Latin' WHEN regexp_matches(unit, '\\p{L}') THEN '<unknown_script>' ELSE '<no_letter>' END AS bucket, count(*) AS n_types, sum(cnt)::BIGINT AS n_tokens FROM t GROUP BY 1)
+  SELECT *, round(n_types / sum(n_types) OVER (), 9) AS share FROM a""")
+def script_shares(spark, sf_dir):
+    return vocab.allocation_shares(words_counted(spark, sf_dir))
+
+
 @register()
 def packed_sentences(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(pools.sentences(F.coalesce("text", F.lit("")))).alias("n_units"))
