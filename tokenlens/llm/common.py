@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -17,6 +13,8 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed, stored  # noqa: F401  (for the operators)
+
 #: ASCII white space, as in the word pattern [^\x20\x09-\x0D]+.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_PATTERN = "[\\x20\\x09-\\x0D]+"
@@ -26,33 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines share. Where it is unset: an error, but for local mode (one machine)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        path = sc.getConf().get("spark.checkpoint.dir")
-        if not path and not sc.master.startswith(("local[", "local*")) and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not path:
-            path = tempfile.mkdtemp(prefix="checkpoint-")
-            atexit.register(shutil.rmtree, path, True)
-        sc.setCheckpointDir(path)
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Like checkpointed(), as compressed Parquet files in the same folder: for what is large or read by columns."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words_column(text: Column) -> Column:
     """Words of a text by ASCII white space; null and blank texts have none."""
     trimmed = F.trim(text, F.lit(SPACES))

@@ -22,13 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CLOSING, Numbers, is_plain, kept, slices, table
+from .common import CLOSING, Numbers, is_plain, kept, release, slices, table
 
 #: Training sample: so many texts in expectation, those whose hash of doc_id is below the share that this is of all labelled ones. It
 #: bounds the model: it has no more trigrams and scripts than these texts.
 SAMPLE_DOCS = 4_000
 SWITCH_PENALTY, SMOOTHING, LEAST_SCRIPT_SHARE = 14.0, 0.5, 0.001
-CACHED = 250_000
+CACHED = 150_000
 LEAST_SCORE = 0.5
 #: First code points of script ranges (fixed values of the Unicode standard, coarse): letters from there on are of that script.
 SCRIPTS = [(0x0, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, "Other"), (0x900, "Devanagari"), (0x980, "Indic"), (0xE00, "Thai"), (0xE80, "Asian"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x1380, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x3040, "Kana"), (0x3100, "Han"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFE00, "Other"), (0x20000, "Han")]
@@ -61,6 +61,7 @@ def train(docs: DataFrame) -> dict:
     sample = labelled.where(drawn & F.col("text").isNotNull()).select("doc_id", "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total: Counter = Counter()
         for batch in slices(batches, "text", 4 << 20):
             words: Counter = Counter()
@@ -223,6 +224,7 @@ def filter_documents(docs: DataFrame, model: dict) -> DataFrame:
         for batch in slices(batches, "text"):
             stays = [lang != "und" and score >= LEAST_SCORE for lang, score, _, _ in _labeller(shared).label(batch.column("text"))]
             yield batch.filter(pa.array(stays, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

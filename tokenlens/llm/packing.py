@@ -25,13 +25,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Numbers, is_plain, kept, slices, table
+from .common import Numbers, is_plain, kept, release, slices, table
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 64 * 2048
 END = 1
 #: Distinct units of text whose ids a worker keeps (and sixteen times as many characters); beyond, it goes on with the half that it met first.
-CACHED = 500_000
+CACHED = 250_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 ARROW = pa.schema([(n, {"long": pa.int64(), "int": pa.int32()}[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
 
@@ -214,6 +214,7 @@ def packed(docs: DataFrame, path: str) -> DataFrame:
                 sequence += 1
                 tokens += tier
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
+        release()  # what is kept would lie beside the JVM in later stages
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 

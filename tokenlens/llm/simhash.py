@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, slices, stored, table, whole_groups
+from .common import checkpointed, components, release, slices, stored, table, whole_groups
 from .shingles import checked, shingle_set
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -220,6 +220,7 @@ def near_texts(docs: DataFrame, shingle: int = TEXT_SHINGLE, similar: float = SI
     sketch = [f"s{k}" for k in range(SKETCH // 64)]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         weigh = 1 << np.arange(width, dtype=np.int64)
         for batch in slices(batches, "text", 1 << 20):
             sets = [shingle_set(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
@@ -242,6 +243,7 @@ def near_texts(docs: DataFrame, shingle: int = TEXT_SHINGLE, similar: float = SI
     members = stored(groups.join(nodes.select("node", "first"), F.col("node") == F.col("member")).select("group", "node", F.col("first.doc_id").alias("first_id"), F.col("first.same").alias("first_same")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text", 1 << 20):
             data = [shingle_set(t, shingle).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("node"), pa.array([len(d) // 8 for d in data], pa.int32()), pa.array(data, pa.binary())], ["group", "node", "n", "shingles"])

@@ -210,6 +210,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(rid, runs array<struct<start, windows>>) for texts with repeated windows; docs has (rid, text)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text", 1 << 20):
             rids = batch.column("rid").to_numpy()
             for parts in parts_of([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]):
