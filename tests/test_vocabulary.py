@@ -61,6 +61,16 @@ def test_merges_are_those_of_one_at_a_time(spark, docs, unit, most):
     assert [(bytes.fromhex(a), bytes.fromhex(b), c) for a, b, c in got] == want
 
 
+def test_fair_merges_help_the_worst_language(spark):
+    train = spark.createDataFrame([("a", "xy", 100.0), ("b", "xz", 100.0)], "lang string, word string, cnt double").withColumn("symbols", V.marked(F.col("word")))
+    dev = spark.createDataFrame([("a", "qq", 10.0), ("b", "r", 100.0)], "lang string, word string, cnt double").withColumn("symbols", V.marked(F.col("word")))
+    lines = spark.createDataFrame([("a", 1), ("b", 50)], "lang string, n_lines long")
+    merges = V.train_fair(train, dev, lines, 2)
+    assert [(bytes.fromhex(m[0]), bytes.fromhex(m[1]), m[2]) for m in merges] == [(b"x", b"y", "a"), (b"x", b"z", "b")]  # then a has no pair left
+    got = {(r.arm, r.lang): r.n_tokens for r in V.arms_compared(train, lines, {"none": [], "fair": merges}, "a").collect()}
+    assert got == {("none", "a"): 200, ("none", "b"): 200, ("fair", "a"): 100, ("fair", "b"): 100}
+
+
 def test_graphemes_are_atoms(spark, docs):
     words = V.word_counts(docs, "grapheme")
     alphabet = [r.s for r in words.select(F.explode(V.symbols_of(F.col("symbols"))).alias("s")).distinct().collect()]

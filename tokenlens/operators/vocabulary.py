@@ -18,7 +18,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -130,6 +130,62 @@ def train(words: DataFrame, merges: int, unit: str = "byte", most: int = MOST, k
     return out
 
 
+def language_words(docs: DataFrame, unit: str = "byte") -> DataFrame:
+    """(lang, word, cnt double, symbols) for each distinct pre-token of each language; null languages are left out."""
+    rows = docs.where("lang IS NOT NULL").select("lang", F.explode(T.pretokens(T.normal(F.coalesce("text", F.lit(""))))).alias("word"))
+    return rows.groupBy("lang", "word").agg(F.count("*").cast("double").alias("cnt")).withColumn("symbols", marked(F.col("word"), unit))
+
+
+def n_symbols(symbols: Column) -> Column:
+    return ((F.length(symbols) - F.length(F.replace(symbols, F.lit("|"), F.lit("")))) / 2).cast("long")
+
+
+def train_fair(train_words: DataFrame, dev_words: DataFrame, lines: DataFrame, merges: int) -> list[tuple[str, str, str, float]]:
+    """Merges (left, right, lang, cnt), each for the language that is worst off: most tokens per line of `dev_words`, then the first by name.
+
+    Its best pair in `train_words` is merged in all languages. A language without a pair passes its turn on. lines(lang, n_lines). Which
+    language is next depends on the merge before, so a round is one merge: two jobs, of which the driver gets a row per language.
+    """
+    known = {f"{b:02X}" for b in range(256)}
+    out: list[tuple[str, str, str, float]] = []
+    sides = [df.select("lang", "symbols", "cnt").persist() for df in (train_words, dev_words)]
+    for k in range(merges):
+        rows = sides[0].select("lang", "cnt", symbols_of(F.col("symbols")).alias("s")).where(F.size("s") > 1)
+        pairs = rows.select("lang", "cnt", F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("l"), F.slice("s", F.lit(2), F.size("s") - 1).alias("r"))).alias("p")).groupBy("lang", "p.l", "p.r").agg(F.sum("cnt").alias("c"))
+        pairs = pairs.where(~F.concat("l", "r").isin(sorted(known)))
+        tops = pairs.groupBy("lang").agg(F.min_by(F.struct("l", "r", "c"), F.struct(-F.col("c"), "l", "r")).alias("top"))
+        per_line = sides[1].groupBy("lang").agg(F.sum(F.col("cnt") * n_symbols(F.col("symbols"))).alias("n")).join(F.broadcast(lines), "lang")  # a row per language
+        best = tops.join(per_line, "lang").orderBy(F.desc(F.col("n") / F.col("n_lines")), "lang").limit(1).collect()
+        if not best:
+            break
+        left, right, cnt = best[0].top
+        out.append((left, right, best[0].lang, cnt))
+        known.add(left + right)
+        after = [df.select("lang", merge(F.col("symbols"), left, right).alias("symbols"), "cnt") for df in sides]
+        after = [checkpointed(df) if k % CUT_EVERY == CUT_EVERY - 1 else df.persist() for df in after]
+        for new, old in zip(after, sides):
+            new.count()
+            old.unpersist()
+        sides = after
+    for df in sides:
+        df.unpersist()
+    return out
+
+
+def arms_compared(words: DataFrame, lines: DataFrame, arms: dict[str, list[tuple]], reference: str = "en") -> DataFrame:
+    """(arm, lang, n_tokens, per_line, premium): each arm's merges, in order, over the same words(lang, symbols, cnt)."""
+    done = None
+    for name, merges in arms.items():
+        symbols = F.col("symbols")
+        for m in merges:
+            symbols = merge(symbols, m[0], m[1])
+        one = words.groupBy("lang").agg(F.sum(F.col("cnt") * n_symbols(symbols)).cast("long").alias("n_tokens")).withColumn("arm", F.lit(name))
+        done = one if done is None else done.union(one)
+    rows = done.join(F.broadcast(lines), "lang")  # a row per language
+    base = F.max(F.when(F.col("lang") == reference, F.col("n_tokens"))).over(Window.partitionBy("arm"))
+    return rows.select("arm", "lang", "n_tokens", F.round(F.col("n_tokens") / F.col("n_lines"), 9).alias("per_line"), F.round(F.col("n_tokens") / base, 9).alias("premium"))
+
+
 def vocabulary(merges: list[Merge], alphabet: list[str] | None = None) -> list[str]:
     """Tokens in hexadecimal by id: the 256 bytes, further atoms, then what each merge makes."""
     atoms = [f"{b:02X}" for b in range(256)]

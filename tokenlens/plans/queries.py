@@ -299,20 +299,37 @@ def lines_of(d: DataFrame) -> DataFrame:
     return d.groupBy("lang").agg(F.count("*").alias("n_lines"))
 
 
-@register()
+FAIR = 8
+_FAIR = f"""n AS (SELECT lang, count(*) AS n_lines FROM documents GROUP BY lang),
+  f0 AS MATERIALIZED (SELECT lang, w, regexp_replace(hex(encode(w)), '(..)', '|\\1|', 'g') AS s, count(*) AS cnt FROM (SELECT lang, unnest(regexp_extract_all(text, '{PATTERN}')) AS w FROM documents) GROUP BY lang, w)"""
+
+
+def _fair_sql(k: int) -> str:
+    return f"""x{k} AS (SELECT lang FROM (SELECT lang, sum(cnt * len(string_split(s, '||'))) AS t FROM f{k} GROUP BY lang) JOIN n USING (lang) ORDER BY t / n_lines DESC, lang LIMIT 1),
+  q{k} AS MATERIALIZED (SELECT lang, l, r, sum(cnt) AS c FROM (SELECT lang, cnt, y[i] AS l, y[i + 1] AS r FROM (SELECT lang, cnt, y, unnest(range(1, len(y))) AS i FROM (SELECT lang, cnt, string_split(substr(s, 2, length(s) - 2), '||') AS y FROM f{k} JOIN x{k} USING (lang)))) GROUP BY lang, l, r ORDER BY c DESC, l, r LIMIT 1),
+  f{k + 1} AS MATERIALIZED (SELECT f.lang, w, replace(s, '|' || l || '||' || r || '|', '|' || l || r || '|') AS s, cnt FROM f{k} f, q{k})"""
+
+
+_FAIR_ROUNDS = _FAIR + ", " + ", ".join(map(_fair_sql, range(FAIR)))
+
+
+@register(f"WITH {_FAIR_ROUNDS} " + " UNION ALL ".join(f'SELECT {k} AS rank, l AS "left", r AS "right", lang, c::DOUBLE AS cnt FROM q{k}' for k in range(FAIR)))
 def parity_bpe_merges(spark, sf_dir):
     d = docs(spark, sf_dir)
-    words = parity_bpe.language_words(d)
-    merges = parity_bpe.fair_merges(words, words, lines_of(d), 3)
+    words = vocabulary.language_words(d)
+    merges = vocabulary.train_fair(words, words, lines_of(d), FAIR)
     return spark.createDataFrame([(k, *m) for k, m in enumerate(merges)], "rank int, left string, right string, lang string, cnt double")
 
 
-@register()
+@register(f"""WITH {_FAIR_ROUNDS}, {", ".join(["t0 AS MATERIALIZED (SELECT w, s, sum(cnt) AS cnt FROM f0 GROUP BY w, s)"] + [_round_sql(k) for k in range(FAIR)])},
+  a AS (SELECT 'fair' AS arm, lang, sum(cnt * len(string_split(s, '||')))::BIGINT AS n_tokens FROM f{FAIR} GROUP BY lang
+    UNION ALL SELECT 'plain', f0.lang, sum(f0.cnt * len(string_split(t.s, '||')))::BIGINT FROM f0 JOIN t{FAIR} t USING (w) GROUP BY f0.lang)
+  SELECT arm, lang, n_tokens, round(n_tokens / n_lines, 9) AS per_line, round(n_tokens / max(CASE WHEN lang = 'en' THEN n_tokens END) OVER (PARTITION BY arm), 9) AS premium FROM a JOIN n USING (lang)""")
 def bpe_arms_compared(spark, sf_dir):
     d = docs(spark, sf_dir)
-    words = parity_bpe.language_words(d)
-    arms = {"plain": bpe.first_merges(bpe.word_counts(d), 2), "fair": parity_bpe.fair_merges(words, words, lines_of(d), 2)}
-    return parity_bpe.compared(words, lines_of(d), arms)
+    words = vocabulary.language_words(d)
+    arms = {"plain": vocabulary.train(vocabulary.word_counts(d), FAIR), "fair": vocabulary.train_fair(words, words, lines_of(d), FAIR)}
+    return vocabulary.arms_compared(words, lines_of(d), arms)
 
 
 SHARES = [("en", 0.4), ("de", 0.3), ("fr", 0.2), ("es", 0.1)]
