@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 
 SHARDS = 24
-#: Ranges per shard, sampled keys per range (both bound what the driver holds), and the size that makes a range overfull.
+#: Bytes that a range holds at most on average, so that ranges grow with the input; a range is one task's window.
+RANGE_BYTES = 1 << 30
+#: Ranges per shard at least, sampled keys per range (both bound what the driver holds), and the size that makes a range overfull.
 RANGES_PER_SHARD, SAMPLES_PER_RANGE, OVERFULL, ROUNDS = 32, 12, 2.0, 3
 
 
@@ -75,7 +77,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     keyed = checkpointed(keyed)
     total = keyed.agg(F.sum("size")).first()[0] or 0
-    ranges = shards * RANGES_PER_SHARD
+    ranges = max(shards * RANGES_PER_SHARD, total // RANGE_BYTES)
     full = max(1.0, total / ranges)
     bounds = _quantiles(_sample(keyed, SAMPLES_PER_RANGE / full), ranges)
     for round_ in range(ROUNDS + 1):
