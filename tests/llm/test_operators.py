@@ -282,6 +282,34 @@ def test_packing(spark, data, documents):
         assert at <= 2048 and at & (at - 1) == 0
 
 
+def test_step_groups_are_even_and_little_is_padded():
+    rng = np.random.default_rng(1)
+    lengths = [int(x) for x in np.concatenate([rng.integers(1, 300, 3000), rng.integers(300, 9000, 300), [1, 2048, 2049, 70_000]])]
+    sequences = packing.interleaved(packing.pack(lengths))
+    seen = Counter()
+    for tier, pieces in sequences:
+        total = sum(n for n, _, _ in pieces)
+        assert total == tier and (tier == 2048 or tier & (tier - 1) == 0)  # none is padded
+        for n, text, start in pieces:
+            seen.update((text, k) for k in range(start, start + n))
+    assert len(seen) == sum(lengths) and max(seen.values()) == 1
+    groups, tokens = defaultdict(Counter), 0
+    for tier, _ in sequences:
+        groups[tokens // packing.STEP_TOKENS][tier] += tier
+        tokens += tier
+    full = [g for k, g in groups.items() if k < max(groups)]
+    assert len(full) > 5 and all(abs(sum(g.values()) - packing.STEP_TOKENS) <= 2048 for g in full)
+    for tier in packing.TIERS:  # every group has its part of every tier
+        share = sum(g[tier] for g in full) / len(full)
+        assert all(abs(g[tier] - share) <= 0.25 * share + 2 * tier for g in full)
+
+
+def test_ties_go_to_the_first_language():
+    model = {"langs": ["de", "en"], "codes": np.zeros(0, np.int64), "log": np.zeros((1, 2), np.float32), "allowed": np.ones((len(language_id.SCRIPTS), 2), bool)}
+    got = list(language_id.Labeller(model).label(["same words", None, "1 2 3", "x" * 100_000 + " y"]))
+    assert [g[:2] for g in got] == [("de", 1.0), ("und", 0.0), ("und", 0.0), ("de", 1.0)]
+
+
 def test_sharding(spark, data, documents):
     got = run(spark, "op6_sharding", data)
     size = {d.doc_id: len((d.text or "").encode()) + 8 for d in documents}
