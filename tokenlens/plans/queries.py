@@ -177,11 +177,21 @@ def script_allocation(spark, sf_dir):
     return vocab.script_allocation(words_counted(spark, sf_dir))
 
 
-@register()
+_BLOCK_ROWS = ", ".join(f"('{name}', {low}, {high})" for name, low, high in vocab.BLOCKS)
+
+
+@register(f"""WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents), h AS (SELECT c, hex(encode(c)) AS h, unicode(c)::BIGINT AS u FROM c WHERE c <> ''),
+  l AS (SELECT DISTINCT substr(h, 1, 2) AS h FROM h), v AS (SELECT h, ('0x' || h)::BIGINT AS v FROM l),
+  w AS (SELECT h AS raw, u AS low, u AS high FROM h UNION SELECT h, CASE WHEN v < 128 THEN v WHEN v < 224 THEN (v - 192) * 64 WHEN v < 240 THEN (v - 224) * 4096 ELSE (v - 240) * 262144 END,
+    CASE WHEN v < 128 THEN v WHEN v < 224 THEN (v - 192) * 64 + 63 WHEN v < 240 THEN (v - 224) * 4096 + 4095 ELSE (v - 240) * 262144 + 262143 END FROM v),
+  b(block, bl, bh) AS (VALUES {_BLOCK_ROWS}), m AS (SELECT raw, block, least(high, bh) - greatest(low, bl) + 1 AS overlap, low >= bl AND high <= bh AS certain FROM w JOIN b ON low <= bh AND bl <= high),
+  r AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY overlap DESC, block DESC) AS i, bool_or(certain) OVER (PARTITION BY raw) AS any_certain FROM m)
+  SELECT raw, block, any_certain AS certain FROM r WHERE i = 1""")
 def byte_fragments(spark, sf_dir):
     raw = F.encode(F.col("c"), "utf-8")
-    chars = docs(spark, sf_dir).select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).distinct()
-    return vocab.fragments(chars.select(F.substring(raw, 1, 1).alias("raw")).union(chars.select(raw)).distinct())
+    chars = docs(spark, sf_dir).select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).where("c <> ''").distinct()
+    found = vocab.fragments(chars.select(F.substring(raw, 1, 1).alias("raw")).union(chars.select(raw)).distinct())
+    return found.select(F.hex("raw").alias("raw"), "block", "certain")
 
 
 @register("SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY 1")
@@ -332,6 +342,25 @@ def bpe_arms_compared(spark, sf_dir):
     return vocabulary.arms_compared(words, lines_of(d), arms)
 
 
+@register(f"""WITH {_FAIR_ROUNDS}, {", ".join(["t0 AS MATERIALIZED (SELECT w, s, sum(cnt) AS cnt FROM f0 GROUP BY w, s)"] + [_round_sql(k) for k in range(FAIR)])},
+  a AS ({" UNION ALL ".join(f"SELECT {k} AS rank, l, r FROM p{k}" for k in range(FAIR))}), b AS ({" UNION ALL ".join(f"SELECT {k} AS rank, l, r FROM q{k}" for k in range(FAIR))})
+  SELECT (SELECT count(*) FROM a) AS n_first, (SELECT count(*) FROM b) AS n_second, (SELECT coalesce(min(CASE WHEN a.l <> b.l OR a.r <> b.r THEN rank END), count(*))::INTEGER FROM a JOIN b USING (rank)) AS common_prefix, (SELECT count(*) FROM a SEMI JOIN b USING (l, r)) AS n_shared""")
+def merge_lists(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    words = vocabulary.language_words(d)
+    rows = [vocabulary.train(vocabulary.word_counts(d), FAIR), vocabulary.train_fair(words, words, lines_of(d), FAIR)]
+    tables = [spark.createDataFrame([(k, m[0], m[1]) for k, m in enumerate(x)], "rank int, left string, right string") for x in rows]
+    return parity_bpe.merge_lists_compared(*tables).withColumn("common_prefix", F.col("common_prefix").cast("int"))
+
+
+@register(EFFICIENCY + """, a AS (SELECT tokenizer AS arm, sum(CASE WHEN tokenizer <> '' THEN ctc END) AS n FROM m GROUP BY tokenizer), b AS (SELECT arm, (SELECT n FROM a WHERE arm = 'byte') / n AS bpt FROM a)
+  SELECT arm, greatest(1, round_even(2048 * (SELECT bpt FROM b WHERE arm = 'pretok') / bpt, 0))::INTEGER AS context FROM b""")
+def matched_contexts(spark, sf_dir):
+    sums = efficiency_metrics(spark, sf_dir).groupBy(F.col("tokenizer").alias("arm")).agg(F.sum("ctc").alias("n"))
+    total = F.max(F.when(F.col("arm") == "byte", F.col("n"))).over(Window.partitionBy())  # a row per tokenizer
+    return pools.byte_matched_context(sums.select("arm", (total / F.col("n")).alias("bytes_per_token")), "pretok")
+
+
 SHARES = [("en", 0.4), ("de", 0.3), ("fr", 0.2), ("es", 0.1)]
 
 
@@ -408,6 +437,14 @@ def pool_needs(spark, sf_dir):
     return pools.pool_needs(unimax_allocation(spark, sf_dir))
 
 
+@register(f"""WITH n AS ({_sql["pool_needs"]}), p AS (SELECT lang, sum(strlen(text))::BIGINT AS bytes FROM documents SEMI JOIN labels USING (doc_id) GROUP BY lang),
+  m AS (SELECT lang, ceil(acquire_bytes - coalesce(bytes, 0))::BIGINT AS missing_bytes FROM n LEFT JOIN p USING (lang)) SELECT * FROM m WHERE missing_bytes > 0""")
+def pool_top_ups(spark, sf_dir):
+    """What pools lack where the labelled documents are there already."""
+    present = docs(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_semi")
+    return pools.top_up(pool_needs(spark, sf_dir), present.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")))
+
+
 @register()
 def mixture_summary(spark, sf_dir):
     return pools.summary(unimax_allocation(spark, sf_dir), "mixture")
@@ -465,7 +502,11 @@ def script_shares(spark, sf_dir):
     return vocab.allocation_shares(words_counted(spark, sf_dir))
 
 
-@register()
+@register("""WITH p AS (SELECT doc_id, string_split(regexp_replace(trim(text), '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+  u AS (SELECT doc_id, i, length(s[i]) AS n FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM p) WHERE s[i] <> ''),
+  c AS (SELECT doc_id, i, k, least(280, n - k * 280) AS n FROM (SELECT *, unnest(range(0, (n - 1) // 280 + 1)) AS k FROM u)),
+  l AS (SELECT doc_id, list({'n': 1::BIGINT, 'w': n::BIGINT} ORDER BY i, k) AS l FROM c GROUP BY doc_id)
+  SELECT doc_id, coalesce(list_reduce(l, lambda a, x: {'n': a.n + CASE WHEN a.w + 1 + x.w <= 280 THEN 0 ELSE 1 END, 'w': CASE WHEN a.w + 1 + x.w <= 280 THEN a.w + 1 + x.w ELSE x.w END}).n, 0)::INTEGER AS n_units FROM documents LEFT JOIN l USING (doc_id)""")
 def packed_sentences(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(pools.sentences(F.coalesce("text", F.lit("")))).alias("n_units"))
 
