@@ -85,6 +85,33 @@ def test_rank_correlation_with_ties(spark):
     assert got["c"].rho is None and got["e"].rho is None and set(got) == set("abcde")
 
 
+def test_fits_of_blocks_are_those_of_types(monkeypatch):
+    rng = np.random.default_rng(4)
+    cnt = np.sort(np.minimum(rng.zipf(1.5, 40_000), 10**6))[::-1]
+    whole = zipf.fit_mandelbrot(cnt)
+    distinct, types = np.unique(cnt, return_counts=True)
+    monkeypatch.setattr(zipf, "EXACT_RANKS", 500)
+    got = zipf.fit_mandelbrot(distinct, types)
+    for k, tolerance in (("alpha", 1e-4), ("b", 1e-3), ("nll", 1e-6), ("ks", 1e-3)):
+        assert math.isclose(got[k], whole[k], rel_tol=tolerance, abs_tol=1e-4), (k, got, whole)
+    rank, n, _ = zipf.stretches(distinct[::-1], types[::-1])
+    assert n.sum() == 40_000 and len(n) < 15_000
+
+
+def test_resampling_in_parts(monkeypatch):
+    cnt, types = np.array([500, 40, 3, 1]), np.array([2, 30, 900, 4000])
+    means = []
+    for part in (1 << 20, 64):
+        monkeypatch.setattr(zipf, "RESAMPLED", part)
+        rng = np.random.default_rng(1)
+        means.append(np.mean([zipf.resampled_entropy(rng, cnt, types) for _ in range(60)]))
+    p = np.repeat(cnt, types) / (cnt * types).sum()
+    rng = np.random.default_rng(2)
+    h = lambda x: -(x[x > 0] * np.log(x[x > 0])).sum()
+    want = np.mean([h(rng.multinomial(int((cnt * types).sum()), p) / (cnt * types).sum()) for _ in range(60)])
+    assert np.allclose(means, want, atol=0.01)
+
+
 def test_bounds_of_fits_are_told():
     assert not zipf.fit_mandelbrot((np.arange(1, 2000) + 2.0) ** -1.1 * 1e6)["at_bound"]
     flat = zipf.fit_mandelbrot(np.full(500, 200.0))

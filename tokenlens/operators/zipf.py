@@ -137,25 +137,48 @@ def spread(rows: DataFrame, value: str, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.round(F.stddev_samp(v), 8).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.max(v) - F.min(v), 8).alias("range"), F.count(v).alias("n"))
 
 
-def log_likelihood(cnt: np.ndarray, alpha: float, b: float) -> float:
-    logs = np.log(np.arange(1, len(cnt) + 1) + b)
-    x = -alpha * logs
-    return float(-alpha * (cnt @ logs) - cnt.sum() * (x.max() + np.log(np.exp(x - x.max()).sum())))
+#: Ranks that a fit takes one by one; behind them it takes stretches whose ends differ by this share.
+EXACT_RANKS, STRETCH = 1 << 16, 5e-4
 
 
-def fit_mandelbrot(cnt: np.ndarray) -> dict:
-    """Maximum likelihood (alpha, b): concave in alpha at fixed b (Newton), b by golden section on a log scale."""
-    cnt = np.sort(np.asarray(cnt, float))[::-1]
-    if len(cnt) < 2:
+def stretches(cnt: np.ndarray, types: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(middle rank, ranks, count) of stretches of ranks of one count, for blocks of `types` types of each count, the largest first.
+
+    A sum of a smooth function over the ranks of a stretch is their number times its value in the middle, up to a share of
+    STRETCH ** 2 / 24, so that what a fit holds grows with the blocks and the logarithm of the types.
+    """
+    ends = np.cumsum(types.astype(np.int64))
+    last = int(ends[-1])
+    cuts = np.arange(1, min(last, EXACT_RANKS) + 1)
+    if last > EXACT_RANKS:
+        steps = int(math.log(last / EXACT_RANKS) / STRETCH) + 1
+        cuts = np.concatenate([cuts, (EXACT_RANKS * np.exp(STRETCH * np.arange(1, steps + 1))).astype(np.int64), ends])
+    cuts = np.unique(cuts[cuts <= last])
+    n = np.diff(cuts, prepend=0)
+    return cuts - (n - 1) / 2, n, cnt[np.searchsorted(ends, cuts)]
+
+
+def fit_mandelbrot(cnt: np.ndarray, types: np.ndarray | None = None) -> dict:
+    """Maximum likelihood (alpha, b): concave in alpha at fixed b (Newton), b by golden section on a log scale.
+
+    `cnt` are the counts of all types, or, with `types`, the distinct counts and how many types have each.
+    """
+    cnt = np.asarray(cnt, float)
+    types = np.ones(len(cnt), np.int64) if types is None else np.asarray(types, np.int64)
+    order = np.argsort(-cnt, kind="stable")
+    cnt, types = cnt[order], types[order]
+    if types.sum() < 2:
         return {"alpha": math.nan, "b": math.nan, "nll": math.nan, "ks": math.nan, "converged": False, "at_bound": False}
-    rank = np.arange(1, len(cnt) + 1)
+    rank, n, cnt = stretches(cnt, types)
+    mass = cnt * n
+    total = mass.sum()
 
     def best(b: float) -> tuple[float, float]:
         logs = np.log(rank + b)
-        mean, alpha = cnt @ logs / cnt.sum(), 1.0
+        mean, alpha = mass @ logs / total, 1.0
         for _ in range(60):
             x = -alpha * logs
-            p = np.exp(x - x.max())
+            p = n * np.exp(x - x.max())
             p /= p.sum()
             first = p @ logs
             second = p @ (logs * logs) - first * first
@@ -163,7 +186,8 @@ def fit_mandelbrot(cnt: np.ndarray) -> dict:
             alpha = min(50.0, max(0.0, alpha + max(-2.0, min(2.0, step))))
             if abs(step) < 1e-10:
                 break
-        return log_likelihood(cnt, alpha, b), alpha
+        x = -alpha * logs
+        return float(mass @ x - total * (x.max() + np.log((n * np.exp(x - x.max())).sum()))), alpha
 
     grid = np.linspace(math.log(0.1), math.log(1e4 + 1), 24)
     values = [best(math.exp(g) - 1)[0] for g in grid]
@@ -174,33 +198,48 @@ def fit_mandelbrot(cnt: np.ndarray) -> dict:
         low, high = (low, c) if best(math.exp(a) - 1)[0] >= best(math.exp(c) - 1)[0] else (a, high)
     b = math.exp((low + high) / 2) - 1
     value, alpha = best(b)
-    p = (rank + b) ** -alpha
-    ks = float(np.abs(np.cumsum(cnt) / cnt.sum() - np.cumsum(p) / p.sum()).max())
+    p = n * (rank + b) ** -alpha
+    ks = float(np.abs(np.cumsum(mass) / total - np.cumsum(p) / p.sum()).max())
     # On an end of the range of b, or of alpha, the maximum may lie beyond it.
-    at_bound = k in (0, 23) and (b - (math.exp(grid[0]) - 1) < 1e-3 or b > 0.999 * (math.exp(grid[-1]) - 1)) or not 0 < alpha < 50
+    at_bound = bool(k in (0, 23) and (b - (math.exp(grid[0]) - 1) < 1e-3 or b > 0.999 * (math.exp(grid[-1]) - 1)) or not 1e-6 < alpha < 50)
     return {"alpha": alpha, "b": b, "nll": -value, "ks": ks, "converged": not at_bound, "at_bound": at_bound}
 
 
 def fits(counts: DataFrame) -> DataFrame:
-    """Zipf-Mandelbrot fit per language; what a group gathers is its distinct counts, not its types."""
+    """Zipf-Mandelbrot fit per language; what a group gathers is its distinct counts, at most sqrt(2 * tokens)."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = fit_mandelbrot(np.repeat(pdf.cnt.to_numpy(), pdf.types.to_numpy()))
-        return pd.DataFrame([{"lang": pdf.lang.iloc[0], **got}])
+        return pd.DataFrame([{"lang": pdf.lang.iloc[0], **fit_mandelbrot(pdf.cnt.to_numpy(), pdf.types.to_numpy())}])
 
     return count_blocks(counts).groupBy("lang").applyInPandas(one, "lang string, alpha double, b double, nll double, ks double, converged boolean, at_bound boolean")
 
 
+#: Types whose resampled counts a bootstrap holds at a time.
+RESAMPLED = 1 << 20
+
+
+def resampled_entropy(rng: np.random.Generator, cnt: np.ndarray, types: np.ndarray) -> float:
+    """Entropy of a multinomial resample of all tokens, types taken RESAMPLED at a time: each part first gets its number of tokens."""
+    total, left, mass_left, h = int((cnt * types).sum()), int((cnt * types).sum()), float((cnt * types).sum()), 0.0
+    for c, k in zip(cnt.tolist(), types.tolist()):
+        for a in range(0, k, RESAMPLED):
+            m = min(RESAMPLED, k - a)
+            own = int(rng.binomial(left, min(1.0, c * m / mass_left))) if mass_left > 0 else left
+            left, mass_left = left - own, mass_left - c * m
+            x = rng.multinomial(own, np.full(m, 1 / m)) if m > 1 else np.array([own])
+            x = x[x > 0] / total
+            h -= float((x * np.log(x)).sum())
+    return h
+
+
 def bootstrap_entropy(counts: DataFrame, draws: int = 50, seed: int = 77) -> DataFrame:
     """Mean, sd and 95 % interval of entropy over multinomial resamples, one task per (language, draw) on its distinct counts."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed + int(pdf.draw.iloc[0]))
-        c = np.repeat(pdf.cnt.to_numpy(), pdf.types.to_numpy())
-        x = rng.multinomial(int(c.sum()), c / c.sum())
-        p = x[x > 0] / x.sum()
-        return pd.DataFrame([{"lang": pdf.lang.iloc[0], "draw": int(pdf.draw.iloc[0]), "h": float(-(p * np.log(p)).sum())}])
+        pdf = pdf.sort_values("cnt", ascending=False)
+        return pd.DataFrame([{"lang": pdf.lang.iloc[0], "draw": int(pdf.draw.iloc[0]), "h": resampled_entropy(rng, pdf.cnt.to_numpy(), pdf.types.to_numpy())}])
 
-    each = count_blocks(counts).orderBy("lang", F.desc("cnt")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    each = count_blocks(counts).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     drawn = each.groupBy("lang", "draw").applyInPandas(one, "lang string, draw int, h double")
     return drawn.groupBy("lang").agg(F.avg("h").alias("mean"), F.stddev_samp("h").alias("sd"), F.percentile("h", F.lit(0.025)).alias("low"), F.percentile("h", F.lit(0.975)).alias("high"), F.count("*").alias("n"))
