@@ -84,22 +84,28 @@ def planes_of(values: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def near_rows(groups: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_rows(groups: np.ndarray, values: np.ndarray, radius: int = RADIUS, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one group (groups are contiguous) within `radius` bits; by distance between the rows.
 
-    Counters begin so high that they overflow just where a distance exceeds the radius.
+    Counters begin so high that they overflow just where a distance exceeds the radius. Rows that have the same `root` by
+    now are linked already and are left out, so that a group of very many near copies is soon done.
     """
     n, values = len(values), values.reshape(len(values), -1).view(np.uint64)
     planes, places = planes_of(values), radius.bit_length()
     width = planes.shape[1] - 2
     for shift in range(1, n):
-        together = np.packbits(groups[shift:] == groups[:-shift], bitorder="little")
+        same = groups[shift:] == groups[:-shift]
+        if not same.any():
+            return
+        if root is not None:
+            same &= root[shift:] != root[:-shift]
+        together = np.packbits(same, bitorder="little")
         valid = np.zeros(width * 8, np.uint8)
         valid[: len(together)] = together
         valid = valid.view(np.uint64)
         words = np.flatnonzero(valid)
         if not len(words):
-            return
+            continue
         over = ~valid[words]
         counter = [np.full(len(words), ALL if ((1 << places) - 1 - radius) >> k & 1 else 0, np.uint64) for k in range(places)]
         skip, rest = divmod(shift, 64)
@@ -123,9 +129,9 @@ def near_rows(groups: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> I
             yield rows, rows + shift
 
 
-def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Of the graph of the pairs of rows: each row's root, the smallest row it can reach."""
-    root = np.arange(n)
+def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], root: np.ndarray | None = None) -> np.ndarray:
+    """Of the graph of the pairs of rows: each row's root, the smallest row it can reach. A `root` that is given is kept up to date."""
+    root = np.arange(n) if root is None else root
     for a, b in pairs:
         a, b = root[a], root[b]
         new = a != b
@@ -136,7 +142,7 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
                 y = root[y]
             root[max(x, y)] = min(x, y)
         while (root[root] != root).any():
-            root = root[root]
+            root[:] = root[root]
     return root
 
 
@@ -164,7 +170,8 @@ def links(keyed: DataFrame, radius: int = RADIUS) -> DataFrame:
             key, meet = (batch.column(c).to_numpy() for c in ("key", "meet"))
             groups = np.cumsum(np.concatenate([[0], (np.diff(key) != 0) | (np.diff(meet) != 0)]))
             values = np.stack([batch.column(c).to_numpy() for c in prints], axis=1)
-            root = spanning(len(values), near_rows(groups, values, radius))
+            root = np.arange(len(values))
+            spanning(len(values), near_rows(groups, values, radius, root), root)
             joined = np.flatnonzero(root != np.arange(len(root)))
             node = batch.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[root[joined]])], ["a", "b"])
