@@ -479,13 +479,13 @@ def train_without_holdout(spark, sf_dir):
     return pools.train_rows(d.select("lang", "doc_id"), corpus.holdout(d, HOLDOUT))
 
 
-EXACT = 50_000
+EXACT = 20_000
 
 
 @register(f"""WITH l AS (SELECT lang, doc_id, rtrim(text, chr(13) || chr(10)) || chr(10) AS line FROM documents), r AS (SELECT *, {EXACT} - (sum(strlen(line)) OVER (PARTITION BY lang ORDER BY doc_id) - strlen(line)) AS room FROM l)
   SELECT lang, count(*) AS n_lines, sum(least(strlen(line), room))::BIGINT AS n_bytes, max(doc_id) AS last_doc FROM r WHERE room > 0 GROUP BY lang""")
 def exact_language_files(spark, sf_dir):
-    files = corpus.language_files(docs(spark, sf_dir), EXACT) if not docs(spark, sf_dir).isEmpty() else docs(spark, sf_dir).select("lang", "doc_id", F.col("text").alias("line"))
+    files = corpus.language_files(docs(spark, sf_dir), EXACT)
     return files.groupBy("lang").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("line")).alias("n_bytes"), F.max("doc_id").alias("last_doc"))
 
 
