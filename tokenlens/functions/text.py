@@ -57,7 +57,7 @@ UNSTABLE = r"[\u0300-\x{10FFFF}\u00A0\u00A8\u00AA\u00AF\u00B2-\u00B5\u00B8-\u00B
 
 def normal(text: Column) -> Column:
     """NFKC; only texts with a character that it may change leave the JVM."""
-    odd = text.rlike(UNSTABLE)
+    odd = (F.octet_length(text) != F.length(text)) & text.rlike(UNSTABLE)  # ASCII stays as it is
     return F.coalesce(nfkc(F.when(odd, text)), text)
 
 
