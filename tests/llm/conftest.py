@@ -3,6 +3,7 @@ import random
 import pytest
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+LABELS = "doc_id long, quality int, toxic int"
 
 
 def sentences(rng: random.Random, words: list[str], n: int) -> str:
@@ -35,6 +36,7 @@ def data(spark, tmp_path_factory):
         vectors.append((k, [x + rng.gauss(0, 0.09) for x in b], k % 2))
     vectors += [(90, base[0], 0), (91, base[0], 0), (92, base[0], None), (93, None, 0), (94, [0.0] * 32, 0), (95, [float("nan")] * 32, 0), (96, [1.0, None], 0), (97, [1e30] * 32, 1)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").repartition(2).write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([(k, 1, int(k % 7 == 0)) for k in range(40)] + [(7, 1, 0), (None, 1, 1), (3, 0, None)], LABELS).write.parquet(f"{path}/labels.parquet")
     return path
 
 
@@ -43,6 +45,7 @@ def empty(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], DOCUMENTS).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{path}/labels.parquet")
     return path
 
 

@@ -32,10 +32,11 @@ def test_extra_columns_do_not_matter(spark, data, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     vectors = spark.read.parquet(f"{data}/embeddings.parquet")
     vectors.selectExpr("*", *(f"'x' AS {c}" for c in ("node", "place", "filter", "filters", "class", "copies", "chunk", "meet"))).write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.read.parquet(f"{data}/labels.parquet").selectExpr("*", *(f"'x' AS {c}" for c in ("text", "chance", "size", "before", "word"))).write.parquet(str(tmp_path / "labels.parquet"))
     for name in queries.queries():
-        if name not in ("op4_vectors", "op5_packing", "pipeline"):
+        if name not in ("op4_vectors", "op5_packing", "op13_divergence", "pipeline"):
             assert len(run(spark, name, str(tmp_path))) == docs.count(), name
-    assert len(run(spark, "op4_vectors", str(tmp_path))) == vectors.count() and run(spark, "op5_packing", str(tmp_path))
+    assert run(spark, "op13_divergence", str(tmp_path)) and len(run(spark, "op4_vectors", str(tmp_path))) == vectors.count() and run(spark, "op5_packing", str(tmp_path))
     import corpus_pipeline
 
     for name, stage in corpus_pipeline.STAGES[:-1]:
