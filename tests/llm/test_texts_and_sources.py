@@ -230,3 +230,11 @@ def test_counting_by_pieces(monkeypatch):
             docs[r["term"]] += r["docs"]
     assert n == Counter({"aß": 2, "b": 2, "é" * 30 + "x": 2, "c": 4, "long" * 9: 2, "日本": 4, "z": 4})
     assert docs == Counter({"aß": 2, "b": 2, "é" * 30 + "x": 2, "c": 2, "long" * 9: 2, "日本": 2, "z": 2})
+
+
+def test_a_shard_adds_up_as_rows_come_in(monkeypatch):
+    monkeypatch.setattr(divergence, "WAITING", 3)
+    part = pa.record_batch({"lang": ["g", "g", "h"], "source": ["s", "t", "s"], "term": ["a", "a", "a"], "n": [2, 1, 5], "docs": [1, 1, 3]})
+    rows = [r for out in divergence.summed(10)(iter([part] * 5)) for r in out.to_pylist()]
+    assert sorted((r["lang"], r["source"], r["term"], r["n"]) for r in rows) == [("g", "s", "a", 10), ("g", "t", "a", 5), ("h", "s", "a", 25)]
+    assert not [r for out in divergence.summed(16)(iter([part] * 5)) for r in out.to_pylist()]

@@ -29,7 +29,8 @@ from .common import slices, stored, table
 LEAST_DOCUMENTS, SCALE, SMOOTHING, RANKS = 30, 1_000_000_000, 5, 50
 #: Bytes of text per shard, kept cells per second shard, sources per block, distinct (language, source, term) that a task counts at a time.
 SHARD_BYTES, SHARD_CELLS, BLOCK, HELD = 32 << 20, 500_000, 256, 200_000
-PIECE = 1 << 22
+#: Bytes of a text that are counted at a time, and rows that a shard takes in before it adds them up.
+PIECE, WAITING = 1 << 22, 1 << 19
 #: A-Z in lower case; all other ASCII characters but a-z are blanks.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -95,9 +96,9 @@ def summed(least: int):
                 db.execute("INSERT INTO cells SELECT * FROM batch")
                 db.unregister("batch")
                 waiting += batch.num_rows
-                if waiting > max(1 << 19, settled):
+                if waiting > max(WAITING, settled):
                     db.execute("CREATE OR REPLACE TABLE cells AS SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM cells GROUP BY ALL")
-                    waiting, settled = 0, db.execute("SELECT count(*) FROM cells").fetchone()[0]
+                    waiting, settled = 0, db.sql("SELECT count(*) FROM cells").fetchall()[0][0]
             got = db.sql(f"""
                 WITH c AS (SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM cells GROUP BY ALL)
                 SELECT lang, source, term, n FROM c QUALIFY sum(docs) OVER (PARTITION BY lang, term) >= {least}""")
