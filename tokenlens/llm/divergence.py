@@ -166,9 +166,10 @@ def audited(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = RANKS) -
     bare = a.join(b, "lang").where("source <> item").select("lang", "source", "item", F.coalesce(F.col("v") * F.abs(F.col("p") - F.col("q")), F.lit(0)).alias("value"))
     half = found.where("part = 'pair'").select("lang", "source", "item", "value")
     pairs = bare.union(half).union(half.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    rows = pairs.withColumn("part", F.lit("pair")).unionByName(found.where("part = 'term'"))
-    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return rows.withColumn("rank", rank).where((F.col("part") == "pair") | (F.col("rank") <= ranks)).select("lang", "source", "part", "item", "value", "rank")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
+    terms = ranked(found.where("part = 'term'").drop("part")).where(F.col("rank") <= ranks)  # each partition's first ones, then those of all
+    both = ranked(pairs).withColumn("part", F.lit("pair")).unionByName(terms.withColumn("part", F.lit("term")))
+    return both.select("lang", "source", "part", "item", "value", "rank")
 
 
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
