@@ -71,13 +71,7 @@ def test_contexts_hold_equal_bytes(spark):
     assert {r.arm: r.context for r in pools.byte_matched_context(rows, "plain").collect()} == {"plain": 2048, "super": 1638}
 
 
-def test_fair_merges_help_the_worst_language(spark):
-    words = spark.createDataFrame([("en", "xyxy", 5.0), ("fr", "qq", 90.0)], "lang string, word string, cnt double").withColumn("symbols", F.split("word", ""))
-    lines = spark.createDataFrame([("en", 1), ("fr", 50)], "lang string, n_lines long")
-    merges = parity_bpe.fair_merges(words, words, lines, 2)
-    assert merges[0][:3] == ("x", "y", "en") and merges[1][:3] == ("xy", "xy", "en")
-    got = {(r.arm, r.lang): r for r in parity_bpe.compared(words, lines, {"none": [], "fair": merges}).collect()}
-    assert got["none", "en"].n_tokens == 20 and got["fair", "en"].n_tokens == 5 and got["fair", "en"].premium == 1
+def test_merge_lists_side_by_side(spark):
     one = parity_bpe.merge_lists_compared(*(spark.createDataFrame(x, "rank int, left string, right string") for x in ([(0, "a", "b"), (1, "c", "d")], [(0, "a", "b"), (1, "d", "c")]))).first()
     assert (one.n_first, one.n_second, one.common_prefix, one.n_shared) == (2, 2, 1, 1)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenlens.functions import text as T
-from tokenlens.operators import bpe, corpus, metrics, vocab, zipf
+from tokenlens.operators import corpus, metrics, pools, vocab, zipf
 from tokenlens.sources import files
 from tokenlens.streaming import dedup
 
@@ -73,6 +73,33 @@ def test_running_sum_in_slices(spark):
     assert all(r.running == sum(v for g, k, v in rows if g == r.g and k <= r.k) for r in got) and len(got) == 300
 
 
+def test_running_sum_keeps_rows_with_nulls(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(200)]), n, rng.randrange(9)) for n in range(400)]
+    df = spark.createDataFrame(rows, "g string, k long, n long, v long")
+    got = corpus.running_sum(df, "v", "k", ("g",), ("n",), width=16).collect()
+    place = lambda r: (r[1] is None, r[1] or 0, r[2])
+    assert len(got) == 400 and all(r.running == sum(x[3] for x in rows if x[0] == r.g and place(x) <= place(r)) for r in got)
+    docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, "c", None, "s"), (None, "dd", "en", None), (4, None, "en", "s")], "doc_id long, text string, lang string, source string")
+    assert corpus.budget_prefix(docs, 100).count() == corpus.round_robin(docs, 100).count() == 4
+    assert {(r.lang, r.doc_id) for r in pools.equal_lines(docs).collect()} == {("en", 1), (None, 2)}
+    assert pools.shard_of(corpus.sized(docs), 2).count() == 4
+
+
+def test_errors_instead_of_silence(spark):
+    docs = spark.createDataFrame([(k, "en" if k < 4 else "fr") for k in range(6)], "doc_id long, lang string")
+    assert corpus.holdout(docs, 2).count() == 4 and corpus.holdout(docs, 1, strict=True).count() == 2
+    with pytest.raises(ValueError, match="fr"):
+        corpus.holdout(docs, 2, strict=True)
+    with pytest.raises(ValueError, match="1000"):
+        corpus.unimax(spark.createDataFrame([("a", 10.0), ("b", 20.0)], "lang string, bytes double"), 1000, 4.0)
+    arms = [("x", "en", 1.0), ("x", "fr", 2.0), ("y", "en", 1.0)]
+    schema = "arm string, lang string, premium double"
+    with pytest.raises(ValueError, match="y fr"):
+        corpus.complete_arms(spark.createDataFrame(arms, schema))
+    assert corpus.calibrated(corpus.complete_arms(spark.createDataFrame([*arms, ("y", "fr", 8.0)], schema))).where("lang = 'fr'").first().shared_premium == 4.0
+
+
 def test_unimax_golden_case(spark):
     rows = [("hat", 0.772e9), ("swh", 4.577e9), ("eng", float("inf")), ("hin", 34.4e9), ("hun", 98.6e9), ("zho", 1622e9)]
     got = {r.lang: r for r in corpus.unimax(spark.createDataFrame(rows, "lang string, bytes double"), 78e9, 4.0).collect()}
@@ -85,12 +112,6 @@ def test_license_class(spark):
         assert one(spark, corpus.license_class(F.col("text")), raw) == name
 
 
-def test_merges(spark):
-    words = spark.createDataFrame([("abab", 3), ("abc", 2), ("b", 9)], "word string, cnt long").withColumn("symbols", F.split("word", ""))
-    assert bpe.first_merges(words, 2) == [("a", "b", 8), ("ab", "ab", 3)]
-    assert one(spark, bpe.merged(F.split("text", ""), "a", "a"), "aaaaa") == ["aa", "aa", "a"]
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "dev").mkdir()
     (tmp_path / "dev/eng.dev").write_text("a\nb\n")
@@ -107,6 +128,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "devtest/eng.devtest").write_text("e\n")
     assert [r.lang for r in files.languages_of(spark, str(tmp_path), ("dev", "devtest")).collect()] == ["eng"]
     assert [(r.sent_id, r.text) for r in files.concatenated(spark, str(tmp_path)).orderBy("sent_id").collect()] == [(0, "a"), (1, "b"), (2, "e")]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/eng.one").write_text("f\n")
+    assert [(r.sent_id, r.text) for r in files.concatenated(spark, str(tmp_path), ("devtest", "one")).orderBy("sent_id").collect()] == [(0, "e"), (1, "f")]
+    assert [r.text for r in files.documents_of(spark, str(tmp_path / "dev/fra.dev"), 1).collect()] == ["c"]
     with pytest.raises(FileNotFoundError):
         files.parallel_corpus(spark, str(tmp_path), "dev", ["eng", "spa"])
     (tmp_path / "texts").mkdir()

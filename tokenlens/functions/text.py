@@ -33,6 +33,44 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + PRETOKEN), F.lit(0))
 
 
+#: Characters that may stand behind a cut between pre-tokens and yet belong to the cluster before it, or hold what follows: marks, format
+#: characters, emoji modifiers, half-width voiced marks.
+JOINING = r"[\p{M}\p{Cf}\x{1F3FB}-\x{1F3FF}\x{FF9E}\x{FF9F}]"
+
+
+def healed_spans(text: str) -> list[str]:
+    """A fold over pre-tokens: the open span ends with the first one that ends where a cluster does."""
+    import regex
+
+    cuts, out, open_, at = {m.end() for m in regex.finditer(r"\X", text)}, [], 0, 0
+    for m in regex.finditer(PRETOKEN, text):
+        if m.start() != at:
+            raise ValueError(f"pre-tokens leave a gap at {at}")
+        at = m.end()
+        if at in cuts:
+            out.append(text[open_:at])
+            open_ = at
+    if at != len(text):
+        raise ValueError(f"pre-tokens leave a gap at {at}")
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _healed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else healed_spans(t))
+
+
+def healed(text: Column) -> Column:
+    """Pre-tokens, neighbours joined until every cut is one between grapheme clusters; a gap between them is an error.
+
+    Only texts with a character that can join across a cut leave the JVM; in all others pre-tokens are whole clusters.
+    """
+    odd = text.rlike(JOINING)
+    plain = pretokens(text)
+    whole = F.when(F.array_join(plain, "") == text, plain).when(text.isNotNull(), F.raise_error(F.lit("pre-tokens leave a gap")).cast("array<string>"))
+    return F.when(odd, _healed(F.when(odd, text))).otherwise(whole)
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _indic_graphemes(text: pd.Series) -> pd.Series:
     import regex

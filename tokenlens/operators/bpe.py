@@ -1,8 +1,8 @@
-"""Byte-pair counts, merges and encoding as joins and aggregates over distinct words."""
+"""Pair counts over distinct words with characters as atoms; vocabulary trains on bytes and clusters."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,43 +20,3 @@ def pair_counts(words: DataFrame) -> DataFrame:
     pairs = F.when(n > 1, F.arrays_zip(F.slice("symbols", F.lit(1), n - 1).alias("l"), F.slice("symbols", F.lit(2), n - 1).alias("r")))
     rows = words.select("cnt", F.explode(pairs).alias("p"))
     return rows.groupBy(F.col("p")["l"].alias("left"), F.col("p")["r"].alias("right")).agg(F.sum("cnt").alias("cnt"))
-
-
-def merged(symbols: Column, left: str, right: str) -> Column:
-    """Greedy replacement of left, right by their concatenation, from left to right."""
-    last = lambda a: F.element_at(a, -1)
-    open_ = lambda a: F.size(a["out"]) > 0
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("fresh"))
-
-    def step(a: Column, s: Column) -> Column:
-        joins = open_(a) & ~a["fresh"] & (last(F.when(open_(a), a["out"]).otherwise(F.array(F.lit("")))) == left) & (s == right)
-        grown = F.concat(F.slice(a["out"], F.lit(1), F.greatest(F.size(a["out"]) - 1, F.lit(0))), F.array(F.lit(left + right)))
-        return F.struct(F.when(joins, grown).otherwise(F.concat(a["out"], F.array(s))).alias("out"), joins.alias("fresh"))
-
-    return F.aggregate(symbols, start, step, lambda a: a["out"])
-
-
-def first_merges(words: DataFrame, k: int) -> list[tuple[str, str, int]]:
-    """The first k merges, each a grouped count over distinct words; the most frequent pair, then the smallest bytes."""
-    out, words = [], words.persist()
-    for _ in range(k):
-        best = pair_counts(words).orderBy(F.desc("cnt"), F.encode("left", "utf-8"), F.encode("right", "utf-8")).limit(1).collect()
-        if not best:
-            break
-        out.append((best[0].left, best[0].right, best[0].cnt))
-        # Kept from round to round, so that a merge costs one pass over the distinct words; lost parts are made anew.
-        after = words.select("word", "cnt", merged(F.col("symbols"), best[0].left, best[0].right).alias("symbols")).persist()
-        after.count()
-        words.unpersist()
-        words = after
-    words.unpersist()
-    return out
-
-
-def encoded_counts(docs: DataFrame, merges: list[tuple[str, str, int]]) -> DataFrame:
-    """(lang, n_tokens) after the merges: distinct pre-tokens are encoded once, occurrences only counted."""
-    words = docs.select("lang", F.explode(T.pretokens(F.coalesce("text", F.lit("")))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("cnt"))
-    symbols = F.split("word", "")
-    for left, right, _ in merges:
-        symbols = merged(symbols, left, right)
-    return words.groupBy("lang").agg(F.sum(F.col("cnt") * F.size(symbols)).alias("n_tokens"), F.sum("cnt").alias("n_pretokens"))

@@ -13,18 +13,21 @@ def running_sum(rows: DataFrame, value: str, order: str, keys: tuple[str, ...] =
     """Adds `running`, the sum of `value` up to each row by `order` (a number), `tie` breaking ties.
 
     In two levels: sums of slices of `width` order values are accumulated, then each slice on its own, so that
-    no task holds a whole key. By default slices hold about `most` rows, whether order values are dense or sparse.
+    no task holds a whole key. By default slices hold about `most` rows, whether order values are dense or sparse. Null keys are a
+    key like others; rows without an order value come last.
     """
     if width is None:
         low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
         width = max(1, int((high - low + 1) / max(16, n / most))) if n and low is not None else 1
     sliced = rows.withColumn("_slice", F.floor(F.col(order) / width))
     sums = sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    joined = sliced.withColumn("_inside", F.sum(value).over(inside)).join(sums, [*keys, "_slice"])
-    return joined.withColumn("running", F.col("_before") + F.col("_inside")).drop("_slice", "_before", "_inside")
+    before = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    names = [*keys, "_slice"]
+    sums = sums.select(*(F.col(c).alias(f"_of_{k}") for k, c in enumerate(names)), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*names).orderBy(*(F.asc_nulls_last(c) for c in (order, *tie))).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{k}")) for k, c in enumerate(names)]
+    joined = sliced.withColumn("_inside", F.sum(value).over(inside)).join(sums, same)
+    return joined.withColumn("running", F.col("_before") + F.col("_inside")).drop("_slice", "_before", "_inside", *(f"_of_{k}" for k in range(len(names))))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -97,8 +100,15 @@ def first_wins(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"))
 
 
-def holdout(docs: DataFrame, k: int) -> DataFrame:
-    """The last k documents of each language (a limit that is the feature); the others are for training."""
+def holdout(docs: DataFrame, k: int, strict: bool = False) -> DataFrame:
+    """The last k documents of each language (a limit that is the feature); the others are for training.
+
+    `strict`: a language with k documents or fewer, which would leave none to train on, is an error.
+    """
+    if strict:
+        short = [f"{r.lang} ({r.n})" for r in docs.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") <= k).orderBy("lang").collect()]
+        if short:
+            raise ValueError(f"no more than the {k} held out: {', '.join(short)}")
     last = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("doc_id")))
     return docs.select("lang", "doc_id", last.alias("r")).where(F.col("r") <= k).select("lang", "doc_id")
 
@@ -106,8 +116,13 @@ def holdout(docs: DataFrame, k: int) -> DataFrame:
 def unimax(available: DataFrame, budget: Column | float, cap: float) -> DataFrame:
     """UniMax shares of available(lang, bytes): uniform, but at most `cap` epochs of any language.
 
-    A language is capped iff it and all smaller ones are below their uniform share of what those leave.
+    A language is capped iff it and all smaller ones are below their uniform share of what those leave. A budget that is a number and
+    more than all languages give at the cap is an error.
     """
+    if not isinstance(budget, Column):
+        most = available.agg(F.sum("bytes")).first()[0] or 0
+        if budget > cap * most * (1 + 1e-12):
+            raise ValueError(f"a budget of {budget} bytes can't be met: {cap} epochs of all languages are {cap * most}")
     ordered = Window.orderBy("bytes", "lang")  # one row per language
     rows = available.withColumn("i", F.row_number().over(ordered)).withColumn("n", F.count("*").over(Window.partitionBy())).withColumn("budget", F.lit(budget) if not isinstance(budget, Column) else budget)
     before = F.coalesce(F.sum("bytes").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -119,8 +134,18 @@ def unimax(available: DataFrame, budget: Column | float, cap: float) -> DataFram
     return rows.select("lang", "bytes", F.round("allocated", 4).alias("allocated"), F.round(F.col("allocated") / F.col("bytes"), 9).alias("epochs"), "capped", F.round(F.col("allocated") / F.sum("allocated").over(Window.partitionBy()), 9).alias("share"), F.ceil(F.col("allocated") / F.col("bytes")).cast("long").alias("passes"))
 
 
+def complete_arms(premiums: DataFrame) -> DataFrame:
+    """premiums(arm, lang, premium) as they are, or an error where an arm lacks a language that another has, has it twice, or without a premium above 0."""
+    rows = premiums.groupBy("arm", "lang").agg(F.count("*").alias("n"), F.count(F.when(F.col("premium") > 0, 1)).alias("good"))
+    arms = rows.select("arm").distinct().crossJoin(F.broadcast(rows.select("lang").distinct()))  # a row per language
+    wrong = arms.join(rows, ["arm", "lang"], "left").where("n IS NULL OR n <> 1 OR good <> 1").orderBy("arm", "lang").collect()
+    if wrong:
+        raise ValueError("arms without one premium above 0: " + ", ".join(f"{r.arm} {r.lang}" for r in wrong))
+    return premiums
+
+
 def calibrated(premiums: DataFrame, damping: float = 0.5) -> DataFrame:
-    """Target shares from the geometric mean of arms' premiums(arm, lang, premium), damped from uniform."""
+    """Target shares from the geometric mean of arms' premiums(arm, lang, premium), damped from uniform; see complete_arms()."""
     mean = premiums.groupBy("lang").agg(F.exp(F.avg(F.log("premium"))).alias("mean"))
     every = Window.partitionBy()
     target = F.col("mean") / F.sum("mean").over(every)

@@ -1,9 +1,4 @@
-"""Byte-pair training over weighted units, one merge list for all languages, and how evenly it treats them.
-
-Words are distinct pre-tokens with their atoms as an array column, so the corpus is read once and a round costs one
-pass over its distinct words. Rounds are few and chosen by the caller: every round is a job. Atoms are characters,
-UTF-8 bytes (as two hex digits) or grapheme clusters.
-"""
+"""Words of each language by the atoms they are built from, their weights by byte mass, and merge lists side by side; vocabulary trains on them."""
 
 from __future__ import annotations
 
@@ -11,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .bpe import merged
 
 
 def atoms(word: Column, kind: str) -> Column:
@@ -41,59 +35,6 @@ def reweighted(words: DataFrame, shares: DataFrame) -> DataFrame:
     return words.join(F.broadcast(scales), "lang").select("lang", "word", "symbols", (F.col("cnt") * F.col("scale")).alias("cnt"))
 
 
-def language_pairs(words: DataFrame) -> DataFrame:
-    """(lang, left, right, cnt) over adjacent symbols of each language."""
-    n = F.size("symbols")
-    pairs = F.when(n > 1, F.arrays_zip(F.slice("symbols", F.lit(1), n - 1).alias("l"), F.slice("symbols", F.lit(2), n - 1).alias("r")))
-    rows = words.select("lang", "cnt", F.explode(pairs).alias("p"))
-    return rows.groupBy("lang", F.col("p")["l"].alias("left"), F.col("p")["r"].alias("right")).agg(F.sum("cnt").alias("cnt"))
-
-
-def tokens_per_line(words: DataFrame, lines: DataFrame) -> DataFrame:
-    """(lang, per_line): tokens under the present merges by lines(lang, n_lines)."""
-    return words.groupBy("lang").agg(F.sum(F.col("cnt") * F.size("symbols")).alias("n_tokens")).join(F.broadcast(lines), "lang").select("lang", (F.col("n_tokens") / F.col("n_lines")).alias("per_line"))
-
-
-def fair_merges(train: DataFrame, dev: DataFrame, lines: DataFrame, k: int) -> list[tuple[str, str, str, float]]:
-    """The first k merges (left, right, lang, cnt) where each round helps the language that is worst off.
-
-    That is the one with the most tokens per line of `dev`; its most frequent pair in `train` (then the smallest
-    bytes) is merged in every language. A language without a pair passes its turn to the next worst.
-    """
-    out: list[tuple[str, str, str, float]] = []
-    train, dev = train.persist(), dev.persist()
-    for _ in range(k):
-        order = F.struct((-F.col("cnt")).alias("c"), F.encode("left", "utf-8").alias("l"), F.encode("right", "utf-8").alias("r"))
-        tops = language_pairs(train).groupBy("lang").agg(F.min_by(F.struct("left", "right", "cnt"), order).alias("top")).select("lang", "top.*")
-        top = tops.join(tokens_per_line(dev, lines), "lang").orderBy(F.desc("per_line"), "lang").limit(1).collect()  # one row per language is left
-        if not top:
-            break
-        left, right = top[0].left, top[0].right
-        out.append((left, right, top[0].lang, top[0].cnt))
-        after = [df.withColumn("symbols", merged(F.col("symbols"), left, right)).persist() for df in (train, dev)]
-        for new, old in zip(after, (train, dev)):
-            new.count()
-            old.unpersist()
-        train, dev = after
-    train.unpersist()
-    dev.unpersist()
-    return out
-
-
-def compared(words: DataFrame, lines: DataFrame, arms: dict[str, list[tuple]], reference: str = "en") -> DataFrame:
-    """(arm, lang, n_tokens, per_line, premium): each arm's merges applied to the same words."""
-    done = None
-    for name, merges in arms.items():
-        symbols = F.col("symbols")
-        for merge in merges:
-            symbols = merged(symbols, merge[0], merge[1])
-        one = words.groupBy("lang").agg(F.sum(F.col("cnt") * F.size(symbols)).alias("n_tokens")).withColumn("arm", F.lit(name))
-        done = one if done is None else done.union(one)
-    rows = done.join(F.broadcast(lines), "lang").withColumn("per_line", F.col("n_tokens") / F.col("n_lines"))
-    base = F.max(F.when(F.col("lang") == reference, F.col("n_tokens"))).over(Window.partitionBy("arm"))
-    return rows.select("arm", "lang", "n_tokens", F.round("per_line", 9).alias("per_line"), F.round(F.col("n_tokens") / base, 9).alias("premium"))
-
-
 def merge_lists_compared(first: DataFrame, second: DataFrame) -> DataFrame:
     """One row over two merges(rank, left, right): sizes, length of the common prefix, merges in both."""
     named = lambda df, n: df.select("rank", F.struct("left", "right").alias(n))

@@ -1,10 +1,11 @@
 """Byte-pair vocabularies with ids: exact training in rounds of many merges, encoding to ids, artifacts, comparison.
 
 Distinct pre-tokens are the table that training works on, each as a string of marked symbols: |61||62| are the bytes a and b, in
-hexadecimal. Merging a pair is one replacement in that string, and counting pairs one grouped sum, so a round is two passes of
-built-in functions over distinct words, whatever the corpus. A round takes as many of the best pairs as are sure to be next: pairs that share
-no symbol with one before them, as long as no pair that does share one counts as much. Such pairs neither change each other's counts
-nor make a pair that counts more, so the merges and their order are those of merging one pair at a time.
+hexadecimal. Their pairs are counted once; from then on a round merges pairs in the words that hold them and adds the differences to the
+counts (pair_index). A round takes as many of the best pairs as are sure to be next. Merging (a, b) changes the counts of
+pairs that end in a or begin with b, and makes pairs that count at most as much as one of these; all other counts stay. So the best
+pairs are next, in order, up to the first that ends in what one before it begins with, or the other way round. The merges and their order
+are those of merging one pair at a time.
 
 Units: "byte"; "grapheme" (clusters as atoms, bytes known too); "grapheme_constrained" (bytes, and a merge either stays within a
 cluster or joins whole clusters; < and > mark where clusters begin and end). A pair whose bytes are in the vocabulary already is
@@ -22,11 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import checkpointed
+from .pair_index import PairIndex, merge_all, pairs_of, rule, symbols_of
 
 UNITS = ("byte", "grapheme", "grapheme_constrained")
-#: Pairs that a round looks at (a top-k), merges that it takes at most, rounds between two checkpoints.
-TOP, MOST, CUT_EVERY = 256, 64, 8
+#: Pairs that a round looks at (a top-k; of each of L languages FAIR_TOP // L), and merges that it takes at most.
+TOP, MOST, FAIR_TOP = 512, 128, 4096
 Merge = tuple[str, str, float]
 
 
@@ -48,50 +49,40 @@ def word_counts(docs: DataFrame, unit: str = "byte") -> DataFrame:
     return words.withColumn("symbols", marked(F.col("word"), unit))
 
 
-def symbols_of(symbols: Column) -> Column:
-    return F.split(F.substring(symbols, F.lit(2), F.length(symbols) - 2), r"\|\|")
-
-
 def pair_counts(words: DataFrame, unit: str = "byte") -> DataFrame:
     """(left, right, cnt) over the pairs that may be merged."""
-    rows = words.select("cnt", symbols_of(F.col("symbols")).alias("s")).where(F.size("s") > 1)
-    rows = rows.select("cnt", F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("l"), F.slice("s", F.lit(2), F.size("s") - 1).alias("r"))).alias("p")).select("cnt", "p.l", "p.r")
-    if unit == "grapheme_constrained":
-        within = ~F.col("l").endswith(">") & ~F.col("r").startswith("<")
-        rows = rows.where(within | (F.col("l").rlike("^<.*>$") & F.col("r").rlike("^<.*>$")))
-        rows = rows.select("cnt", *(F.regexp_replace(c, "[<>]", "").alias(c) for c in ("l", "r")))
-    return rows.groupBy(F.col("l").alias("left"), F.col("r").alias("right")).agg(F.sum("cnt").alias("cnt"))
+    return pairs_of(words, (), ("cnt",), unit).groupBy("left", "right").agg(F.sum("cnt").alias("cnt"))
 
 
 def merge(symbols: Column, left: str, right: str, unit: str = "byte") -> Column:
     """Every occurrence of the pair, from left to right, as one symbol."""
-    if unit == "grapheme_constrained":
-        return F.regexp_replace(symbols, rf"\|(?:(<?){left}\|\|{right}(>?)|(<){left}>\|\|<{right}(>))\|", f"|$1$3{left}{right}$2$4|")
-    return F.replace(symbols, F.lit(f"|{left}||{right}|"), F.lit(f"|{left}{right}|"))
+    old, new = rule(left, right, unit)
+    return F.regexp_replace(symbols, old, new) if unit == "grapheme_constrained" else F.replace(symbols, F.lit(old), F.lit(new))
 
 
-def sure(top: list[Merge], known: set[str], most: int, complete: bool) -> list[Merge]:
-    """Of pairs in order, those that are the next merges for certain; `complete` if there are no further pairs.
+def sure(top: list[tuple], known: set[str], most: int, complete: bool) -> list[Merge]:
+    """Of pairs (left, right, count, closing) in order, those that are the next merges for certain; `complete` if there are no further pairs.
 
-    A merge makes pairs that count at most as much as a pair that shares a symbol with it. So the first pair that does ends the
-    list, and what counts no more than that is left for the next round; pairs that are never merged share like others.
+    What a merge makes counts at most as much as a pair that ends in its left symbol or begins with its right one. So the first such
+    pair ends the list, and what counts no more than that is left for the next round. A merge also ends it if such a pair stands before it (it is never
+    merged, as its bytes are a token), if it can follow itself, or if it is closing.
     """
     taken: list[Merge] = []
-    used: set[str] = set()
-    blocked: set[str] = set()
-    made: set[str] = set()
-    bound = -1.0 if complete or not top else top[-1][2]
-    for k, (left, right, cnt) in enumerate(top):
-        if {left, right} & used or len(taken) == most:
+    lefts, rights, skipped_lefts, skipped_rights, made = set(), set(), set(), set(), set()
+    bound = -1 if complete or not top else top[-1][2]
+    for k, (left, right, cnt, closing) in enumerate(top):
+        if right in lefts or left in rights or len(taken) == most:
             bound = cnt
             break
         if left + right in known or left + right in made:
-            blocked |= {left, right}
+            skipped_lefts.add(left)
+            skipped_rights.add(right)
             continue
         taken.append((left, right, cnt))
-        used |= {left, right}
+        lefts.add(left)
+        rights.add(right)
         made.add(left + right)
-        if {left, right} & blocked:
+        if left == right or left in skipped_rights or right in skipped_lefts or closing:
             bound = top[k + 1][2] if k + 1 < len(top) else bound
             break
     return taken[:1] + [m for m in taken[1:] if m[2] > bound]
@@ -100,33 +91,25 @@ def sure(top: list[Merge], known: set[str], most: int, complete: bool) -> list[M
 def train(words: DataFrame, merges: int, unit: str = "byte", most: int = MOST, known: set[str] | None = None) -> list[Merge]:
     """The first `merges` merges (left, right, cnt), symbols in hexadecimal; `known` are tokens that there are already besides bytes.
 
-    A round is two jobs, and the driver holds its top pairs only. Words are checkpointed every few rounds in the shared folder.
+    A round is one job, and the driver holds its top pairs only; pairs that are never merged are not counted among the TOP.
     """
     out: list[Merge] = []
     known = {f"{b:02X}" for b in range(256)} | (known or set())
-    words, rounds = words.select("symbols", "cnt").persist(), 0
+    index, skipped = PairIndex(words, unit), 0
     if unit == "grapheme":
-        known |= {r.s for r in words.select(F.explode(F.array_distinct(symbols_of(F.col("symbols")))).alias("s")).distinct().collect()}  # the alphabet
+        known |= {r.s for r in index.words.select(F.explode(F.array_distinct(symbols_of(F.col("symbols")))).alias("s")).distinct().collect()}  # the alphabet
     while len(out) < merges:
-        pairs = pair_counts(words, unit)
-        best = lambda df, n: [(r.left, r.right, r.cnt) for r in df.orderBy(F.desc("cnt"), "left", "right").limit(n).collect()]
-        top = best(pairs, TOP)
-        taken = sure(top, known, min(most, merges - len(out)), len(top) < TOP)
-        if not taken and len(top) == TOP:  # all of them known
-            taken = sure(best(pairs.where(~F.concat("left", "right").isin(sorted(known))), 1), known, 1, True)
-        if not taken:
+        rows = index.top(TOP + skipped)
+        top = [(r.left, r.right, r.cnt, bool(r.closing) if unit == "grapheme_constrained" else False) for r in rows]
+        taken = sure(top, known, min(most, merges - len(out)), len(top) < TOP + skipped)
+        if not taken and len(top) < TOP + skipped:
             break
-        out += taken
-        known |= {a + b for a, b, _ in taken}
-        symbols = F.col("symbols")
-        for left, right, _ in taken:
-            symbols = merge(symbols, left, right, unit)
-        after, rounds = words.select(symbols.alias("symbols"), "cnt"), rounds + 1
-        after = checkpointed(after) if rounds % CUT_EVERY == 0 else after.persist()
-        after.count()
-        words.unpersist()
-        words = after
-    words.unpersist()
+        skipped = sum(r.left + r.right in known for r in rows)
+        if taken:
+            out += [(a, b, float(c)) for a, b, c in taken]
+            known |= {a + b for a, b, _ in taken}
+            index.merge([(a, b) for a, b, _ in taken])
+    index.release()
     return out
 
 
@@ -140,35 +123,82 @@ def n_symbols(symbols: Column) -> Column:
     return ((F.length(symbols) - F.length(F.replace(symbols, F.lit("|"), F.lit("")))) / 2).cast("long")
 
 
+def fair_batch(tops: dict[str, list[tuple]], complete: set[str], dev: dict[tuple, dict], tokens: dict[str, int], n_lines: dict[str, int], known: set[str]) -> tuple[list[tuple], bool]:
+    """(merges (left, right, lang, count) that are the next ones for certain, whether the last of them changes `tokens` in a way to be counted anew).
+
+    A merge takes from each language as many tokens as its `dev` text holds the pair, so the next language to help is known. Its best pair is known as
+    well as long as no pair before it, or with the same count, ends in what a merge of this batch begins with or begins with what one ends in.
+    `known` and `tokens` are brought up to date.
+    """
+    taken: list[tuple] = []
+    lefts, rights = set(), set()
+    while len(taken) < MOST:
+        found = None
+        for lang in sorted(tops, key=lambda x: (-tokens[x] / n_lines[x], x)):
+            for k, (left, right, cnt) in enumerate(tops[lang]):
+                if right in lefts or left in rights:
+                    return taken, False
+                if left + right not in known:
+                    found = (left, right, lang, cnt)
+                    break
+            if found:
+                equal = [p for p in tops[lang][k + 1 :] if p[2] == cnt]
+                if taken and (any(r in lefts or l in rights for l, r, _ in equal) or (len(equal) == len(tops[lang]) - k - 1 and lang not in complete)):
+                    return taken, False
+                break
+            if taken or lang not in complete:
+                return taken, False
+        if not found:
+            return taken, False
+        left, right, lang, cnt = found
+        taken.append(found)
+        known.add(left + right)
+        lefts.add(left)
+        rights.add(right)
+        if left == right:
+            return taken, True
+        for x, n in dev.get((left, right), {}).items():
+            if x in tokens:
+                tokens[x] -= n
+    return taken, False
+
+
 def train_fair(train_words: DataFrame, dev_words: DataFrame, lines: DataFrame, merges: int) -> list[tuple[str, str, str, float]]:
     """Merges (left, right, lang, cnt), each for the language that is worst off: most tokens per line of `dev_words`, then the first by name.
 
-    Its best pair in `train_words` is merged in all languages. A language without a pair passes its turn on. lines(lang, n_lines). Which
-    language is next depends on the merge before, so a round is one merge: two jobs, of which the driver gets a row per language.
+    Its best pair in `train_words` is merged in all languages. A language without a pair passes its turn on. lines(lang, n_lines). A round takes the
+    merges that are sure to be next, see fair_batch(); the driver gets some pairs of each language, and what each language holds of them.
     """
     known = {f"{b:02X}" for b in range(256)}
     out: list[tuple[str, str, str, float]] = []
-    sides = [df.select("lang", "symbols", "cnt").persist() for df in (train_words, dev_words)]
-    for k in range(merges):
-        rows = sides[0].select("lang", "cnt", symbols_of(F.col("symbols")).alias("s")).where(F.size("s") > 1)
-        pairs = rows.select("lang", "cnt", F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("l"), F.slice("s", F.lit(2), F.size("s") - 1).alias("r"))).alias("p")).groupBy("lang", "p.l", "p.r").agg(F.sum("cnt").alias("c"))
-        pairs = pairs.where(~F.concat("l", "r").isin(sorted(known)))
-        tops = pairs.groupBy("lang").agg(F.min_by(F.struct("l", "r", "c"), F.struct(-F.col("c"), "l", "r")).alias("top"))
-        per_line = sides[1].groupBy("lang").agg(F.sum(F.col("cnt") * n_symbols(F.col("symbols"))).alias("n")).join(F.broadcast(lines), "lang")  # a row per language
-        best = tops.join(per_line, "lang").orderBy(F.desc(F.col("n") / F.col("n_lines")), "lang").limit(1).collect()
-        if not best:
+    sides = [df.select("lang", "symbols", *(F.when(F.lit(k == side), F.col("cnt")).otherwise(0).alias(c) for k, c in enumerate(("train", "dev")))) for side, df in enumerate((train_words, dev_words))]
+    words = sides[0].union(sides[1]).groupBy("lang", "symbols").agg(F.sum("train").alias("train"), F.sum("dev").alias("dev"))
+    index = PairIndex(words, "byte", ("lang",), ("train", "dev"))
+    n_lines = {r.lang: r.n_lines for r in lines.collect()}  # a row per language
+    count_tokens = lambda: {r.lang: r.n for r in index.words.groupBy("lang").agg(F.sum(F.col("dev") * n_symbols(F.col("symbols"))).alias("n"), F.sum("dev").alias("any")).where("any > 0").collect() if r.lang in n_lines}
+    tokens, k = count_tokens(), max(8, FAIR_TOP // max(1, len(n_lines)))
+    while len(out) < merges and tokens:
+        rows = index.top(k, "train")
+        tops: dict[str, list[tuple]] = {lang: [] for lang in tokens}
+        for r in rows:
+            tops.get(r.lang, []).append((r.left, r.right, r.train))
+        complete = {lang for lang, pairs in tops.items() if len(pairs) < k}
+        listed = words.sparkSession.createDataFrame(sorted({(r.left, r.right) for r in rows}), "left string, right string")
+        dev: dict[tuple, dict] = {}
+        for r in index.pairs.where("dev > 0").join(F.broadcast(listed), ["left", "right"], "left_semi").collect():  # k pairs of each language
+            dev.setdefault((r.left, r.right), {})[r.lang] = r.dev
+        taken, anew = fair_batch(tops, complete, dev, tokens, n_lines, known)
+        if not taken and len(complete) == len(tops):
             break
-        left, right, cnt = best[0].top
-        out.append((left, right, best[0].lang, cnt))
-        known.add(left + right)
-        after = [df.select("lang", merge(F.col("symbols"), left, right).alias("symbols"), "cnt") for df in sides]
-        after = [checkpointed(df) if k % CUT_EVERY == CUT_EVERY - 1 else df.persist() for df in after]
-        for new, old in zip(after, sides):
-            new.count()
-            old.unpersist()
-        sides = after
-    for df in sides:
-        df.unpersist()
+        if not taken:  # all pairs of a language are known ones
+            k *= 2
+            continue
+        over = max(0, len(out) + len(taken) - merges)
+        out += [(a, b, lang, float(c)) for a, b, lang, c in taken][: len(taken) - over]
+        index.merge([(a, b) for a, b, _, _ in taken])
+        if anew:
+            tokens = count_tokens()
+    index.release()
     return out
 
 
@@ -176,9 +206,7 @@ def arms_compared(words: DataFrame, lines: DataFrame, arms: dict[str, list[tuple
     """(arm, lang, n_tokens, per_line, premium): each arm's merges, in order, over the same words(lang, symbols, cnt)."""
     done = None
     for name, merges in arms.items():
-        symbols = F.col("symbols")
-        for m in merges:
-            symbols = merge(symbols, m[0], m[1])
+        _, symbols = merge_all(F.col("symbols"), [m[:2] for m in merges])
         one = words.groupBy("lang").agg(F.sum(F.col("cnt") * n_symbols(symbols)).cast("long").alias("n_tokens")).withColumn("arm", F.lit(name))
         done = one if done is None else done.union(one)
     rows = done.join(F.broadcast(lines), "lang")  # a row per language
@@ -262,9 +290,7 @@ def train_superwords(docs: DataFrame, first: int, second: int, most_bytes: int =
     rows = words.withColumn("at", size).select("line", F.posexplode(F.arrays_zip("words", "at")).alias("place", "w"))
     units = rows.groupBy("line", F.col("w.at").alias("at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("w.words").alias("word")))), lambda x: x["word"]), "").alias("word"))
     counted = units.groupBy("word").agg(F.count("*").cast("double").alias("cnt")).withColumn("symbols", marked(F.col("word")))
-    symbols = F.col("symbols")
-    for left, right, _ in merges:
-        symbols = merge(symbols, left, right)
+    _, symbols = merge_all(F.col("symbols"), [m[:2] for m in merges])
     return merges + train(counted.withColumn("symbols", symbols), second, known={a + b for a, b, _ in merges})
 
 

@@ -43,7 +43,8 @@ def concatenated(spark: SparkSession, root: str, splits: tuple[str, ...] = ("dev
     for split in splits:
         rows = parallel_corpus(spark, root, split).join(both, "lang", "left_semi")
         rows = rows.withColumn("sent_id", F.col("sent_id") + before)
-        before = (rows.agg(F.max("sent_id")).first()[0] or -1) + 1
+        last = rows.agg(F.max("sent_id")).first()[0]
+        before = before if last is None else last + 1
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -59,9 +60,9 @@ def language_dir(spark: SparkSession, path: str) -> DataFrame:
 
 
 def documents_of(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """(text): lines of a file that aren't empty, the first `most` of them if given (a limit that is the feature)."""
-    rows = spark.read.text(path).select(F.col("value").alias("text")).where("text <> ''")
-    return rows if most is None else rows.limit(most)
+    """(text): lines of a file that aren't empty, the first `most` of them, in the order of files and lines, if given (a limit that is the feature)."""
+    rows = spark.read.text(path).select(F.col("value").alias("text"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line")).where("text <> ''")
+    return (rows if most is None else rows.orderBy("file", "line").limit(most)).select("text")
 
 
 def input_files(spark: SparkSession, path: str, pattern: str = "*", out: str | None = None) -> list[str]:

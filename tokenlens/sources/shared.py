@@ -35,3 +35,15 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Delete the files of stored() tables that nothing reads any more, here or where an executor is lost; others are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in df.inputFiles():
+            folder = name.rpartition("/")[0]
+            if folder.rpartition("/")[2].startswith("stored-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                break
