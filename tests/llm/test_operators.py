@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -567,3 +568,38 @@ def test_pipeline(spark, data, documents):
     left = {r.doc_id for r in docs.collect()}
     assert {k for k in range(40) if k not in (1, 3, 5)} <= left and 40 not in left and 41 not in left
     assert {r.doc_id for r in run(spark, "pipeline", data)} == left
+
+
+def test_three_hundred_languages(spark):
+    """Each language has words of its own; numbers of languages beyond 127 and 255 must not wrap."""
+    word = lambda k, n: "".join(chr(97 + (k // 26**i + 3 * n) % 26) * 2 for i in range(2)) + chr(97 + n) + chr(97 + k % 7)
+    rows = [(300 * n + k, " ".join(word(k, m) for m in range(6)) * 3, f"l{k:03d}") for k in range(300) for n in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert len(model["langs"]) == 300
+    got = language_id.predictions(docs, model).join(docs, "doc_id").collect()
+    assert len({r.lang_pred for r in got}) > 250 and sum(r.lang_pred == r.lang for r in got) > 0.9 * len(got)
+    labeller = language_id.Labeller(model)
+    labeller.scores = np.concatenate([np.zeros((1, 300)), np.eye(300) * 50]).astype(np.float32)
+    assert labeller.viterbi(np.array([151, 151, 300, 300]), np.array([0]), np.array([4])).tolist() == [150, 150, 299, 299]
+
+
+def test_equal_rows_are_spread(spark):
+    docs = spark.createDataFrame([(None, "the same text " * 3)] * 40_000 + [(k, f"text {k}") for k in range(500)], "doc_id long, text string")
+    got = sharding.shard_by_bytes(docs).groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("slots")).collect()
+    sizes = [r["size"] for r in got]
+    assert len(got) == sharding.SHARDS and max(sizes) < 1.05 * min(sizes) and all((r.low, r.high, r.slots) == (0, r.n - 1, r.n) for r in got)
+
+
+def test_rows_without_a_doc_id(spark, tmp_path):
+    rng = random.Random(4)
+    text = " ".join(rng.choice("alpha beta gamma delta wheat shore".split()) for _ in range(40)) + "."
+    rows = [(None, text, "en", "s"), (None, text, "en", "s"), (1, text, None, None), (1, text + " more", "en", "s"), (None, None, None, None)]
+    spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in queries.queries():
+        if name not in ("op4_vectors", "op5_packing", "op13_divergence", "pipeline"):
+            assert len(run(spark, name, str(tmp_path))) == 5, name
+    pieces = run(spark, "op5_packing", str(tmp_path))
+    assert sum(r.length for r in pieces if r.start == 0) <= sum(r.length for r in pieces) and sum(r.start == 0 for r in pieces) == 5
+    assert {(r.lang, r.source) for r in run(spark, "op13_divergence", str(tmp_path))} == {("", ""), ("en", "s")} - {("en", "s"), ("", "")}

@@ -152,7 +152,7 @@ class Labeller:
             self.learn()
         at = self.core[at]
         starts = np.cumsum(n) - n
-        path = self.viterbi(at, starts, n) if self.k and len(at) else np.zeros(len(at), np.int8)
+        path = self.viterbi(at, starts, n) if self.k and len(at) else np.zeros(len(at), np.int32)
         lettered, langs = at > 0, self.model["langs"]
         for a, m in zip(starts.tolist(), n.tolist()):
             own, real = path[a : a + m], lettered[a : a + m]
@@ -170,8 +170,9 @@ class Labeller:
         starts, n = starts[order], n[order]
         most = int(n[0])
         alive = len(n) - np.searchsorted(n[::-1], np.arange(most), side="right")
-        came = np.empty((len(at), self.k), np.int8)  # by word: where each language's best path comes from
-        stay = np.arange(self.k, dtype=np.int8)
+        number = np.min_scalar_type(max(1, self.k - 1))  # wide enough for the numbers of all languages
+        came = np.empty((len(at), self.k), number)  # by word: where each language's best path comes from
+        stay = np.arange(self.k, dtype=number)
         best = self.scores[at[starts[: alive[0]]]].copy()
         for t in range(1, most):
             m = alive[t]
@@ -179,9 +180,9 @@ class Labeller:
             old = best[:m]
             top = old.argmax(1)
             switched = old.max(1)[:, None] - SWITCH_PENALTY
-            came[here] = np.where(old >= switched, stay, top[:, None].astype(np.int8))
+            came[here] = np.where(old >= switched, stay, top[:, None].astype(number))
             best[:m] = np.maximum(old, switched) + self.scores[at[here]]
-        path = np.empty(len(at), np.int8)
+        path = np.empty(len(at), number)
         state = best.argmax(1)
         for t in range(most - 1, -1, -1):
             m = alive[t]

@@ -26,7 +26,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT = 20, 30
 EM_STEPS, PRIOR_WEIGHT, PRIOR = 60, 20.0, 0.8
 KEEP_AT = 0.5
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_stutter", "n_symbol_words", "n_plain_words", "n_letters", "n_types")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_stutter", "n_plain_words", "n_letters", "n_types")
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -56,7 +56,6 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size("_lines"),
         "n_stutter": F.size(F.filter("_hash", lambda h, i: h == F.get("_hash", i - 1))),
         "n_ended": F.size(F.filter("_lines", lambda x: F.rtrim(x).rlike("[.!?:;\"')]$"))),
-        "n_symbol_words": F.size(F.filter("_words", lambda w: w.rlike(f"[{SYMBOLS}]"))),
         "n_plain_words": F.size(F.filter("_words", lambda w: w.rlike(r"^\p{L}+[.,;:!?]?$"))),
         "n_letters": F.length(F.regexp_replace(t, r"\P{L}+", "")),
         "n_types": F.size(F.array_distinct("_hash")),
@@ -78,7 +77,6 @@ def votes(f: str = "f") -> dict[str, Column]:
     return {
         "length": high(x["n_words"], 50, 5),
         "symbols": low(share("n_symbols", "word_chars"), 0.005, 0.03),
-        "symbol_words": low(share("n_symbol_words", "n_words"), 0.02, 0.1),
         "plain_words": high(share("n_plain_words", "n_words"), 0.9, 0.7),
         "letters": high(share("n_letters", "word_chars"), 0.93, 0.8),
         "repeats": low(share("n_repeat_words", "n_words"), 0.05, 0.25),

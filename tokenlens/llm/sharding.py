@@ -1,13 +1,15 @@
-"""Shards of nearly equal bytes by sampled splitters over the key (text hash, doc_id).
+"""Shards of nearly equal bytes by sampled splitters over the key (text hash, doc_id, row number).
 
 A size-weighted sample of keys gives quantile boundaries; records fall into the ranges between them;
 ranges that turn out overfull are subdivided by a denser sample of their own. A running sum within
 each range, on top of the exact totals before it, places every record on the corpus's byte axis, which
 is cut into equal shards. Equal texts are neighbours on that axis, and so share a shard unless a cut
-falls among them; a text that holds a third of all rows is spread by doc_id.
+falls among them; a text that holds a third of all rows is spread by doc_id, and rows that are equal in both by
+a number that each row is given once, before anything is drawn.
 
 Defined cases: a null text has no bytes; null doc_ids sort first; repeated rows each get a slot of their
-own; an empty table gives an empty result; other columns are ignored.
+own, in any order, as they have the same output; very long texts count with all of their bytes; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,32 +30,32 @@ RANGE_BYTES = 1 << 30
 RANGES_PER_SHARD, SAMPLES_PER_RANGE, OVERFULL, ROUNDS = 32, 12, 2.0, 3
 
 
-def _key(h: pd.Series, doc_id: pd.Series) -> np.ndarray:
-    """Signed (h, doc_id) as 16 bytes that sort as the pair does."""
-    both = np.column_stack([h.to_numpy(np.int64), doc_id.to_numpy(np.int64)]).view(np.uint64) ^ np.uint64(1 << 63)
-    return both.byteswap().view("S16").ravel()
+def _key(*parts: pd.Series) -> np.ndarray:
+    """Signed (h, id, number) as 24 bytes that sort as they do."""
+    every = np.column_stack([p.to_numpy(np.int64) for p in parts]).view(np.uint64) ^ np.uint64(1 << 63)
+    return every.byteswap().view("S24").ravel()
 
 
-def _as_bytes(h: int, doc_id: int) -> bytes:
-    return (h + (1 << 63)).to_bytes(8, "big") + (doc_id + (1 << 63)).to_bytes(8, "big")
+def _as_bytes(*parts: int) -> bytes:
+    return b"".join((p + (1 << 63)).to_bytes(8, "big") for p in parts)
 
 
 def _numbered(keyed: DataFrame, bounds: list[bytes]) -> DataFrame:
     """Adds `range`, the number of boundaries at or below the row's key."""
-    limits = np.array(bounds, dtype="S16")
+    limits = np.array(bounds, dtype="S24")
 
     @F.pandas_udf("int")
-    def number(h: pd.Series, doc_id: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(limits, _key(h, doc_id), side="right").astype(np.int32))
+    def number(h: pd.Series, doc_id: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(limits, _key(h, doc_id, n), side="right").astype(np.int32))
 
-    return keyed.withColumn("range", number("h", "id"))
+    return keyed.withColumn("range", number("h", "id", "n"))
 
 
 def _sample(keyed: DataFrame, per_byte: float) -> list[tuple[bytes, float]]:
     """Keys drawn with a chance in proportion to size, by a hash, so that a rerun draws the same; sorted, with weights."""
     chance = F.col("size") * F.lit(per_byte)
-    drawn = F.pmod(F.xxhash64("h", "id", F.lit(7)), F.lit(1 << 40)) < chance * (1 << 40)
-    return sorted((_as_bytes(r.h, r.id), max(1.0, r.size * per_byte)) for r in keyed.where(drawn).select("h", "id", "size").collect())
+    drawn = F.pmod(F.xxhash64("h", "id", "n", F.lit(7)), F.lit(1 << 40)) < chance * (1 << 40)
+    return sorted((_as_bytes(r.h, r.id, r.n), max(1.0, r.size * per_byte)) for r in keyed.where(drawn).select("h", "id", "n", "size").collect())
 
 
 def _quantiles(sample: list[tuple[bytes, float]], parts: int) -> list[bytes]:
@@ -74,8 +76,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
         F.xxhash64("text").alias("h"),
         F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"),
+        F.monotonically_increasing_id().alias("n"),
     )
-    keyed = checkpointed(keyed)
+    keyed = checkpointed(keyed)  # the numbers stay what they are
     total = keyed.agg(F.sum("size")).first()[0] or 0
     ranges = max(shards * RANGES_PER_SHARD, total // RANGE_BYTES)
     full = max(1.0, total / ranges)
@@ -88,7 +91,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             break
         denser = _sample(numbered.where(F.col("range").isin(list(over))), 4 * SAMPLES_PER_RANGE / full)
         for k, size in over.items():
-            low, high = (bounds[k - 1] if k else b""), (bounds[k] if k < len(bounds) else b"\xff" * 17)
+            low, high = (bounds[k - 1] if k else b""), (bounds[k] if k < len(bounds) else b"\xff" * 25)
             keys = [x[0] for x in denser]
             bounds = bounds + _quantiles(denser[bisect.bisect_left(keys, low) : bisect.bisect_left(keys, high)], 1 + round(size / full))
         bounds = sorted(set(bounds))
@@ -99,7 +102,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         sums_so_far, rows = sums_so_far + size, rows + n
     spark = docs.sparkSession
     starts = spark.createDataFrame(list(before.values()), "range int, bytes_before long, rows_before long")
-    inside = Window.partitionBy("range").orderBy("h", "id")
+    inside = Window.partitionBy("range").orderBy("h", "id", "n")
     placed = (
         numbered.withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("rank", F.row_number().over(inside))
