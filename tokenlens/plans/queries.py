@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bpe, corpus, metrics, parity_bpe, pools, study, vocab, vocabulary, zipf
+from ..functions import unicode as U
+from ..operators import bpe, corpus, metrics, parity_bpe, pools, study, token_metrics, vocab, vocabulary, zipf
 
 FAMILIES = [("en", "Germanic"), ("de", "Germanic"), ("fr", "Romance"), ("es", "Romance")]
 HOLDOUT, BUDGET, ROBIN, CAP = 5, 100_000, 400_000, 4.0
@@ -177,7 +178,7 @@ def script_allocation(spark, sf_dir):
     return vocab.script_allocation(words_counted(spark, sf_dir))
 
 
-_BLOCK_ROWS = ", ".join(f"('{name}', {low}, {high})" for name, low, high in vocab.BLOCKS)
+_BLOCK_ROWS = ", ".join(f"('{name}', {low}, {high})" for name, low, high in U.block_ranges())
 
 
 @register(f"""WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents), h AS (SELECT c, hex(encode(c)) AS h, unicode(c)::BIGINT AS u FROM c WHERE c <> ''),
@@ -361,6 +362,87 @@ def matched_contexts(spark, sf_dir):
     return pools.byte_matched_context(sums.select("arm", (total / F.col("n")).alias("bytes_per_token")), "pretok")
 
 
+_TOKENS = f"""{_ROUNDS}, e AS MATERIALIZED (SELECT w, string_split(substr(s, 2, length(s) - 2), '||') AS y FROM t{MERGES}),
+  o AS MATERIALIZED (SELECT lang, w, count(*) AS c FROM (SELECT lang, unnest(regexp_extract_all(text, '{PATTERN}')) AS w FROM documents) GROUP BY lang, w),
+  k AS MATERIALIZED (SELECT lang, tok AS unit, sum(c)::BIGINT AS cnt FROM (SELECT lang, c, unnest(y) AS tok FROM o JOIN e USING (w)) GROUP BY lang, tok)"""
+
+
+def encoded(spark: SparkSession, sf_dir: str, n: int = MERGES) -> token_metrics.Encoded:
+    d = docs(spark, sf_dir)
+    return token_metrics.Encoded(d, vocabulary.train(vocabulary.word_counts(d), n))
+
+
+@register(f"""WITH {_TOKENS}, f AS (SELECT w, len(string_split(s, '||')) AS n FROM t4), z AS (SELECT 'bpe_{MERGES}' AS tokenizer, lang, sum(cnt)::BIGINT AS ctc FROM k GROUP BY lang
+    UNION ALL SELECT 'bpe_4', lang, sum(c * n)::BIGINT FROM o JOIN f USING (w) GROUP BY lang),
+  d AS (SELECT lang, count(*)::BIGINT AS n_sentences, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS n_words, sum(length(regexp_replace(text, '\\s+', '', 'g')))::BIGINT AS n_chars FROM documents GROUP BY lang)
+  SELECT tokenizer, lang, n_sentences, ctc, n_words, n_chars, round(ctc / n_words, 9) AS fertility, round(n_chars / ctc, 9) AS chars_per_token, NULL::DOUBLE AS fertility_per_char,
+    round(ctc / max(CASE WHEN lang = 'en' THEN ctc END) OVER (PARTITION BY tokenizer), 9) AS token_premium FROM d JOIN z USING (lang)""")
+def token_efficiency(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    merges = vocabulary.train(vocabulary.word_counts(d), MERGES)
+    return token_metrics.efficiency(d, {f"bpe_{n}": token_metrics.Encoded(d, merges[:n]) for n in (4, MERGES)})
+
+
+def _piece_sql(k: int) -> str:
+    return f"z{k + 1} AS (SELECT w, one, replace(s, '|' || l || '||' || r || '|', '|' || l || r || '|') AS s FROM z{k}, p{k})"
+
+
+@register(f"""WITH {_TOKENS}, v AS (SELECT lang, w, count(*) AS c FROM (SELECT lang, unnest(regexp_extract_all(text, '\\S+')) AS w FROM documents) GROUP BY lang, w),
+  z0 AS (SELECT w, len(regexp_extract_all(' ' || w, '{PATTERN}')) = 1 AS one, regexp_replace(hex(encode(' ' || w)), '(..)', '|\\1|', 'g') AS s FROM (SELECT DISTINCT w FROM v)), {", ".join(map(_piece_sql, range(MERGES)))},
+  h AS (SELECT lang, sum(c)::BIGINT AS n_words, sum(CASE WHEN one AND len(string_split(s, '||')) = 1 THEN c ELSE 0 END)::BIGINT AS n_kept, count(*) AS n_types, count(CASE WHEN one AND len(string_split(s, '||')) = 1 THEN 1 END) AS n_types_kept FROM v JOIN z{MERGES} USING (w) GROUP BY lang),
+  x AS (SELECT lang, sum(cnt)::BIGINT AS n_tokens, sum(CASE WHEN regexp_matches(unit, '^(0[0-8EF]|1[0-9AB]|2[1-9A-F]|[3-7].|C[2-9A-F]..|D...|E.....|F.......)$') AND unit <> 'C2A0' THEN cnt ELSE 0 END)::BIGINT AS n_shreds FROM k GROUP BY lang)
+  SELECT lang, n_words, n_kept, n_tokens, n_shreds, round(n_kept / n_words, 9) AS strr, round(n_shreds / n_tokens, 9) AS stfr, round(n_types_kept / n_types, 9) AS word_coverage FROM h JOIN x USING (lang)""")
+def token_retention(spark, sf_dir):
+    return encoded(spark, sf_dir).retention()
+
+
+@register(f"""WITH {_TOKENS}, r AS (SELECT unit, count(DISTINCT lang) AS reached, bool_or(lang = 'en') AS ic FROM k GROUP BY unit)
+  SELECT lang, count(*) AS n_types, sum(cnt)::BIGINT AS n_tokens, count(CASE WHEN NOT ic THEN 1 END) AS n_not_in_control, count(CASE WHEN reached <= 1 THEN 1 END) AS n_rare,
+    round(count(CASE WHEN NOT ic THEN 1 END) / count(*), 9) AS share_not_in_control, round(count(CASE WHEN reached <= 1 THEN 1 END) / count(*), 9) AS share_rare,
+    round(sum(CASE WHEN NOT ic THEN cnt ELSE 0 END) / sum(cnt), 9) AS share_mass_not_in_control, round(sum(CASE WHEN reached <= 1 THEN cnt ELSE 0 END) / sum(cnt), 9) AS share_mass_rare
+  FROM k JOIN r USING (unit) GROUP BY lang""")
+def token_exclusivity(spark, sf_dir):
+    return vocab.exclusivity(encoded(spark, sf_dir).counts().withColumnRenamed("token_id", "unit"))
+
+
+@register(f"""WITH {_TOKENS}, b AS (SELECT *, NOT regexp_matches(unit, '^([0-7].|[CD].[89AB].|E.([89AB].){{2}}|F[0-4]([89AB].){{3}})+$') AS broken FROM k)
+  SELECT lang, count(CASE WHEN broken THEN 1 END) AS n_fragment_types, sum(CASE WHEN broken THEN cnt ELSE 0 END)::BIGINT AS n_fragment_tokens, round(count(CASE WHEN broken THEN 1 END) / count(*), 9) AS share_types,
+    round(sum(CASE WHEN broken THEN cnt ELSE 0 END) / sum(cnt), 9) AS share_mass FROM b GROUP BY lang""")
+def token_fragments(spark, sf_dir):
+    arm = encoded(spark, sf_dir)
+    return vocab.fragment_usage(arm.counts(), arm.tokens())
+
+
+@register(f"""WITH {_TOKENS}, p AS (SELECT lang, cnt, cnt / sum(cnt) OVER (PARTITION BY lang) AS p FROM k),
+  g AS (SELECT lang, sum(cnt)::BIGINT AS n_tokens, count(*) AS n_types, -sum(p * ln(p)) AS h, sum(pow(p, 2.5)) AS q FROM p GROUP BY lang)
+  SELECT lang, n_tokens, n_types, round(h, 8) AS entropy_nats, round(h / ln(2), 8) AS entropy_bits, round(h / ln(n_types), 8) AS entropy_norm, round(exp(h), 4) AS effective_vocab,
+    round(ln(q) / -1.5, 8) AS renyi_entropy_nats, round(ln(q) / -1.5 / ln(n_types), 8) AS renyi_efficiency_active FROM g""")
+def token_entropy(spark, sf_dir):
+    return zipf.entropy(encoded(spark, sf_dir).counts().withColumnRenamed("token_id", "unit"))
+
+
+@register(f"""WITH m AS ({_sql["bpe_arms_compared"]}), a AS (SELECT lang, premium AS a FROM m WHERE arm = 'plain'), b AS (SELECT lang, premium AS b FROM m WHERE arm = 'fair')
+  SELECT lang, a, b, round(abs(b - a) / abs(a), 8) AS relative_delta, coalesce(abs(b - a) / abs(a) <= 0.01, false) AS agrees FROM a FULL JOIN b USING (lang)""")
+def trained_arms_cross_check(spark, sf_dir):
+    m = bpe_arms_compared(spark, sf_dir).withColumnRenamed("premium", "token_premium")
+    return corpus.cross_check(m.where("arm = 'plain'"), m.where("arm = 'fair'"), 0.01)
+
+
+@register(f"""WITH m AS ({_sql["bpe_arms_compared"]}), g AS (SELECT lang, exp(avg(ln(premium))) AS mean FROM m GROUP BY lang), t AS (SELECT lang, mean, mean / sum(mean) OVER () AS target, 1.0::DOUBLE / count(*) OVER () AS prior FROM g)
+  SELECT lang, round(mean, 8) AS shared_premium, round(target, 8) AS target_share, round(0.5 * prior + 0.5 * target, 8) AS damped_share, round(max(abs(0.5 * prior + 0.5 * target - prior)) OVER (), 8) AS max_delta FROM t""")
+def trained_arms_shares(spark, sf_dir):
+    return corpus.calibrated(corpus.complete_arms(bpe_arms_compared(spark, sf_dir).select("arm", "lang", "premium")))
+
+
+@register(f"""WITH s AS (SELECT doc_id, regexp_extract_all(text, '{PATTERN}') AS p FROM documents)
+  SELECT doc_id, len(p)::INTEGER AS n_spans, length(p[1])::INTEGER AS first_length, length(p[-1])::INTEGER AS last_length FROM s""")
+def healed_pretokens(spark, sf_dir):
+    """These texts have no cluster across pre-tokens; those that have are tested against a loop."""
+    spans = docs(spark, sf_dir).select("doc_id", T.healed(F.coalesce("text", F.lit(""))).alias("p"))
+    return spans.select("doc_id", F.size("p").alias("n_spans"), F.length(F.get("p", F.lit(0))).alias("first_length"), F.length(F.element_at("p", -1)).alias("last_length"))
+
+
+
 SHARES = [("en", 0.4), ("de", 0.3), ("fr", 0.2), ("es", 0.1)]
 
 
