@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tokenlens.operators import parity_bpe, pools, study
+from tokenlens.operators import hypotheses, parity_bpe, pools, study
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -87,37 +88,23 @@ def test_reweighting_gives_the_shares(spark):
     assert got.keys() == {"en", "fr"} and abs(got["en"] - got["fr"]) < 1e-9 and abs(sum(got.values()) - 20) < 1e-9
 
 
-def test_draws_of_everything_have_no_spread(spark):
-    counts = spark.createDataFrame([("x", str(k), 200 // (k + 1)) for k in range(40)], "lang string, unit string, cnt long")
-    got = {r.metric: r for r in study.summarised(study.matched_draws(counts, 10**9, 3)).collect()}
-    cnt = np.array([200 // (k + 1) for k in range(40)])
-    p = cnt / cnt.sum()
-    assert got["entropy_nats"].sd < 1e-12 and got["entropy_nats"].n == 3 and abs(got["entropy_nats"].mean + (p * np.log(p)).sum()) < 1e-9
-    less = study.matched_draws(counts, 50, 2).collect()
-    assert len({r.entropy_nats for r in less}) == 2
-
-
-@pytest.mark.parametrize("top", [2_000_000, 2_000_000_000])
-def test_draws_are_without_replacement_at_any_size(spark, top):
-    counts = spark.createDataFrame([("x", "top", top)] + [("x", str(k), 1) for k in range(3000)], "lang string, unit string, cnt long")
-    seen, rng = [], np.random.default_rng(1)
-    cnt = np.array([top] + [1] * 3000)
-    for _ in range(20):
-        got = study.without_replacement(rng, cnt, int(0.95 * cnt.sum()))
-        assert got.sum() == int(0.95 * cnt.sum()) and (got <= cnt).all() and (got >= 0).all()
-        seen.append((got[1:] == 1).mean())
-    assert abs(np.mean(seen) - 0.95) < 0.005
-    small = np.array([study.without_replacement(rng, np.array([3, 2, 1]), 3) for _ in range(6000)])
-    assert np.allclose(small.mean(0), [1.5, 1, 0.5], atol=0.05) and abs(small[:, 0].var() - 0.45) < 0.05
-    mean = {r.metric: r.mean for r in study.summarised(study.matched_draws(counts, int(0.95 * (top + 3000)), 2)).collect()}
-    p = np.array([0.95 * top] + [1] * 2850) / (0.95 * top + 2850)
-    assert abs(mean["entropy_nats"] / -(p * np.log(p)).sum() - 1) < 0.05
-
-
-@pytest.mark.parametrize("rho, n, p", [(0.0, 10, 1.0), (0.6, 10, 0.0667), (-0.686, 18, 0.0017), (-0.711, 18, 0.00094)])
-def test_p_of_a_rank_correlation(rho, n, p):
-    assert abs(study.student_p(rho, n) - p) < 0.02 * p + 1e-9
-    assert study.student_p(None, 3) is None and study.student_p(1.0, 9) == 0
+@pytest.mark.parametrize("rho, n, p", [(0.0, 10, 1.0), (0.6, 10, 0.0667), (-0.686, 18, 0.0017), (-0.711, 18, 0.00094), (0.5, 4, 0.5), (0.5, 5, 0.391), (1.0, 9, 0.0), (0.01, 200_000, 7.7e-6)])
+def test_p_of_a_rank_correlation(spark, rho, n, p):
+    got = spark.createDataFrame([(rho, n)], "rho double, n long").select(hypotheses.student_p(F.col("rho"), F.col("n")).alias("p")).first().p
+    assert abs(got - p) < 0.02 * p + 1e-9
+    assert spark.createDataFrame([(None, 3), (0.5, 3)], "rho double, n long").where(hypotheses.student_p(F.col("rho"), F.col("n")).isNotNull()).count() == 0
+
+
+def test_p_by_integrating_the_density(spark):
+    rows = [(r / 10, n) for r in range(0, 10, 3) for n in (4, 5, 6, 7, 30, 31)]
+    got = spark.createDataFrame(rows, "rho double, n long").select("rho", "n", hypotheses.student_p(F.col("rho"), F.col("n")).alias("p")).collect()
+    for r in got:
+        f = r.n - 2
+        # With t = sqrt(f) tan(u) the density is cos(u)^(f - 1) up to a factor.
+        u = (np.arange(400_000) + 0.5) / 400_000 * np.pi / 2
+        weight = np.cos(u) ** (f - 1)
+        want = weight[u > math.asin(r.rho)].sum() / weight.sum()
+        assert abs(r.p - want) < 1e-5, (r, want)
 
 
 def test_curve_of_pure_zipf(spark):

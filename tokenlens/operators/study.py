@@ -1,82 +1,12 @@
-"""The Zipf study on top of the single statistics: matched draws per cell, bootstrap summaries, deltas, hypotheses."""
+"""The Zipf study on top of the single statistics: deltas from a baseline unit, verdicts, curves. Draws are in draws, hypotheses in hypotheses."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .zipf import count_blocks, fit_mandelbrot
-
-METRICS = ("entropy_nats", "ks_zipf", "ols_slope", "alpha")
-
-
-def cell_statistics(cnt: np.ndarray) -> dict:
-    """Entropy, KS distance from 1 / rank, log-log slope and Zipf-Mandelbrot exponent of one vector of counts."""
-    cnt = np.sort(cnt[cnt > 0].astype(float))[::-1]
-    if not len(cnt):
-        return dict.fromkeys(METRICS, math.nan)
-    p, rank = cnt / cnt.sum(), np.arange(1, len(cnt) + 1)
-    ideal = (1 / rank) / (1 / rank).sum()
-    slope = -np.polyfit(np.log(rank), np.log(cnt), 1)[0] if len(cnt) > 1 else math.nan
-    return {"entropy_nats": float(-(p * np.log(p)).sum()), "ks_zipf": float(np.abs(np.cumsum(p) - np.cumsum(ideal)).max()), "ols_slope": float(slope), "alpha": fit_mandelbrot(cnt)["alpha"]}
-
-
-def _distinct(rng: np.random.Generator, n: int, k: int) -> np.ndarray:
-    """k distinct numbers below n, every set of them as likely."""
-    if 2 * k > n:
-        return rng.permutation(n)[:k]
-    got = np.zeros(0, np.int64)
-    while len(got) < k:
-        new = np.concatenate([got, rng.integers(0, n, k - len(got))])
-        got = new[np.sort(np.unique(new, return_index=True)[1])]
-    return got
-
-
-def without_replacement(rng: np.random.Generator, cnt: np.ndarray, taken: int) -> np.ndarray:
-    """How many of each type's tokens are among `taken` drawn without replacement, for any number of tokens.
-
-    Each token is taken with the chance taken / total; what that is off by is then taken back or added, each token
-    being as likely, so that all sets of `taken` tokens are.
-    """
-    total = int(cnt.sum())
-    if taken >= total:
-        return cnt
-    got = rng.binomial(cnt, taken / total)
-    off = int(got.sum()) - taken
-    pool = got if off > 0 else cnt - got
-    moved = np.bincount(np.searchsorted(np.cumsum(pool), _distinct(rng, int(pool.sum()), abs(off)), side="right"), minlength=len(cnt))
-    return got - moved if off > 0 else got + moved
-
-
-def matched_draws(counts: DataFrame, budget: int, draws: int, seed: int = 77) -> DataFrame:
-    """(lang, draw, *METRICS): each draw takes `budget` tokens without replacement (all tokens where there are fewer).
-
-    What a task holds are a language's distinct counts, expanded to its types in memory.
-    """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        draw = int(pdf.draw.iloc[0])
-        pdf = pdf.sort_values("cnt", ascending=False)
-        cnt = np.repeat(pdf.cnt.to_numpy(np.int64), pdf.types.to_numpy(np.int64))
-        taken = min(budget, int(cnt.sum()))
-        rng = np.random.default_rng(seed + draw)
-        got = without_replacement(rng, cnt, taken)
-        return pd.DataFrame([{"lang": pdf.lang.iloc[0], "draw": draw, **cell_statistics(got)}])
-
-    each = count_blocks(counts).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    return each.groupBy("lang", "draw").applyInPandas(one, "lang string, draw int, " + ", ".join(f"{m} double" for m in METRICS))
-
-
-def summarised(draws: DataFrame) -> DataFrame:
-    """(lang, metric, mean, sd, low, high, n) over the finite values of each metric; sd is 0 for one value."""
-    long = draws.unpivot(["lang"], list(METRICS), "metric", "v").where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
-    spread = F.when(F.count("*") == 1, 0.0).otherwise(F.stddev_samp("v"))
-    return long.groupBy("lang", "metric").agg(F.avg("v").alias("mean"), spread.alias("sd"), F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"), F.count("*").alias("n"))
-
+from .hypotheses import student_p
+from .zipf import count_blocks, harmonic, spearman
 
 def deltas(rows: DataFrame, value: str, baseline: str) -> DataFrame:
     """(lang, unit, delta) of rows(lang, unit, <value>) from the baseline unit of the same language; others without one drop out."""
@@ -84,35 +14,10 @@ def deltas(rows: DataFrame, value: str, baseline: str) -> DataFrame:
     return rows.where(F.col("unit") != baseline).join(base, "lang").select("lang", "unit", F.round(F.col(value) - F.col("_base"), 7).alias("delta"))
 
 
-def student_p(rho: float | None, n: int) -> float | None:
-    """Two-sided p of a rank correlation by Student's t with n - 2 degrees of freedom (incomplete beta, continued fraction)."""
-    if rho is None or n < 4:
-        return None
-    if abs(rho) >= 1 or rho == 0:
-        return float(rho == 0)
-    a, b, x = (n - 2) / 2, 0.5, 1 - rho * rho
-
-    def fraction(a: float, b: float, x: float) -> float:
-        c, d = 1.0, 1 / max(1e-300, abs(1 - (a + b) * x / (a + 1))) * (1 if 1 - (a + b) * x / (a + 1) >= 0 else -1)
-        h = d
-        for m in range(1, 300):
-            for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d, c = 1 / (1 + top * d), 1 + top / c
-                h *= d * c
-            if abs(d * c - 1) < 1e-14:
-                break
-        return h
-
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
-
-
 def verdicts(rows: DataFrame, x: str, y: str, by: str, level: float = 0.05) -> DataFrame:
     """(by, n, rho, p, supported): Spearman's rho of x and y in each `by` and whether it is below 0 at `level`."""
-    from .zipf import spearman
-
-    p = F.udf(lambda rho, n: student_p(rho, n), "double")  # one value a group
-    return spearman(rows, x, y, by).withColumn("p", p("rho", "n")).withColumn("supported", F.coalesce((F.col("rho") < 0) & (F.col("p") < level), F.lit(False)))
+    got = spearman(rows, x, y, by).withColumn("p", F.round(student_p(F.col("rho"), F.col("n")), 8))
+    return got.withColumn("supported", F.coalesce((F.col("rho") < 0) & (F.col("p") < level), F.lit(False)))
 
 
 def rank_frequency_curve(counts: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -132,8 +37,6 @@ def rank_frequency_curve(counts: DataFrame, fitted: DataFrame) -> DataFrame:
 
 def pure_curve(counts: DataFrame) -> DataFrame:
     """(lang, first_rank, types, cnt, pure): observed counts and those of pure Zipf at the first rank of each block of types of one count."""
-    from .zipf import harmonic
-
     every = Window.partitionBy("lang")
     rows = count_blocks(counts).withColumn("_v", F.sum("types").over(every)).withColumn("_n", F.sum(F.col("types") * F.col("cnt")).over(every))
     return rows.select("lang", "first_rank", "types", "cnt", F.round(F.col("_n") / F.col("first_rank") / harmonic(F.col("_v")), 5).alias("pure"))

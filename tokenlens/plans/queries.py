@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import unicode as U
-from ..operators import bpe, corpus, metrics, parity_bpe, pools, study, token_metrics, vocab, vocabulary, zipf
+from ..operators import bpe, corpus, draws, hypotheses, metrics, parity_bpe, pools, study, token_metrics, vocab, vocabulary, zipf
 
 FAMILIES = [("en", "Germanic"), ("de", "Germanic"), ("fr", "Romance"), ("es", "Romance")]
 HOLDOUT, BUDGET, ROBIN, CAP = 5, 100_000, 400_000, 4.0
@@ -454,20 +454,99 @@ def byte_mass_reweighted(spark, sf_dir):
     return words.groupBy("lang").agg(F.round(F.sum("cnt"), 3).alias("weighted"))
 
 
-@register()
+DRAWS = 3
+#: Statistics of each (lang, draw) of a table x(lang, draw, unit, cnt).
+_STATISTICS = """q AS (SELECT lang, draw, cnt, row_number() OVER (PARTITION BY lang, draw ORDER BY cnt DESC) AS r FROM x),
+  c AS (SELECT lang, draw, cnt, r, cnt / sum(cnt) OVER l AS p, sum(cnt) OVER w / sum(cnt) OVER l AS emp, sum(1.0::DOUBLE / r) OVER w / sum(1.0::DOUBLE / r) OVER l AS zipf FROM q
+    WINDOW l AS (PARTITION BY lang, draw), w AS (PARTITION BY lang, draw ORDER BY r ROWS UNBOUNDED PRECEDING)),
+  m AS (SELECT lang, draw, sum(cnt)::BIGINT AS n_tokens, round(-sum(p * ln(p)), 8) AS entropy_nats, round(max(abs(emp - zipf)), 7) AS ks_zipf, round(-regr_slope(ln(cnt), ln(r)), 7) AS ols_slope FROM c GROUP BY lang, draw),
+  v AS (UNPIVOT m ON entropy_nats, ks_zipf, ols_slope INTO NAME metric VALUE v)"""
+_SUMMARY = "round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(*) AS n"
+_SENTENCES = "s AS (SELECT lang, doc_id, regexp_extract_all(text, '\\S+') AS units FROM documents)"
+_MATCHED = f"""{_SENTENCES}, b AS (SELECT greatest(1, floor(min(t) * 0.95)) AS budget FROM (SELECT sum(len(units)) AS t FROM s GROUP BY lang)),
+  h AS (SELECT lang, doc_id, units, len(units) AS n, draw, md5((77 + draw) || ':' || doc_id) AS h FROM s, (SELECT unnest(range({DRAWS})) AS draw)),
+  o AS (SELECT *, sum(n) OVER (PARTITION BY lang, draw ORDER BY h) AS running FROM h),
+  x AS (SELECT lang, draw, unit, count(*) AS cnt FROM (SELECT lang, draw, unnest(units[1:least(n, budget - (running - n))::BIGINT]) AS unit FROM o, b WHERE running - n < budget) GROUP BY ALL)"""
+
+
+def _budget(sentences: DataFrame) -> int:
+    least = sentences.groupBy("lang").agg(F.sum(F.size("units")).alias("n")).agg(F.min("n")).first()[0] or 0
+    return max(1, int(0.95 * least))
+
+
+@register(f"WITH {_MATCHED}, {_STATISTICS} SELECT lang, metric, {_SUMMARY} FROM v GROUP BY lang, metric")
 def matched_draw_summary(spark, sf_dir):
-    counts = words_counted(spark, sf_dir)
-    least = counts.groupBy("lang").agg(F.sum("cnt").alias("n")).agg(F.min("n")).first()[0] or 0
-    return study.summarised(study.matched_draws(counts, max(1, int(0.95 * least)), 5))
+    """Documents as sentences, drawn until all languages have as many words."""
+    rows = draws.sentences(docs(spark, sf_dir))
+    return draws.summarised(draws.statistics(draws.counts_of_matched(draws.matched(rows, _budget(rows), DRAWS))))
 
 
-@register()
+@register(f"""WITH {_SENTENCES}, i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM s),
+  k AS (SELECT lang, draw, ('0x' || substr(md5((77 + draw) || ':' || place), 1, 15))::BIGINT % n AS place, count(*) AS weight FROM i, (SELECT unnest(range({DRAWS})) AS draw) GROUP BY ALL),
+  x AS (SELECT lang, draw, unit, sum(weight)::BIGINT AS cnt FROM (SELECT lang, draw, weight, unnest(units) AS unit FROM k JOIN i USING (lang, place)) GROUP BY ALL), {_STATISTICS}
+  SELECT lang, metric, {_SUMMARY} FROM v GROUP BY lang, metric""")
+def sentence_bootstrap(spark, sf_dir):
+    """As many documents as each language has, drawn with replacement."""
+    rows = draws.sentences(docs(spark, sf_dir))
+    return draws.summarised(draws.statistics(draws.counts_of_resampled(rows, draws.resampled(rows, DRAWS))))
+
+
+#: Two-sided p of column rho over n pairs, by the gamma function instead of a series of products.
+_P = """CASE WHEN n < 4 THEN NULL WHEN abs(rho) >= 1 THEN 0 WHEN n % 2 = 0 THEN greatest(0, 1 - abs(rho) * list_sum(list_transform(range(0, ((n - 2) / 2)::BIGINT), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1) + k * ln(1 - rho * rho)))))
+    ELSE greatest(0, 1 - 2 / pi() * (asin(abs(rho)) + abs(rho) * sqrt(1 - rho * rho) * coalesce(list_sum(list_transform(range(0, ((n - 3) / 2)::BIGINT), lambda k: exp(lgamma(1.5) + lgamma(k + 1) - lgamma(k + 1.5) + k * ln(1 - rho * rho)))), 0))) END"""
+
+
+@register(f"""WITH r AS ({_sql["spearman_length_density"]}) SELECT lang, n, rho, round({_P}, 8) AS p, coalesce(rho < 0 AND {_P} < 0.05, false) AS supported FROM r""")
 def length_density_verdict(spark, sf_dir):
     size = F.octet_length("text").cast("double")
     rows = docs(spark, sf_dir).where(size > 0).select("lang", size.alias("x"), (F.size(T.words(F.col("text"))) / size).alias("y"))
     return study.verdicts(rows, "x", "y", "lang")
 
 
+def _unit_sql(name: str, units: str) -> str:
+    return f"SELECT '{name}' AS unit, lang, u, count(*) AS cnt FROM (SELECT lang, unnest({units}) AS u FROM documents) GROUP BY lang, u"
+
+
+_PROFILE = f"""y AS MATERIALIZED ({_unit_sql('word', "regexp_extract_all(text, '\\S+')")} UNION ALL {_unit_sql('token', f"regexp_extract_all(text, '{PATTERN}')")}),
+  z AS (SELECT unit, lang, cnt, row_number() OVER (PARTITION BY unit, lang ORDER BY cnt DESC) AS r FROM y),
+  c AS (SELECT unit, lang, cnt / sum(cnt) OVER l AS p, sum(cnt) OVER w / sum(cnt) OVER l AS emp, sum(1.0::DOUBLE / r) OVER w / sum(1.0::DOUBLE / r) OVER l AS zipf FROM z
+    WINDOW l AS (PARTITION BY unit, lang), w AS (PARTITION BY unit, lang ORDER BY r ROWS UNBOUNDED PRECEDING)),
+  f AS (SELECT unit, lang, round(max(abs(emp - zipf)), 7) AS ks_zipf, round(-sum(p * ln(p)), 8) AS log_effective_vocab FROM c GROUP BY unit, lang),
+  a AS (SELECT u, bool_or(lang = 'en') AS ic FROM y WHERE unit = 'token' GROUP BY u),
+  g AS (SELECT lang, count(*) / (SELECT count(*) FROM a) AS share_of_vocab, sum(CASE WHEN NOT ic THEN cnt ELSE 0 END) / sum(cnt) AS share_mass_not_in_control,
+    sum(CASE WHEN NOT regexp_matches(u, '\\p{{L}}') THEN cnt ELSE 0 END) / sum(cnt) AS share_fragment_mass FROM y JOIN a USING (u) WHERE unit = 'token' GROUP BY lang),
+  t AS (SELECT g.*, k.ks_zipf AS tk, k.log_effective_vocab AS te, w.ks_zipf AS wk, w.log_effective_vocab AS we FROM g JOIN f k ON k.lang = g.lang AND k.unit = 'token' JOIN f w ON w.lang = g.lang AND w.unit = 'word'),
+  l AS (SELECT 'H1' AS hypothesis, 'share_of_vocab' AS x, 'share_mass_not_in_control' AS y, share_of_vocab AS a, share_mass_not_in_control AS b FROM t
+    UNION ALL SELECT 'H2', 'share_of_vocab', 'ks_zipf', share_of_vocab, tk FROM t UNION ALL SELECT 'H2', 'share_of_vocab', 'log_effective_vocab', share_of_vocab, te FROM t
+    UNION ALL SELECT 'H2', 'share_fragment_mass', 'ks_zipf', share_fragment_mass, tk FROM t
+    UNION ALL SELECT 'H3', 'share_of_vocab', 'ks_zipf less that of word', share_of_vocab, tk - wk FROM t UNION ALL SELECT 'H3', 'share_of_vocab', 'log_effective_vocab less that of word', share_of_vocab, te - we FROM t),
+  k AS (SELECT hypothesis, x, y, (rank() OVER (PARTITION BY hypothesis, x, y ORDER BY a) + count(*) OVER (PARTITION BY hypothesis, x, y) + 1 - rank() OVER (PARTITION BY hypothesis, x, y ORDER BY a DESC)) / 2 AS ra,
+    (rank() OVER (PARTITION BY hypothesis, x, y ORDER BY b) + count(*) OVER (PARTITION BY hypothesis, x, y) + 1 - rank() OVER (PARTITION BY hypothesis, x, y ORDER BY b DESC)) / 2 AS rb FROM l),
+  n AS (SELECT hypothesis, x, y, count(*) AS n, CASE WHEN count(*) >= 4 THEN corr(ra, rb) END AS rho FROM k GROUP BY hypothesis, x, y)"""
+
+
+@register(f"""WITH {_PROFILE}
+  SELECT hypothesis, 'token' AS tokenizer, x, y, n, round(rho, 8) AS rho, round({_P}, 8) AS p, NULL::DOUBLE AS spread, coalesce(rho < 0 AND {_P} < 0.05, false) AS supported FROM n
+  UNION ALL SELECT 'H4', tokenizer, 'language', 'ks_zipf', n, NULL, NULL, round(spread, 6), CASE WHEN tokenizer = 'word' THEN spread < (SELECT stddev_samp(ks_zipf) FROM f WHERE unit = 'token') END
+    FROM (SELECT unit AS tokenizer, count(*) AS n, stddev_samp(ks_zipf) AS spread FROM f GROUP BY unit)""")
+def study_hypotheses(spark, sf_dir):
+    """H1 to H4 over pre-tokens, words as their baseline and as the tokenizer that should be fairer; mass without letters stands for fragments."""
+    counts = {"token": zipf.unit_counts(docs(spark, sf_dir), "pretok"), "word": words_counted(spark, sf_dir)}
+    fits = None
+    for name, c in counts.items():
+        one = zipf.against_zipf(c).join(zipf.entropy(c), "lang").select("lang", F.lit(name).alias("unit"), "ks_zipf", F.col("entropy_nats").alias("log_effective_vocab"))
+        fits = one if fits is None else fits.union(one)
+    primary = fits.withColumn("tokenizer", F.lit("token"))
+    other = fits.where("unit = 'word'").withColumn("unit", F.lit("token")).withColumn("tokenizer", F.lit("word"))
+    reach = counts["token"].groupBy("unit").agg(F.max(F.col("lang") == "en").alias("in_control"))
+    n = reach.agg(F.count("*").alias("n_vocab"))
+    mass = lambda c: F.sum(F.when(c, F.col("cnt")).otherwise(0)) / F.sum("cnt")
+    rows = counts["token"].join(reach, "unit").groupBy("lang").agg(F.count("*").alias("types"), mass(~F.col("in_control")).alias("share_mass_not_in_control"), mass(~F.col("unit").rlike("\\p{L}")).alias("share_fragment_mass"))
+    profile = rows.crossJoin(F.broadcast(n)).withColumn("share_of_vocab", F.col("types") / F.col("n_vocab"))  # one row
+    got = hypotheses.evaluated(profile, primary.unionByName(other), "token", ("token",), "word")
+    return got.where("y NOT LIKE '%grapheme'")
+
+
 @register()
 def rank_frequency_curve(spark, sf_dir):
     counts = words_counted(spark, sf_dir)
