@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import checkpointed
+from ..sources.shared import checkpointed, stored
 from .corpus import running_sum
 
 
@@ -108,6 +108,23 @@ def sentences(text: Column, most: int = 280) -> Column:
     return F.aggregate(cut, start, step, lambda a: F.when(a["open"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["open"]))))
 
 
+def first_sentences(docs: DataFrame, n: int, most: int = 280) -> DataFrame:
+    """(lang, place, unit, doc_id, docs_used): the first n sentence units of each language of docs(lang, doc_id, text), in order of doc_id.
+
+    Units don't cross documents. docs_used counts the documents with a unit that the language's n units come from, so that these can be kept from
+    training. Languages with fewer units are an error; documents without a language or a unit are left out.
+    """
+    rows = docs.where("lang IS NOT NULL").select("lang", "doc_id", sentences(F.coalesce("text", F.lit("")), most).alias("units")).withColumn("n", F.size("units").cast("long")).where("n > 0")
+    rows = stored(rows)
+    short = [f"{r.lang} ({r.n})" for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") < n).orderBy("lang").collect()]
+    if short:
+        raise ValueError(f"fewer than {n} units: {', '.join(short)}")
+    run = running_sum(rows, "n", "doc_id", ("lang",)).withColumn("first", F.col("running") - F.col("n")).where(F.col("first") < n)
+    used = run.groupBy("lang").agg(F.count("*").alias("docs_used"))
+    each = run.select("lang", "doc_id", "first", F.posexplode("units").alias("at", "unit")).withColumn("place", F.col("first") + F.col("at")).where(F.col("place") < n)
+    return each.join(F.broadcast(used), "lang").select("lang", "place", "unit", "doc_id", "docs_used")  # a row per language
+
+
 def byte_matched_context(per_token: DataFrame, reference: str, context: int = 2048) -> DataFrame:
     """(arm, context) of per_token(arm, bytes_per_token): the context that holds as many bytes as the reference's; 1 at least."""
     base = per_token.where(F.col("arm") == reference).select(F.col("bytes_per_token").alias("base"))

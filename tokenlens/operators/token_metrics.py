@@ -35,6 +35,22 @@ def dictionary(words: DataFrame, merges: list[Merge], alphabet: list[str] | None
     return words.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
 
 
+def encoded_pieces(rows: DataFrame, pairs: list[tuple[bytes, bytes]], ids: dict[bytes, int]) -> DataFrame:
+    """(doc_id, lang, ids array<int>) of rows(doc_id, lang, words array<string>): each distinct word is encoded once and joined back."""
+    spread = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "words"))
+    each = spread.select("row", F.posexplode("words").alias("place", "word"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(pairs, ids)
+        for batch in batches:
+            got = [encoder.encode(w) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(got, pa.list_(pa.int32()))], ["word", "ids"])
+
+    entries = each.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
+    joined = each.join(entries, "word").groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return spread.select("row", "doc_id", "lang").join(joined, "row", "left").select("doc_id", "lang", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+
+
 def tokens_of(spark: SparkSession, merges: list[Merge], alphabet: list[str] | None = None) -> DataFrame:
     """(token_id, raw binary, surface_length): a row per token; the length is 0 for blanks and for what is not whole characters."""
     rows = spark.createDataFrame([(k, bytearray.fromhex(t)) for k, t in enumerate(vocabulary(merges, alphabet))], "token_id int, raw binary")

@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -226,11 +227,17 @@ def merges_table(spark: SparkSession, merges: list[Merge]) -> DataFrame:
 
 
 class Encoder:
-    """Ids of pre-tokens: always the neighbours whose merge has the lowest rank, the leftmost of equals."""
+    """Ids of pre-tokens: always the neighbours whose merge has the lowest rank, the leftmost of equals.
 
-    def __init__(self, merges: list[tuple[bytes, bytes]], tokens: list[bytes], graphemes: bool = False):
-        self.rank = {m: k for k, m in enumerate(merges)}
-        self.ids = {t: k for k, t in enumerate(tokens)}
+    Candidates wait in a heap by rank and place, and neighbours are linked, so a word of n symbols takes n log n steps. `tokens` are in the order
+    of their ids, or a table of ids; a word that is a token already but that no merges make up is still encoded by merges.
+    """
+
+    def __init__(self, merges: list[tuple[bytes, bytes]], tokens: list[bytes] | dict[bytes, int], graphemes: bool = False):
+        self.rank: dict[tuple[bytes, bytes], int] = {}
+        for k, m in enumerate(merges):
+            self.rank.setdefault(m, k)
+        self.ids = tokens if isinstance(tokens, dict) else {t: k for k, t in enumerate(tokens)}
         self.graphemes, self.known = graphemes, {}
 
     def atoms(self, word: str) -> list[bytes]:
@@ -241,15 +248,29 @@ class Encoder:
         parts = [g.encode() for g in regex.findall(r"\X", word)]
         return [x for g in parts for x in ([g] if g in self.ids else [bytes([b]) for b in g])]
 
+    def merged(self, symbols: list[bytes | None]) -> list[bytes]:
+        rank, n = self.rank, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k, a, b) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := rank.get((a, b))) is not None]
+        heapify(heap)
+        while heap:
+            _, k, a, b = heappop(heap)
+            right = after[k]
+            if symbols[k] != a or right >= n or symbols[right] != b:  # one of them has been merged since
+                continue
+            symbols[k], symbols[right] = a + b, None
+            after[k] = end = after[right]
+            if end < n:
+                before[end] = k
+                if (r := rank.get((a + b, symbols[end]))) is not None:
+                    heappush(heap, (r, k, a + b, symbols[end]))
+            if (left := before[k]) >= 0 and (r := rank.get((symbols[left], a + b))) is not None:
+                heappush(heap, (r, left, symbols[left], a + b))
+        return [s for s in symbols if s is not None]
+
     def encode(self, word: str) -> list[int]:
         if (ids := self.known.get(word)) is None:
-            symbols = self.atoms(word)
-            while len(symbols) > 1:
-                rank, at = min((self.rank.get(p, len(self.rank)), k) for k, p in enumerate(zip(symbols, symbols[1:])))
-                if rank == len(self.rank):
-                    break
-                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-            ids = [self.ids[s] for s in symbols]
+            ids = [self.ids[s] for s in self.merged(self.atoms(word))]
             if len(self.known) >= 1 << 18:
                 self.known.clear()
             self.known[word] = ids

@@ -672,6 +672,17 @@ def packed_sentences(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(pools.sentences(F.coalesce("text", F.lit("")))).alias("n_units"))
 
 
+UNITS = 200
+
+
+@register(f"""WITH u AS ({_sql["packed_sentences"]}), r AS (SELECT lang, doc_id, n_units, sum(n_units) OVER (PARTITION BY lang ORDER BY doc_id) AS running FROM u JOIN documents USING (doc_id) WHERE n_units > 0)
+  SELECT lang, count(*) AS docs_used, max(doc_id) AS last_doc, sum(least(n_units, {UNITS} - (running - n_units)))::BIGINT AS n_units FROM r WHERE running - n_units < {UNITS} GROUP BY lang""")
+def first_sentence_units(spark, sf_dir):
+    """The first units of each language, and the documents that they use up."""
+    rows = pools.first_sentences(docs(spark, sf_dir), UNITS)
+    return rows.groupBy("lang").agg(F.max("docs_used").alias("docs_used"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_units"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
