@@ -53,13 +53,24 @@ def test_metrics_over_token_ids(docs):
         assert (r.n_words, r.n_kept, r.n_tokens, r.n_shreds) == (words[r.lang, True] + words[r.lang, False], words[r.lang, True], n, shreds)
         assert (r.n_types, r.n_types_kept) == (len(types[r.lang]), sum(types[r.lang].values())) if hasattr(r, "n_types") else True
         assert (r.strr is None) == (r.lang == "zho_Hans") and abs(r.word_coverage - sum(types[r.lang].values()) / len(types[r.lang])) < 1e-8
-    rows = {(r.tokenizer, r.lang): r for r in token_metrics.efficiency(docs, {"all": arm, "none": token_metrics.Encoded(docs, [])}).collect()}
+    rows = {(r.tokenizer, r.lang): r for r in token_metrics.efficiency(docs, {"all": arm, "none": arm.under([])}).collect()}
     assert all(rows["all", lang].ctc == sum(c.values()) for lang, c in counts.items()) and rows["none", "de"].ctc > rows["all", "de"].ctc
     assert rows["all", "en"].token_premium == 1 and rows["all", "zho_Hans"].fertility_per_char and rows["all", "de"].fertility_per_char is None
     with pytest.raises(ValueError, match="xx"):
         token_metrics.efficiency(docs, {"all": arm}, "xx")
 
 
+def test_arms_side_by_side(spark):
+    rows = [("a", "en", 2.0, 1.0, 1.0, 0.5, 0.4, 10.0), ("a", "de", 4.0, 2.0, 3.0, 0.1, None, 30.0), ("b", "en", 1.0, 3.0, 1.0, 0.0, 0.8, 8.0), ("b", "de", 2.0, 5.0, 1.5, 0.2, None, 8.0), ("c", "en", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "tokenizer string, lang string, fertility double, chars_per_token double, token_premium double, stfr double, strr double, tokens_per_line double")
+    got = {(r.lang, r.metric): (r.baseline, r.compare, r.delta, r.pct_change) for r in token_metrics.arms_compared(df, "a", "b").collect()}
+    assert len(got) == 2 * 5 + 5 + 1 and got["de", "fertility"] == (4.0, 2.0, -2.0, -50.0) and got["macro", "chars_per_token"] == (1.5, 4.0, 2.5, 166.666667)
+    assert got["macro", "strr"] == (0.4, 0.8, 0.4, 100.0) and got["macro", "gini_tokens_per_line"] == (0.25, 0.0, -0.25, -100.0) and got["de", "strr"] == (None, None, None, None)
+    for pair, told in ((("a", "c"), "de"), (("a", "none"), "same languages")):
+        with pytest.raises(ValueError, match=told):
+            token_metrics.arms_compared(df, *pair)
+
+
 ODD = ["नमस्ते दुनिया क्षत्रिय", "👩‍💻 👨‍👩‍👧‍👦 x", "각 한국어 테스트 각", "éé á!́ ́x", "plain text, here. 123456", "flag 🇩🇪🇫🇷 ok", "1⃣2️⃣", "\r\n\r\n x\r\n", "a ̀b", "", "ไทย ภาษา", "  ́ y", "12́345", "a🏻b", "ｶﾞ 1ﾞ", "x‍ y", "؀12"]
 
 

@@ -59,17 +59,31 @@ def tokens_of(spark: SparkSession, merges: list[Merge], alphabet: list[str] | No
 
 
 class Encoded:
-    """docs(lang, text) under a vocabulary. texts(lang, word, cnt, ids): pre-tokens; words(lang, word, cnt, single): words between blanks, `single` if one token."""
+    """docs(lang, text) under a vocabulary. texts(lang, word, cnt, ids): pre-tokens; words(lang, word, cnt, single): words between blanks, `single` if one token.
+
+    An arm over the same docs as another takes the other's counts of words, see under().
+    """
 
     def __init__(self, docs: DataFrame, merges: list[Merge], alphabet: list[str] | None = None):
+        self.spark = docs.sparkSession
         rows = docs.select("lang", T.normal(F.coalesce("text", F.lit(""))).alias("text"))
         texts = rows.select("lang", F.explode(T.pretokens(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("cnt"))
         words = rows.select("lang", F.explode(T.words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("cnt"))
-        texts = stored(texts)
-        words = stored(words.withColumn("piece", F.concat(F.lit(" "), "word")).withColumn("whole", F.size(T.pretokens(F.col("piece"))) == 1))
+        self.counted = stored(texts), stored(words.withColumn("piece", F.concat(F.lit(" "), "word")).withColumn("whole", F.size(T.pretokens(F.col("piece"))) == 1))
+        self._encode(merges, alphabet)
+
+    def under(self, merges: list[Merge], alphabet: list[str] | None = None) -> Encoded:
+        """The same texts under another vocabulary."""
+        other = object.__new__(Encoded)
+        other.spark, other.counted = self.spark, self.counted
+        other._encode(merges, alphabet)
+        return other
+
+    def _encode(self, merges: list[Merge], alphabet: list[str] | None) -> None:
+        texts, words = self.counted
         self.entries = stored(dictionary(texts.select("word").union(words.where("whole").select("piece")), merges, alphabet))
         one = self.entries.select(F.col("word").alias("piece"), (F.size("ids") == 1).alias("one"))
-        self.spark, self.merges, self.alphabet = docs.sparkSession, merges, alphabet
+        self.merges, self.alphabet = merges, alphabet
         self.texts = texts.join(self.entries, "word")
         self.words = words.join(one, "piece", "left").select("lang", "word", "cnt", (F.col("whole") & F.coalesce("one", F.lit(False))).alias("single"))
 
@@ -109,3 +123,42 @@ def efficiency(docs: DataFrame, arms: dict[str, Encoded], reference: str = REFER
         "tokenizer", "lang", "n_sentences", "ctc", "n_words", "n_chars", ratio("ctc", "n_words").alias("fertility"), ratio("n_chars", "ctc").alias("chars_per_token"),
         F.when(F.col("lang").isin(*WITHOUT_BLANKS), ratio("ctc", "n_chars")).alias("fertility_per_char"), F.round(F.col("ctc") / base, 9).alias("token_premium"),
     )
+
+
+METRICS = ("fertility", "chars_per_token", "token_premium", "stfr", "strr")
+
+
+def measured(docs: DataFrame, arms: dict[str, Encoded], reference: str = REFERENCE) -> DataFrame:
+    """(tokenizer, lang, *METRICS, tokens_per_line): efficiency() and retention of each arm side by side."""
+    kept = None
+    for name, arm in arms.items():
+        one = arm.retention().select(F.lit(name).alias("arm"), F.col("lang").alias("of"), "stfr", "strr")
+        kept = one if kept is None else kept.union(one)
+    rows = efficiency(docs, arms, reference).join(kept, (F.col("tokenizer") == F.col("arm")) & F.col("lang").eqNullSafe(F.col("of")))
+    return rows.select("tokenizer", "lang", *METRICS, ratio("ctc", "n_sentences").alias("tokens_per_line"))
+
+
+def arms_compared(rows: DataFrame, baseline: str, other: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """(lang, metric, baseline, compare, delta, pct_change) of measured() rows: a row per language and metric, their means over languages as `macro`,
+    and the Gini index of tokens per line.
+
+    An arm without a row, or without a language that the other has, is an error: a mean over other languages is no comparison.
+    """
+    both = rows.where(F.col("tokenizer").isin(baseline, other))
+    langs = {t: {r.lang for r in both.where(F.col("tokenizer") == t).select("lang").collect()} for t in (baseline, other)}  # a row per language
+    if not langs[baseline] or langs[baseline] != langs[other]:
+        differ = sorted(map(str, langs[baseline] ^ langs[other]))
+        raise ValueError(f"{baseline} and {other} have to have the same languages" + (f", but not both have {', '.join(differ)}" if differ else ""))
+    long = both.unpivot(["tokenizer", "lang"], list(metrics), "metric", "value")
+    of = lambda t: F.max(F.when(F.col("tokenizer") == t, F.col("value")))
+    each = long.groupBy("lang", "metric").agg(of(baseline).alias("b"), of(other).alias("c"))
+    macro = each.groupBy("metric").agg(F.avg("b").alias("b"), F.avg("c").alias("c")).select(F.lit("macro").alias("lang"), "metric", "b", "c")
+    w = Window.partitionBy("tokenizer")  # a row per language
+    n, i = F.count("*").over(w), F.row_number().over(w.orderBy("tokens_per_line"))
+    uneven = both.select("tokenizer", "tokens_per_line", n.alias("n"), i.alias("i")).groupBy("tokenizer").agg(
+        ((F.max("n") + 1 - 2 * F.sum((F.col("n") + 1 - F.col("i")) * F.col("tokens_per_line")) / F.nullif(F.sum("tokens_per_line"), F.lit(0.0))) / F.max("n")).alias("value")
+    )
+    gini = uneven.agg(of(baseline).alias("b"), of(other).alias("c")).select(F.lit("macro").alias("lang"), F.lit("gini_tokens_per_line").alias("metric"), "b", "c")
+    every = each.select("lang", "metric", "b", "c").union(macro).union(gini)
+    pct = 100 * (F.col("c") - F.col("b")) / F.nullif(F.col("b"), F.lit(0.0))
+    return every.select("lang", "metric", F.round("b", 8).alias("baseline"), F.round("c", 8).alias("compare"), F.round(F.col("c") - F.col("b"), 8).alias("delta"), F.round(pct, 6).alias("pct_change"))

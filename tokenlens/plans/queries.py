@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import unicode as U
 from ..operators import bpe, corpus, draws, hypotheses, metrics, parity_bpe, pools, study, token_metrics, vocab, vocabulary, zipf
+from ..sources.shared import stored
 
 FAMILIES = [("en", "Germanic"), ("de", "Germanic"), ("fr", "Romance"), ("es", "Romance")]
 HOLDOUT, BUDGET, ROBIN, CAP = 5, 100_000, 400_000, 4.0
@@ -380,7 +381,8 @@ def encoded(spark: SparkSession, sf_dir: str, n: int = MERGES) -> token_metrics.
 def token_efficiency(spark, sf_dir):
     d = docs(spark, sf_dir)
     merges = vocabulary.train(vocabulary.word_counts(d), MERGES)
-    return token_metrics.efficiency(d, {f"bpe_{n}": token_metrics.Encoded(d, merges[:n]) for n in (4, MERGES)})
+    arm = token_metrics.Encoded(d, merges)
+    return token_metrics.efficiency(d, {"bpe_4": arm.under(merges[:4]), f"bpe_{MERGES}": arm})
 
 
 def _piece_sql(k: int) -> str:
@@ -396,6 +398,34 @@ def token_retention(spark, sf_dir):
     return encoded(spark, sf_dir).retention()
 
 
+def _arm_sql(n: int) -> str:
+    return f"""e_{n} AS (SELECT w, string_split(substr(s, 2, length(s) - 2), '||') AS y FROM t{n}),
+  x_{n} AS (SELECT lang, sum(c) AS n_tokens, sum(CASE WHEN regexp_matches(tok, '^(0[0-8EF]|1[0-9AB]|2[1-9A-F]|[3-7].|C[2-9A-F]..|D...|E.....|F.......)$') AND tok <> 'C2A0' THEN c ELSE 0 END) AS n_shreds
+    FROM (SELECT lang, c, unnest(y) AS tok FROM o JOIN e_{n} USING (w)) GROUP BY lang),
+  h_{n} AS (SELECT lang, sum(CASE WHEN one AND len(string_split(s, '||')) = 1 THEN c ELSE 0 END) / sum(c) AS strr FROM v JOIN z{n} USING (w) GROUP BY lang),
+  m_{n} AS (SELECT 'bpe_{n}' AS arm, lang, round(n_tokens / n_words, 9) AS fertility, round(n_chars / n_tokens, 9) AS chars_per_token, round(n_tokens / max(CASE WHEN lang = 'en' THEN n_tokens END) OVER (), 9) AS token_premium,
+    round(n_shreds / n_tokens, 9) AS stfr, round(strr, 9) AS strr, round(n_tokens / n_sentences, 9) AS tokens_per_line FROM d JOIN x_{n} USING (lang) JOIN h_{n} USING (lang))"""
+
+
+@register(f"""WITH {_TOKENS}, v AS (SELECT lang, w, count(*) AS c FROM (SELECT lang, unnest(regexp_extract_all(text, '\\S+')) AS w FROM documents) GROUP BY lang, w),
+  z0 AS (SELECT w, len(regexp_extract_all(' ' || w, '{PATTERN}')) = 1 AS one, regexp_replace(hex(encode(' ' || w)), '(..)', '|\\1|', 'g') AS s FROM (SELECT DISTINCT w FROM v)), {", ".join(map(_piece_sql, range(MERGES)))},
+  d AS (SELECT lang, count(*) AS n_sentences, sum(len(regexp_extract_all(text, '\\S+'))) AS n_words, sum(length(regexp_replace(text, '\\s+', '', 'g'))) AS n_chars FROM documents GROUP BY lang),
+  {_arm_sql(4)}, {_arm_sql(MERGES)}, m AS (SELECT * FROM m_4 UNION ALL SELECT * FROM m_{MERGES}),
+  l AS (UNPIVOT (SELECT arm, lang, fertility, chars_per_token, token_premium, stfr, strr FROM m) ON fertility, chars_per_token, token_premium, stfr, strr INTO NAME metric VALUE value),
+  b AS (SELECT lang, metric, max(CASE WHEN arm = 'bpe_4' THEN value END) AS b, max(CASE WHEN arm = 'bpe_{MERGES}' THEN value END) AS c FROM l GROUP BY lang, metric),
+  i AS (SELECT arm, tokens_per_line AS x, row_number() OVER (PARTITION BY arm ORDER BY tokens_per_line) AS i, count(*) OVER (PARTITION BY arm) AS n FROM m),
+  g AS (SELECT arm, (max(n) + 1 - 2 * sum((n + 1 - i) * x) / sum(x)) / max(n) AS value FROM i GROUP BY arm),
+  a AS (SELECT * FROM b UNION ALL SELECT 'macro', metric, avg(b), avg(c) FROM b GROUP BY metric
+    UNION ALL SELECT 'macro', 'gini_tokens_per_line', max(CASE WHEN arm = 'bpe_4' THEN value END), max(CASE WHEN arm = 'bpe_{MERGES}' THEN value END) FROM g)
+  SELECT lang, metric, round(b, 8) AS baseline, round(c, 8) AS compare, round(c - b, 8) AS delta, round(100 * (c - b) / nullif(b, 0), 6) AS pct_change FROM a""")
+def trained_arms_ab(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    merges = vocabulary.train(vocabulary.word_counts(d), MERGES)
+    arm = token_metrics.Encoded(d, merges)
+    rows = token_metrics.measured(d, {"bpe_4": arm.under(merges[:4]), f"bpe_{MERGES}": arm})
+    return token_metrics.arms_compared(stored(rows), "bpe_4", f"bpe_{MERGES}")
+
+
 @register(f"""WITH {_TOKENS}, r AS (SELECT unit, count(DISTINCT lang) AS reached, bool_or(lang = 'en') AS ic FROM k GROUP BY unit)
   SELECT lang, count(*) AS n_types, sum(cnt)::BIGINT AS n_tokens, count(CASE WHEN NOT ic THEN 1 END) AS n_not_in_control, count(CASE WHEN reached <= 1 THEN 1 END) AS n_rare,
     round(count(CASE WHEN NOT ic THEN 1 END) / count(*), 9) AS share_not_in_control, round(count(CASE WHEN reached <= 1 THEN 1 END) / count(*), 9) AS share_rare,
