@@ -558,6 +558,22 @@ def test_embedded_licences(spark):
     assert got[5].text_digest is None and licenses.scan(docs.union(docs)).count() == 2 * len(texts)
 
 
+def test_whole_files(spark):
+    """Files as they are published: wrapped, with a year and a name, with and without a title."""
+    import textwrap
+
+    wrap = lambda t: "\n\n".join(textwrap.fill(p, 72) for p in t.split("\n\n"))
+    by_name = {}
+    for name, text in licenses.KNOWN:
+        by_name.setdefault(name, []).append(text)
+    files = [by_name["MIT"][0].replace("Copyright (c) holders", "Copyright (c) 2021 A. Person"), by_name["MIT"][1], *by_name["Unlicense"], *by_name["BSL-1.0"]]
+    assert all(t.startswith("This is free and unencumbered") and "AUTHORS BE LIABLE" in t and "unlicense.org" in t for t in by_name["Unlicense"])
+    docs = spark.createDataFrame([(k, wrap(t)) for k, t in enumerate(files)] + [(99, "Preface. " + wrap(by_name["BSL-1.0"][0]))], "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.n_embedded, r.embedded) for r in licenses.scan(docs).collect()}
+    assert [got[k][0] for k in range(len(files))] == ["MIT"] * 2 + ["Unlicense"] * 3 + ["BSL-1.0"] * 2
+    assert all(got[k][1:] == (0, "") for k in range(len(files))) and got[99] == (None, 2, "BSL-1.0")
+
+
 def test_pipeline(spark, data, documents):
     import corpus_pipeline
 

@@ -34,6 +34,15 @@ _BSD = "Redistribution and use in source and binary forms, with or without modif
 _BSD_NAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
 _BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 _GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the {kind} as published by the Free Software Foundation, either version {version}, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {kind} for more details."
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\n'
+    "For more information, please refer to "
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+)
 #: Known licence texts and notices.
 KNOWN = [
     ("MIT", f"MIT License\n\nCopyright (c) holders\n\n{_GRANT}\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_DISCLAIMER}"),
@@ -43,8 +52,9 @@ KNOWN = [
     ("BSD-2-Clause", _BSD.format("") + _BSD_TAIL),
     ("BSD-3-Clause", _BSD.format(_BSD_NAME) + _BSD_TAIL),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
-    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."),
+    *(("Unlicense", _UNLICENSE + address) for address in ("<https://unlicense.org>", "<http://unlicense.org/>", "<https://unlicense.org/>")),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + _BOOST),
+    ("BSL-1.0", _BOOST),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     *((name, _GNU.format(kind=kind, version=version)) for name, kind, version in [("GPL-2.0-or-later", "GNU General Public License", "2 of the License"), ("GPL-3.0-or-later", "GNU General Public License", "3 of the License"), ("LGPL-3.0-or-later", "GNU Lesser General Public License", "3 of the License"), ("AGPL-3.0-or-later", "GNU Affero General Public License", "3 of the License")]),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
@@ -95,7 +105,8 @@ def _hash_of(hashes: Column) -> Column:
 def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """(doc_id, text_digest, license, n_notices, notices, n_embedded, embedded), a row per row of `docs`(doc_id, text).
 
-    `license` is that of the whole text; notices are lines, and embedded are known texts of LONG words or more inside it.
+    `license` is that of the whole text; notices are lines, and embedded are known texts of LONG words or more inside it, of other licences
+    where the whole text is one.
     """
     listed = known_digests(docs.sparkSession, known)
     rows = listed.collect()  # MOST_KNOWN at most
@@ -120,7 +131,8 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     listed_names = lambda c: F.array_join(F.array_sort(F.array_distinct(names(c))), " ")
     # As many rows as MOST_KNOWN at most.
     found = form.join(F.broadcast(listed.select("known_digest", "license")), F.col("text_digest") == F.col("known_digest"), "left")
-    inside = F.when(F.col("license").isNotNull(), F.filter("part_digests", lambda d: d != F.col("text_digest"))).otherwise(F.col("part_digests"))
+    # Variants of the licence that the whole text is are not inside it.
+    inside = F.when(F.col("license").isNotNull(), F.filter("part_digests", lambda d: F.element_at(licenses, d) != F.col("license"))).otherwise(F.col("part_digests"))
     found = found.withColumn("inside", inside)
     return found.select(
         "doc_id", "text_digest", "license",
@@ -148,8 +160,8 @@ def op7_sql() -> str:
     whole AS (SELECT doc_id, sha256({_canonical_sql('text')}) AS d, string_split({_canonical_sql("coalesce(text, '')")}, ' ') AS w FROM documents),
     notices AS (SELECT doc_id, license FROM (SELECT doc_id, sha256({_canonical_sql('line')}) AS d FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)) JOIN known USING (d)),
     starts AS (SELECT doc_id, i, w[i:i + {HEAD - 1}] AS head FROM (SELECT doc_id, w, unnest(range(1, len(w) - {HEAD - 2})) AS i FROM whole WHERE len(w) >= {LONG})),
-    parts AS (SELECT s.doc_id, k.license FROM starts s JOIN known k ON s.head = k.head AND k.n >= {LONG} JOIN whole x ON x.doc_id = s.doc_id
-      WHERE sha256(array_to_string(x.w[s.i:s.i + k.n - 1], ' ')) = k.d AND k.d <> x.d)
+    parts AS (SELECT s.doc_id, k.license FROM starts s JOIN known k ON s.head = k.head AND k.n >= {LONG} JOIN whole x ON x.doc_id = s.doc_id LEFT JOIN known o ON o.d = x.d
+      WHERE sha256(array_to_string(x.w[s.i:s.i + k.n - 1], ' ')) = k.d AND k.license IS DISTINCT FROM o.license)
     SELECT doc_id, whole.d AS text_digest, known.license, coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices, coalesce(n_embedded, 0) AS n_embedded, coalesce(embedded, '') AS embedded
     FROM whole LEFT JOIN known ON whole.d = known.d
     LEFT JOIN (SELECT doc_id, count(*) AS n_notices, array_to_string(list_sort(list_distinct(list(license))), ' ') AS notices FROM notices GROUP BY doc_id) USING (doc_id)
