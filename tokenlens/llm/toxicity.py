@@ -30,12 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CLOSING, Numbers, is_plain, kept, slices, stored, table
+from .common import CLOSING, Numbers, is_plain, kept, release, slices, stored, table
 from .language_id import letters_of
 
 SAMPLE_BYTES, BESIDE, LONGEST = 32 << 20, 1000, 1 << 20
 #: Highest words that a text is judged by, texts of a class that a word needs to count there, chunks whose values a task keeps.
 PEAK, LEAST, CACHED = 2, 3, 150_000
+#: Bytes of text that a task takes apart at a time.
+PIECE = 1 << 20
 BEGIN = 0
 
 
@@ -167,19 +169,27 @@ def keys_of(words: list[str]) -> np.ndarray:
     return np.array([key_of(w) if w else 0 for w in words], np.int64)
 
 
+def _one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Both numbers in one 64-bit hash."""
+    mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) ^ b.view(np.uint64)
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(before, word, t, o): toxic and ordinary texts that hold the word, counted where it is met first, behind another; 0 behind others."""
     words = Words(keys_of, np.int64)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", PIECE):
         keys, n = words.of(batch.column("text"))
         text, keys = np.repeat(np.arange(len(n)), n)[keys != 0], keys[keys != 0]
         before = np.where(np.diff(text, prepend=-1) == 0, np.concatenate([[BEGIN], keys])[: len(keys)], BEGIN)
-        first = np.zeros(len(keys), np.int64)
-        first[np.unique(np.column_stack([text, keys]), axis=0, return_index=True)[1]] = 1
+        first = np.zeros(len(keys), bool)
+        first[np.unique(_one(text, keys), return_index=True)[1]] = True
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[text]
-        both, at = np.unique(np.column_stack([before, keys]), axis=0, return_inverse=True)
-        counts = [np.bincount(at.ravel(), first * kind, len(both)).astype(np.int64) for kind in (toxic, ~toxic)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*both.T, *counts)], ["before", "word", "t", "o"])
+        _, own, at = np.unique(_one(before, keys), return_index=True, return_inverse=True)
+        counts = [np.bincount(at[first & kind], minlength=len(own)) for kind in (toxic, ~toxic)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (before[own], keys[own], *counts)], ["before", "word", "t", "o"])
+    words = None
+    release()
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
@@ -194,11 +204,13 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(keys_of, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             keys, n = words.of(batch.column("text"))
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
             x = features(shared.value.without_itself(keys, n, toxic), n)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("toxic"), batch.column("chance")], ["peak", "mean", "toxic", "chance"])
+        words = None
+        release()
 
     rows = drawn.mapInArrow(compare, "peak double, mean double, toxic boolean, chance double").toArrow()  # a row per text of the sample
     peak, mean, toxic, chance = (c.to_numpy() for c in rows.columns)
@@ -225,12 +237,14 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             words = kept(("toxicity", m["key"]), lambda: Words(lambda new: looked_up(m["words"], m["ratios"], new), np.float32))
             x = features(*words.of(batch.column("text")))
             score = curve(m["curve"][0] + x @ m["curve"][1:])
             columns = [batch.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(x[:, 0]), pa.array(x[:, 1])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "peak_ratio", "mean_ratio"])
+        words = None
+        release()
 
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, peak_ratio double, mean_ratio double")
 
