@@ -84,8 +84,8 @@ def planes_of(values: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def near_rows(groups: np.ndarray, values: np.ndarray, radius: int = RADIUS, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one group (groups are contiguous) within `radius` bits; by distance between the rows.
+def near_rows(groups: np.ndarray, values: np.ndarray, radius: int = RADIUS, root: np.ndarray | None = None, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group (groups are contiguous) within `radius` bits, and of different `side` if given; by distance between the rows.
 
     Counters begin so high that they overflow just where a distance exceeds the radius. Rows that have the same `root` by
     now are linked already and are left out, so that a group of very many near copies is soon done.
@@ -99,6 +99,8 @@ def near_rows(groups: np.ndarray, values: np.ndarray, radius: int = RADIUS, root
             return
         if root is not None:
             same &= root[shift:] != root[:-shift]
+        if side is not None:
+            same &= side[shift:] != side[:-shift]
         together = np.packbits(same, bitorder="little")
         valid = np.zeros(width * 8, np.uint8)
         valid[: len(together)] = together
@@ -158,25 +160,33 @@ def block_keys(nodes: int) -> Column:
 
 
 def links(keyed: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Spanning edges (a, b) between the rows keyed(node long, key long, *prints long) that share a key, within `radius` bits."""
+    """Spanning edges (a, b) between the rows keyed(node long, key long, *prints long) that share a key, within `radius` bits.
+
+    An edge leads to the smallest node that a task reaches, so that keys which the same rows share give the same edges. Where two chunks meet, what
+    is linked within a chunk is one node already: only edges between such are returned, so that a row has one edge of a key, not one of each chunk.
+    """
     prints = [c for c in keyed.columns if c not in ("node", "key")]
     full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     dealt = keyed.join(full, F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least("own", j).cast("long") * (1 << 31) + F.greatest("own", j))
-    dealt = dealt.select("node", *prints, "key", F.explode(meets).alias("meet"))
+    dealt = dealt.select("node", *prints, "key", "own", F.explode(meets).alias("meet"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, ("key", "meet"), 1 << 14):
-            key, meet = (batch.column(c).to_numpy() for c in ("key", "meet"))
+            key, meet, own = (batch.column(c).to_numpy() for c in ("key", "meet", "own"))
             groups = np.cumsum(np.concatenate([[0], (np.diff(key) != 0) | (np.diff(meet) != 0)]))
+            chunks = np.cumsum(np.concatenate([[0], (np.diff(groups) != 0) | (np.diff(own) != 0)]))
             values = np.stack([batch.column(c).to_numpy() for c in prints], axis=1)
             root = np.arange(len(values))
-            spanning(len(values), near_rows(groups, values, radius, root), root)
-            joined = np.flatnonzero(root != np.arange(len(root)))
+            spanning(len(values), near_rows(chunks, values, radius, root), root)
+            within, alone = root.copy(), meet >> 31 == meet & ((1 << 31) - 1)
+            if not alone.all():
+                spanning(len(values), near_rows(groups, values, radius, root, own), root)
+            joined = np.flatnonzero((root != np.arange(len(root))) & (alone | (within == np.arange(len(root)))))
             node = batch.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[root[joined]])], ["a", "b"])
 
-    return dealt.repartition("key", "meet").sortWithinPartitions("key", "meet").mapInArrow(run, "a long, b long")
+    return dealt.repartition("key", "meet").sortWithinPartitions("key", "meet", "own", "node").mapInArrow(run, "a long, b long")
 
 
 def _node(kind: str) -> Column:
