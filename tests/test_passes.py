@@ -7,7 +7,7 @@ import pytest
 import regex
 
 from tokenlens.functions import text as T
-from tokenlens.operators import draws, vocabulary
+from tokenlens.operators import corpus, draws, vocabulary
 from tokenlens.plans import queries
 
 TEXTS = {"en": "the cat sat on the mat, and the dog saw it", "de": "die Katze saß auf der Matte und der Hund sah zu", "fr": "le chat était assis sur le tapis", "es": "el gato se sentó en la alfombra 12"}
@@ -56,3 +56,10 @@ def test_number_of_clusters(spark):
     texts = ["", "abc\r\n\r\r\nx\n\r", "é\u00ad\u00a9 ß", "e\u0301a", "\u0915\u094d\u0937", "\U0001f468\u200d\U0001f469", "\u0000\t\r\n"]
     got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.n_graphemes(T.F.col("text")).alias("n")).collect()
     assert {r.text: r.n for r in got} == {t: len(regex.findall(r"\X", t)) for t in texts}
+
+
+def test_rows_of_one_document_share_an_ngram_once(spark):
+    text = "a b c d e f g h i"
+    rows = spark.createDataFrame([(1, text), (1, f"{text} x {text}"), (2, text[:-2]), (3, "a b c d")], "doc_id long, text string")
+    got = corpus.contaminated(rows, spark.createDataFrame([(text,)], "text string"))
+    assert {r.doc_id: r.n_shared for r in got.collect()} == {1: 2, 2: 1}
